@@ -51,7 +51,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def decode_text(content) -> Column:
     """File bytes to text; malformed bytes become U+FFFD and a leading BOM is dropped."""
     text = F.make_valid_utf8(_col(content).cast("string"))
-    return F.when(F.startswith(text, F.lit("﻿")), F.substring(text, 2, 2147483647)).otherwise(text)
+    return F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2147483647)).otherwise(text)
 
 
 def parse_payload(body, schema: T.StructType) -> Column:
