@@ -33,6 +33,18 @@ def early_status():
     )
 
 
+def owned(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Messages whose session exists and belongs to their writer."""
+    keys = sessions.select(F.col("id").alias("session_id"), "user_id")
+    return messages.join(keys, ["session_id", "user_id"], "left_semi").select(*messages.columns)
+
+
+def not_owned(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The other messages: "Session not found"."""
+    keys = sessions.select(F.col("id").alias("session_id"), "user_id")
+    return messages.join(keys, ["session_id", "user_id"], "left_anti").select(*messages.columns)
+
+
 def classify_messages(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """Every message with its ``status`` and ``reason``.
 
