@@ -6,43 +6,66 @@ line ever leaves its task and nothing is shuffled to rebuild a message.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
-from parley.functions.text import DOT, WS, _col, js_trim
+from parley.functions.text import WS, _col, js_trim
+
+# The start of a numbered ("1. x") or bulleted ("- x", "* x") line.
+LIST_MARKER = rf"\A(?:[0-9]+\.|[-*]){WS}++"
+LINE_TERMINATORS = ("\r", "\u2028", "\u2029")
+# A whole run of white space, found at its first character only and never given back, so
+# that texts with very long blank runs stay linear.
+RUN = rf"{WS}(?<!{WS}{{2}}){WS}*+"
 
-# A numbered ("1. x") or bulleted ("- x", "* x") line; the group is its item.
-LIST_LINE = rf"\A(?:[0-9]+\.|[-*]){WS}+({DOT}*)\z"
+
+def _mark_lists(text) -> Column:
+    """Inline list markers on lines of their own; numbers first, then bullets."""
+    unix = F.replace(_col(text), F.lit("\r\n"), F.lit("\n"))
+    numbered = F.regexp_replace(unix, rf"{RUN}([0-9]+\.{WS}++\*\*)", "\n$1")
+    bullets = F.regexp_replace(numbered, rf"{RUN}\*{WS}++", "\n- ")
+    # Both need an asterisk, and finding none is far cheaper than matching.
+    return F.when(F.contains(_col(text), F.lit("*")), bullets).otherwise(unix)
 
 
 def break_lists(text) -> Column:
-    """The rewrite that puts inline list markers on lines of their own.
+    """The reply text with one list item per line and no more than one blank line in a row.
 
     The steps depend on each other's output; their order is the meaning.
     """
-    unix = F.replace(_col(text), F.lit("\r\n"), F.lit("\n"))
-    # A match always covers a whole blank run: what follows it is never white space.  So
-    # look for one at the start of a run only and never give characters back ("++"),
-    # which keeps texts with very long blank runs linear.
-    run = rf"(?<!{WS}){WS}++"
-    numbered = F.regexp_replace(unix, rf"{run}([0-9]+\.{WS}++\*\*)", "\n$1")
-    bullets = F.regexp_replace(numbered, rf"{run}\*{WS}++", "\n- ")
-    return js_trim(F.regexp_replace(bullets, r"\n{3,}", "\n\n"))
+    return js_trim(F.regexp_replace(_mark_lists(text), r"\n{3,}", "\n\n"))
 
 
 def reply_lines(text) -> Column:
-    """ARRAY<STRING>: trimmed, non-blank lines after the rewrite."""
-    lines = F.transform(F.split(break_lists(text), "\n", -1), js_trim)
+    """ARRAY<STRING>: trimmed, non-blank lines of ``break_lists``.
+
+    Its last steps only remove blank lines and blanks at the ends, which is done here line
+    by line anyway.
+    """
+    lines = F.transform(F.split(_mark_lists(text), "\n", -1), js_trim)
     return F.filter(lines, lambda line: line != "")
 
 
 def classified_lines(text) -> Column:
-    """ARRAY<STRUCT<is_list, text>>: list lines lose their marker, others stay whole."""
-    def classify(line):
-        listed = line.rlike(LIST_LINE)
-        item = F.when(listed, F.regexp_extract(line, LIST_LINE, 1)).otherwise(line)
-        return F.struct(listed.alias("is_list"), item.alias("text"))
+    """ARRAY<STRUCT<is_list, text>>: list lines lose their marker, others stay whole.
 
-    return F.transform(reply_lines(text), classify)
+    The marker is matched on its own and the rest cut off behind it; one pattern for the
+    whole line would walk every character of it.
+    """
+    def split_marker(line):
+        marker = F.regexp_extract(line, LIST_MARKER, 0)
+        return F.struct(line.alias("line"), F.length(marker).alias("cut"))
+
+    def classify(found):
+        rest = F.substring(found["line"], found["cut"] + 1, F.lit(2147483647))
+        # An item cannot hold a line terminator (a line feed has ended the line already).
+        broken = reduce(or_, [F.contains(rest, F.lit(t)) for t in LINE_TERMINATORS])
+        listed = (found["cut"] > 0) & ~broken
+        return F.struct(listed.alias("is_list"), F.when(listed, rest).otherwise(found["line"]).alias("text"))
+
+    return F.transform(F.transform(reply_lines(text), split_marker), classify)
 
 
 def block_starts(lines) -> Column:

@@ -15,10 +15,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-# The same set as a regular-expression class.
-WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-# What "." matches in ECMAScript: everything but a line terminator.
-DOT = r"[^\n\r\x{2028}\x{2029}]"
+# The same set as a regular-expression class: ASCII blanks, all Unicode separators, BOM.
+# Spelled as ranges the class is several times slower to match.
+WS = r"[\s\p{Z}\x{FEFF}]"
 
 # Limits and defaults of the client.
 TITLE_CHARS = 50

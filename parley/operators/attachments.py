@@ -202,10 +202,9 @@ def join_pages(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     last one with text.  That bounds what is collected for a document of any length.
     """
     text = F.coalesce("text", F.lit(""))
-    bounds = (
-        pages.where(js_trim("text") != "")
-        .groupBy("file_id")
-        .agg(F.min("page_no").alias("first"), F.max("page_no").alias("last"))
+    with_text = F.when(js_trim("text") != "", F.col("page_no"))
+    bounds = pages.groupBy("file_id").agg(
+        F.min(with_text).alias("first"), F.max(with_text).alias("last"), F.count("*").alias("n")
     )
     located = spread_join(pages, bounds, "file_id", ["page_no"])
     needed = located.where(
@@ -217,7 +216,6 @@ def join_pages(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     both = F.when(F.col("page_no") == F.col("last"), F.rtrim(left, F.lit(WHITESPACE))).otherwise(left)
     short = needed.select("file_id", "page_no", F.substring(both, 1, max_chars).alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))["text"]
-    with_text = short.groupBy("file_id").agg(js_slice(F.array_join(ordered, "\n"), max_chars).alias("text"))
-    return pages.select("file_id").distinct().join(with_text, "file_id", "left").select(
-        "file_id", F.coalesce("text", F.lit("")).alias("text")
-    )
+    joined = short.groupBy("file_id").agg(js_slice(F.array_join(ordered, "\n"), max_chars).alias("text"))
+    blank = bounds.where(F.col("first").isNull()).select("file_id", F.lit("").alias("text"))
+    return joined.unionByName(blank)

@@ -146,6 +146,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: lis
         F.min(F.when(F.col("op") == "upsert", at)).alias("first_upsert"),
         F.min(F.when(F.col("op") == "delete", at)).alias("deleted"),
         F.max_by(F.when(write, F.struct(*sets)), F.when(write, at)).alias("last"),
+        F.count("*").alias("n"),
     )
     known = base.select(key, F.lit(True).alias("known"))
 
@@ -161,7 +162,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: lis
         *[columns.get(c, F.col(c)).alias(c) for c in base.columns]
     )
 
-    state = folded.select(key, "first_upsert", "deleted").join(known, key, "left")
+    state = folded.select(key, "first_upsert", "deleted", "n").join(known, key, "left")
     late = F.col("deleted").isNotNull() & (at > F.col("deleted")) & write
     early = (F.col("op") == "update") & F.col("known").isNull() & (
         F.col("first_upsert").isNull() | (at < F.col("first_upsert"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from parley.plans.explode import explode_rows
 from parley.schemas import ATTACHMENT
 from parley.session import configure
 
@@ -209,9 +210,8 @@ class Tables:
         """Every line of a document as a page; every third document starts with blanks."""
         lines = F.split("text", "\n", -1)
         front = pick(F.col("doc_id"), 3, {0: F.array(F.lit("  "), F.lit(""))}, F.array().cast("array<string>"))
-        return self.raw("documents").select(
-            F.col("doc_id").alias("file_id"), F.posexplode(F.concat(front, lines)).alias("page_no", "text")
-        )
+        paged = self.raw("documents").select(F.col("doc_id").alias("file_id"), F.concat(front, lines).alias("pages"))
+        return explode_rows(paged, "pages", "page_no", "text")
 
     def attachments(self) -> DataFrame:
         """Ten documents for each conversation, as (session_id, attachments)."""

@@ -11,6 +11,7 @@ from parley import schemas
 from parley.functions import replies as reply_functions, text
 from parley.operators import access, attachments, changes, ingest, prompts, quality, replies, sessions, throttle
 from parley.plans import oracle
+from parley.plans.explode import explode_rows
 from parley.plans.fixtures import Tables, now
 from parley.plans.oracle import NOW, SYSTEM, or_else, stamp, title, trim
 from parley.sources import sinks, tables as readers
@@ -515,8 +516,8 @@ def outgoing_messages(t: Tables) -> DataFrame:
     SELECT a.request_id, a.pos % 10 AS pos, a.type, a.name, a.dataUrl AS data_url
     FROM v_request_files a JOIN v_outgoing o ON o.id = a.request_id""")
 def attachment_preview(t: Tables) -> DataFrame:
-    preview = _outgoing(t).select("request_id", F.posexplode(prompts.attachment_preview("attachments")).alias("pos", "a"))
-    return preview.select(
+    preview = _outgoing(t).select("request_id", prompts.attachment_preview("attachments").alias("preview"))
+    return explode_rows(preview, "preview", "pos", "a").select(
         "request_id", F.col("pos").cast("long").alias("pos"), "a.type", "a.name", F.col("a.dataUrl").alias("data_url")
     )
 
@@ -627,8 +628,8 @@ def long_reply(t: Tables) -> DataFrame:
     SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY line_no) - 1 AS line_no, is_list, item AS text
     FROM v_lines""")
 def reply_lines(t: Tables) -> DataFrame:
-    lines = reply_functions.classified_lines("content")
-    return t.replies().select(F.col("id").alias("message_id"), F.posexplode(lines).alias("line_no", "l")).select(
+    lined = t.replies().select(F.col("id").alias("message_id"), reply_functions.classified_lines("content").alias("lines"))
+    return explode_rows(lined, "lines", "line_no", "l").select(
         "message_id", F.col("line_no").cast("long").alias("line_no"), "l.is_list", "l.text"
     )
 
@@ -667,9 +668,8 @@ def reply_bold(t: Tables) -> DataFrame:
     SELECT doc_id, CAST(generate_subscripts(terms, 1) - 1 AS BIGINT) AS pos, unnest(terms) AS term
     FROM (SELECT doc_id, regexp_extract_all(text, '\*\*([^*]+)\*\*', 1) AS terms FROM documents)""")
 def bold_terms(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.posexplode(text.bold_terms("text")).alias("pos", "term")).withColumn(
-        "pos", F.col("pos").cast("long")
-    )
+    terms = t.raw("documents").select("doc_id", text.bold_terms("text").alias("terms"))
+    return explode_rows(terms, "terms", "pos", "term").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(r"""

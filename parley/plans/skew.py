@@ -1,8 +1,8 @@
-"""Joins of a fact table with a per-key table when single keys may hold much of the facts.
+"""Join of a fact table with per-key aggregates of it, when single keys may hold much of it.
 
 AQE splits a hot partition only where both join inputs come straight out of a shuffle and
-nothing above the join relies on its partitioning.  Where that does not hold, the split is
-written into the plan here.
+nothing above the join relies on its partitioning.  A side that is itself an aggregate does
+not, so the split is written into the plan here.
 """
 
 from __future__ import annotations
@@ -13,41 +13,26 @@ SHARE = 1000
 SALTS = 64
 
 
-def heavy_keys(facts: DataFrame, key: str, share: int = SHARE) -> DataFrame:
-    """Keys that hold more than 1/``share`` of all rows: fewer than ``share`` of them.
-
-    Counting combines map-side and reads only the key column.
-    """
-    counts = facts.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.where(F.col("n") * share > total).select(key, F.lit(True).alias("heavy"))
-
-
 def spread_join(
     facts: DataFrame,
-    lookup: DataFrame,
+    summary: DataFrame,
     key: str,
     spread_by: list[str],
     share: int = SHARE,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Inner join of ``facts`` with ``lookup`` (one row per key).
+    """Inner join of ``facts`` with ``summary``, one row per key with its row count ``n``.
 
-    Rows of heavy keys are dealt over ``salts`` join keys by a hash of ``spread_by`` (a
-    recomputed task deals them the same way) and only the look-up rows of those keys are
-    repeated.  The heavy keys are broadcast: by their definition there are fewer than
-    ``share``.
+    A key is heavy when it holds more than 1/``share`` of all rows, so there are fewer than
+    ``share`` heavy keys, and only those are broadcast.  Their facts are dealt over
+    ``salts`` join keys by a hash of ``spread_by`` (a recomputed task deals them the same
+    way) and only their summary rows are repeated.
     """
-    heavy = F.broadcast(heavy_keys(facts, key, share))
-    dealt = (
-        facts.join(heavy, key, "left")
-        .withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0)))
-        .drop("heavy")
-    )
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    repeated = (
-        lookup.join(heavy, key, "left")
-        .withColumn("salt", F.explode(F.when(F.col("heavy"), every).otherwise(F.array(F.lit(0).cast("long")))))
-        .drop("heavy")
-    )
+    total = summary.agg(F.sum("n")).scalar()
+    marked = summary.withColumn("heavy", F.col("n") * share > total)
+    heavy = F.broadcast(marked.where("heavy").select(key, "heavy"))
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
+    dealt = facts.join(heavy, key, "left").withColumn("salt", salt.cast("int")).drop("heavy")
+    every = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = marked.withColumn("salt", F.explode(every)).drop("heavy", "n")
     return dealt.join(repeated, [key, "salt"]).drop("salt")
