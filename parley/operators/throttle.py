@@ -5,25 +5,33 @@ Whether an event passes depends on the event that passed before it, so a user's
 look inherently sequential.  They are still split here, because one user may hold a large
 part of all events:
 
-1. A user's time line is cut into chunks, and chunks are spread over the cluster.  What a
-   chunk does depends only on the clock it starts with (the time of the last event that
-   passed before it).  Events that would pass for the same clocks form one chain; chains
-   that meet at an event stay together from there on.  One pass over the sorted chunk
-   follows all chains at once and notes, for each event some chain picks, the range of
-   clocks it passes for, and for each chain, where the clock ends.
-2. The chunks of a user are then strung together: a few numbers per chunk, not events.
-3. Each noted event is kept when its chunk's starting clock lies in its range.
+1. A user's time line is cut into chunks, and chunks are spread over the cluster.  Forced
+   events, and events far enough behind the event before them, pass whatever happened
+   earlier; a window function finds them.  For sparse users that is nearly everything.
+2. The other events depend on the clock (the time of the last event that passed), and the
+   first ones of a chunk on the clock it starts with.  Events that would pass for the same
+   clocks form one chain; chains that meet at an event stay together from there on.  One
+   pass over the sorted chunk follows all chains at once and notes, for each event some
+   chain picks, the range of clocks it passes for, and for each chain, where it ends.
+3. The chunks of a user are strung together: a few numbers per chunk, not events.
+4. Each noted event is kept when its chunk's starting clock lies in its range.
 
 The events themselves are shuffled once.
 """
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+
+# Ship the task functions of this module with the job: executors need not have the
+# package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INTERVAL_MS = 15_000
 INTERVALS_PER_CHUNK = 240
@@ -78,34 +86,41 @@ class _Chunk:
         return [(*self._range(first, last), clock) for clock, first, last in self.chains]
 
 
+PICKED = ["user_id", "chunk", "event_id", "us", "after", "upto"]
+
+
 def _follow_chains(interval: int):
-    """Rows sorted by (user, chunk, time) to picked events and chain ends, streaming."""
+    """Rows sorted by (user, chunk, time) to picked events and chain ends, streaming.
+
+    A chain end has no event; its time is where the clock ends.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["user_id", "chunk", "event_id", "us", "force", "after", "upto"]
-        key, chunk = None, None
+        key, chunk, closed = None, None, True
 
         def close(rows):
-            if chunk is not None:
-                # An end row has no event; its time is where the clock ends.
-                rows.extend((*key, None, clock, False, after, upto) for after, upto, clock in chunk.ends())
+            if not closed:
+                rows.extend((*key, None, clock, after, upto) for after, upto, clock in chunk.ends())
 
         def frame(rows):
-            out = pd.DataFrame(rows, columns=names)
-            out["event_id"] = out["event_id"].astype(object)
-            return out
+            columns = zip(*rows) if rows else [()] * len(PICKED)
+            return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(PICKED, columns)})
 
         for batch in batches:
             rows = []
-            columns = (batch[c].tolist() for c in ("user_id", "chunk", "event_id", "us", "force"))
-            for user, start, event, us, force in zip(*columns):
+            columns = (batch[c].tolist() for c in ("user_id", "chunk", "event_id", "us", "reset", "last"))
+            for user, start, event, us, reset, last in zip(*columns):
                 if key != (user, start):
                     close(rows)
                     key, chunk = (user, start), _Chunk(start, interval)
-                picked = chunk.feed(us, force)
-                if picked:
-                    rows.append((user, start, event, us, force, *picked))
-            yield frame(rows)
+                picked = chunk.feed(us, reset)
+                if picked and not reset:
+                    rows.append((user, start, event, us, *picked))
+                # Behind the last row that was sent here the chunk may go on with events
+                # that pass anyway; then its end is known already.
+                closed = not last
+            if rows:
+                yield frame(rows)
         rows = []
         close(rows)
         yield frame(rows)
@@ -144,42 +159,60 @@ def throttle_events(
     interval = interval_ms * 1000
     length = interval * intervals_per_chunk
     types = {f.name: f.dataType for f in events.schema.fields}
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    marked = mark_resets(events, interval, length)
+    chunk_key = [T.StructField("user_id", types["user_id"]), T.StructField("chunk", T.LongType())]
 
-    narrow = events.select(
-        "user_id", "event_id", us.alias("us"), F.coalesce("force", F.lit(False)).alias("force")
-    ).withColumn("chunk", F.col("us") - F.pmod("us", F.lit(length)))
-    ordered = narrow.repartition("user_id", "chunk").sortWithinPartitions("user_id", "chunk", "us", "event_id")
-
-    long = T.LongType()
-    chains = ordered.mapInPandas(
+    # Resets followed by a reset concern nobody else.
+    dependent = marked.where(~F.col("reset") | ~F.col("next")).select(
+        "user_id", "chunk", "event_id", "us", "reset", F.col("next").isNull().alias("last")
+    )
+    chains = dependent.mapInPandas(
         _follow_chains(interval),
         T.StructType([
-            T.StructField("user_id", types["user_id"]),
-            T.StructField("chunk", long),
+            *chunk_key,
             T.StructField("event_id", types["event_id"]),
-            T.StructField("us", long),
-            T.StructField("force", T.BooleanType()),
-            T.StructField("after", long),
-            T.StructField("upto", long),
+            T.StructField("us", T.LongType()),
+            T.StructField("after", T.LongType()),
+            T.StructField("upto", T.LongType()),
         ]),
     )
-    ends = chains.where(F.col("event_id").isNull()).select("user_id", "chunk", "after", "upto", "us")
+    ends = chains.where(F.col("event_id").isNull()).select("user_id", "chunk", "after", "upto", "us").unionByName(
+        marked.where(F.col("reset") & F.col("next").isNull()).select(
+            "user_id", "chunk", F.lit(LOWEST).alias("after"), F.lit(HIGHEST).alias("upto"), "us"
+        )
+    )
     clocks = (
         ends.repartition("user_id")
         .sortWithinPartitions("user_id", "chunk")
-        .mapInPandas(
-            _string_together,
-            T.StructType([
-                T.StructField("user_id", types["user_id"]),
-                T.StructField("chunk", long),
-                T.StructField("clock", long),
-            ]),
-        )
+        .mapInPandas(_string_together, T.StructType([*chunk_key, T.StructField("clock", T.LongType())]))
     )
-    picked = chains.where(F.col("event_id").isNotNull())
     clock, after, upto = F.col("clock"), F.col("after"), F.col("upto")
-    passes = F.when(after < upto, (clock > after) & (clock <= upto)).otherwise((clock > after) | (clock <= upto))
-    return picked.join(clocks, ["user_id", "chunk"]).where(passes).select(
-        "event_id", "user_id", F.timestamp_micros("us").alias("ts"), "force"
+    in_range = F.when(after < upto, (clock > after) & (clock <= upto)).otherwise((clock > after) | (clock <= upto))
+    picked = (
+        chains.where(F.col("event_id").isNotNull())
+        .join(clocks, ["user_id", "chunk"])
+        .where(in_range)
+        .select("event_id", "user_id", "us", F.lit(False).alias("force"))
+    )
+    passed = marked.where("reset").select("event_id", "user_id", "us", "force").unionByName(picked)
+    return passed.select("event_id", "user_id", F.timestamp_micros("us").alias("ts"), "force")
+
+
+def mark_resets(events: DataFrame, interval: int, length: int) -> DataFrame:
+    """Events in chunks, sorted, with ``reset`` (passes whatever the clock) and ``next``,
+    the same of the chunk's next event (NULL for the last)."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    narrow = events.select(
+        "user_id", "event_id", us.alias("us"), F.coalesce("force", F.lit(False)).alias("force")
+    ).withColumn("chunk", F.col("us") - F.pmod("us", F.lit(length)))
+    order = ["user_id", "chunk", "us", "event_id"]
+    in_order = W.partitionBy("user_id", "chunk").orderBy("us", "event_id")
+    # Whatever passed in an earlier chunk did so before this chunk started.
+    before = F.coalesce(F.lag("us").over(in_order), F.col("chunk"))
+    return (
+        narrow.repartition("user_id", "chunk")
+        .sortWithinPartitions(*order)
+        .withColumn("reset", F.col("force") | (F.col("us") - before >= interval))
+        .withColumn("next", F.lead("reset").over(in_order))
+        .sortWithinPartitions(*order)
     )
