@@ -287,3 +287,11 @@ class Tables:
             (F.col("p_size") * 100).cast("long").alias("width"),
             (F.col("p_partkey") % 3000 + 1).alias("height"),
         )
+
+
+class StreamedTables(Tables):
+    """The same derivations with the test tables read as file streams."""
+
+    def raw(self, name: str) -> DataFrame:
+        schema = super().raw(name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)

@@ -12,9 +12,11 @@ from parley.functions import replies as reply_functions, text
 from parley.operators import access, attachments, changes, ingest, prompts, quality, replies, sessions, throttle
 from parley.plans import oracle
 from parley.plans.explode import explode_rows
-from parley.plans.fixtures import Tables, now
+from parley.plans.fixtures import StreamedTables, Tables, now
 from parley.plans.oracle import NOW, SYSTEM, or_else, stamp, title, trim
+from parley.session import run_folder
 from parley.sources import sinks, tables as readers
+from parley.streaming import messages, throttle as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -719,3 +721,48 @@ def throttle_events(t: Tables) -> DataFrame:
 def throttle_events_12h(t: Tables) -> DataFrame:
     """A long interval, so that most events of the test table are held back."""
     return _throttled(t, 12 * 3600 * 1000)
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+def _ingested_stream(t: Tables) -> tuple[str, str]:
+    """Save all incoming messages as a stream; the folders of the sessions and the output."""
+    out = run_folder(t.spark, "ingest")
+    sinks.write_snapshot(t.sessions(), f"{out}/chat_sessions")
+    incoming = StreamedTables(t.spark, t.folder).incoming()
+    messages.ingest_stream(
+        incoming, f"{out}/chat_sessions", f"{out}/saved", f"{out}/checkpoint", now=now()
+    ).awaitTermination()
+    return f"{out}/chat_sessions", f"{out}/saved"
+
+
+@query(f"""
+    SELECT id, session_id, user_id, role, content, {stamp('created_at')} AS created_at FROM v_status WHERE status = 200""")
+def ingest_stream(t: Tables) -> DataFrame:
+    _, saved = _ingested_stream(t)
+    return timed(messages.saved_messages(t.spark, saved), "created_at")
+
+
+@query(f"""
+    SELECT s.id, {stamp('greatest(s.updated_at, max(m.created_at))')} AS updated_at
+    FROM v_sessions s LEFT JOIN v_status m ON m.session_id = s.id AND m.status = 200 GROUP BY s.id, s.updated_at""")
+def ingest_stream_sessions(t: Tables) -> DataFrame:
+    sessions_path, saved = _ingested_stream(t)
+    return timed(messages.current_sessions(t.spark, sessions_path, saved), "updated_at").select("id", "updated_at")
+
+
+@query(_throttle_sql(12 * 3600 * 1_000_000) + " AND clock < (SELECT max(us) FROM v_events) - 1000000")
+def throttle_stream(t: Tables) -> DataFrame:
+    """The stream holds back what its watermark has not passed: the last moment of the data."""
+    out = run_folder(t.spark, "throttle")
+    events = StreamedTables(t.spark, t.folder).refresh_events()
+    passed = streams.throttle_stream(events, 12 * 3600 * 1000, "0 seconds")
+    (
+        passed.writeStream.format("parquet").option("path", f"{out}/passed")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    )
+    end = t.refresh_events().agg(F.max("ts") - F.expr("INTERVAL 1 SECOND")).scalar()
+    return t.spark.read.schema("event_id long, user_id long, ts timestamp, force boolean").parquet(
+        f"{out}/passed"
+    ).where(F.col("ts") < end).select("event_id", "user_id", "force")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -37,15 +39,23 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test run) gets a folder of its own.  On a
-    cluster the setting must be a shared folder: streaming state and written tables have
-    to survive the loss of any machine.
+    Only a local session that names none (a test run) gets a folder of its own.  On a
+    cluster it must be a shared folder: streaming state and written tables have to survive
+    the loss of any machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    named = tempfile.mkdtemp(prefix="parley-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _local_folder(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="parley-checkpoint-")
+
+
+def run_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for one run's tables and streaming state."""
+    return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
