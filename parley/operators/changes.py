@@ -30,8 +30,9 @@ def upsert_profiles(profiles: DataFrame, changes: DataFrame, now, order: list[st
     changes must hold one row per id.  Refreshed rows get ``updated_at = now``.
     """
     now = _as_column(now)
+    changes = changes.where(F.col("id").isNotNull())
     if order:
-        changes = latest(changes.where(F.col("id").isNotNull()), ["id"], ["email"], order)
+        changes = latest(changes, ["id"], ["email"], order)
     new = changes.select(
         F.col("id"), placeholder_email("email", "id").alias("new_email"), F.lit(True).alias("hit")
     )
@@ -142,13 +143,11 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: lis
     sets = [c for c in changes.columns if c in base.columns and c != key]
     at = F.struct(*order)
     write = F.col("op").isin("upsert", "update")
+    first_upsert = F.min(F.when(F.col("op") == "upsert", at)).alias("first_upsert")
+    deleted = F.min(F.when(F.col("op") == "delete", at)).alias("deleted")
     folded = changes.groupBy(key).agg(
-        F.min(F.when(F.col("op") == "upsert", at)).alias("first_upsert"),
-        F.min(F.when(F.col("op") == "delete", at)).alias("deleted"),
-        F.max_by(F.when(write, F.struct(*sets)), F.when(write, at)).alias("last"),
-        F.count("*").alias("n"),
+        first_upsert, deleted, F.max_by(F.when(write, F.struct(*sets)), F.when(write, at)).alias("last")
     )
-    known = base.select(key, F.lit(True).alias("known"))
 
     joined = base.withColumn("known", F.lit(True)).join(folded, key, "full_outer")
     hit = F.col("last").isNotNull()
@@ -162,7 +161,15 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: lis
         *[columns.get(c, F.col(c)).alias(c) for c in base.columns]
     )
 
-    state = folded.select(key, "first_upsert", "deleted", "n").join(known, key, "left")
+    # The table's keys join the fold as rows of their own, which saves a join.
+    keys = base.select(key, F.lit(True).alias("known"))
+    state = (
+        changes.select(key, "op", *order, F.lit(1).alias("change"))
+        .unionByName(keys, allowMissingColumns=True)
+        .groupBy(key)
+        .agg(first_upsert, deleted, F.max("known").alias("known"), F.sum("change").alias("n"))
+        .where("n > 0")
+    )
     late = F.col("deleted").isNotNull() & (at > F.col("deleted")) & write
     early = (F.col("op") == "update") & F.col("known").isNull() & (
         F.col("first_upsert").isNull() | (at < F.col("first_upsert"))

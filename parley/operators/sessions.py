@@ -52,6 +52,13 @@ def list_messages(messages: DataFrame, uid, session_id=None) -> DataFrame:
     )
 
 
+def find_session(sessions: DataFrame, session_id, uid) -> DataFrame:
+    """The id of one session if it is the user's; at most one row by the primary key, which
+    ``quality.not_exactly_one`` checks.  No limit hides a duplicate."""
+    owned = visible(sessions, "chat_sessions", uid)
+    return owned.where(F.col("id") == F.lit(session_id)).select("id")
+
+
 def title_sessions(drafts: DataFrame) -> DataFrame:
     """(session_id, title) from the first exchange of each session.
 

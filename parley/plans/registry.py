@@ -382,9 +382,12 @@ def apply_changes_unmatched(t: Tables) -> DataFrame:
     return unmatched.select("id", "seq", "op")
 
 
-@query(f"SELECT user_id, {or_else('title', chr(39) + 'New Chat' + chr(39))} AS title FROM v_sessions")
+@query(f"""
+    SELECT substring(m, 1, 8) || '-' || substring(m, 9, 4) || '-' || substring(m, 13, 4) || '-' || substring(m, 17, 4)
+           || '-' || substring(m, 21) AS id, user_id, title
+    FROM (SELECT md5(CAST(id AS VARCHAR)) AS m, user_id, {or_else('title', "'New Chat'")} AS title FROM v_sessions)""")
 def new_sessions(t: Tables) -> DataFrame:
-    return sinks.new_sessions(t.sessions().select("user_id", "title"), now()).select("user_id", "title")
+    return sinks.new_sessions(t.sessions().select("id", "user_id", "title"), now(), "id").select("id", "user_id", "title")
 
 
 # --- profiles ------------------------------------------------------------------------------

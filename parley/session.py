@@ -36,6 +36,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20) -> int:
+    """Set the number of shuffle partitions for a job over ``input_bytes``.
+
+    The number AQE starts from is an upper bound it can only merge down, so it has to grow
+    with the data: with the default of 200, a shuffle of 100 TB would have 500 GB in each
+    partition.  The configured number is kept as the minimum.
+    """
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(least, -(-input_bytes // partition_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+    return wanted
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

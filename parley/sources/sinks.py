@@ -6,7 +6,7 @@ and appended rows are new files.  A folder being read is never overwritten.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.text import stored_title
 
@@ -17,11 +17,19 @@ def append_messages(accepted: DataFrame, path: str) -> DataFrame:
     return accepted
 
 
-def new_sessions(requests: DataFrame, now) -> DataFrame:
-    """Rows for newly opened sessions: default title, fresh id where none is given."""
-    ident = F.coalesce("id", F.uuid()) if "id" in requests.columns else F.uuid()
+def id_from(key) -> Column:
+    """A UUID-shaped id that is the same whenever the same key is seen again.
+
+    A random id would change when a lost task is run again or a frame is read twice.
+    """
+    digest = F.md5(F.col(key).cast("string"))
+    return F.regexp_replace(digest, r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5")
+
+
+def new_sessions(requests: DataFrame, now, key: str = "request_id") -> DataFrame:
+    """Rows for newly opened sessions (user_id, title, key): default title, id by ``key``."""
     return requests.select(
-        ident.alias("id"),
+        id_from(key).alias("id"),
         "user_id",
         stored_title("title").alias("title"),
         now.alias("created_at"),
@@ -30,6 +38,7 @@ def new_sessions(requests: DataFrame, now) -> DataFrame:
 
 
 def append_sessions(sessions: DataFrame, path: str) -> DataFrame:
+    """Append new sessions; returns the inserted rows."""
     sessions.write.mode("append").parquet(path)
     return sessions
 

@@ -1,11 +1,12 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.operators import prompts
-from parley.session import checkpoint_dir
+from parley.session import checkpoint_dir, size_shuffles
 from parley.sources import sinks, tables
 
 
@@ -60,12 +61,16 @@ def test_quick_prompts(spark):
 
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "sessions")
-    asked = spark.createDataFrame([(1, ""), (1, None), (2, "mine")], "user_id long, title string")
+    asked = spark.createDataFrame(
+        [(10, 1, ""), (11, 1, None), (12, 2, "mine")], "request_id long, user_id long, title string"
+    )
     fresh = sinks.new_sessions(asked, F.lit("2024-01-01").cast("timestamp"))
     sinks.append_sessions(fresh, path)
     got = spark.read.parquet(path).collect()
     assert sorted(r.title for r in got) == ["New Chat", "New Chat", "mine"]
     assert len({r.id for r in got}) == 3
+    assert {r.id for r in got} == {r.id for r in fresh.collect()}
+    assert all(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r.id) for r in got)
     with pytest.raises(Exception):
         sinks.write_snapshot(fresh, path)
 
@@ -87,5 +92,13 @@ def test_requests_as_json_lines(spark, tmp_path):
     assert json.loads(lines[0])["messages"][1]["content"] == "line\nbreak"
 
 
+def test_shuffles_grow_with_the_data(spark):
+    try:
+        assert size_shuffles(spark, 1) == 4
+        assert size_shuffles(spark, 100 << 40) == 409_600
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
 def test_checkpoint_folder_is_the_session_setting(spark):
     assert checkpoint_dir(spark) == checkpoint_dir(spark)

@@ -237,6 +237,8 @@ def test_listings(spark):
     touched = changes.touch_sessions(base, sessions.last_activity(messages_of(spark, (5, 1, 7, "user", "x"))))
     got = sessions.list_sessions(touched, 7).collect()
     assert [(r.id, r.shown_title, r.shown_date) for r in got] == [(1, "Untitled chat", "2024-01-01"), (2, "b", "2024-01-01")]
+    assert [r.id for r in sessions.find_session(base, 2, 7).collect()] == [2]
+    assert sessions.find_session(base, 3, 7).count() == 0
     sent = messages_of(spark, (2, 1, 7, "assistant", "y"), (1, 1, 7, "user", "x"), (3, 1, 8, "user", "z"))
     assert [tuple(r) for r in sessions.list_messages(sent, 7, 1).collect()] == [("user", "x"), ("assistant", "y")]
     assert rows_of(sessions.message_counts(base, sent)) == [(1, 3, False), (2, 0, True), (3, 0, True)]
