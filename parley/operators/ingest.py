@@ -6,8 +6,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from parley.functions.text import age_strict, empty_to_null, falsy
-from parley.operators.changes import _as_column, touch_sessions, upsert_profiles
+from parley.functions.text import age_strict, empty_to_null, falsy, stored_title
+from parley.operators.changes import _as_column, touch_sessions, update_titles, upsert_profiles
 from parley.operators.quality import ROLES
 
 # Status and message of each outcome, in the order they are decided.
@@ -16,6 +16,8 @@ INCOMPLETE = (400, "Session ID, Role, and Content are required")
 NOT_FOUND = (404, "Session not found")
 BAD_ROLE = (500, "Failed to save message")
 SAVED = (200, None)
+NOT_SAVED = (500, "Failed to create session")
+SESSION_REQUIRED = (400, "Session ID is required")
 
 
 class Ingested(NamedTuple):
@@ -119,6 +121,57 @@ def ingest_messages(messages: DataFrame, sessions: DataFrame, profiles: DataFram
     )
 
 
+class SavedSessions(NamedTuple):
+    sessions: DataFrame
+    returned: DataFrame
+    rejected: DataFrame
+    profiles: DataFrame
+
+
+def save_sessions(requests: DataFrame, sessions: DataFrame, profiles: DataFrame, now, new_id) -> SavedSessions:
+    """Open new sessions, or retitle the one a request names.
+
+    ``requests(request_id, user_id, email, title, update_id)``, counted in ``request_id``
+    order.  ``new_id`` is the id Column of a new session; it must come out the same when a
+    request is read again (``sources.sinks.id_from``).  A session opened in the batch can be
+    retitled in the same batch.  Every signed-in writer's profile is created or refreshed.
+    """
+    now = _as_column(now)
+    signed = requests.where(~falsy("user_id"))
+    opened = signed.where(falsy("update_id")).select(
+        new_id.alias("id"), "user_id", stored_title("title").alias("title"),
+        now.alias("created_at"), now.alias("updated_at"),
+    )
+    retitled = signed.where(~falsy("update_id")).select(
+        F.col("update_id").alias("id"), "user_id", "title", "request_id"
+    )
+    after, updated, unmatched = update_titles(sessions.unionByName(opened), retitled, now, ["request_id"])
+    rejected = requests.where(falsy("user_id")).select(
+        "request_id", F.lit(UNAUTHORIZED[0]).alias("status"), F.lit(UNAUTHORIZED[1]).alias("reason")
+    ).unionByName(
+        unmatched.select(
+            "request_id", F.lit(NOT_SAVED[0]).alias("status"), F.lit(NOT_SAVED[1]).alias("reason")
+        )
+    )
+    refreshed = upsert_profiles(
+        profiles, signed.select(F.col("user_id").alias("id"), "email", "request_id"), now, ["request_id"]
+    )
+    returned = updated.unionByName(opened.join(updated.select("id"), "id", "left_anti").select(*updated.columns))
+    return SavedSessions(after, returned, rejected, refreshed)
+
+
+def check_deletes(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Delete requests (request_id, user_id, session_id) as (keys to delete, rejected).
+
+    A key that matches nothing is not an error.
+    """
+    status = F.when(falsy("user_id"), UNAUTHORIZED[0]).when(falsy("session_id"), SESSION_REQUIRED[0])
+    reason = F.when(falsy("user_id"), UNAUTHORIZED[1]).otherwise(F.lit(SESSION_REQUIRED[1]))
+    checked = requests.withColumn("status", status)
+    keys = checked.where("status IS NULL").select(F.col("session_id").alias("id"), "user_id")
+    return keys, checked.where("status IS NOT NULL").select("request_id", "status", reason.alias("reason"))
+
+
 METADATA = T.StructType([
     T.StructField(name, T.StringType())
     for name in ("first_name", "last_name", "age", "gender", "grade_year")

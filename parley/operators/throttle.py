@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INTERVAL_MS = 15_000
-INTERVALS_PER_CHUNK = 240
+CHUNK_MS = 3_600_000
+LEAST_INTERVALS = 8
 
 # Clocks are microseconds; these lie below and above all of them.
 LOWEST = -(1 << 62)
@@ -149,15 +150,16 @@ def _string_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def throttle_events(
     events: DataFrame,
     interval_ms: int = INTERVAL_MS,
-    intervals_per_chunk: int = INTERVALS_PER_CHUNK,
+    intervals_per_chunk: int | None = None,
 ) -> DataFrame:
     """The events (event_id, user_id, ts, force) that pass, one clock per user.
 
     An event exactly ``interval_ms`` after the last one passes.  Events of one user at the
-    same time are taken in ``event_id`` order.
+    same time are taken in ``event_id`` order.  A chunk is an hour, or a few intervals when
+    those are longer: long enough for chains to meet, short enough to spread one user.
     """
     interval = interval_ms * 1000
-    length = interval * intervals_per_chunk
+    length = interval * (intervals_per_chunk or max(LEAST_INTERVALS, -(-CHUNK_MS // interval_ms)))
     types = {f.name: f.dataType for f in events.schema.fields}
     marked = mark_resets(events, interval, length)
     chunk_key = [T.StructField("user_id", types["user_id"]), T.StructField("chunk", T.LongType())]

@@ -14,6 +14,7 @@ from parley.session import configure
 
 T0 = 1704067200  # 2024-01-01 00:00:00 UTC
 NOW = "2024-06-01 12:00:00"
+SCHEMAS: dict = {}
 EXTENSIONS = [".txt", ".MD", ".csv", ".pdf", ".docx", ".png", ".zip"]
 
 
@@ -40,8 +41,15 @@ class Tables:
         self.spark = configure(spark)
         self.folder = folder
 
+    def schema(self, name: str):
+        """Read from the file once; a look at the footer is a Spark job of its own."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in SCHEMAS:
+            SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return SCHEMAS[path]
+
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(self.schema(name)).parquet(f"{self.folder}/{name}.parquet")
 
     # --- conversations -------------------------------------------------------------
 
@@ -89,6 +97,17 @@ class Tables:
             title.alias("title"),
         )
 
+    def session_requests(self) -> DataFrame:
+        """Requests to open or retitle sessions: by owners, strangers and nobody."""
+        ident, owner = F.col("id"), F.col("id") % 10
+        return self.title_changes().select(
+            ident.alias("request_id"),
+            pick(ident, 8, {7: F.lit(None).cast("long")}, F.col("user_id")).alias("user_id"),
+            F.concat(F.lit("s"), owner.cast("string"), F.lit("@example.com")).alias("email"),
+            "title",
+            pick(ident, 3, {0: F.lit(None).cast("long")}, ident).alias("update_id"),
+        )
+
     def session_delete_keys(self) -> DataFrame:
         """Own sessions, sessions of others and missing ones."""
         rest = F.col("id") % 5
@@ -293,5 +312,4 @@ class StreamedTables(Tables):
     """The same derivations with the test tables read as file streams."""
 
     def raw(self, name: str) -> DataFrame:
-        schema = super().raw(name).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return self.spark.readStream.schema(self.schema(name)).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)

@@ -69,6 +69,10 @@ VIEWS = {
                CASE id % 4 WHEN 1 THEN COALESCE(NULLIF(title, ''), 'Untitled chat') WHEN 2 THEN '   '
                            WHEN 3 THEN 'Wrong ' || id ELSE ' Chat ' || id END AS title
         FROM v_sessions""",
+    "v_session_requests": """
+        SELECT id AS request_id, CASE WHEN id % 8 = 7 THEN NULL ELSE user_id END AS user_id,
+               's' || id % 10 || '@example.com' AS email, title, CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS update_id
+        FROM v_title_changes""",
     "v_session_delete_keys": """
         SELECT CASE WHEN id % 5 IN (2, 4) THEN id + 1000000 ELSE id END AS id,
                CASE WHEN id % 5 IN (1, 3) THEN user_id + 1 ELSE user_id END AS user_id
@@ -103,9 +107,9 @@ VIEWS = {
     "v_profile_delete_keys": """
         SELECT CASE WHEN c_custkey % 10 IN (1, 2) THEN c_custkey ELSE c_custkey + 1000000 END AS id FROM customer""",
     "v_dirty_profiles": """
-        SELECT p.* REPLACE (CASE p.id % 50 WHEN 10 THEN 'customer000000000@example.com' WHEN 20 THEN NULL
-                                           ELSE p.email END AS email)
-        FROM v_profiles p, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR p.id % 50 = 30""",
+        SELECT * EXCLUDE (copy) REPLACE (CASE id % 50 WHEN 10 THEN 'customer000000000@example.com' WHEN 20 THEN NULL
+                                                      ELSE email END AS email)
+        FROM (SELECT *, unnest(CASE WHEN id % 50 = 30 THEN [1, 2] ELSE [1] END) AS copy FROM v_profiles)""",
     "v_dirty_sessions": """
         SELECT * REPLACE (CASE id % 9 WHEN 0 THEN NULL WHEN 1 THEN user_id + 5000000 ELSE user_id END AS user_id,
                           CASE WHEN id % 13 = 0 THEN NULL ELSE created_at END AS created_at)
@@ -157,6 +161,7 @@ VIEWS = {
         SELECT session_id, min(id) AS id FROM v_messages WHERE role = 'user' GROUP BY session_id""",
     "v_request_files": """
         SELECT f.id AS request_id, a.* EXCLUDE (session_id) FROM v_first_turns f JOIN v_attachments a USING (session_id)""",
+    "v_first_names": "SELECT request_id, arg_min(COALESCE(name, ''), pos) AS name FROM v_request_files GROUP BY request_id",
     "v_file_counts": "SELECT request_id, count(*) AS n FROM v_request_files GROUP BY request_id",
     "v_drafts": """
         SELECT m.id, m.session_id, m.user_id, m.created_at,
@@ -191,16 +196,19 @@ VIEWS = {
         SELECT request_id, 'primary' AS attempt,
                CASE WHEN conv % 6 IN (0, 1) THEN CASE WHEN conv % 12 = 0 THEN '{"error":{}}'
                                                       ELSE '{"error":{"message":"model overloaded"}}' END
-                    WHEN conv % 15 = 14 AND conv % 10 <> 2 THEN '<html>bad gateway</html>'
-                    ELSE CAST(json_object('choices', json_array(json_object('message', json_object('content',
-                              CASE WHEN conv % 10 = 2 THEN '' ELSE content END)))) AS VARCHAR) END AS body
+                    WHEN conv % 10 = 2 THEN '{"choices":[{"message":{"content":""}}]}'
+                    WHEN conv % 15 = 14 THEN '<html>bad gateway</html>'
+                    ELSE CAST(json_object('choices', json_array(json_object('message', json_object('content', content))))
+                              AS VARCHAR) END AS body
         FROM v_assistant
         UNION ALL
-        SELECT request_id, 'fallback',
-               CASE WHEN conv % 18 = 0 THEN '{"error":{"message":"still down"}}'
-                    ELSE CAST(json_object('choices', json_array(json_object('message', json_object('content',
-                              ' Fallback: ' || content)))) AS VARCHAR) END
-        FROM v_assistant WHERE conv % 6 = 0""",
+        SELECT request_id, 'fallback', body
+        FROM (SELECT request_id,
+                     CASE WHEN conv % 18 = 0 THEN '{"error":{"message":"still down"}}'
+                          WHEN conv % 6 = 0 THEN CAST(json_object('choices', json_array(json_object('message',
+                               json_object('content', ' Fallback: ' || content)))) AS VARCHAR) END AS body
+              FROM v_assistant)
+        WHERE body IS NOT NULL""",
     "v_read": f"""
         SELECT request_id, attempt,
                CASE WHEN j IS NULL THEN 'unreadable' WHEN json_extract(j, '$.error') IS NOT NULL THEN 'error' ELSE 'ok' END AS state,

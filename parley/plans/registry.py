@@ -95,15 +95,15 @@ def _model(t: Tables) -> dict[str, DataFrame]:
 
 @query("""
     SELECT 'profiles' AS "table", command, CASE WHEN command = 'delete' THEN 0 ELSE n END AS n_rows
-    FROM (SELECT count(*) AS n FROM v_profiles), (SELECT unnest(['select', 'insert', 'update', 'delete']) AS command)
+    FROM (SELECT count(*) AS n, unnest(['select', 'insert', 'update', 'delete']) AS command FROM v_profiles)
     UNION ALL
     SELECT 'chat_sessions', command, n
-    FROM (SELECT count(*) AS n FROM v_sessions WHERE user_id IN (SELECT id FROM v_profiles)),
-         (SELECT unnest(['select', 'insert', 'update', 'delete']) AS command)
+    FROM (SELECT count(*) AS n, unnest(['select', 'insert', 'update', 'delete']) AS command
+          FROM v_sessions WHERE user_id IN (SELECT id FROM v_profiles))
     UNION ALL
     SELECT 'chat_messages', command, CASE WHEN command IN ('select', 'insert') THEN n ELSE 0 END
-    FROM (SELECT count(*) AS n FROM v_messages WHERE user_id IN (SELECT id FROM v_profiles)),
-         (SELECT unnest(['select', 'insert', 'update', 'delete']) AS command)""")
+    FROM (SELECT count(*) AS n, unnest(['select', 'insert', 'update', 'delete']) AS command
+          FROM v_messages WHERE user_id IN (SELECT id FROM v_profiles))""")
 def rls_matrix(t: Tables) -> DataFrame:
     """How many rows each command may touch, all users taken together."""
     grants = callers(t, "profiles", "chat_sessions", "chat_messages")
@@ -390,6 +390,42 @@ def new_sessions(t: Tables) -> DataFrame:
     return sinks.new_sessions(t.sessions().select("id", "user_id", "title"), now(), "id").select("id", "user_id", "title")
 
 
+def _saved_sessions(t: Tables) -> ingest.SavedSessions:
+    new_id = F.col("request_id") + 5000000
+    return ingest.save_sessions(t.session_requests(), t.sessions(), t.profiles(), now(), new_id)
+
+
+@query(f"""
+    SELECT s.id, s.user_id, CASE WHEN r.request_id IS NULL THEN s.title ELSE {or_else('r.title', "'New Chat'")} END AS title,
+           {stamp(f"CASE WHEN r.request_id IS NULL THEN s.updated_at ELSE {NOW} END")} AS updated_at
+    FROM v_sessions s LEFT JOIN v_session_requests r ON r.update_id = s.id AND r.user_id = s.user_id
+    UNION ALL
+    SELECT request_id + 5000000, user_id, {or_else('title', "'New Chat'")}, {stamp(NOW)}
+    FROM v_session_requests WHERE update_id IS NULL AND user_id IS NOT NULL""")
+def save_sessions(t: Tables) -> DataFrame:
+    return timed(_saved_sessions(t).sessions, "updated_at").select("id", "user_id", "title", "updated_at")
+
+
+@query(f"""
+    SELECT request_id + CASE WHEN update_id IS NULL THEN 5000000 ELSE 0 END AS id, {or_else('title', "'New Chat'")} AS title
+    FROM v_session_requests r
+    WHERE user_id IS NOT NULL
+      AND (update_id IS NULL OR EXISTS (SELECT 1 FROM v_sessions s WHERE s.id = r.update_id AND s.user_id = r.user_id))""")
+def save_sessions_returned(t: Tables) -> DataFrame:
+    return _saved_sessions(t).returned.select("id", "title")
+
+
+@query("""
+    SELECT request_id, CASE WHEN user_id IS NULL THEN 401 ELSE 500 END AS status,
+           CASE WHEN user_id IS NULL THEN 'Unauthorized' ELSE 'Failed to create session' END AS reason
+    FROM v_session_requests r
+    WHERE user_id IS NULL
+       OR (update_id IS NOT NULL
+           AND NOT EXISTS (SELECT 1 FROM v_sessions s WHERE s.id = r.update_id AND s.user_id = r.user_id))""")
+def save_sessions_rejected(t: Tables) -> DataFrame:
+    return _saved_sessions(t).rejected
+
+
 # --- profiles ------------------------------------------------------------------------------
 
 
@@ -612,12 +648,13 @@ def parse_payload(t: Tables) -> DataFrame:
     FROM (SELECT o.session_id, o.id,
                  COALESCE(NULLIF({trim('o.text')}, ''), 'File: ' || NULLIF(a.name, ''), 'New chat') AS base,
                  row_number() OVER (PARTITION BY o.session_id ORDER BY o.created_at, o.id) AS k
-          FROM v_outgoing o LEFT JOIN v_attachments a ON a.session_id = o.session_id AND a.pos % 10 = 0 AND o.n_files > 0) d
+          FROM v_outgoing o LEFT JOIN v_first_names a ON a.request_id = o.id) d
     JOIN v_outcomes r ON r.request_id = d.id AND r.outcome = 'answer'
     WHERE d.k = 1""")
 def session_titles(t: Tables) -> DataFrame:
-    outcomes = prompts.resolve_responses(_outgoing(t), t.responses()).select("request_id", "outcome")
-    drafts = _outgoing(t).join(outcomes, "request_id", "left").withColumnRenamed("request_id", "id")
+    outgoing = _outgoing(t)
+    outcomes = prompts.resolve_responses(outgoing, t.responses()).select("request_id", "outcome")
+    drafts = outgoing.join(outcomes, "request_id", "left").withColumnRenamed("request_id", "id")
     return sessions.title_sessions(drafts)
 
 

@@ -188,6 +188,27 @@ def test_saving_messages(spark):
     assert rows_of(saved.profiles, "id", "email") == [(7, "e@x"), (8, "c@x"), (99, "99@local.invalid")]
 
 
+def test_saving_and_deleting_sessions(spark):
+    requests = spark.createDataFrame(
+        [(1, 7, "a@x", None, None), (2, 7, "b@x", "second", 101), (3, 8, "c@x", "x", 5), (4, None, None, "x", None),
+         (5, 7, "d@x", "mine", 5)],
+        "request_id long, user_id long, email string, title string, update_id long",
+    )
+    saved = ingest.save_sessions(
+        requests, sessions_of(spark, (5, 7, "a")), profiles_of(spark, (7, "old")), now(), F.col("request_id") + 100
+    )
+    # Request 2 retitles the session that request 1 has opened.
+    assert rows_of(saved.sessions, "id", "title", "created_at") == [(5, "mine", OLD), (101, "second", NOW)]
+    assert rows_of(saved.returned, "id", "title") == [(5, "mine"), (101, "second")]
+    assert rows_of(saved.rejected, "request_id", "status") == [(3, 500), (4, 401)]
+    assert rows_of(saved.profiles, "id", "email") == [(7, "d@x"), (8, "c@x")]
+
+    requests = spark.createDataFrame([(1, 7, 5), (2, None, 5), (3, 7, None)], "request_id long, user_id long, session_id long")
+    keys, rejected = ingest.check_deletes(requests)
+    assert rows_of(keys) == [(5, 7)]
+    assert rows_of(rejected) == [(2, 401, "Unauthorized"), (3, 400, "Session ID is required")]
+
+
 def test_session_join_is_split_for_a_hot_session(spark, tmp_path):
     base, path = str(tmp_path / "sessions"), str(tmp_path / "incoming")
     spark.range(2000).selectExpr(
