@@ -13,7 +13,8 @@ part of all events:
    clocks form one chain; chains that meet at an event stay together from there on.  One
    pass over the sorted chunk follows all chains at once and notes, for each event some
    chain picks, the range of clocks it passes for, and for each chain, where it ends.
-3. The chunks of a user are strung together: a few numbers per chunk, not events.
+3. A clock matters to the next chunk only if it lies in the last interval of its own.  The
+   few chunks where it does are strung together per user: some numbers each, not events.
 4. Each noted event is kept when its chunk's starting clock lies in its range.
 
 The events themselves are shuffled once.
@@ -25,6 +26,7 @@ import sys
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
@@ -35,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INTERVAL_MS = 15_000
 CHUNK_MS = 3_600_000
-LEAST_INTERVALS = 8
+LEAST_INTERVALS = 8  # a clock must not reach past a whole chunk, so never less than 2
 
 # Clocks are microseconds; these lie below and above all of them.
 LOWEST = -(1 << 62)
@@ -58,6 +60,12 @@ class _Chunk:
         self.bounds: list[int] = []  # entry k is taken by clocks in (bounds[k-1], bounds[k]]
         self.chains: deque = deque()  # (clock, first entry, last entry), oldest clock first
 
+    def settled_until(self) -> int:
+        """Events before this time, other than resets, are picked by no chain."""
+        if self.bounds and self.bounds[-1] == HIGHEST:
+            return self.chains[0][0] + self.interval
+        return LOWEST
+
     def _range(self, first: int, last: int) -> tuple[int, int]:
         n = len(self.bounds)
         if self.bounds[-1] == HIGHEST and (last + 1) % n == first:
@@ -87,64 +95,85 @@ class _Chunk:
         return [(*self._range(first, last), clock) for clock, first, last in self.chains]
 
 
-PICKED = ["user_id", "chunk", "event_id", "us", "after", "upto"]
-
-
-def _follow_chains(interval: int):
+def _follow_chains(interval: int, length: int):
     """Rows sorted by (user, chunk, time) to picked events and chain ends, streaming.
 
-    A chain end has no event; its time is where the clock ends.
+    A chain end has no event; its time is where the clock ends.  Ends are given for chunks
+    whose last event lies in the last interval.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, chunk, closed = None, None, True
+        key, chunk, settled, open_end = None, None, LOWEST, False
 
-        def close(rows):
-            if not closed:
+        def close(rows: list) -> None:
+            if open_end:
                 rows.extend((*key, None, clock, after, upto) for after, upto, clock in chunk.ends())
 
-        def frame(rows):
-            columns = zip(*rows) if rows else [()] * len(PICKED)
-            return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(PICKED, columns)})
+        def frame(rows: list) -> pd.DataFrame:
+            columns = ["user_id", "chunk", "event_id", "us", "after", "upto"]
+            return pd.DataFrame(rows, columns=columns).astype({"event_id": object})
 
         for batch in batches:
-            rows = []
-            columns = (batch[c].tolist() for c in ("user_id", "chunk", "event_id", "us", "reset", "last"))
-            for user, start, event, us, reset, last in zip(*columns):
-                if key != (user, start):
-                    close(rows)
-                    key, chunk = (user, start), _Chunk(start, interval)
-                picked = chunk.feed(us, reset)
-                if picked and not reset:
-                    rows.append((user, start, event, us, *picked))
+            users, starts = batch["user_id"].to_numpy(), batch["chunk"].to_numpy()
+            us, reset, last = (batch[c].tolist() for c in ("us", "reset", "last"))
+            edges = np.flatnonzero((users[1:] != users[:-1]) | (starts[1:] != starts[:-1])) + 1
+            edges = [0, *edges.tolist(), len(us)]
+            at, after, upto, ends = [], [], [], []
+            for first, behind in zip(edges, edges[1:]):
+                start = int(starts[first])
+                if key != (users[first], start):
+                    close(ends)
+                    key, chunk, settled = (users[first], start), _Chunk(start, interval), LOWEST
+                for i in range(first, behind):
+                    if us[i] < settled and not reset[i]:
+                        continue
+                    picked = chunk.feed(us[i], reset[i])
+                    settled = chunk.settled_until()
+                    if picked and not reset[i]:
+                        at.append(i)
+                        after.append(picked[0])
+                        upto.append(picked[1])
                 # Behind the last row that was sent here the chunk may go on with events
                 # that pass anyway; then its end is known already.
-                closed = not last
-            if rows:
-                yield frame(rows)
-        rows = []
-        close(rows)
-        yield frame(rows)
+                open_end = last[behind - 1] and us[behind - 1] >= start + length - interval
+            yield batch[["user_id", "chunk", "event_id", "us"]].take(at).assign(after=after, upto=upto)
+            if ends:
+                yield frame(ends)
+        ends = []
+        close(ends)
+        yield frame(ends)
 
     return run
 
 
-def _string_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chain ends sorted by (user, chunk) to the clock each chunk starts with, streaming."""
-    user = chunk = None
-    clock = after_chunk = NO_EVENT_YET
-    for batch in batches:
-        rows = []
-        columns = (batch[c].tolist() for c in ("user_id", "chunk", "after", "upto", "us"))
-        for next_user, next_chunk, after, upto, end in zip(*columns):
-            if next_user != user:
-                user, chunk, after_chunk = next_user, None, NO_EVENT_YET
-            if next_chunk != chunk:
-                chunk, clock = next_chunk, after_chunk
-                rows.append((user, chunk, clock))
-            if _in_range(clock, after, upto):
-                after_chunk = end
-        yield pd.DataFrame(rows, columns=["user_id", "chunk", "clock"])
+def _string_together(length: int):
+    """Chain ends sorted by (user, chunk) to the clocks of the chunks behind, streaming.
+
+    A chunk's ``settled`` row holds its last event.  It sorts behind the chain ends, and
+    counts only if there are none: then the last event passes whatever the clock.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, clock, found, has_chains = None, NO_EVENT_YET, None, False
+        for batch in batches:
+            rows = []
+            columns = (batch[c].tolist() for c in ("user_id", "chunk", "after", "upto", "us", "settled"))
+            for user, chunk, after, upto, end, settled in zip(*columns):
+                if key != (user, chunk):
+                    follows = key == (user, chunk - length) and found is not None
+                    clock = found if follows else NO_EVENT_YET
+                    key, found, has_chains = (user, chunk), None, False
+                if settled:
+                    found = found if has_chains else end
+                    if found is not None:
+                        rows.append((user, chunk + length, found))
+                else:
+                    has_chains = True
+                    if _in_range(clock, after, upto):
+                        found = end
+            yield pd.DataFrame(rows, columns=["user_id", "chunk", "clock"])
+
+    return run
 
 
 def throttle_events(
@@ -159,17 +188,18 @@ def throttle_events(
     those are longer: long enough for chains to meet, short enough to spread one user.
     """
     interval = interval_ms * 1000
-    length = interval * (intervals_per_chunk or max(LEAST_INTERVALS, -(-CHUNK_MS // interval_ms)))
+    length = interval * max(2, intervals_per_chunk or max(LEAST_INTERVALS, -(-CHUNK_MS // interval_ms)))
     types = {f.name: f.dataType for f in events.schema.fields}
-    marked = mark_resets(events, interval, length)
+    narrow = in_chunks(events, length)
+    marked = mark_resets(narrow, interval)
     chunk_key = [T.StructField("user_id", types["user_id"]), T.StructField("chunk", T.LongType())]
 
     # Resets followed by a reset concern nobody else.
-    dependent = marked.where(~F.col("reset") | ~F.col("next")).select(
-        "user_id", "chunk", "event_id", "us", "reset", F.col("next").isNull().alias("last")
+    dependent = marked.where(~F.col("reset") | ~F.col("next_reset")).select(
+        "user_id", "chunk", "event_id", "us", "reset", F.col("next_reset").isNull().alias("last")
     )
     chains = dependent.mapInPandas(
-        _follow_chains(interval),
+        _follow_chains(interval, length),
         T.StructType([
             *chunk_key,
             T.StructField("event_id", types["event_id"]),
@@ -178,21 +208,25 @@ def throttle_events(
             T.StructField("upto", T.LongType()),
         ]),
     )
-    ends = chains.where(F.col("event_id").isNull()).select("user_id", "chunk", "after", "upto", "us").unionByName(
-        marked.where(F.col("reset") & F.col("next").isNull()).select(
-            "user_id", "chunk", F.lit(LOWEST).alias("after"), F.lit(HIGHEST).alias("upto"), "us"
-        )
+    in_last_interval = F.col("us") >= F.col("chunk") + (length - interval)
+    last_events = narrow.where(in_last_interval).groupBy("user_id", "chunk").agg(F.max("us").alias("us"))
+    ends = (
+        chains.where(F.col("event_id").isNull())
+        .select("user_id", "chunk", "after", "upto", "us", F.lit(False).alias("settled"))
+        .unionByName(last_events.withColumns(
+            {"after": F.lit(LOWEST), "upto": F.lit(HIGHEST), "settled": F.lit(True)}
+        ))
     )
     clocks = (
         ends.repartition("user_id")
-        .sortWithinPartitions("user_id", "chunk")
-        .mapInPandas(_string_together, T.StructType([*chunk_key, T.StructField("clock", T.LongType())]))
+        .sortWithinPartitions("user_id", "chunk", "settled")
+        .mapInPandas(_string_together(length), T.StructType([*chunk_key, T.StructField("clock", T.LongType())]))
     )
-    clock, after, upto = F.col("clock"), F.col("after"), F.col("upto")
+    clock, after, upto = F.coalesce("clock", F.lit(NO_EVENT_YET)), F.col("after"), F.col("upto")
     in_range = F.when(after < upto, (clock > after) & (clock <= upto)).otherwise((clock > after) | (clock <= upto))
     picked = (
         chains.where(F.col("event_id").isNotNull())
-        .join(clocks, ["user_id", "chunk"])
+        .join(clocks, ["user_id", "chunk"], "left")
         .where(in_range)
         .select("event_id", "user_id", "us", F.lit(False).alias("force"))
     )
@@ -200,21 +234,30 @@ def throttle_events(
     return passed.select("event_id", "user_id", F.timestamp_micros("us").alias("ts"), "force")
 
 
-def mark_resets(events: DataFrame, interval: int, length: int) -> DataFrame:
-    """Events in chunks, sorted, with ``reset`` (passes whatever the clock) and ``next``,
-    the same of the chunk's next event (NULL for the last)."""
+def in_chunks(events: DataFrame, length: int) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    narrow = events.select(
+    return events.select(
         "user_id", "event_id", us.alias("us"), F.coalesce("force", F.lit(False)).alias("force")
     ).withColumn("chunk", F.col("us") - F.pmod("us", F.lit(length)))
+
+
+def mark_resets(narrow: DataFrame, interval: int) -> DataFrame:
+    """Events sorted within their chunks, with ``reset`` (passes whatever the clock) and
+    ``next_reset``, the same of the chunk's next event (NULL for the last)."""
     order = ["user_id", "chunk", "us", "event_id"]
     in_order = W.partitionBy("user_id", "chunk").orderBy("us", "event_id")
     # Whatever passed in an earlier chunk did so before this chunk started.
-    before = F.coalesce(F.lag("us").over(in_order), F.col("chunk"))
+    before = F.coalesce(F.col("before"), F.col("chunk"))
     return (
         narrow.repartition("user_id", "chunk")
         .sortWithinPartitions(*order)
+        .select(
+            "*",
+            F.lag("us").over(in_order).alias("before"),
+            F.lead("us").over(in_order).alias("next_us"),
+            F.lead("force").over(in_order).alias("next_force"),
+        )
         .withColumn("reset", F.col("force") | (F.col("us") - before >= interval))
-        .withColumn("next", F.lead("reset").over(in_order))
+        .withColumn("next_reset", F.col("next_force") | (F.col("next_us") - F.col("us") >= interval))
         .sortWithinPartitions(*order)
     )

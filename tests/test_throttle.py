@@ -63,9 +63,9 @@ def test_limits(spark):
     assert got.columns == schemas.REFRESH_EVENTS.names
 
 
-@pytest.mark.parametrize("per_chunk", [1, 3, 240])
+@pytest.mark.parametrize("per_chunk", [2, 3, 8, None])
 def test_dense_users(spark, per_chunk):
-    rng = random.Random(per_chunk)
+    rng = random.Random(per_chunk or 0)
     rows = [
         # User 0 has most of the events, several per interval over many chunks.
         (i, 0 if rng.random() < 0.7 else rng.randrange(1, 5), rng.randrange(0, 2_000_000), rng.random() < 0.01)
@@ -80,7 +80,7 @@ def test_dense_users(spark, per_chunk):
 
 def test_a_user_spans_tasks(spark):
     """The events of one user are shuffled by user and time, never by user alone."""
-    df = throttle_events(frame(spark, [(i, 1, i * 1000, False) for i in range(100)]), 15_000, 1)
+    df = throttle_events(frame(spark, [(i, 1, i * 1000, False) for i in range(100)]), 15_000, 2)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(user_id" in plan
