@@ -792,17 +792,9 @@ def ingest_stream_sessions(t: Tables) -> DataFrame:
     return timed(messages.current_sessions(t.spark, sessions_path, saved), "updated_at").select("id", "updated_at")
 
 
-@query(_throttle_sql(12 * 3600 * 1_000_000) + " AND clock < (SELECT max(us) FROM v_events) - 1000000")
+@query(_throttle_sql(12 * 3600 * 1_000_000))
 def throttle_stream(t: Tables) -> DataFrame:
-    """The stream holds back what its watermark has not passed: the last moment of the data."""
     out = run_folder(t.spark, "throttle")
     events = StreamedTables(t.spark, t.folder).refresh_events()
-    passed = streams.throttle_stream(events, 12 * 3600 * 1000, "0 seconds")
-    (
-        passed.writeStream.format("parquet").option("path", f"{out}/passed")
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    )
-    end = t.refresh_events().agg(F.max("ts") - F.expr("INTERVAL 1 SECOND")).scalar()
-    return t.spark.read.schema("event_id long, user_id long, ts timestamp, force boolean").parquet(
-        f"{out}/passed"
-    ).where(F.col("ts") < end).select("event_id", "user_id", "force")
+    streams.throttle_stream(events, out, f"{out}/checkpoint", 12 * 3600 * 1000, delay_ms=0).awaitTermination()
+    return streams.passed_events(t.spark, out).select("event_id", "user_id", "force")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from parley import schemas
@@ -13,6 +14,16 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[table]).parquet(path)
 
 
+def read_or_empty(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """A table that a stream writes; no rows before its first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def stream_table(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
     """The same tables as a file stream: files added to ``path`` arrive as new rows."""
     return spark.readStream.schema(schemas.TABLES[table]).options(**options).parquet(path)

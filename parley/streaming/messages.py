@@ -16,7 +16,7 @@ from parley.operators.changes import _as_column, touch_sessions, upsert_profiles
 from parley.operators.ingest import INCOMPLETE, SAVED, UNAUTHORIZED, classify_messages
 from parley.operators.sessions import last_activity
 from parley.schemas import INCOMING_MESSAGES
-from parley.sources.tables import read_table
+from parley.sources.tables import read_or_empty, read_table
 
 
 def save_batch(batch: DataFrame, batch_id: int, sessions_path: str, out: str, now) -> None:
@@ -67,7 +67,7 @@ def ingest_stream(
 def requests_so_far(spark: SparkSession, out: str) -> DataFrame:
     """Everything ingested, with ``status`` and ``reason``."""
     schema = f"{_ddl()}, reason string, batch_id long, status int"
-    return spark.read.schema(schema).parquet(f"{out}/requests")
+    return read_or_empty(spark, schema, f"{out}/requests")
 
 
 def saved_messages(spark: SparkSession, out: str) -> DataFrame:
@@ -77,15 +77,14 @@ def saved_messages(spark: SparkSession, out: str) -> DataFrame:
 
 
 def current_sessions(spark: SparkSession, sessions_path: str, out: str) -> DataFrame:
-    activity = spark.read.schema("session_id long, last_at timestamp, batch_id long").parquet(f"{out}/activity")
+    activity = read_or_empty(spark, "session_id long, last_at timestamp, batch_id long", f"{out}/activity")
     latest = activity.groupBy("session_id").agg(F.max("last_at").alias("last_at"))
     return touch_sessions(read_table(spark, sessions_path, "chat_sessions"), latest)
 
 
 def current_profiles(spark: SparkSession, profiles_path: str, out: str, now) -> DataFrame:
-    writers = spark.read.schema(
-        "id long, email string, created_at timestamp, message_id long, batch_id long"
-    ).parquet(f"{out}/writers")
+    schema = "id long, email string, created_at timestamp, message_id long, batch_id long"
+    writers = read_or_empty(spark, schema, f"{out}/writers")
     changes = writers.withColumnRenamed("created_at", "at")
     return upsert_profiles(
         read_table(spark, profiles_path, "profiles"), changes, now, ["batch_id", "at", "message_id"]

@@ -1,9 +1,14 @@
-"""The event throttle over a stream.
+"""The event throttle over a stream, in two forms.
 
-Events wait in state until the watermark has passed them, so each user's events are taken
-in time order whatever order they arrive in.  An event later than the watermark is dropped
-and counted by Spark (``numRowsDroppedByWatermark``).  What waits per user is what arrives
-within the watermark's delay.
+``throttle_stream`` runs the batch throttle on every micro-batch, so it shares a hot user's
+events among tasks.  What has to be remembered is written with the batch: events the
+watermark has not passed yet, and clocks recent enough to hold an event back.
+
+``keyed_throttle`` keeps one state per user.  It has no tables of its own, but a user's
+events go through one task, so it suits streams without hot users.
+
+In both, events wait until the watermark has passed them and are then taken in time order,
+whatever order they arrived in; events behind the watermark are dropped and reported.
 """
 
 from __future__ import annotations
@@ -12,13 +17,82 @@ import sys
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from parley.operators.throttle import INTERVAL_MS
+from parley.operators.throttle import INTERVAL_MS, throttle_events
+from parley.sources.tables import read_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+EVENTS = "event_id long, user_id long, ts timestamp, force boolean"
+
+
+def throttle_batch(batch: DataFrame, batch_id: int, out: str, interval_ms: int, delay_ms: int) -> None:
+    """One micro-batch.  Everything goes to folders named by the batch, and only the
+    folders of the batch before are read, so a replay writes the same again."""
+    spark = batch.sparkSession
+
+    def before(table: str, schema: str) -> DataFrame:
+        return read_or_empty(spark, schema, f"{out}/{table}/batch_id={batch_id - 1}")
+
+    def write(df: DataFrame, table: str) -> str:
+        path = f"{out}/{table}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return path
+
+    us = F.unix_micros("ts")
+    arrived = batch.select("event_id", "user_id", "ts", "force")
+    mark = before("progress", "watermark long").first()
+    old = mark.watermark if mark else None
+    newest = arrived.agg(F.max(us)).first()[0]
+    if old is None and newest is None:
+        return
+    seen = [] if newest is None else [newest - delay_ms * 1000]
+    watermark = max(seen + ([] if old is None else [old]))
+
+    is_late = F.lit(False) if old is None else us <= old
+    write(arrived.where(is_late), "late")
+    known = arrived.where(~is_late).unionByName(before("waiting", EVENTS))
+    write(known.where(us > watermark), "waiting")
+
+    # A clock of an earlier batch is an event that has passed already: it passes again and
+    # is left out of the result.
+    clocks = before("clocks", "user_id long, ts timestamp")
+    passed_before = clocks.withColumns({"event_id": F.lit(None).cast("long"), "force": F.lit(True)})
+    passed = throttle_events(known.where(us <= watermark).unionByName(passed_before), interval_ms)
+    path = write(passed.where(F.col("event_id").isNotNull()), "passed")
+
+    latest = spark.read.schema(EVENTS).parquet(path).select("user_id", "ts").unionByName(clocks)
+    recent = latest.groupBy("user_id").agg(F.max("ts").alias("ts")).where(us > watermark - interval_ms * 1000)
+    write(recent, "clocks")
+    write(spark.range(1).select(F.lit(watermark).cast("long").alias("watermark")), "progress")
+
+
+def throttle_stream(
+    events: DataFrame, out: str, checkpoint: str, interval_ms: int = INTERVAL_MS, delay_ms: int = 60_000, **trigger
+) -> StreamingQuery:
+    """Start throttling a stream of (event_id, user_id, ts, force) into folders below ``out``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        throttle_batch(batch, batch_id, out, interval_ms, delay_ms)
+
+    return (
+        events.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def passed_events(spark: SparkSession, out: str) -> DataFrame:
+    return read_or_empty(spark, f"{EVENTS}, batch_id long", f"{out}/passed")
+
+
+def late_events(spark: SparkSession, out: str) -> DataFrame:
+    return read_or_empty(spark, f"{EVENTS}, batch_id long", f"{out}/late")
+
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -69,7 +143,7 @@ class Throttle(StatefulProcessor):
         pass
 
 
-def throttle_stream(events: DataFrame, interval_ms: int = INTERVAL_MS, delay: str = "1 minute") -> DataFrame:
+def keyed_throttle(events: DataFrame, interval_ms: int = INTERVAL_MS, delay: str = "1 minute") -> DataFrame:
     """The passing events of a stream (event_id, user_id, ts, force), in append mode."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     narrow = events.withWatermark("ts", delay).select(

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley import schemas
@@ -51,40 +52,67 @@ def test_ingest_equals_batch_across_restarts_and_replays(spark, tmp_path):
     assert differences(messages.saved_messages(spark, out), want.accepted) == 0
 
 
-def run_throttle(spark, source, out, check, delay="10 seconds"):
+def test_nothing_ingested_yet(spark, tmp_path):
+    t, base = Tables(spark, FOLDER), str(tmp_path / "sessions")
+    sinks.write_snapshot(t.sessions(), base)
+    assert messages.saved_messages(spark, str(tmp_path / "out")).count() == 0
+    assert differences(messages.current_sessions(spark, base, str(tmp_path / "out")), t.sessions()) == 0
+
+
+def write_events(spark, source, rows):
+    events_of(spark, rows).coalesce(1).write.mode("append").parquet(source)
+
+
+def events_of(spark, rows):
+    stamped = [(i, u, BASE + dt.timedelta(milliseconds=ms), f) for i, u, ms, f in rows]
+    return spark.createDataFrame(stamped, schemas.REFRESH_EVENTS)
+
+
+def keyed(spark, source, out, check):
     stream = stream_table(spark, source, "refresh_events", maxFilesPerTrigger=1)
     query = (
-        streams.throttle_stream(stream, 15_000, delay).writeStream.format("parquet").option("path", out)
+        streams.keyed_throttle(stream, 15_000, "10 seconds").writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", check).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return query
+    dropped = [op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]]
+    return spark.read.parquet(out), sum(dropped)
 
 
-def test_throttle_equals_batch_with_disorder_restart_and_late_events(spark, tmp_path):
-    rng = random.Random(3)
-    source, out, check = (str(tmp_path / n) for n in ("events", "out", "check"))
+def batched(spark, source, out, check):
+    stream = stream_table(spark, source, "refresh_events", maxFilesPerTrigger=1)
+    streams.throttle_stream(stream, out, check, 15_000, 10_000).awaitTermination()
+    return streams.passed_events(spark, out), streams.late_events(spark, out).count()
 
-    def write(rows):
-        stamped = [(i, u, BASE + dt.timedelta(milliseconds=ms), f) for i, u, ms, f in rows]
-        spark.createDataFrame(stamped, schemas.REFRESH_EVENTS).coalesce(1).write.mode("append").parquet(source)
 
+@pytest.mark.parametrize("run", [keyed, batched])
+def test_throttle_equals_batch_with_disorder_restart_and_late_events(spark, tmp_path, run):
+    rng = random.Random(3)
+    paths = [str(tmp_path / n) for n in ("events", "out", "check")]
     rows = [(i, rng.randrange(3), rng.randrange(i * 2000, i * 2000 + 8000), rng.random() < 0.05) for i in range(150)]
-    write(rows[:50])
-    write(rows[50:100])
-    run_throttle(spark, source, out, check)
-    write(rows[100:])
-    run_throttle(spark, source, out, check)
-    # Long after the watermark: dropped.  Far ahead: moves the watermark past everything.
-    write([(900, 0, 10, True), (901, 9, 10_000_000, False)])
-    run_throttle(spark, source, out, check)
-    write([(902, 0, 20, True), (903, 9, 20_000_000, False)])
-    query = run_throttle(spark, source, out, check)
-
-    stamped = [(i, u, BASE + dt.timedelta(milliseconds=ms), f) for i, u, ms, f in rows]
-    want = throttle.throttle_events(spark.createDataFrame(stamped, schemas.REFRESH_EVENTS))
-    got = {r.event_id for r in spark.read.parquet(out).collect()}
-    assert {r.event_id for r in want.collect()} == got - {900, 901, 902}
-    assert 902 not in got
-    dropped = [op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]]
-    assert sum(dropped) == 1
+    write_events(spark, paths[0], rows[:50])
+    write_events(spark, paths[0], rows[50:100])
+    run(spark, *paths)
+    write_events(spark, paths[0], rows[100:])
+    # Far ahead: moves the watermark past everything.
+    write_events(spark, paths[0], [(901, 9, 10_000_000, False)])
+    run(spark, *paths)
+    # Long after the watermark: dropped.
+    write_events(spark, paths[0], [(902, 0, 20, True), (903, 9, 20_000_000, False)])
+    passed, dropped = run(spark, *paths)
+
+    want = throttle.throttle_events(events_of(spark, rows))
+    got = {r.event_id for r in passed.collect()}
+    assert got - {901, 903} == {r.event_id for r in want.collect()}
+    assert dropped == 1
+
+
+def test_a_replayed_throttle_batch_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [(i, i % 2, i * 4000, False) for i in range(40)]
+    first, second = events_of(spark, rows[:20]), events_of(spark, rows[20:])
+    # An empty batch hands on what the one before has left.
+    for batch, number in ((first.limit(0), 0), (first, 1), (first.limit(0), 2), (second, 3), (second, 3)):
+        streams.throttle_batch(batch, number, out, 15_000, 0)
+    want = throttle.throttle_events(events_of(spark, rows))
+    assert differences(streams.passed_events(spark, out).select("event_id"), want.select("event_id")) == 0
