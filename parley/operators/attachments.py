@@ -140,10 +140,10 @@ def ingest_attachments(
         F.when(is_image, F.col("data_url")).alias("dataUrl"),
     )
     file_errors = examined.where(F.col("code").isNotNull()).select(
-        "batch_id", F.col("pos").cast("int").alias("pos"), "code", file_error(F.col("name"), F.col("code")).alias("message")
+        "batch_id", F.col("pos").cast("long").alias("pos"), "code", file_error(F.col("name"), F.col("code")).alias("message")
     )
     cap_errors = sizes.where("over_cap").select(
-        "batch_id", F.lit(-1).alias("pos"), F.lit("over_cap").alias("code"),
+        "batch_id", F.lit(-1).cast("long").alias("pos"), F.lit("over_cap").alias("code"),
         F.lit(cap_error(max_per_batch)).alias("message"),
     )
 
@@ -181,7 +181,7 @@ def ingest_attachments(
         "batch_id",
         "n_files",
         "attached",
-        n_errors.alias("errors"),
+        n_errors.cast("long").alias("errors"),
         status.alias("status"),
         F.array_join(F.concat(F.slice("all_errors", 1, SHOWN_ERRORS), F.coalesce(more, none)), "\n").alias("shown_errors"),
     )
