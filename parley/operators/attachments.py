@@ -25,7 +25,7 @@ IMAGE_NAME = r"(?i)\.(png|jpe?g|webp|gif|bmp)\z"
 PDF_MIME = "application/pdf"
 DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 MESSAGES = {
-    "too_large": "file is too large (max 8MB).",
+    "too_large": "file is too large (max {megabytes}MB).",
     "empty_text": "text file appears empty or unreadable.",
     "empty_pdf": "could not extract readable text from PDF.",
     "empty_docx": "could not extract readable text from DOCX.",
@@ -103,10 +103,10 @@ def batch_sizes(files: DataFrame, max_per_batch: int = MAX_ATTACHMENTS) -> DataF
     )
 
 
-def file_error(name, code) -> Column:
+def file_error(name, code, max_bytes: int = MAX_BYTES) -> Column:
     text = F.lit(None).cast("string")
     for known, message in MESSAGES.items():
-        text = F.when(code == known, F.lit(message)).otherwise(text)
+        text = F.when(code == known, F.lit(message.format(megabytes=max_bytes >> 20))).otherwise(text)
     return F.concat(name, F.lit(": "), text)
 
 
@@ -140,7 +140,7 @@ def ingest_attachments(
         F.when(is_image, F.col("data_url")).alias("dataUrl"),
     )
     file_errors = examined.where(F.col("code").isNotNull()).select(
-        "batch_id", F.col("pos").cast("long").alias("pos"), "code", file_error(F.col("name"), F.col("code")).alias("message")
+        "batch_id", F.col("pos").cast("long").alias("pos"), "code", file_error(F.col("name"), F.col("code"), max_bytes).alias("message")
     )
     cap_errors = sizes.where("over_cap").select(
         "batch_id", F.lit(-1).cast("long").alias("pos"), F.lit("over_cap").alias("code"),
@@ -152,7 +152,7 @@ def ingest_attachments(
         F.array_sort(
             F.collect_list(
                 F.when(F.col("code").isNotNull(),
-                       F.struct("pos", file_error(F.col("name"), F.col("code")).alias("message")))
+                       F.struct("pos", file_error(F.col("name"), F.col("code"), max_bytes).alias("message")))
             )
         )["message"].alias("found"),
     )

@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from parley import schemas
 from parley.functions import replies as reply_functions, text
 from parley.operators import access, attachments, changes, ingest, prompts, quality, replies, sessions, throttle
 from parley.plans import oracle

@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from parley.operators import prompts as P
 from parley.schemas import ATTACHMENT
 
