@@ -114,6 +114,8 @@ def _follow_chains(interval: int, length: int):
             return pd.DataFrame(rows, columns=columns).astype({"event_id": object})
 
         for batch in batches:
+            if batch.empty:
+                continue
             users, starts = batch["user_id"].to_numpy(), batch["chunk"].to_numpy()
             us, reset, last = (batch[c].tolist() for c in ("us", "reset", "last"))
             edges = np.flatnonzero((users[1:] != users[:-1]) | (starts[1:] != starts[:-1])) + 1
@@ -235,8 +237,10 @@ def throttle_events(
 
 
 def in_chunks(events: DataFrame, length: int) -> DataFrame:
+    """The columns the throttle needs, with the start of each event's chunk.  Events
+    without a user are nobody's and do not pass."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return events.select(
+    return events.where(F.col("user_id").isNotNull()).select(
         "user_id", "event_id", us.alias("us"), F.coalesce("force", F.lit(False)).alias("force")
     ).withColumn("chunk", F.col("us") - F.pmod("us", F.lit(length)))
 

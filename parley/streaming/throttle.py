@@ -146,7 +146,7 @@ class Throttle(StatefulProcessor):
 def keyed_throttle(events: DataFrame, interval_ms: int = INTERVAL_MS, delay: str = "1 minute") -> DataFrame:
     """The passing events of a stream (event_id, user_id, ts, force), in append mode."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    narrow = events.withWatermark("ts", delay).select(
+    narrow = events.where(F.col("user_id").isNotNull()).withWatermark("ts", delay).select(
         "user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), F.coalesce("force", F.lit(False)).alias("force")
     )
     passed = narrow.groupBy("user_id").transformWithState(

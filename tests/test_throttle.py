@@ -78,6 +78,13 @@ def test_dense_users(spark, per_chunk):
     assert {r.event_id for r in got.collect()} == want
 
 
+def test_events_without_a_user_do_not_pass(spark):
+    rows = frame(spark, [(1, 1, 0, False), (2, 2, 0, True)])
+    rows = rows.withColumn("user_id", F.when(F.col("user_id") == 1, F.col("user_id")))
+    assert [r.event_id for r in throttle_events(rows).collect()] == [1]
+    assert throttle_events(rows.where("user_id IS NULL")).count() == 0
+
+
 def test_a_user_spans_tasks(spark):
     """The events of one user are shuffled by user and time, never by user alone."""
     df = throttle_events(frame(spark, [(i, 1, i * 1000, False) for i in range(100)]), 15_000, 2)
