@@ -9,8 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-SHARE = 1000
-SALTS = 64
+
+def salted_keys(summary: DataFrame, key: str, partitions: int) -> DataFrame:
+    """The heavy keys of ``summary`` and how many ``salts`` each gets.
+
+    A key is heavy when it holds more rows than an even share of one partition.  There are
+    fewer such keys than partitions, whatever the size of the table, and a key gets a salt
+    for every such share it holds, so a salted key never holds much more than one.
+    """
+    fair = F.lit(summary.agg(F.sum("n")).scalar()) / partitions
+    salts = F.ceil(F.col("n") / fair).cast("int")
+    return summary.where(F.col("n") > fair).select(key, salts.alias("salts"))
 
 
 def spread_join(
@@ -18,21 +27,19 @@ def spread_join(
     summary: DataFrame,
     key: str,
     spread_by: list[str],
-    share: int = SHARE,
-    salts: int = SALTS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Inner join of ``facts`` with ``summary``, one row per key with its row count ``n``.
 
-    A key is heavy when it holds more than 1/``share`` of all rows, so there are fewer than
-    ``share`` heavy keys, and only those are broadcast.  Their facts are dealt over
-    ``salts`` join keys by a hash of ``spread_by`` (a recomputed task deals them the same
-    way) and only their summary rows are repeated.
+    The facts of heavy keys are dealt over salted join keys by a hash of ``spread_by`` (a
+    recomputed task deals them the same way) and only their summary rows are repeated.
+    The heavy keys are broadcast: there are fewer than ``partitions`` of them, by default
+    the session's shuffle partitions.
     """
-    total = summary.agg(F.sum("n")).scalar()
-    marked = summary.withColumn("heavy", F.col("n") * share > total)
-    heavy = F.broadcast(marked.where("heavy").select(key, "heavy"))
-    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
-    dealt = facts.join(heavy, key, "left").withColumn("salt", salt.cast("int")).drop("heavy")
-    every = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = marked.withColumn("salt", F.explode(every)).drop("heavy", "n")
+    partitions = partitions or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = F.broadcast(salted_keys(summary, key, partitions))
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.col("salts"))).otherwise(0)
+    dealt = facts.join(heavy, key, "left").withColumn("salt", salt.cast("int")).drop("salts")
+    every = F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)
+    repeated = summary.join(heavy, key, "left").withColumn("salt", F.explode(every)).drop("salts", "n")
     return dealt.join(repeated, [key, "salt"]).drop("salt")
