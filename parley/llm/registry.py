@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import codes, packing, rollup
+from parley.llm import codes, decontaminate, neardup, packing, rollup
 from parley.llm.shared import table
 from parley.llm.tokens import vocabulary
 from parley.session import run_folder
@@ -63,3 +63,44 @@ def op10_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     files = run_folder(spark, "token-codes")
     manifest = codes.write_codes(table(spark, folder, "documents"), files, vocabulary("word_bpe_49k.json"), end_id=2)
     return codes.read_codes(spark, files, manifest)
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op3_decontamination"] = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents),
+item AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark),
+win AS (
+    SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS passage
+    FROM item, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS u(i) WHERE len(words) > 0),
+size AS (SELECT DISTINCT n FROM win),
+place AS (
+    SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS passage
+    FROM doc, size, unnest(range(1, len(words) - n + 2)) AS u(i)),
+hit AS (SELECT doc_id, item_id, i, n FROM place JOIN win USING (n, passage)),
+inside AS (SELECT DISTINCT doc_id, i + k AS at FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(range(n)) AS u(k)),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM inside GROUP BY doc_id),
+owners AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
