@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import codes, decontaminate, neardup, packing, rollup
+from parley.llm import codes, decontaminate, neardup, packing, rollup, rules, shards, urls
 from parley.llm.shared import table
 from parley.llm.tokens import vocabulary
 from parley.session import run_folder
@@ -104,3 +104,80 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)
 """
+
+
+@query
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(table(spark, folder, "documents")).drop("rules_run")
+
+
+ORACLES["op4_quality_rules"] = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+lines AS (
+    SELECT doc_id, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]'))
+                 - count(DISTINCT line) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_dup_lines, count(*) AS n_lines
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc) GROUP BY doc_id),
+place AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS passage, words
+    FROM doc, unnest(range(1, len(words) - 3)) AS u(i)),
+twice AS (SELECT doc_id, i FROM place QUALIFY count(*) OVER (PARTITION BY doc_id, passage) > 1),
+repeats AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, unnest(range(5)) AS u(k) GROUP BY doc_id),
+tops AS (
+    SELECT doc_id, max(n) AS top FROM (
+        SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM doc) GROUP BY doc_id, w) GROUP BY doc_id),
+base AS (
+    SELECT doc_id, text, len(words) AS n_words,
+           length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, n_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(top, 0) AS top,
+           length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks,
+           length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper,
+           length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters
+    FROM doc JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN tops USING (doc_id)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND 10 * n_symbols <= n_words AND 10 * n_dup_lines <= 3 * n_lines
+       AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 5 * n_marks <= n_words
+       AND 10 * top <= 3 * n_words AND 2 * n_upper <= n_letters AS kept
+FROM failed
+"""
+
+
+RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+]
+
+
+@query
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, folder, "pages"), listed)
+
+
+ORACLES["op8_url_filters"] = r"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rest),
+rule(host, path, verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fit AS (
+    SELECT page_id, r.host || r.path AS rule, verdict
+    FROM split s JOIN rule r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fit USING (page_id)
+"""
+
+
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shards.shard_documents(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))

@@ -8,16 +8,21 @@ a text are the ids of its words in a row.  A word's ids are looked up in a bound
   character first, as the pre-tokenizer's pattern does.
 * One that drops white space (BPE with word ends) is cut at every space and line feed.
 
-A text that holds a special token's string goes to the library as a whole.
+A word that ends in ASCII punctuation after a letter is the word without it and the
+punctuation: the pre-tokenizers always cut between a letter and a mark.
+
+A word of Latin letters only is one pre-token, and goes straight to the library's model in
+the byte alphabet the model knows.  A text that holds a special token's string goes to the
+library as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 
-import numpy as np
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,18 +32,47 @@ _SPACE = (
     "\t-\r \N{NEXT LINE}\N{NO-BREAK SPACE}\N{OGHAM SPACE MARK}\N{EN QUAD}-\N{HAIR SPACE}\N{LINE SEPARATOR}"
     "\N{PARAGRAPH SEPARATOR}\N{NARROW NO-BREAK SPACE}\N{MEDIUM MATHEMATICAL SPACE}\N{IDEOGRAPHIC SPACE}")
 _KEEPING = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-CACHE_WORDS = 300_000
-
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_LATIN_END = chr(0x250)
+CACHE_WORDS = 400_000  # in each of two generations
 
 
 class _Words(dict):
+    """Ids by word.  When it is full it becomes the older generation and starts empty;
+    words that are met again come back from there."""
+
     def __init__(self, encode):
         self.encode = encode
+        self.older: dict = {}
 
     def __missing__(self, word):
-        ids = self[word] = self.encode(word)
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(_MARKS)
+            if len(core) < len(word) and core and core[-1].isalpha():
+                ids = self[core] + self[word[len(core):]]
+            else:
+                ids = self.encode(word)
+        self[word] = ids
         return ids
 
+    def age(self):
+        self.older = dict(self)
+        self.clear()
+
+
+class _Alphabet(dict):
+    """Characters in the byte alphabet of byte-level models, as the library spells them."""
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, code):
+        self[code] = spelt = self.spell(chr(code))[0][0]
+        return spelt
+
 
 class Encoder:
     """``encode(text)``: the ids of a text as little-endian unsigned 32-bit integers."""
@@ -48,7 +82,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = _Words(self._whole)
+        self.words = _Words(self._word)
+        self.model, self.normalizer, self.alphabet = self.tokenizer.model, self.tokenizer.normalizer, _Alphabet()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         keeps_space = self._whole(" ") != b""
         self._cut = re.compile(_KEEPING).findall if keeps_space else self._cut_at_space
@@ -58,7 +93,17 @@ class Encoder:
         return text.replace("\n", " ").split(" ")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return struct.pack(f"<{len(found.ids)}I", *found.ids)
+
+    def _word(self, word: str) -> bytes:
+        letters = word[1:] if word[:1] == " " else word
+        if letters.isalpha() and (word.isascii() or max(word) < _LATIN_END):
+            plain = self.normalizer.normalize_str(word) if self.normalizer else word
+            if plain[-1:].isalpha() and plain.lstrip(" ").isalpha():
+                ids = [t.id for t in self.model.tokenize(plain.translate(self.alphabet))]
+                return struct.pack(f"<{len(ids)}I", *ids)
+        return self._whole(word)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -66,7 +111,7 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._whole(text)
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.words.age()
         return b"".join(map(self.words.__getitem__, self._cut(text)))
 
 
