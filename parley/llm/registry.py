@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import codes, crf, decontaminate, neardup, packing, rollup, rules, shards, urls
+from parley.llm import codes, crf, decontaminate, neardup, packing, rollup, rules, shards, toxicity, urls
 from parley.llm.shared import table
 from parley.llm.tokens import vocabulary
 from parley.session import run_folder
@@ -186,3 +186,8 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return crf.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
