@@ -154,3 +154,11 @@ def contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -
     return rows.select("doc_id", n_words, "row").join(n_hit, "row", "left").join(named, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "row")
+
+
+def keep_uncontaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``documents`` with all their columns, without those that hold a window of an item."""
+    wanted, _ = phrases(items, window)
+    hit = written(phrase_matches(numbered(documents), wanted).select(F.col("row").alias("hit_row")).distinct(), "matches")
+    own = F.xxhash64(documents["doc_id"], documents["text"].cast("string"))
+    return documents.join(small(hit), own == hit["hit_row"], "left_anti")

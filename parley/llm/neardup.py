@@ -279,3 +279,20 @@ def _repeated(some: DataFrame, same: DataFrame, classes: DataFrame) -> DataFrame
     sets = some.join(same.select("doc_id"), "doc_id").select("doc_id", "set_id").distinct()
     of = sets.join(classes.select("set_id", F.col("doc_id").alias("class")), "set_id")
     return of.where("class <> doc_id").select(F.least("class", "doc_id").alias("a"), F.greatest("class", "doc_id").alias("b"))
+
+
+def keep_one(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``documents`` with all their columns, the least document of each group only.
+
+    Of rows that repeat an id one stays; rows without an id stay.
+    """
+    found = near_duplicates(documents, width, percent)
+    gone = written(found.where("NOT kept").select("doc_id").distinct(), "neardup-gone")
+    rest = documents.join(small(gone), "doc_id", "left_anti").select(*documents.columns)
+    again = written(documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.count("*").alias("n")).where("n > 1").select("doc_id"), "neardup-repeated")
+    if again.isEmpty():
+        return rest
+    once = rest.join(small(again), "doc_id", "left_anti").select(*documents.columns)
+    one_each = rest.join(small(again), "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(one_each)

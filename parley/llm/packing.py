@@ -85,3 +85,10 @@ def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
     return grouped.select("sequence_id", joined.alias("ids")).select(
         "sequence_id", n.cast("long").alias("n_tokens"),
         F.substring(F.concat("ids", F.lit(pad)), F.lit(1), F.lit(4 * window)).alias("ids"))
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """Pieces without their ids: ``length`` and ``ids_crc32`` stand for them."""
+    return pieces.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

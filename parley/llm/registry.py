@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from parley.llm import codes, crf, decontaminate, neardup, packing, rollup, rules, shards, toxicity, urls
 from parley.llm.shared import table
 from parley.llm.tokens import vocabulary
@@ -49,13 +50,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
-    return piece_digests(pieces)
-
-
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    return pieces.select(
-        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
-        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.digests(pieces)
 
 
 @query
@@ -191,3 +186,8 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

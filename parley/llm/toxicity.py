@@ -10,11 +10,13 @@ rejected where its probability reaches ``THRESHOLD``.
 The earlier categories have no labels of their own.  A document counts as an example where
 it is labelled toxic and has a word of the category's list; the lists are a parameter.
 
-The chain is fitted on at most ``SAMPLE`` labelled documents, on at most ``WORDS`` words that
-tell the label apart in the documents fitted on; only these counts pass through the
+The chain is fitted on at most ``SAMPLE`` labelled documents, on at most ``WORDS`` features that
+tell the label apart in the documents fitted on; only the counts of these pass through the
 driver.  It is applied to every whole text, batches as arrays.
 
-Words are runs of ASCII letters and non-ASCII characters, A-Z lower-cased, known by hash.
+Words are runs of ASCII letters and non-ASCII characters, A-Z lower-cased.  A feature is a
+whole word or a word's first 4 to 8 bytes (so that one stem's inflections and compounds
+count together), known by hash.
 
 Defined cases: null and empty texts, and texts without known words, have the probabilities
 of no evidence.  Rows that repeat a document are judged each; labels without documents are
@@ -35,16 +37,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from parley.llm.samples import held_out, labelled
-from parley.llm.shared import slices
-from parley.llm.words import Hasher, raw_texts
+from parley.llm.shared import slices, written
+from parley.llm.words import Hasher, distinct, raw_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE = 6000
-WORDS = 2000
+WORDS = 3000
+STARTS = (4, 5, 6, 7, 8)
 FOLDS = 3
 THRESHOLD = 0.5
-ROUNDS = 150
+ROUNDS = 120
 PENALTY = 1e-4
 
 #: Categories in the order of the chain, with the words that make an example.
@@ -55,8 +58,9 @@ CATEGORIES = {
 }
 
 
-def text_words(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the number of the text each is in."""
+def text_words(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and word starts, the number of the text each is in, and which of
+    them are whole words."""
     data, at = raw_texts(column)
     folded = data | np.uint8(32)  # lower case, for letters
     letter = (data >= 128) | ((folded >= 97) & (folded <= 122))
@@ -68,11 +72,24 @@ def text_words(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(inside & (~before | edge))
     stops = np.flatnonzero(before & (~inside | edge))
     lower = np.where(data < 128, folded, data)
-    return hasher.spans(lower, starts, stops), np.searchsorted(at, starts, "right") - 1
+    text = np.searchsorted(at, starts, "right") - 1
+    first, last, texts = [starts], [stops], [text]
+    for k in STARTS:
+        long = stops - starts >= k
+        first.append(starts[long])
+        last.append(starts[long] + k)
+        texts.append(text[long])
+    kind = np.repeat(np.arange(len(first), dtype="u8"), [len(x) for x in first])
+    hashes = hasher.spans(lower, np.concatenate(first), np.concatenate(last)) ^ (kind * np.uint64(0x9E3779B97F4A7C15))
+    return hashes, np.concatenate(texts), kind == 0
 
 
 def listed_hashes(hasher: Hasher) -> list[np.ndarray]:
-    return [np.sort(text_words(pa.array([" ".join(words)]), hasher)[0]) for words in CATEGORIES.values()]
+    found = []
+    for words in CATEGORIES.values():
+        hashes, _, whole = text_words(pa.array([" ".join(words)]), hasher)
+        found.append(np.sort(hashes[whole]))
+    return found
 
 
 def _sigmoid(x):
@@ -142,9 +159,7 @@ class Chain:
 
     def probabilities(self, column: pa.Array, hasher: Hasher, lists: list[np.ndarray]) -> np.ndarray:
         """Per text the probability of each category, the label last."""
-        hashes, text = text_words(column, hasher)
-        words = counted(hashes, text, len(column), self.known)
-        dense = listed_counts(hashes, text, len(column), lists)
+        words, dense = sparse_and_dense(column, hasher, self.known, lists)
         found = np.zeros((len(column), 0))
         for link in self.links:
             p = link.probability(words, inputs(dense, found))
@@ -170,25 +185,15 @@ def inputs(listed: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return np.concatenate([listed, _log_odds(earlier), np.ones((len(listed), 1))], 1)
 
 
-def telling_words(hashes: np.ndarray, text: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` words whose presence differs most between the labels (chi-square), in
-    order; a word in fewer than three documents tells nothing."""
-    cell = np.unique(np.stack([hashes, text.astype("u8")], 1), axis=0) if len(hashes) else np.zeros((0, 2), "u8")
-    word, number, n = np.unique(cell[:, 0], return_inverse=True, return_counts=True)
-    positive = np.bincount(number, label[cell[:, 1].astype("i8")], len(word)) if len(word) else np.zeros(0)
-    expected = n * label.mean() if len(label) else n
-    score = np.where(n >= 3, (positive - expected) ** 2 / np.maximum(expected, 1e-9), 0)
-    best = np.argsort(-score, kind="stable")[:most]
-    return np.sort(word[best[score[best] > 0]])
+def sparse_and_dense(column: pa.Array, hasher: Hasher, known: np.ndarray, lists: list[np.ndarray]) -> tuple[Words, np.ndarray]:
+    hashes, text, whole = text_words(column, hasher)
+    return counted(hashes, text, len(column), known), listed_counts(hashes[whole], text[whole], len(column), lists)
 
 
-def fit(hashes: np.ndarray, text: np.ndarray, toxic: np.ndarray, lists: list[np.ndarray], folds: int = FOLDS) -> Chain:
-    """``hashes`` and ``text`` are all words; ``toxic`` is the label per text."""
+def fit(words: Words, listed: np.ndarray, toxic: np.ndarray, known: np.ndarray, folds: int = FOLDS) -> Chain:
+    """``toxic`` is the label per text, ``listed`` the counts of the lists' words."""
     n = len(toxic)
-    known = telling_words(hashes, text, toxic, WORDS)
-    words = counted(hashes, text, n, known)
-    listed = listed_counts(hashes, text, n, lists)
-    targets = [(toxic == 1) & (listed[:, k] > 0) for k in range(len(lists))] + [toxic == 1]
+    targets = [(toxic == 1) & (listed[:, k] > 0) for k in range(listed.shape[1])] + [toxic == 1]
     fold = np.arange(n) % folds
     earlier, links = np.zeros((n, 0)), []
     for target in targets:
@@ -203,24 +208,57 @@ def fit(hashes: np.ndarray, text: np.ndarray, toxic: np.ndarray, lists: list[np.
     return Chain(known, links)
 
 
+def telling_words(sample: DataFrame, most: int) -> np.ndarray:
+    """The ``most`` features whose presence differs most between the labels of ``sample``
+    (chi-square), in order; one in fewer than three documents tells nothing."""
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in slices(batches, 64):
+            hashes, text, _ = text_words(batch.column(1), hasher)
+            hashes, text = distinct(hashes, text)
+            label = batch.column(2).to_numpy(zero_copy_only=False)[text]
+            word, number = np.unique(hashes, return_inverse=True)
+            yield pa.record_batch(
+                [pa.array(word.view("i8")), pa.array(np.bincount(number, minlength=len(word))),
+                 pa.array(np.bincount(number, label, len(word)).astype("i8"))], ["word", "n", "positive"])
+
+    share = sample.agg(F.avg("label")).first()[0]
+    if not share:
+        return np.zeros(0, "u8")
+    found = sample.mapInArrow(present, "word long, n long, positive long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("positive").alias("positive")).where("n >= 3")
+    expected = F.col("n") * share
+    score = (F.col("positive") - expected) * (F.col("positive") - expected) / expected
+    best = found.where(score > 0).orderBy(score.desc(), "word").limit(most).select("word").collect()
+    return np.sort(np.array([r.word for r in best], "i8").view("u8"))
+
+
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drawn = written(labelled(documents, labels, "toxic", sample), "toxicity-sample")
+    known = telling_words(drawn, WORDS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in slices(batches, 256):
-            hashes, text = text_words(batch.column(1), hasher)
-            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        lists = listed_hashes(hasher)
+        for batch in slices(batches, 64):
+            words, listed = sparse_and_dense(batch.column(1), hasher, known, lists)
+            cut = np.searchsorted(words.row, np.arange(batch.num_rows + 1))
+            spans = list(zip(cut, cut[1:], strict=False))
             yield pa.record_batch(
                 [batch.column(0), batch.column(2),
-                 pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
-                ["doc_id", "label", "words"])
-
-    rows = labelled(documents, labels, "toxic", sample).mapInArrow(words, "doc_id long, label int, words binary")
-    # Words of a few documents tell nothing: only those in three or more leave the cluster.
-    each = rows.select("doc_id", "label", "words").collect()
-    each.sort(key=lambda r: r.doc_id)
-    hashes = np.frombuffer(b"".join(r["words"] for r in each), "u8")
-    text = np.repeat(np.arange(len(each)), [len(r["words"]) // 8 for r in each])
-    return fit(hashes, text, np.array([r.label for r in each], "f8"), listed_hashes(Hasher()))
+                 pa.array([words.column[a:b].astype("i4").tobytes() for a, b in spans], pa.binary()),
+                 pa.array([words.value[a:b].astype("f4").tobytes() for a, b in spans], pa.binary()),
+                 pa.array([x.tobytes() for x in listed.astype("f8")], pa.binary())],
+                ["doc_id", "label", "columns", "counts", "listed"])
+
+    rows = drawn.mapInArrow(count, "doc_id long, label int, columns binary, counts binary, listed binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    column = np.frombuffer(b"".join(r["columns"] for r in rows), "i4").astype("i8")
+    row = np.repeat(np.arange(len(rows)), [len(r["columns"]) // 4 for r in rows])
+    value = np.frombuffer(b"".join(r["counts"] for r in rows), "f4").astype("f8")
+    listed = np.frombuffer(b"".join(r["listed"] for r in rows), "f8").reshape(len(rows), len(CATEGORIES))
+    return fit(Words(len(rows), row, column, value), listed, np.array([r.label for r in rows], "f8"), known)
 
 
 def predict(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
