@@ -49,7 +49,7 @@ class _Words(dict):
         ids = self.older.get(word)
         if ids is None:
             core = word.rstrip(_MARKS)
-            if len(core) < len(word) and core and core[-1].isalpha():
+            if len(core) < len(word) and core and core[-1].lower().isalpha():
                 ids = self[core] + self[word[len(core):]]
             else:
                 ids = self.encode(word)
