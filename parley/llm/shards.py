@@ -52,11 +52,13 @@ def _counts(placed: DataFrame, members: DataFrame, shards: int) -> DataFrame:
 def _wishes(placed: DataFrame, members: DataFrame, shards: int) -> DataFrame:
     counts = written(_counts(placed, members, shards), "shard-counts")
     seen = spread_join(members, counts, "hub", ["node"])
-    total = seen.groupBy("node").agg(*(F.sum(f"c{s}").alias(f"c{s}") for s in range(shards)))
+    total = seen.groupBy("node").agg(F.count("*").alias("hubs"), *(F.sum(f"c{s}").alias(f"c{s}") for s in range(shards)))
     told = total.join(placed, "node")
+    # Every hub has counted the document itself; once is enough to make it stay on a tie.
+    itself = F.col("hubs") - 1
     # Most documents first; ties as the first hub's hash has it.
     best = F.array_max(F.array(*(
-        F.struct(F.col(f"c{s}").alias("n"), F.xxhash64("leader", F.lit(s)).alias("tie"), F.lit(s).alias("shard"))
+        F.struct((F.col(f"c{s}") - F.when(F.col("shard") == s, itself).otherwise(0)).alias("n"), F.xxhash64("leader", F.lit(s)).alias("tie"), F.lit(s).alias("shard"))
         for s in range(shards))))["shard"]
     return told.select("node", "leader", "shard", best.alias("wish"))
 
