@@ -11,11 +11,11 @@ A document's set holds its distinct word windows.  Documents are linked when
    child of each token that the node's hash selects; 1 / threshold of its tokens are
    selected on average, so a linked pair goes down together about once on average, at
    every level, however similar the rest of the node is.
-4. In each node all classes are compared with the node's least document (its pivot).  Nodes
-   whose classes are by then all in one group have nothing more to tell and end here.  The
-   others are compared exhaustively if they hold ``SMALL`` classes at most, and branched
-   further if they hold more.  What is still large after ``LEVELS`` levels is compared
-   exhaustively in blocks, so no node is left out.
+4. A node of ``SMALL`` classes at most is compared exhaustively.  In a larger one all classes
+   are compared with its least document (the pivot); if they then are all in one group, the
+   node has nothing more to tell, and if not, it is branched further.  What is still large
+   after ``LEVELS`` levels is compared exhaustively in blocks, so no node is left out.
+   Classes that are in one group already are not compared again.
 5. Comparing means: signatures first (pairs that agree in under ``LEAST_AGREE`` of their
    tokens are dropped), then the full sets.  Only confirmed links count.
 
@@ -189,23 +189,33 @@ def _all_pairs(groups: DataFrame, percent: int) -> DataFrame:
     return groups.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _small_nodes(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _small_nodes(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Exhaustive comparison of nodes of ``SMALL`` classes at most."""
-    held = rows.join(nodes.where(F.col("n") <= SMALL).select("node"), "node")
-    told = held.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    told = rows.where(F.col("n") <= SMALL).select("node", "doc_id", "label").join(
+        classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     groups = told.groupBy("node").agg(F.collect_list(
         F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch")).alias("members"))
     return _all_pairs(groups.select("members"), percent)
 
 
-def _blocks(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _pivots(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Comparison of every class of a larger node with the node's least document."""
+    pivots = written(nodes.where(F.col("n") > SMALL).join(classes.select(
+        F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "pivot"),
+        "neardup-pivots")
+    met = spread_join(rows.where(F.col("n") > SMALL).select("node", "doc_id"), pivots, "node", ["doc_id"])
+    told = met.where("doc_id <> pivot").join(classes.select(
+        "doc_id", F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")), "doc_id")
+    return _similar(told.withColumnsRenamed({"pivot": "a", "doc_id": "b"}), percent)
+
+
+def _blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Exhaustive comparison of large nodes: their classes are dealt into blocks, and a
     class goes to the meeting of its block with every other."""
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.join(nodes.where(F.col("n") > SMALL).select("node", n_blocks.alias("blocks")), "node")
-    own = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    told = met.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    told = met.select("node", "doc_id", "label", "own", "other").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     groups = told.groupBy("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
         F.collect_list(F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch")).alias("members"))
     return _all_pairs(groups.select("members"), percent)
@@ -214,34 +224,29 @@ def _blocks(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int)
 def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, percent: int,
                       trees: int = TREES, levels: int = LEVELS) -> Labels:
     """The groups of linked classes (doc_id, n_shingles, signature, sketch)."""
-    spark = documents.sparkSession
-    labels = Labels(spark)
+    labels = Labels(documents.sparkSession)
     rows = written(branch(classes.select("doc_id", "signature"), percent, trees), "neardup-nodes")
     for level in range(levels):
         rows = labels.attach(rows, "doc_id")
-        nodes = written(
-            _mixed(rows).join(
-                classes.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("n_a"),
-                               F.col("sketch").alias("sketch_a")), "pivot"), "neardup-pivots")
-        together = written(spread_join(rows, nodes, "node", ["doc_id"]), "neardup-shared")
-        with_pivot = together.where("doc_id <> pivot").join(classes.select(
-            "doc_id", F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")), "doc_id")
-        near = _similar(with_pivot.withColumnsRenamed({"pivot": "a", "doc_id": "b"}), percent)
+        nodes = written(_mixed(rows), "neardup-mixed")
+        together = written(spread_join(rows, nodes.withColumn("size", F.col("n")), "node", ["doc_id"])
+                           .withColumnRenamed("size", "n"), "neardup-shared")
+        near = _small_nodes(together, classes, percent)
+        large = not nodes.where(F.col("n") > SMALL).isEmpty()
+        if large:
+            near = near.unionByName(_pivots(together, nodes, classes, percent)).distinct()
         labels.link(confirmed(near, documents, width, percent))
-
-        rows = written(labels.attach(together.select("node", "doc_id"), "doc_id"), "neardup-mixed")
-        nodes = written(_mixed(rows), "neardup-rest")
-        labels.link(confirmed(_small_nodes(rows, nodes, classes, percent), documents, width, percent))
-
-        large = nodes.where(F.col("n") > SMALL)
-        if large.isEmpty():
+        if not large:
+            return labels
+        rows = written(labels.attach(together.where(F.col("n") > SMALL).select("node", "doc_id"), "doc_id"), "neardup-large")
+        rest = written(_mixed(rows).withColumn("size", F.col("n")), "neardup-rest")
+        if rest.isEmpty():
             return labels
+        rows = spread_join(rows, rest, "node", ["doc_id"]).withColumnRenamed("size", "n").select("node", "doc_id", "label", "n")
         if level + 1 < levels:
-            held = rows.join(small(large.select("node")), "node")
-            rows = written(branch(
-                held.join(classes.select("doc_id", "signature"), "doc_id").select("doc_id", "signature", "node"),
-                percent), "neardup-nodes")
-    labels.link(confirmed(_blocks(rows, nodes, classes, percent), documents, width, percent))
+            told = rows.join(classes.select("doc_id", "signature"), "doc_id")
+            rows = written(branch(told.select("doc_id", "signature", "node"), percent), "neardup-nodes")
+    labels.link(confirmed(_blocks(rows, classes, percent), documents, width, percent))
     return labels
 
 
