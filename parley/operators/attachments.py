@@ -197,25 +197,31 @@ def join_pages(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """Text of each document from its pages (file_id, page_no, text): joined by newlines
     in page order, trimmed, cut to ``max_chars``.  Returns (file_id, text).
 
-    Page numbers are consecutive, and each page adds at least its newline.  So the result
-    needs at most ``max_chars`` pages after the first one with text, and nothing after the
-    last one with text.  That bounds what is collected for a document of any length.
+    Page numbers may have gaps of any size.  From the first page with text on, each page
+    adds at least its newline, so a page is needed only if fewer than ``max_chars``
+    characters stand before it.  The pages' lengths, summed up in page order, tell which
+    ones those are; the sum stops at ``max_chars`` pages, and a task keeps no more than that
+    of a document before its pages meet.
     """
     text = F.coalesce("text", F.lit(""))
     with_text = F.when(js_trim("text") != "", F.col("page_no"))
     bounds = pages.groupBy("file_id").agg(
         F.min(with_text).alias("first"), F.max(with_text).alias("last"), F.count("*").alias("n")
     )
-    located = spread_join(pages, bounds, "file_id", ["page_no"])
-    needed = located.where(
-        F.col("page_no").between(F.col("first"), F.least(F.col("last"), F.col("first") + max_chars))
-    )
+    located = spread_join(pages, bounds, "file_id", ["page_no"]).where(F.col("page_no").between(F.col("first"), F.col("last")))
     # Trim where the whole text is trimmed, before cutting: the cut must not turn blanks
     # that were inside the text into its end.
     left = F.when(F.col("page_no") == F.col("first"), F.ltrim(text, F.lit(WHITESPACE))).otherwise(text)
     both = F.when(F.col("page_no") == F.col("last"), F.rtrim(left, F.lit(WHITESPACE))).otherwise(left)
-    short = needed.select("file_id", "page_no", F.substring(both, 1, max_chars).alias("text"))
+    short = located.select("file_id", "page_no", F.substring(both, 1, max_chars).alias("text"))
+    so_far = W.partitionBy("file_id").orderBy("page_no", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    length = F.char_length("text") + 1
+    measured = short.withColumns({
+        "rank": F.row_number().over(W.partitionBy("file_id").orderBy("page_no", "text")),
+        "before": F.sum(length).over(so_far) - length,
+    })
+    needed = measured.where((F.col("rank") <= max_chars + 1) & (F.col("before") < max_chars))
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))["text"]
-    joined = short.groupBy("file_id").agg(js_slice(F.array_join(ordered, "\n"), max_chars).alias("text"))
+    joined = needed.groupBy("file_id").agg(js_slice(F.array_join(ordered, "\n"), max_chars).alias("text"))
     blank = bounds.where(F.col("first").isNull()).select("file_id", F.lit("").alias("text"))
     return joined.unionByName(blank)

@@ -7,10 +7,9 @@ reaches the shuffle as one row per task; only then do they meet the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parley.functions.text import DEFAULT_TITLE, falsy, js_trim, or_else, placeholder_email, shown_title
-from parley.plans.skew import spread_join
 
 
 def _as_column(now):
@@ -47,15 +46,16 @@ def upsert_profiles(profiles: DataFrame, changes: DataFrame, now, order: list[st
     )
 
 
-def update_titles(sessions: DataFrame, changes: DataFrame, now, order: list[str] | None = None):
+def update_titles(sessions: DataFrame, changes: DataFrame, now, order: list[str]):
     """Set titles by (id, user_id); returns (next sessions, updated rows, unmatched changes).
 
-    Each change must hit exactly one session of its user.  One that hits none is an error
-    and comes back as unmatched; an empty title becomes the default title.
+    Each change must hit exactly one session of its user; ``order`` names the columns that
+    order several changes to one session.  A change that hits none is an error and comes
+    back as unmatched; an empty title becomes the default title.
     """
     now = _as_column(now)
     keys = ["id", "user_id"]
-    folded = latest(changes, keys, ["title"], order) if order else changes.select(*keys, "title")
+    folded = latest(changes, keys, ["title"], order)
     new = folded.select(*keys, or_else("title", F.lit(DEFAULT_TITLE)).alias("new_title"))
     joined = sessions.join(new, keys, "left")
     changed = {
@@ -64,17 +64,17 @@ def update_titles(sessions: DataFrame, changes: DataFrame, now, order: list[str]
     }
     after = [changed.get(c, F.col(c)).alias(c) for c in sessions.columns]
     updated = sessions.join(new, keys).select(*after)
-    unmatched = changes.join(sessions.select(*keys), keys, "left_anti")
+    unmatched = changes.join(sessions.select(*keys), keys, "left_anti").select(*changes.columns)
     return joined.select(*after), updated, unmatched
 
 
 def rename_requests(changes: DataFrame, sessions: DataFrame) -> DataFrame:
     """Drop renames that would change nothing: blank, or equal to the title on display."""
     trimmed = changes.withColumn("title", js_trim("title")).where(~falsy("title"))
-    shown = sessions.select("id", shown_title("title").alias("shown"))
+    shown = sessions.select("id", "user_id", shown_title("title").alias("shown"))
     # A session the caller cannot see has no title to compare with; the update rejects it.
     return (
-        trimmed.join(shown, "id", "left")
+        trimmed.join(shown, ["id", "user_id"], "left")
         .where(F.col("shown").isNull() | (F.col("title") != F.col("shown")))
         .select(*changes.columns)
     )
@@ -135,49 +135,62 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: lis
     """Apply mixed changes; returns (next snapshot, unmatched changes).
 
     ``changes`` holds ``op`` (upsert, update or delete), the key, the ``order`` columns and
-    the columns to set.  Changes count in ``order``.  Ids are never reused, so a delete is
-    final: what comes after it in the batch is unmatched, as is an update of a key that
-    does not exist yet.  Deleting a missing key is a no-op.
+    the columns to set.  Changes count one after another in ``order`` (the first of its
+    columns is a number or a time): an upsert creates or changes the row, an update needs
+    one, a delete removes it, and the next upsert creates it anew, with NULL in the columns
+    it does not set.  Unmatched are updates of a row that is not there at that moment, and
+    upserts and updates without a key; deleting a missing key is a no-op.
     """
     now = _as_column(now)
     sets = [c for c in changes.columns if c in base.columns and c != key]
     at = F.struct(*order)
+    keyed = changes.where(F.col(key).isNotNull())
     write = F.col("op").isin("upsert", "update")
-    first_upsert = F.min(F.when(F.col("op") == "upsert", at)).alias("first_upsert")
-    deleted = F.min(F.when(F.col("op") == "delete", at)).alias("deleted")
-    folded = changes.groupBy(key).agg(
-        first_upsert, deleted, F.max_by(F.when(write, F.struct(*sets)), F.when(write, at)).alias("last")
+    folded = keyed.groupBy(key).agg(
+        F.max(F.when(F.col("op") == "upsert", at)).alias("upserted"),
+        F.max(F.when(F.col("op") == "delete", at)).alias("deleted"),
+        F.max_by(F.when(write, F.struct(*sets)), F.when(write, at)).alias("last"),
     )
 
     joined = base.withColumn("known", F.lit(True)).join(folded, key, "full_outer")
     hit = F.col("last").isNotNull()
-    columns = {c: F.when(hit, F.col(f"last.{c}")).otherwise(F.col(c)) for c in sets}
+    anew = F.col("deleted").isNotNull()
+    columns = {c: F.when(~anew, F.col(c)) for c in base.columns if c != key}
+    columns |= {c: F.when(hit, F.col(f"last.{c}")).otherwise(F.col(c)) for c in sets}
     if "updated_at" in base.columns:
         columns["updated_at"] = F.when(hit, now).otherwise(F.col("updated_at"))
     if "created_at" in base.columns and "created_at" not in sets:
-        columns["created_at"] = F.coalesce("created_at", now)
-    exists = F.coalesce("known", F.col("first_upsert").isNotNull())
-    snapshot = joined.where(F.col("deleted").isNull() & exists).select(
-        *[columns.get(c, F.col(c)).alias(c) for c in base.columns]
-    )
+        columns["created_at"] = F.when(anew, now).otherwise(F.coalesce("created_at", now))
+    exists = F.when(anew, F.col("upserted") > F.col("deleted")).otherwise(
+        F.coalesce("known", F.col("upserted").isNotNull()))
+    snapshot = joined.where(exists).select(*[columns.get(c, F.col(c)).alias(c) for c in base.columns])
 
-    # The table's keys join the fold as rows of their own, which saves a join.
-    keys = base.select(key, F.lit(True).alias("known"))
-    state = (
-        changes.select(key, "op", *order, F.lit(1).alias("change"))
-        .unionByName(keys, allowMissingColumns=True)
-        .groupBy(key)
-        .agg(first_upsert, deleted, F.max("known").alias("known"), F.sum("change").alias("n"))
-        .where("n > 0")
-    )
-    late = F.col("deleted").isNotNull() & (at > F.col("deleted")) & write
-    early = (F.col("op") == "update") & F.col("known").isNull() & (
-        F.col("first_upsert").isNull() | (at < F.col("first_upsert"))
-    )
-    # A key may hold much of the batch, and its state comes out of an aggregate.
-    found = spread_join(changes, state, key, order)
-    unmatched = found.where(late | early).select(*changes.columns)
-    return snapshot, unmatched
+    unkeyed = changes.where(F.col(key).isNull() & write)
+    return snapshot, _unmatched(base, keyed, key, order).select(*changes.columns).unionByName(unkeyed)
+
+
+def _unmatched(base: DataFrame, changes: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Updates of rows that are not there: what came last before each, an upsert or a delete?
+
+    A key may hold much of the batch, so its changes are cut into stretches of equal width
+    in the first order column.  Inside a stretch a window finds the last upsert or delete;
+    before its first one, what the stretches before it ended with counts, one row each,
+    and before those, whether the table has the key.
+    """
+    stretches = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.col(order[0]).cast("double")
+    low, high = (changes.agg(f(place)).scalar() for f in (F.min, F.max))
+    stretch = F.least(F.floor((place - low) / F.greatest(high - low, F.lit(1e-9)) * stretches), F.lit(stretches - 1))
+    marker = F.when(F.col("op").isin("upsert", "delete"), F.col("op"))
+    placed = changes.withColumns({"_stretch": F.coalesce(stretch, F.lit(0)), "_marker": marker})
+    ends = placed.groupBy(key, "_stretch").agg(F.max_by("_marker", F.when(F.col("_marker").isNotNull(), F.struct(*order))).alias("_end"))
+    earlier = W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    known = base.select(key, F.lit("upsert").alias("_known"))
+    starts = ends.withColumn("_start", F.last("_end", ignorenulls=True).over(earlier)).join(known, key, "left").select(
+        key, "_stretch", F.coalesce("_start", "_known", F.lit("delete")).alias("_start"))
+    inside = W.partitionBy(key, "_stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    told = placed.withColumn("_before", F.last("_marker", ignorenulls=True).over(inside)).where("op = 'update'")
+    return told.join(starts, [key, "_stretch"]).where(F.coalesce("_before", "_start") == "delete")
 
 
 def replace_by_key(rows: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:

@@ -135,6 +135,8 @@ def save_sessions(requests: DataFrame, sessions: DataFrame, profiles: DataFrame,
     order.  ``new_id`` is the id Column of a new session; it must come out the same when a
     request is read again (``sources.sinks.id_from``).  A session opened in the batch can be
     retitled in the same batch.  Every signed-in writer's profile is created or refreshed.
+    ``returned`` answers every request that was carried out with its session as that
+    request left it: the session's columns and ``request_id``.
     """
     now = _as_column(now)
     signed = requests.where(~falsy("user_id"))
@@ -145,7 +147,7 @@ def save_sessions(requests: DataFrame, sessions: DataFrame, profiles: DataFrame,
     retitled = signed.where(~falsy("update_id")).select(
         F.col("update_id").alias("id"), "user_id", "title", "request_id"
     )
-    after, updated, unmatched = update_titles(sessions.unionByName(opened), retitled, now, ["request_id"])
+    after, _, unmatched = update_titles(sessions.unionByName(opened), retitled, now, ["request_id"])
     rejected = requests.where(falsy("user_id")).select(
         "request_id", F.lit(UNAUTHORIZED[0]).alias("status"), F.lit(UNAUTHORIZED[1]).alias("reason")
     ).unionByName(
@@ -156,7 +158,14 @@ def save_sessions(requests: DataFrame, sessions: DataFrame, profiles: DataFrame,
     refreshed = upsert_profiles(
         profiles, signed.select(F.col("user_id").alias("id"), "email", "request_id"), now, ["request_id"]
     )
-    returned = updated.unionByName(opened.join(updated.select("id"), "id", "left_anti").select(*updated.columns))
+    every = sessions.unionByName(opened)
+    answered = retitled.select("id", "user_id", "request_id", stored_title("title").alias("new_title")).join(
+        every, ["id", "user_id"])
+    left = {"title": F.col("new_title"), "updated_at": now}
+    returned = answered.select(
+        "request_id", *[left.get(c, F.col(c)).alias(c) for c in sessions.columns]
+    ).unionByName(signed.where(falsy("update_id")).select("request_id", new_id.alias("id")).join(opened, "id").select(
+        "request_id", *sessions.columns))
     return SavedSessions(after, returned, rejected, refreshed)
 
 

@@ -205,11 +205,15 @@ def read_parsed(v: Column) -> Column:
 
 
 def _attempt(responses: DataFrame, attempt: str) -> DataFrame:
-    return (
+    """The first response to each request's attempt: by ``received_at`` where there is one,
+    then by a hash of the body.  A response that is delivered again does not give a second outcome."""
+    at = [F.col("received_at")] if "received_at" in responses.columns else []
+    read = (
         responses.where(F.col("attempt") == attempt)
-        .select("request_id", F.try_parse_json("body").alias("v"))
-        .select("request_id", read_parsed(F.col("v")).alias(attempt))
+        .select("request_id", F.struct(*at, F.xxhash64("body")).alias("arrival"), F.try_parse_json("body").alias("v"))
+        .select("request_id", "arrival", read_parsed(F.col("v")).alias(attempt))
     )
+    return read.groupBy("request_id").agg(F.min_by(attempt, "arrival").alias(attempt))
 
 
 def needs_fallback(is_vision, state) -> Column:

@@ -1,8 +1,9 @@
 """Constraint checks: one violation row per broken key.
 
-Each check first reduces the table to its distinct offending keys with a map-side
-aggregate.  A key that holds a third of a table is one row per task before anything is
-shuffled, and the referential checks join keys, not rows.
+Every table is read once.  Each of its rows says which constraints it takes part in and under
+which key: as a holder of a unique value, as a child that needs a parent, as a parent, or as
+a violation by itself.  One aggregate over these marks settles all constraints at once; it
+combines map-side, so a key that holds a third of a table is one row per task in the shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ NOT_NULL = {
     "chat_messages": ["session_id", "user_id", "role", "content", "created_at"],
 }
 UNIQUE = {"profiles": ["id", "email"], "chat_sessions": ["id"], "chat_messages": ["id"]}
+FOREIGN = [
+    ("chat_sessions", "user_id", "profiles"),
+    ("chat_messages", "user_id", "profiles"),
+    ("chat_messages", "session_id", "chat_sessions"),
+    ("profiles", "id", "signups"),
+]
 ROLES = ["user", "assistant"]
 
 
@@ -52,6 +59,30 @@ def duplicate_keys(df: DataFrame, table: str, column: str) -> DataFrame:
     return _report(many, table, f"unique:{column}", F.col(column), F.col("count"))
 
 
+def _mark(table: str, constraint: str, key: str, detail=None, parent: bool = False) -> Column:
+    return F.struct(
+        F.lit(table).alias("table"), F.lit(constraint).alias("constraint"),
+        F.col(key).cast("string").alias("key"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
+        F.lit(parent).alias("parent"),
+    )
+
+
+def _marks(df: DataFrame, table: str, tables: set[str]) -> DataFrame:
+    """A row per part that a row of ``table`` has in a constraint."""
+    marks = [F.when(F.col(c).isNull(), _mark(table, f"not_null:{c}", "id", F.lit("is null"))) for c in NOT_NULL.get(table, [])]
+    marks += [F.when(F.col(c).isNotNull(), _mark(table, f"unique:{c}", c)) for c in UNIQUE.get(table, [])]
+    for child, column, parent in FOREIGN:
+        if {child, parent} <= tables:
+            name = f"foreign_key:{column}->{parent}"
+            if child == table:
+                marks.append(F.when(F.col(column).isNotNull(), _mark(child, name, column)))
+            if parent == table:
+                marks.append(F.when(F.col("id").isNotNull(), _mark(child, name, "id", parent=True)))
+    if table == "chat_messages":
+        marks.append(F.when(~F.col("role").isin(ROLES), _mark(table, "check:role", "id", F.col("role"))))
+    return df.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.*")
+
+
 def not_exactly_one(df: DataFrame, wanted: DataFrame, key: str, at_most: bool = False) -> DataFrame:
     """(key, count) of wanted keys that break the "single row" contract.
 
@@ -83,14 +114,17 @@ def check_constraints(
 ) -> DataFrame:
     """Violation report (table, constraint, key, detail) over the whole model."""
     tables = {"profiles": profiles, "chat_sessions": sessions, "chat_messages": messages}
-    parts = [null_violations(df, name) for name, df in tables.items()]
-    parts += [duplicate_keys(tables[name], name, c) for name, cols in UNIQUE.items() for c in cols]
-    parts += [
-        orphans(sessions, "chat_sessions", "user_id", profiles, "profiles"),
-        orphans(messages, "chat_messages", "user_id", profiles, "profiles"),
-        orphans(messages, "chat_messages", "session_id", sessions, "chat_sessions"),
-        bad_roles(messages),
-    ]
     if signups is not None:
-        parts.append(orphans(profiles, "profiles", "id", signups, "signups"))
-    return reduce(DataFrame.unionByName, parts)
+        tables["signups"] = signups
+    marks = reduce(DataFrame.unionByName, [_marks(df, name, set(tables)) for name, df in tables.items()])
+    held = marks.groupBy("table", "constraint", "key", "detail").agg(
+        F.count_if(~F.col("parent")).alias("n"), F.max("parent").alias("has_parent"))
+    # What is wrong by itself is reported row by row, the rest once per key with its rows.
+    itself = F.col("detail").isNotNull()
+    broken = itself | F.when(F.col("constraint").startswith("unique"), F.col("n") > 1).otherwise(
+        ~F.col("has_parent") & (F.col("n") > 0))
+    times = F.when(itself, F.col("n")).otherwise(F.lit(1)).cast("int")
+    return held.where(broken).select(
+        "table", "constraint", "key", F.coalesce("detail", F.col("n").cast("string")).alias("detail"),
+        F.explode(F.array_repeat(F.lit(1), times)).alias("one"),
+    ).drop("one")

@@ -97,6 +97,12 @@ class Tables:
             title.alias("title"),
         )
 
+    def title_edits(self) -> DataFrame:
+        """Title changes in order, every fifth session changed twice."""
+        second = self.title_changes().where(F.col("id") % 5 == 0).select(
+            "id", "user_id", F.concat(F.lit("Again "), text("id")).alias("title"), F.lit(2).alias("seq"))
+        return self.title_changes().withColumn("seq", F.lit(1)).unionByName(second)
+
     def session_requests(self) -> DataFrame:
         """Requests to open or retitle sessions: by owners, strangers and nobody."""
         ident, owner = F.col("id"), F.col("id") % 10
@@ -167,7 +173,7 @@ class Tables:
         """A change log with many changes per profile, from the orders of a customer."""
         order, customer = F.col("o_orderkey"), F.col("o_custkey")
         return self.raw("orders").select(
-            pick(customer, 7, {6: customer + 1000000}, customer).alias("id"),
+            F.when(order % 97 != 0, pick(customer, 7, {6: customer + 1000000}, customer)).alias("id"),
             pick(order, 5, {0: F.lit(None).cast("string"), 1: F.lit("")},
                  F.concat(F.lit("o"), order.cast("string"), F.lit("@example.com"))).alias("email"),
             order.alias("seq"),

@@ -69,6 +69,9 @@ VIEWS = {
                CASE id % 4 WHEN 1 THEN COALESCE(NULLIF(title, ''), 'Untitled chat') WHEN 2 THEN '   '
                            WHEN 3 THEN 'Wrong ' || id ELSE ' Chat ' || id END AS title
         FROM v_sessions""",
+    "v_title_edits": """
+        SELECT id, user_id, title, 1 AS seq FROM v_title_changes
+        UNION ALL SELECT id, user_id, 'Again ' || id, 2 FROM v_title_changes WHERE id % 5 = 0""",
     "v_session_requests": """
         SELECT id AS request_id, CASE WHEN id % 8 = 7 THEN NULL ELSE user_id END AS user_id,
                's' || id % 10 || '@example.com' AS email, title, CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS update_id
@@ -99,7 +102,7 @@ VIEWS = {
                || ',"grade_year":"' || (c_custkey % 12 + 1) || '"}' AS user_metadata
         FROM customer""",
     "v_profile_changes": """
-        SELECT CASE WHEN o_custkey % 7 = 6 THEN o_custkey + 1000000 ELSE o_custkey END AS id,
+        SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_custkey % 7 = 6 THEN o_custkey + 1000000 ELSE o_custkey END AS id,
                CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'o' || o_orderkey || '@example.com' END AS email,
                o_orderkey AS seq,
                CASE o_orderkey % 10 WHEN 0 THEN 'upsert' WHEN 1 THEN 'upsert' WHEN 2 THEN 'delete' ELSE 'update' END AS op

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from parley.functions import replies as reply_functions, text
 from parley.operators import access, attachments, changes, ingest, prompts, quality, replies, sessions, throttle
@@ -48,6 +48,12 @@ def callers(t: Tables, *names: str) -> DataFrame:
 # --- listings and access ------------------------------------------------------------
 
 
+def in_order(listed: DataFrame, *groups: str) -> DataFrame:
+    """``position`` of each row in its group, by the order the rows come out in."""
+    seen = listed.withColumn("seen", F.monotonically_increasing_id())
+    return seen.withColumn("position", F.row_number().over(W.partitionBy(*groups).orderBy("seen")).cast("long")).drop("seen")
+
+
 @query(f"""
     SELECT user_id, id, {or_else('title', "'Untitled chat'")} AS shown_title,
            strftime(last_at, '%Y-%m-%d') AS shown_date, {stamp('last_at')} AS shown_time
@@ -61,18 +67,41 @@ def session_overview(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT user_id, id, {or_else('title', "'Untitled chat'")} AS shown_title, {stamp('updated_at')} AS shown_time
+    SELECT user_id, id, {or_else('title', "'Untitled chat'")} AS shown_title, {stamp('updated_at')} AS shown_time,
+           row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id) AS position
     FROM v_sessions WHERE user_id IN (SELECT id FROM v_profiles)""")
 def list_sessions(t: Tables) -> DataFrame:
     listed = sessions.list_sessions(t.sessions(), callers(t, "chat_sessions"))
-    return listed.select("user_id", "id", "shown_title", "shown_time")
+    return in_order(listed, "user_id").select("user_id", "id", "shown_title", "shown_time", "position")
 
 
 @query("""
-    SELECT user_id, session_id, id, role, content AS text
+    SELECT user_id, session_id, id, role, content AS text,
+           row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS position
     FROM v_messages WHERE user_id IN (SELECT id FROM v_profiles)""")
 def list_messages(t: Tables) -> DataFrame:
-    return sessions.list_messages(t.messages(), callers(t, "chat_messages"))
+    return in_order(sessions.list_messages(t.messages(), callers(t, "chat_messages")), "session_id")
+
+
+@query("""
+    SELECT role, content AS text, row_number() OVER (ORDER BY created_at, id) AS position
+    FROM v_messages WHERE session_id = (SELECT max(session_id) FROM v_messages)""")
+def messages_of_session(t: Tables) -> DataFrame:
+    """What one caller gets to see of one session: the newest, opened by its owner."""
+    newest = t.messages().agg(F.max(F.struct("session_id", "user_id")).alias("m")).first().m
+    return in_order(sessions.list_messages(t.messages(), newest.user_id, newest.session_id))
+
+
+@query("""
+    SELECT 'owner' AS caller, max(session_id) AS id FROM v_messages""")
+def find_session(t: Tables) -> DataFrame:
+    """One session looked up by its owner and by a stranger, who finds nothing."""
+    newest = t.messages().agg(F.max(F.struct("session_id", "user_id")).alias("m")).first().m
+    found = [
+        sessions.find_session(t.sessions(), newest.session_id, uid).select(F.lit(who).alias("caller"), "id")
+        for who, uid in (("owner", newest.user_id), ("stranger", newest.user_id + 1))
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("""
@@ -294,7 +323,7 @@ def delete_sessions(t: Tables) -> DataFrame:
            {stamp(f"COALESCE(p.created_at, {NOW})")} AS created_at,
            {stamp(f"CASE WHEN c.id IS NULL THEN p.updated_at ELSE {NOW} END")} AS updated_at
     FROM v_profiles p FULL JOIN (
-        SELECT id, email FROM v_profile_changes QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) c
+        SELECT id, email FROM v_profile_changes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) c
       ON c.id = p.id""")
 def upsert_profiles(t: Tables) -> DataFrame:
     upserted = changes.upsert_profiles(t.profiles(), t.profile_changes().select("id", "email", "seq"), now(), ["seq"])
@@ -304,23 +333,24 @@ def upsert_profiles(t: Tables) -> DataFrame:
 @query(f"""
     SELECT s.id, s.user_id, CASE WHEN c.id IS NULL THEN s.title ELSE {or_else('c.title', "'New Chat'")} END AS title,
            {stamp(f"CASE WHEN c.id IS NULL THEN s.updated_at ELSE {NOW} END")} AS updated_at
-    FROM v_sessions s LEFT JOIN v_title_changes c ON c.id = s.id AND c.user_id = s.user_id""")
+    FROM v_sessions s LEFT JOIN v_title_edits c ON c.id = s.id AND c.user_id = s.user_id
+     AND NOT EXISTS (SELECT 1 FROM v_title_edits d WHERE d.id = c.id AND d.user_id = c.user_id AND d.seq > c.seq)""")
 def update_titles(t: Tables) -> DataFrame:
-    after, _, _ = changes.update_titles(t.sessions(), t.title_changes(), now())
+    after, _, _ = changes.update_titles(t.sessions(), t.title_edits(), now(), ["seq"])
     return timed(after, "updated_at").select("id", "user_id", "title", "updated_at")
 
 
 @query("""
-    SELECT id, user_id, title FROM v_title_changes c
+    SELECT id, user_id, title, seq FROM v_title_edits c
     WHERE NOT EXISTS (SELECT 1 FROM v_sessions s WHERE s.id = c.id AND s.user_id = c.user_id)""")
 def update_titles_unmatched(t: Tables) -> DataFrame:
-    _, _, unmatched = changes.update_titles(t.sessions(), t.title_changes(), now())
-    return unmatched.select("id", "user_id", "title")
+    _, _, unmatched = changes.update_titles(t.sessions(), t.title_edits(), now(), ["seq"])
+    return unmatched.select("id", "user_id", "title", "seq")
 
 
 @query(f"""
-    SELECT c.id, {trim('c.title')} AS title FROM v_title_changes c JOIN v_sessions s ON s.id = c.id
-    WHERE {trim('c.title')} <> '' AND {trim('c.title')} <> {or_else('s.title', "'Untitled chat'")}""")
+    SELECT c.id, {trim('c.title')} AS title FROM v_title_changes c LEFT JOIN v_sessions s ON s.id = c.id AND s.user_id = c.user_id
+    WHERE {trim('c.title')} <> '' AND (s.id IS NULL OR {trim('c.title')} <> {or_else('s.title', "'Untitled chat'")})""")
 def rename_noop(t: Tables) -> DataFrame:
     return changes.rename_requests(t.title_changes(), t.sessions()).select("id", "title")
 
@@ -353,29 +383,33 @@ def replace_by_key(t: Tables) -> DataFrame:
     return changes.replace_by_key(t.sessions(), changed).select("id", "title")
 
 
-@query(f"""
-    , folded AS (
-        SELECT id, min(seq) FILTER (op = 'upsert') AS first_upsert, min(seq) FILTER (op = 'delete') AS deleted,
-               max(seq) FILTER (op <> 'delete') AS last_write FROM v_profile_changes GROUP BY id)
-    SELECT COALESCE(p.id, f.id) AS id, CASE WHEN f.last_write IS NULL THEN p.email ELSE c.email END AS email, p.age,
-           {stamp(f"COALESCE(p.created_at, {NOW})")} AS created_at,
-           {stamp(f"CASE WHEN f.last_write IS NULL THEN p.updated_at ELSE {NOW} END")} AS updated_at
-    FROM v_profiles p FULL JOIN folded f ON f.id = p.id
-    LEFT JOIN v_profile_changes c ON c.id = f.id AND c.seq = f.last_write
-    WHERE f.deleted IS NULL AND (p.id IS NOT NULL OR f.first_upsert IS NOT NULL)""")
+# Every key's changes, walked through one by one.
+_WALK = f"""
+    , numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM v_profile_changes WHERE id IS NOT NULL),
+    walk AS (
+        SELECT k.id, CAST(0 AS BIGINT) AS n, p.id IS NOT NULL AS there, p.email, p.age, p.created_at, p.updated_at
+        FROM (SELECT id FROM v_profiles UNION SELECT id FROM numbered) k LEFT JOIN v_profiles p ON p.id = k.id
+        UNION ALL
+        SELECT w.id, c.n, CASE c.op WHEN 'delete' THEN false WHEN 'upsert' THEN true ELSE w.there END,
+               CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' OR w.there THEN c.email END,
+               CASE WHEN c.op <> 'delete' THEN w.age END,
+               CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' AND NOT w.there THEN {NOW} ELSE w.created_at END,
+               CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' OR w.there THEN {NOW} END
+        FROM walk w JOIN numbered c ON c.id = w.id AND c.n = w.n + 1)"""
+
+
+@query(f"""{_WALK}
+    SELECT id, email, age, {stamp('created_at')} AS created_at, {stamp('updated_at')} AS updated_at
+    FROM walk w WHERE there AND n = (SELECT count(*) FROM numbered c WHERE c.id = w.id)""")
 def apply_changes(t: Tables) -> DataFrame:
     snapshot, _ = changes.apply_changes(t.profiles(), t.profile_changes(), "id", now(), ["seq"])
     return timed(snapshot, "created_at", "updated_at").select("id", "email", "age", "created_at", "updated_at")
 
 
-@query("""
-    SELECT c.id, c.seq, c.op
-    FROM v_profile_changes c
-    JOIN (SELECT id, min(seq) FILTER (op = 'upsert') AS first_upsert, min(seq) FILTER (op = 'delete') AS deleted
-          FROM v_profile_changes GROUP BY id) f ON f.id = c.id
-    LEFT JOIN v_profiles p ON p.id = c.id
-    WHERE (c.op <> 'delete' AND c.seq > f.deleted)
-       OR (c.op = 'update' AND p.id IS NULL AND (f.first_upsert IS NULL OR c.seq < f.first_upsert))""")
+@query(f"""{_WALK}
+    SELECT c.id, c.seq, c.op FROM walk w JOIN numbered c ON c.id = w.id AND c.n = w.n + 1 WHERE c.op = 'update' AND NOT w.there
+    UNION ALL SELECT id, seq, op FROM v_profile_changes WHERE id IS NULL AND op <> 'delete'""")
 def apply_changes_unmatched(t: Tables) -> DataFrame:
     _, unmatched = changes.apply_changes(t.profiles(), t.profile_changes(), "id", now(), ["seq"])
     return unmatched.select("id", "seq", "op")
@@ -406,12 +440,12 @@ def save_sessions(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT request_id + CASE WHEN update_id IS NULL THEN 5000000 ELSE 0 END AS id, {or_else('title', "'New Chat'")} AS title
+    SELECT request_id, request_id + CASE WHEN update_id IS NULL THEN 5000000 ELSE 0 END AS id, {or_else('title', "'New Chat'")} AS title
     FROM v_session_requests r
     WHERE user_id IS NOT NULL
       AND (update_id IS NULL OR EXISTS (SELECT 1 FROM v_sessions s WHERE s.id = r.update_id AND s.user_id = r.user_id))""")
 def save_sessions_returned(t: Tables) -> DataFrame:
-    return _saved_sessions(t).returned.select("id", "title")
+    return _saved_sessions(t).returned.select("request_id", "id", "title")
 
 
 @query("""
@@ -531,6 +565,16 @@ def join_pages(t: Tables) -> DataFrame:
     return attachments.join_pages(t.pages())
 
 
+@query(f"""
+    SELECT doc_id AS file_id,
+           substring({trim("CASE WHEN doc_id % 3 = 0 THEN '  ' || chr(10) || chr(10) ELSE '' END || text")}, 1, 8000) AS text
+    FROM documents""")
+def join_pages_sparse(t: Tables) -> DataFrame:
+    """The same pages under numbers with gaps, small ones and large."""
+    spaced = F.col("page_no") * F.when(F.col("file_id") % 2 == 0, 10).otherwise(1_000_003)
+    return attachments.join_pages(t.pages().withColumn("page_no", spaced))
+
+
 @query("""
     SELECT CAST(p_partkey AS BIGINT) AS id, CAST(round(w * s) AS INTEGER) AS width, CAST(round(h * s) AS INTEGER) AS height
     FROM (SELECT *, CASE WHEN greatest(w, h) > 1280 THEN 1280.0::DOUBLE / greatest(w, h) ELSE 1.0::DOUBLE END AS s

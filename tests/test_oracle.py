@@ -7,10 +7,12 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare, connect
 
+from parley.plans import registry
+
 FOLDER = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
-ORACLES = entry.oracle_sql()
+ORACLES = registry.ORACLES
 # Sessions with random ids and other queries SQL cannot state would be listed here.
-UNCHECKED = set(entry.queries()) - set(ORACLES)
+UNCHECKED = set(registry.QUERIES) - set(ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,7 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
-    ok, rows, message = compare(spark, duck, FOLDER, entry.queries()[name], ORACLES[name])
+    ok, rows, message = compare(spark, duck, FOLDER, registry.QUERIES[name], ORACLES[name])
     assert ok, message
     assert rows > 0
 
@@ -31,3 +33,7 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_has_all_queries():
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

@@ -110,6 +110,15 @@ def test_resolution(spark):
     assert again[0]["messages"][1]["content"] == "m\n\nImage attachments: p.png, image"
 
 
+def test_a_response_that_comes_again(spark):
+    asked = requests(spark, ("m", []))
+    twice = spark.createDataFrame(
+        [(0, "primary", answer("late"), 2), (0, "primary", answer("first"), 1)],
+        "request_id long, attempt string, body string, received_at int")
+    assert [(r.outcome, r.text) for r in P.resolve_responses(asked, twice).collect()] == [("answer", "first")]
+    assert P.resolve_responses(asked, twice.drop("received_at")).count() == 1
+
+
 def test_preview(spark):
     df = requests(spark, ("m", [text_file("t", "secret"), image("i", "data:1")]))
     got = df.select(P.attachment_preview("attachments").alias("p"), P.has_images("attachments").alias("h")).first()

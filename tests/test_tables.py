@@ -85,8 +85,10 @@ def test_upsert_keeps_other_columns(spark):
 
 def test_titles(spark):
     base = sessions_of(spark, (1, 7, "a"), (2, 7, None), (3, 8, "c"))
-    new = spark.createDataFrame([(1, 7, "b"), (2, 7, ""), (3, 7, "x"), (9, 7, "y")], "id long, user_id long, title string")
-    after, updated, unmatched = changes.update_titles(base, new, now())
+    new = spark.createDataFrame(
+        [(1, 7, "early", 1), (1, 7, "b", 2), (2, 7, "", 1), (3, 7, "x", 1), (9, 7, "y", 1)],
+        "id long, user_id long, title string, seq int")
+    after, updated, unmatched = changes.update_titles(base, new, now(), ["seq"])
     assert rows_of(after, "id", "title", "updated_at") == [(1, "b", NOW), (2, "New Chat", NOW), (3, "c", OLD)]
     assert rows_of(updated, "id", "title") == [(1, "b"), (2, "New Chat")]
     assert rows_of(unmatched, "id") == [(3,), (9,)]
@@ -95,9 +97,11 @@ def test_titles(spark):
 def test_renames_that_change_nothing(spark):
     base = sessions_of(spark, (1, 7, "a"), (2, 7, ""), (3, 7, "c"))
     new = spark.createDataFrame(
-        [(1, " a "), (2, "Untitled chat"), (3, "  "), (3, None), (3, "d"), (9, "e")], "id long, title string"
+        [(1, 7, " a "), (1, 8, "a"), (2, 7, "Untitled chat"), (3, 7, "  "), (3, 7, None), (3, 7, "d"), (9, 7, "e")],
+        "id long, user_id long, title string",
     )
-    assert rows_of(changes.rename_requests(new, base)) == [(3, "d"), (9, "e")]
+    # A stranger's rename goes on, to be refused by the update.
+    assert rows_of(changes.rename_requests(new, base)) == [(1, 8, "a"), (3, 7, "d"), (9, 7, "e")]
 
 
 def test_deletes_cascade_and_ignore_strangers(spark):
@@ -122,18 +126,22 @@ def mixed(spark, *rows):
 
 
 def test_mixed_changes(spark):
-    base = profiles_of(spark, (1, "a"), (2, "b"), (3, "c"), (4, "d"))
+    base = profiles_of(spark, (1, "a"), (2, "b"), (3, "c"), (4, "d"), (10, "old"))
     batch = mixed(
         spark, (1, "update", "a1", 1), (1, "update", "a2", 2), (2, "delete", None, 1), (2, "update", "late", 2),
         (3, "update", "c1", 1), (3, "delete", None, 2), (5, "update", "early", 1), (5, "upsert", "e", 2),
         (5, "update", "e2", 3), (6, "update", "none", 1), (7, "delete", None, 1), (8, "upsert", "h", 1),
+        (9, "delete", None, 1), (9, "upsert", "i", 2), (10, "delete", None, 1), (10, "update", "gone", 2),
+        (10, "upsert", "j", 3), (10, "update", "j2", 4), (None, "upsert", "k", 1), (None, "update", "l", 2), (None, "delete", None, 3),
     )
     snapshot, unmatched = changes.apply_changes(base, batch, "id", now(), ["seq"])
     assert rows_of(snapshot, "id", "email", "created_at", "updated_at") == [
-        (1, "a2", OLD, NOW), (4, "d", OLD, OLD), (5, "e2", NOW, NOW), (8, "h", NOW, NOW),
+        (1, "a2", OLD, NOW), (4, "d", OLD, OLD), (5, "e2", NOW, NOW), (8, "h", NOW, NOW), (9, "i", NOW, NOW), (10, "j2", NOW, NOW),
     ]
-    assert rows_of(unmatched, "id", "seq") == [(2, 2), (5, 1), (6, 1)]
-    again, _ = changes.apply_changes(snapshot, batch.where("op = 'upsert'"), "id", now(), ["seq"])
+    # A row that was created anew has nothing of the old one.
+    assert snapshot.where("id = 10").first().first_name is None
+    assert sorted(rows_of(unmatched, "id", "seq"), key=str) == sorted([(2, 2), (5, 1), (6, 1), (10, 2), (None, 1), (None, 2)], key=str)
+    again, _ = changes.apply_changes(snapshot, batch.where("op = 'upsert' AND id IS NOT NULL"), "id", now(), ["seq"])
     assert rows_of(again, "id") == rows_of(snapshot, "id")
 
 
@@ -199,7 +207,8 @@ def test_saving_and_deleting_sessions(spark):
     )
     # Request 2 retitles the session that request 1 has opened.
     assert rows_of(saved.sessions, "id", "title", "created_at") == [(5, "mine", OLD), (101, "second", NOW)]
-    assert rows_of(saved.returned, "id", "title") == [(5, "mine"), (101, "second")]
+    # Each request is answered.
+    assert rows_of(saved.returned, "request_id", "id", "title") == [(1, 101, "New Chat"), (2, 101, "second"), (5, 5, "mine")]
     assert rows_of(saved.rejected, "request_id", "status") == [(3, 500), (4, 401)]
     assert rows_of(saved.profiles, "id", "email") == [(7, "d@x"), (8, "c@x")]
 
