@@ -17,7 +17,9 @@ A document's set holds its distinct word windows.  Documents are linked when
    after ``LEVELS`` levels is compared exhaustively in blocks, so no node is left out.
    Classes that are in one group already are not compared again.
 5. Comparing means: signatures first (pairs that agree in under ``LEAST_AGREE`` of their
-   tokens are dropped), then the full sets.  Only confirmed links count.
+   tokens are dropped), then the full sets.  Candidates travel as clusters of bounded size,
+   not as pairs, and of a cluster's confirmed links only as many come out as connect its
+   members.
 
 Recall: a pair at the threshold shares a node of a tree with probability 0.63 on level 1,
 0.47 on level 2, 0.37 on level 3; with 16 trees it is missed with probability 1e-7, 4e-5 and
@@ -128,65 +130,55 @@ def branch(rows: DataFrame, percent: int, trees: int = 0) -> DataFrame:
     return rows.mapInArrow(step, "node long, doc_id long")
 
 
-def _similar(pairs: DataFrame, percent: int) -> DataFrame:
-    """Rows of (a, b, n_a, n_b, sketch_a, sketch_b) that may be links, as distinct (a, b)."""
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of signature bytes that agree, along the last axis."""
+    return (x == y).mean(-1)
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(batch.num_rows, -1) for c in (2, 3))
-            keep = pa.array((x == y).mean(1) >= LEAST_AGREE) if batch.num_rows else pa.array([], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
 
-    near_size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    narrow = pairs.where(near_size).select("a", "b", "sketch_a", "sketch_b")
-    return narrow.mapInArrow(agree, "a long, b long").distinct()
+def _pivot_pairs(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Each class of a larger node with the node's least document, as pairs of members."""
+    pivots = written(nodes.where(F.col("n") > SMALL).join(classes.select(
+        F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "pivot"),
+        "neardup-pivots")
+    met = spread_join(rows.where(F.col("n") > SMALL).select("node", "doc_id"), pivots, "node", ["doc_id"])
+    told = met.where("doc_id <> pivot").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    near_size = F.least("n_a", "n_shingles") * 100 >= F.greatest("n_a", "n_shingles") * percent
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(batch.num_rows, -1) for c in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array(_agree(x, y) >= LEAST_AGREE))
 
-def confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    pairs = told.where(near_size).select("pivot", "doc_id", "sketch_a", "sketch").mapInArrow(near, "pivot long, doc_id long")
+    return pairs.select(F.array("pivot", "doc_id").alias("members"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in slices(batches, 128):
-            x, in_x = shingle_sets(batch.column(2), hasher, width)
-            y, in_y = shingle_sets(batch.column(3), hasher, width)
-            n = batch.num_rows
-            both, text = np.concatenate([x, y]), np.concatenate([in_x, in_y])
-            order = np.lexsort((both, text))
-            both, text = both[order], text[order]
-            twice = (both[1:] == both[:-1]) & (text[1:] == text[:-1])
-            shared = np.bincount(text[1:][twice], minlength=n)
-            union = np.bincount(in_x, minlength=n) + np.bincount(in_y, minlength=n) - shared
-            yield batch.select([0, 1]).filter(pa.array((100 * shared >= percent * union) & (shared > 0)))
-
-    asked = written(pairs, "neardup-pairs")
-    ids = asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(documents.join(small(ids), "doc_id", "left_semi"), "neardup-texts")
-    with_b = asked.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    partners = asked.groupBy("a").agg(F.count("*").alias("n"))
-    of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(partners, "a")
-    with_both = spread_join(with_b, of_a, "a", ["b"]).select("a", "b", "text_a", "text_b")
-    return written(with_both.mapInArrow(compare, "a long, b long").distinct(), "neardup-links")
-
-
-def _all_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different labels within bounded groups of structs (doc_id, label, n, sketch)."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clusters(groups: DataFrame, percent: int) -> DataFrame:
+    """Of bounded groups of structs (doc_id, label, n, sketch), the sets of members that may
+    be linked across labels: connected by pairs whose signatures agree enough."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            a, b = [], []
+            found = []
             for members in batch.column(0).to_pylist():
                 sketch = np.frombuffer(b"".join(m["sketch"] for m in members), "u1").reshape(len(members), -1)
                 doc, label, n = (np.array([m[c] for m in members]) for c in ("doc_id", "label", "n"))
-                for i in range(len(members) - 1):
-                    near = (label[i + 1:] != label[i]) & ((sketch[i + 1:] == sketch[i]).mean(1) >= LEAST_AGREE) & (
+                order = np.argsort(doc)
+                doc, label, n, sketch = doc[order], label[order], n[order], sketch[order]
+                group = np.arange(len(doc))
+                for i in range(len(doc) - 1):
+                    near = (label[i + 1:] != label[i]) & (_agree(sketch[i + 1:], sketch[i]) >= LEAST_AGREE) & (
                         100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i]))
-                    other = doc[i + 1:][near]
-                    a.append(np.minimum(other, doc[i]))
-                    b.append(np.maximum(other, doc[i]))
-            yield pa.record_batch([pa.array(np.concatenate(x) if x else np.zeros(0, "i8")) for x in (a, b)], ["a", "b"])
+                    for j in np.flatnonzero(near) + i + 1:
+                        if group[j] != group[i]:
+                            group[group == group[j]] = group[i]
+                for g, size in zip(*np.unique(group, return_counts=True), strict=True):
+                    if size > 1:
+                        found.append(doc[group == g].tolist())
+            yield pa.record_batch([pa.array(found, pa.list_(pa.int64()))], ["members"])
 
-    return groups.mapInArrow(compare, "a long, b long").distinct()
+    return groups.mapInArrow(gather, "members array<long>")
 
 
 def _small_nodes(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -195,18 +187,7 @@ def _small_nodes(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     groups = told.groupBy("node").agg(F.collect_list(
         F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch")).alias("members"))
-    return _all_pairs(groups.select("members"), percent)
-
-
-def _pivots(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Comparison of every class of a larger node with the node's least document."""
-    pivots = written(nodes.where(F.col("n") > SMALL).join(classes.select(
-        F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "pivot"),
-        "neardup-pivots")
-    met = spread_join(rows.where(F.col("n") > SMALL).select("node", "doc_id"), pivots, "node", ["doc_id"])
-    told = met.where("doc_id <> pivot").join(classes.select(
-        "doc_id", F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")), "doc_id")
-    return _similar(told.withColumnsRenamed({"pivot": "a", "doc_id": "b"}), percent)
+    return _clusters(groups.select("members"), percent)
 
 
 def _blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -218,7 +199,58 @@ def _blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     told = met.select("node", "doc_id", "label", "own", "other").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     groups = told.groupBy("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
         F.collect_list(F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch")).alias("members"))
-    return _all_pairs(groups.select("members"), percent)
+    return _clusters(groups.select("members"), percent)
+
+
+def shared_sizes(hashes: np.ndarray, member: np.ndarray, k: int) -> np.ndarray:
+    """k x k sizes of the intersections of k sets, given as hashes and their set's number."""
+    every, at = np.unique(hashes, return_inverse=True)
+    if k * len(every) <= 20_000_000:
+        held = np.zeros((k, len(every)), "f4")
+        held[member, at] = 1
+        return np.rint(held @ held.T).astype("i8")
+    sets = [at[member == i] for i in range(k)]
+    return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in sets] for x in sets])
+
+
+def confirmed(candidates: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) by the full sets, among the ``members`` of each candidate row: enough of
+    them to connect all members that links connect, so fewer than there are members."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in slices(batches, 32):
+            lists = batch.column(0)
+            k = np.diff(lists.offsets.to_numpy())
+            members = lists.flatten()
+            doc, text = (members.field(i) for i in range(2))
+            doc = doc.to_numpy(zero_copy_only=False)
+            hashes, member = shingle_sets(text, hasher, width)
+            size = np.bincount(member, minlength=len(doc))
+            a, b = [], []
+            at, stop = 0, np.concatenate([[0], np.cumsum(size)])
+            for n in k:
+                own = slice(stop[at], stop[at + n])
+                shared = shared_sizes(hashes[own], member[own] - at, n)
+                union = size[at:at + n, None] + size[None, at:at + n] - shared
+                group = np.arange(n)
+                for i, j in np.argwhere(np.triu((100 * shared >= percent * union) & (shared > 0), 1)):
+                    if group[i] != group[j]:
+                        group[group == group[j]] = group[i]
+                        a.append(min(doc[at + i], doc[at + j]))
+                        b.append(max(doc[at + i], doc[at + j]))
+                at += n
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    asked = written(candidates.distinct().select(
+        F.xxhash64("members").alias("cluster"), F.explode("members").alias("doc_id")), "neardup-candidates")
+    times = asked.groupBy("doc_id").agg(F.count("*").alias("n"))
+    texts = written(documents.join(small(times), "doc_id"), "neardup-texts")
+    # A pivot may be asked for by very many.
+    told = spread_join(asked, texts, "doc_id", ["cluster"])
+    groups = told.groupBy("cluster").agg(F.collect_list(F.struct("doc_id", "text")).alias("members"))
+    links = groups.select("members").mapInArrow(compare, "a long, b long")
+    return written(links.where("a <> b").distinct(), "neardup-links")
 
 
 def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, percent: int,
@@ -231,11 +263,11 @@ def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, perc
         nodes = written(_mixed(rows), "neardup-mixed")
         together = written(spread_join(rows, nodes.withColumn("size", F.col("n")), "node", ["doc_id"])
                            .withColumnRenamed("size", "n"), "neardup-shared")
-        near = _small_nodes(together, classes, percent)
+        candidates = _small_nodes(together, classes, percent)
         large = not nodes.where(F.col("n") > SMALL).isEmpty()
         if large:
-            near = near.unionByName(_pivots(together, nodes, classes, percent)).distinct()
-        labels.link(confirmed(near, documents, width, percent))
+            candidates = candidates.unionByName(_pivot_pairs(together, nodes, classes, percent))
+        labels.link(confirmed(candidates, documents, width, percent))
         if not large:
             return labels
         rows = written(labels.attach(together.where(F.col("n") > SMALL).select("node", "doc_id"), "doc_id"), "neardup-large")
