@@ -42,11 +42,6 @@ def host_suffixes(host: Column) -> Column:
     return F.filter(every, lambda x: x != "")
 
 
-def path_prefixes(path: Column, lengths: Column) -> Column:
-    fitting = F.filter(lengths, lambda n: n <= F.char_length(path))
-    return F.transform(fitting, lambda n: F.substring(path, F.lit(1), n))
-
-
 def digested(rules: DataFrame) -> DataFrame:
     """Rules (host, path, verdict) with their digest and its prefix, each rule once."""
     # The greatest of equals: block comes after allow.
@@ -71,10 +66,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     known = digested(rules)
     # The distinct lengths of the rules' paths, no more than the longest has characters.
     lengths = known.agg(F.array_sort(F.collect_set("path_length"))).scalar()
-    found = told.where("host <> ''").select("host", "path").distinct()
-    spelt = found.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).select(
-        "host", "path", F.explode(path_prefixes(F.col("path"), lengths)).alias("start"), "suffix").select(
-        "host", "path", F.sha2(_spelt(F.col("suffix"), F.col("start")), 256).alias("digest"))
+    found = told.where("host <> ''").select("host", "path").distinct().withColumn("lengths", lengths)
+    suffixed = found.select("host", "path", "lengths", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
+    cut = suffixed.select("host", "path", "suffix", F.explode("lengths").alias("cut")).where(F.col("cut") <= F.char_length("path"))
+    start = F.substring("path", F.lit(1), F.col("cut"))
+    spelt = cut.select("host", "path", F.sha2(_spelt(F.col("suffix"), start), 256).alias("digest"))
     met = spelt.withColumn("prefix", F.substring("digest", 1, PREFIX)).join(small(known), "prefix").where("digest = rule_digest")
     best = met.groupBy("host", "path").agg(F.max_by(
         F.struct("rule", "rule_verdict"), F.struct("rule_length", "host_length", "rule_verdict")).alias("won"))
