@@ -198,7 +198,7 @@ def join_pages(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     in page order, trimmed, cut to ``max_chars``.  Returns (file_id, text).
 
     Page numbers may have gaps of any size.  From the first page with text on, each page
-    adds at least its newline, so a page is needed only if fewer than ``max_chars``
+    adds at least its newline, so a page is needed only if at most ``max_chars``
     characters stand before it.  The pages' lengths, summed up in page order, tell which
     ones those are; the sum stops at ``max_chars`` pages, and a task keeps no more than that
     of a document before its pages meet.
@@ -220,7 +220,7 @@ def join_pages(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
         "rank": F.row_number().over(W.partitionBy("file_id").orderBy("page_no", "text")),
         "before": F.sum(length).over(so_far) - length,
     })
-    needed = measured.where((F.col("rank") <= max_chars + 1) & (F.col("before") < max_chars))
+    needed = measured.where((F.col("rank") <= max_chars + 1) & (F.col("before") <= max_chars))
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))["text"]
     joined = needed.groupBy("file_id").agg(js_slice(F.array_join(ordered, "\n"), max_chars).alias("text"))
     blank = bounds.where(F.col("first").isNull()).select("file_id", F.lit("").alias("text"))

@@ -140,7 +140,7 @@ def test_mixed_changes(spark):
     ]
     # A row that was created anew has nothing of the old one.
     assert snapshot.where("id = 10").first().first_name is None
-    assert sorted(rows_of(unmatched, "id", "seq"), key=str) == sorted([(2, 2), (5, 1), (6, 1), (10, 2), (None, 1), (None, 2)], key=str)
+    assert sorted(((r.id, r.seq) for r in unmatched.collect()), key=str) == sorted([(2, 2), (5, 1), (6, 1), (10, 2), (None, 1), (None, 2)], key=str)
     again, _ = changes.apply_changes(snapshot, batch.where("op = 'upsert' AND id IS NOT NULL"), "id", now(), ["seq"])
     assert rows_of(again, "id") == rows_of(snapshot, "id")
 
