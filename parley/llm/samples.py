@@ -14,12 +14,15 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, label) of the ``most`` labelled documents with the least hashes, held-out
-    ones left out; a document with several labels has the least, and the first of its texts."""
+    ones left out; a document with several labels has the least, and the least of its texts.
+
+    Only ids are ordered; the texts of those drawn are dealt over all cores.
+    """
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.min(label).cast("int").alias("label"))
-    # Twice as many ids as rows wanted: a label need not have a document.
-    drawn = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(2 * most)
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        small(drawn, 2 * most), "doc_id")
-    once = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("h").alias("h"))
-    return once.orderBy("h", "doc_id").limit(most).select("doc_id", "text", "label")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    there = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    drawn = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    found = texts.join(small(drawn, most), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("label").alias("label"))
+    return found.repartition(documents.sparkSession.sparkContext.defaultParallelism)

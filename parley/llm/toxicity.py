@@ -235,7 +235,8 @@ def telling_words(sample: DataFrame, most: int) -> np.ndarray:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    drawn = written(labelled(documents, labels, "toxic", sample), "toxicity-sample")
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    drawn = written(labelled(documents, labels, "toxic", sample), "toxicity-sample").repartition(cores)
     known = telling_words(drawn, WORDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
