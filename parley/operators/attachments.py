@@ -188,6 +188,16 @@ def ingest_attachments(
     return Attachments(attached, file_errors.unionByName(cap_errors), batch_status)
 
 
+def for_messages(attached: DataFrame) -> DataFrame:
+    """(batch_id, attachments): what a message sends along, in order, as requests need it.
+
+    A batch has no more attachments than slots, so the arrays are that short.
+    """
+    one = F.struct("pos", "type", "name", "content", "dataUrl")
+    ordered = F.transform(F.array_sort(F.collect_list(one)), lambda a: a.dropFields("pos"))
+    return attached.groupBy("batch_id").agg(ordered.alias("attachments"))
+
+
 def remove_attachment(attachments, index: int) -> Column:
     """The list without the element at the 0-based ``index``."""
     return F.filter(attachments, lambda _, i: i != index)

@@ -15,7 +15,11 @@ from parley.session import configure
 T0 = 1704067200  # 2024-01-01 00:00:00 UTC
 NOW = "2024-06-01 12:00:00"
 SCHEMAS: dict = {}
-EXTENSIONS = [".txt", ".MD", ".csv", ".pdf", ".docx", ".png", ".zip"]
+EXTENSIONS = [
+    ".txt", ".MD", ".csv", ".json", ".js", ".ts", ".py", ".java", ".html", ".css", ".pdf", ".docx",
+    ".png", ".JPG", ".jpeg", ".webp", ".gif", ".bmp", ".zip",
+]
+DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
 
 def now() -> Column:
@@ -220,15 +224,18 @@ class Tables:
     def files(self) -> DataFrame:
         doc = F.col("doc_id")
         batch = F.expr("doc_id div 8")
-        extension = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (doc % 7 + 1).cast("int"))
+        extension = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (doc % 19 + 1).cast("int"))
         return self.raw("documents").select(
             batch.alias("batch_id"),
             (doc % 8).alias("pos"),
             F.concat(F.lit("doc"), text("doc_id"), extension).alias("name"),
-            pick(doc, 13, {0: F.lit("text/plain")}, F.lit("")).alias("mime"),
+            pick(doc, 13, {0: F.lit("text/plain"), 1: F.lit("application/pdf"), 2: F.lit(DOCX), 3: F.lit("image/tiff"),
+                           4: F.lit(None).cast("string")}, F.lit("")).alias("mime"),
             (F.col("n_chars") * 4096).alias("size"),
             pick(doc, 17, {0: F.lit(" \t\n ")}, F.col("text")).alias("text"),
             (batch % 3).cast("int").alias("pending"),
+            (doc % 23 == 5).alias("failed"),
+            pick(doc, 4, {1: F.lit("")}, F.concat(F.lit("data:image/jpeg;base64,"), text("doc_id"))).alias("data_url"),
         )
 
     def pages(self) -> DataFrame:
@@ -239,9 +246,9 @@ class Tables:
         return explode_rows(paged, "pages", "page_no", "text")
 
     def attachments(self) -> DataFrame:
-        """Ten documents for each conversation, as (session_id, attachments)."""
+        """Six documents for each conversation, as (session_id, attachments)."""
         doc = F.col("doc_id")
-        session = F.expr("doc_id div 10")
+        session = F.expr("doc_id div 6")
         none = F.lit(None).cast("string")
         image = (session % 2 == 0) & (doc % 7 == 5)
         flat = self.raw("documents").select(
@@ -255,7 +262,7 @@ class Tables:
                                    F.concat(F.lit("data:image/jpeg;base64,"), text("doc_id")))).alias("dataUrl"),
             ).alias("a"),
         )
-        # At most ten per group, by the rule of the key.
+        # At most six per group, by the rule of the key.
         ordered = F.transform(F.array_sort(F.collect_list("a")), lambda a: a.dropFields("pos"))
         return flat.groupBy("session_id").agg(ordered.alias("attachments"))
 

@@ -124,42 +124,47 @@ VIEWS = {
         FROM v_messages""",
     "v_files": """
         SELECT doc_id // 8 AS batch_id, doc_id % 8 AS pos,
-               'doc' || doc_id || (['.txt', '.MD', '.csv', '.pdf', '.docx', '.png', '.zip'])[doc_id % 7 + 1] AS name,
-               CASE WHEN doc_id % 13 = 0 THEN 'text/plain' ELSE '' END AS mime, n_chars * 4096 AS size,
+               'doc' || doc_id || (['.txt', '.MD', '.csv', '.json', '.js', '.ts', '.py', '.java', '.html', '.css', '.pdf',
+                                   '.docx', '.png', '.JPG', '.jpeg', '.webp', '.gif', '.bmp', '.zip'])[doc_id % 19 + 1] AS name,
+               CASE doc_id % 13 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf'
+                    WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+                    WHEN 3 THEN 'image/tiff' WHEN 4 THEN NULL ELSE '' END AS mime, n_chars * 4096 AS size,
                CASE WHEN doc_id % 17 = 0 THEN ' ' || chr(9) || chr(10) || ' ' ELSE text END AS text,
-               (doc_id // 8) % 3 AS pending
+               (doc_id // 8) % 3 AS pending, doc_id % 23 = 5 AS failed,
+               CASE WHEN doc_id % 4 = 1 THEN '' ELSE 'data:image/jpeg;base64,' || doc_id END AS data_url
         FROM documents""",
     "v_examined": f"""
         SELECT *, CASE kind WHEN 'too_large' THEN 'file is too large (max 8MB).'
                             WHEN 'unsupported' THEN 'unsupported file type.'
-                            WHEN 'image' THEN NULL
-                            ELSE CASE WHEN content <> '' THEN NULL
+                            ELSE CASE WHEN failed THEN 'unreadable file or processing failed.'
+                                      WHEN kind = 'image' THEN NULL WHEN content <> '' THEN NULL
                                       WHEN kind = 'text' THEN 'text file appears empty or unreadable.'
                                       ELSE 'could not extract readable text from ' || upper(kind) || '.' END END AS fault
         FROM (SELECT *, substring({trim('text')}, 1, 8000) AS content,
                      CASE WHEN size > 8388608 THEN 'too_large'
                           WHEN mime LIKE 'text/%' OR regexp_matches(lower(name), '\\.(txt|md|csv|json|js|ts|py|java|html|css)$') THEN 'text'
-                          WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN lower(name) LIKE '%.docx' THEN 'docx'
-                          WHEN regexp_matches(lower(name), '\\.(png|jpe?g|webp|gif|bmp)$') THEN 'image'
+                          WHEN mime = 'application/pdf' OR lower(name) LIKE '%.pdf' THEN 'pdf'
+                          WHEN mime LIKE '%wordprocessingml.document' OR lower(name) LIKE '%.docx' THEN 'docx'
+                          WHEN mime LIKE 'image/%' OR regexp_matches(lower(name), '\\.(png|jpe?g|webp|gif|bmp)$') THEN 'image'
                           ELSE 'unsupported' END AS kind,
                      row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS slot
               FROM v_files)
         WHERE slot <= greatest(0, 6 - pending)""",
     "v_errors": """
-        SELECT batch_id, pos, CASE kind WHEN 'text' THEN 'empty_text' WHEN 'pdf' THEN 'empty_pdf'
-                                        WHEN 'docx' THEN 'empty_docx' ELSE kind END AS code,
+        SELECT batch_id, pos, CASE WHEN kind IN ('too_large', 'unsupported') THEN kind WHEN failed THEN 'failed'
+                                   WHEN kind = 'text' THEN 'empty_text' WHEN kind = 'pdf' THEN 'empty_pdf' ELSE 'empty_docx' END AS code,
                name || ': ' || fault AS message
         FROM v_examined WHERE fault IS NOT NULL
         UNION ALL
         SELECT batch_id, -1, 'over_cap', 'Only 6 attachments are allowed.'
         FROM v_files GROUP BY batch_id HAVING count(*) > greatest(0, 6 - max(pending))""",
     "v_attachments": """
-        SELECT doc_id // 10 AS session_id, doc_id AS pos,
+        SELECT doc_id // 6 AS session_id, doc_id AS pos,
                CASE WHEN img THEN 'image' ELSE 'text' END AS type,
                CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'doc' || doc_id END AS name,
                CASE WHEN img THEN NULL WHEN doc_id % 17 = 0 THEN '' ELSE text END AS content,
                CASE WHEN NOT img THEN NULL WHEN doc_id % 4 = 1 THEN '' ELSE 'data:image/jpeg;base64,' || doc_id END AS dataUrl
-        FROM (SELECT *, (doc_id // 10) % 2 = 0 AND doc_id % 7 = 5 AS img FROM documents)""",
+        FROM (SELECT *, (doc_id // 6) % 2 = 0 AND doc_id % 7 = 5 AS img FROM documents)""",
     "v_first_turns": """
         SELECT session_id, min(id) AS id FROM v_messages WHERE role = 'user' GROUP BY session_id""",
     "v_request_files": """

@@ -7,11 +7,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from parley import schemas
 from parley.functions import replies as reply_functions, text
 from parley.operators import access, attachments, changes, ingest, prompts, quality, replies, sessions, throttle
 from parley.plans import oracle
 from parley.plans.explode import explode_rows
-from parley.plans.fixtures import StreamedTables, Tables, now
+from parley.plans.fixtures import StreamedTables, Tables, now, pick
 from parley.plans.oracle import NOW, SYSTEM, or_else, stamp, title, trim
 from parley.session import run_folder
 from parley.sources import sinks, tables as readers
@@ -505,10 +506,11 @@ def attachment_route(t: Tables) -> DataFrame:
 
 @query("""
     SELECT batch_id, pos, CASE WHEN kind = 'image' THEN 'image' ELSE 'text' END AS type, name,
-           CASE WHEN kind = 'image' THEN NULL ELSE content END AS content
+           CASE WHEN kind = 'image' THEN NULL ELSE content END AS content,
+           CASE WHEN kind = 'image' THEN data_url END AS data_url
     FROM v_examined WHERE fault IS NULL""")
 def ingest_attachments(t: Tables) -> DataFrame:
-    return attachments.ingest_attachments(t.files()).attached.drop("dataUrl")
+    return attachments.ingest_attachments(t.files()).attached.withColumnRenamed("dataUrl", "data_url")
 
 
 @query("""
@@ -597,7 +599,7 @@ def outgoing_messages(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT a.request_id, a.pos % 10 AS pos, a.type, a.name, a.dataUrl AS data_url
+    SELECT a.request_id, a.pos % 6 AS pos, a.type, a.name, a.dataUrl AS data_url
     FROM v_request_files a JOIN v_outgoing o ON o.id = a.request_id""")
 def attachment_preview(t: Tables) -> DataFrame:
     preview = _outgoing(t).select("request_id", prompts.attachment_preview("attachments").alias("preview"))
@@ -660,6 +662,44 @@ def image_names(t: Tables) -> DataFrame:
     )
 
 
+@query(f"""
+    , sent AS (
+        SELECT f.id AS request_id, e.pos, e.name, e.kind, e.content, e.data_url,
+               row_number() OVER (PARTITION BY f.id, e.kind = 'image' ORDER BY e.pos) AS k
+        FROM v_first_turns f JOIN v_examined e ON e.batch_id = f.session_id WHERE e.fault IS NULL),
+    files AS (
+        SELECT request_id, count(*) AS n, count(*) FILTER (kind = 'image' AND data_url <> '') AS n_images,
+               string_agg('(' || k || ') ' || name || ':' || chr(10) || content, chr(10) || chr(10) ORDER BY k)
+                   FILTER (kind <> 'image') AS block
+        FROM sent GROUP BY request_id),
+    asked AS (
+        SELECT d.id AS request_id, COALESCE(f.n, 0) AS n, COALESCE(f.n_images, 0) AS n_images, f.block,
+               {or_else(trim('d.text'), "'Please analyze the attached file(s) and summarize the key points clearly.'")} AS message
+        FROM v_drafts d LEFT JOIN files f ON f.request_id = d.id WHERE {trim('d.text')} <> '' OR f.n > 0)
+    SELECT a.request_id, n AS n_attachments, n_images,
+           message || COALESCE(chr(10) || chr(10) || 'Attached references:' || chr(10) || block, '') AS user_text,
+           CASE WHEN p.state IS NULL THEN 'pending' WHEN p.state = 'ok' THEN 'answer' WHEN p.state <> 'error' OR n_images = 0 THEN 'error'
+                WHEN b.state IS NULL THEN 'fallback' WHEN b.state = 'ok' THEN 'answer' ELSE 'error' END AS outcome
+    FROM asked a LEFT JOIN v_read p ON p.request_id = a.request_id AND p.attempt = 'primary'
+    LEFT JOIN v_read b ON b.request_id = a.request_id AND b.attempt = 'fallback'""")
+def attach_and_ask(t: Tables) -> DataFrame:
+    """Files taken in, sent along with the first turn of a conversation, and answered."""
+    attached = attachments.for_messages(attachments.ingest_attachments(t.files()).attached)
+    first = t.drafts().groupBy("session_id").agg(F.min("id").alias("id"))
+    of_turn = attached.withColumnRenamed("batch_id", "session_id").join(first, "session_id").select("id", "attachments")
+    none = F.array().cast(of_turn.schema["attachments"].dataType)
+    typed = t.drafts().drop("attachments").join(of_turn, "id", "left").withColumn("attachments", F.coalesce("attachments", none))
+    outgoing = prompts.outgoing_messages(typed).withColumnRenamed("id", "request_id")
+    requests = prompts.assemble_requests(outgoing).select(
+        "request_id", "is_vision", F.get_json_object("body", "$.messages[1].content").alias("content"))
+    outcomes = prompts.resolve_responses(outgoing, t.responses()).select("request_id", "outcome")
+    images = F.size(prompts.image_attachments("attachments")).cast("long").alias("n_images")
+    counted = outgoing.select("request_id", F.size("attachments").cast("long").alias("n_attachments"), images)
+    user_text = F.when(F.col("is_vision"), F.get_json_object("content", "$[0].text")).otherwise(F.col("content"))
+    return counted.join(requests, "request_id").join(outcomes, "request_id").select(
+        "request_id", "n_attachments", "n_images", user_text.alias("user_text"), "outcome")
+
+
 @query("SELECT request_id, outcome, text FROM v_outcomes")
 def resolve_responses(t: Tables) -> DataFrame:
     return prompts.resolve_responses(_outgoing(t), t.responses())
@@ -676,6 +716,58 @@ def fallback_requests(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+    SELECT id, CAST(session_id AS VARCHAR) AS session, role, content FROM v_incoming""")
+def parse_save_payload(t: Tables) -> DataFrame:
+    """Messages written as bodies of a save call and parsed again."""
+    bodies = t.incoming().select("id", F.to_json(F.struct(
+        F.col("session_id").cast("string").alias("sessionId"), "role", "content")).alias("body"))
+    parsed = bodies.select("id", readers.parse_payload("body", schemas.SAVE_PAYLOAD).alias("p"))
+    return parsed.select("id", F.col("p.sessionId").alias("session"), "p.role", "p.content")
+
+
+@query("""
+    SELECT request_id, title, CAST(update_id AS VARCHAR) AS update_id FROM v_session_requests""")
+def parse_session_payload(t: Tables) -> DataFrame:
+    """Session requests as bodies; a field that is not there is NULL."""
+    bodies = t.session_requests().select("request_id", F.to_json(F.struct(
+        "title", F.col("update_id").cast("string").alias("updateId"))).alias("body"))
+    parsed = bodies.select("request_id", readers.parse_payload("body", schemas.SESSION_PAYLOAD).alias("p"))
+    return parsed.select("request_id", "p.title", F.col("p.updateId").alias("update_id"))
+
+
+@query("""
+    SELECT request_id, CASE WHEN user_id IS NULL THEN 401 ELSE 400 END AS status,
+           CASE WHEN user_id IS NULL THEN 'Unauthorized' ELSE 'Session ID is required' END AS reason
+    FROM v_session_requests WHERE user_id IS NULL OR update_id IS NULL""")
+def rejected_deletes(t: Tables) -> DataFrame:
+    asked = t.session_requests().withColumnRenamed("update_id", "session_id")
+    _, rejected = ingest.check_deletes(asked)
+    return rejected
+
+
+@query("""
+    SELECT id AS request_id, 400 AS status, 'Message is required' AS reason
+    FROM v_messages WHERE role = 'user' AND id % 7 = 0""")
+def invalid_requests(t: Tables) -> DataFrame:
+    """Calls whose message is empty or missing."""
+    turns = t.messages().where(F.col("role") == "user")
+    blank = F.when(F.col("id") % 14 == 0, F.lit("")).when(F.col("id") % 7 != 0, F.lit("x"))
+    return prompts.invalid_requests(turns.select(F.col("id").alias("request_id"), blank.alias("message")))
+
+
+@query("""
+    SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN text || chr(65533) WHEN 2 THEN chr(65533) || 'A' || text ELSE text END AS text
+    FROM documents""")
+def decode_text(t: Tables) -> DataFrame:
+    """Bytes of documents with a byte order mark, a stray byte at the end, or a cut sequence."""
+    content = F.encode("text", "UTF-8")
+    damaged = pick(F.col("doc_id"), 3, {
+        0: F.concat(F.unhex(F.lit("EFBBBF")), content), 1: F.concat(content, F.unhex(F.lit("FF"))),
+    }, F.concat(F.unhex(F.lit("C341")), content))
+    return t.raw("documents").select("doc_id", readers.decode_text(damaged).alias("text"))
+
+
 @query("SELECT id AS request_id, message, n_files AS n_attachments FROM v_outgoing")
 def parse_payload(t: Tables) -> DataFrame:
     """Requests written as call bodies and parsed again; no attachments, no such field."""
