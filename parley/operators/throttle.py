@@ -31,13 +31,15 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from parley.session import stored
+
 # Ship the task functions of this module with the job: executors need not have the
 # package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INTERVAL_MS = 15_000
 CHUNK_MS = 3_600_000
-LEAST_INTERVALS = 8  # a clock must not reach past a whole chunk, so never less than 2
+LEAST_INTERVALS = 3  # a clock must not reach past a whole chunk, so never less than 2
 
 # Clocks are microseconds; these lie below and above all of them.
 LOWEST = -(1 << 62)
@@ -200,7 +202,8 @@ def throttle_events(
     dependent = marked.where(~F.col("reset") | ~F.col("next_reset")).select(
         "user_id", "chunk", "event_id", "us", "reset", F.col("next_reset").isNull().alias("last")
     )
-    chains = dependent.mapInPandas(
+    # Stored, since chain ends and picks are used apart: the chains are followed once.
+    followed = dependent.mapInPandas(
         _follow_chains(interval, length),
         T.StructType([
             *chunk_key,
@@ -210,6 +213,7 @@ def throttle_events(
             T.StructField("upto", T.LongType()),
         ]),
     )
+    chains = stored(followed, "throttle-chains")
     in_last_interval = F.col("us") >= F.col("chunk") + (length - interval)
     last_events = narrow.where(in_last_interval).groupBy("user_id", "chunk").agg(F.max("us").alias("us"))
     ends = (

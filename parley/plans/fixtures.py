@@ -319,11 +319,3 @@ class Tables:
             (F.col("p_size") * 100).cast("long").alias("width"),
             (F.col("p_partkey") % 3000 + 1).alias("height"),
         )
-
-
-class StreamedTables(Tables):
-    """The same derivations with the test tables read as file streams."""
-
-    def raw(self, name: str) -> DataFrame:
-        # The pattern matches a single file as well as a folder of part files.
-        return self.spark.readStream.schema(self.schema(name)).parquet(f"{self.folder}/{name}.parquet*")

@@ -12,7 +12,7 @@ from parley.functions import replies as reply_functions, text
 from parley.operators import access, attachments, changes, ingest, prompts, quality, replies, sessions, throttle
 from parley.plans import oracle
 from parley.plans.explode import explode_rows
-from parley.plans.fixtures import StreamedTables, Tables, now, pick
+from parley.plans.fixtures import Tables, now, pick
 from parley.plans.oracle import NOW, SYSTEM, or_else, stamp, title, trim
 from parley.session import run_folder
 from parley.sources import sinks, tables as readers
@@ -901,11 +901,23 @@ def throttle_events_12h(t: Tables) -> DataFrame:
 # --- streams --------------------------------------------------------------------------------------
 
 
+def _arrivals(df: DataFrame, path: str, order: str, files: int = 4) -> None:
+    """Write ``df`` as files that arrive one after another, cut by equal widths of ``order``."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    for k in range(files):
+        first, behind = (low + (high - low) * x / files for x in (k, k + 1))
+        part = (F.col(order) >= F.lit(first)) & (F.lit(k == files - 1) | (F.col(order) < F.lit(behind)))
+        df.where(part).coalesce(1).write.mode("append").parquet(path)
+
+
 def _ingested_stream(t: Tables) -> tuple[str, str]:
-    """Save all incoming messages as a stream; the folders of the sessions and the output."""
+    """Save all incoming messages as a stream of several batches, the last of which sends
+    some of them again; the folders of the sessions and the output."""
     out = run_folder(t.spark, "ingest")
     sinks.write_snapshot(t.sessions(), f"{out}/chat_sessions")
-    incoming = StreamedTables(t.spark, t.folder).incoming()
+    _arrivals(t.incoming(), f"{out}/incoming", "created_at")
+    t.incoming().where("id % 5 = 0 AND user_id IS NOT NULL").coalesce(1).write.mode("append").parquet(f"{out}/incoming")
+    incoming = readers.stream_table(t.spark, f"{out}/incoming", "incoming_messages", maxFilesPerTrigger=1)
     messages.ingest_stream(
         incoming, f"{out}/chat_sessions", f"{out}/saved", f"{out}/checkpoint", now=now()
     ).awaitTermination()
@@ -927,9 +939,24 @@ def ingest_stream_sessions(t: Tables) -> DataFrame:
     return timed(messages.current_sessions(t.spark, sessions_path, saved), "updated_at").select("id", "updated_at")
 
 
+def _throttled_stream(t: Tables) -> str:
+    """All events as a stream of several batches, with a delay."""
+    out = run_folder(t.spark, "throttle")
+    _arrivals(t.refresh_events(), f"{out}/events", "ts")
+    events = readers.stream_table(t.spark, f"{out}/events", "refresh_events", maxFilesPerTrigger=1)
+    streams.throttle_stream(events, out, f"{out}/checkpoint", 12 * 3600 * 1000, delay_ms=3_600_000).awaitTermination()
+    return out
+
+
 @query(_throttle_sql(12 * 3600 * 1_000_000))
 def throttle_stream(t: Tables) -> DataFrame:
-    out = run_folder(t.spark, "throttle")
-    events = StreamedTables(t.spark, t.folder).refresh_events()
-    streams.throttle_stream(events, out, f"{out}/checkpoint", 12 * 3600 * 1000, delay_ms=0).awaitTermination()
+    out = _throttled_stream(t)
+    streams.finish(t.spark, out, 12 * 3600 * 1000)
     return streams.passed_events(t.spark, out).select("event_id", "user_id", "force")
+
+
+@query("""
+    SELECT event_id, user_id FROM v_events WHERE us > (SELECT max(us) FROM v_events) - 3600000000""")
+def throttle_stream_waiting(t: Tables) -> DataFrame:
+    """What still waits at the end of the stream: the events of the last hour."""
+    return streams.waiting_events(t.spark, _throttled_stream(t)).select("event_id", "user_id")

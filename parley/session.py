@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Planner settings the operators are written against.  All are runtime settings, so they
 # can be applied to a session somebody else created.
@@ -72,3 +72,11 @@ def _local_folder(application_id: str) -> str:
 def run_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for one run's tables and streaming state."""
     return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df``, written once to a fresh shared folder and read back: what comes after it may
+    use it several times, and a lost executor costs a read."""
+    path = run_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,8 @@
 """Incremental saving of messages.
 
 Each micro-batch is checked against the sessions and written, with its outcome, to a
-folder of its own; replaying a batch after a failure writes the same folder again, so a
-message is never saved twice.  Touching sessions and refreshing profiles is not done row
+folder of its own; replaying a batch after a failure writes the same folder again, and ids
+that an earlier batch has saved are left out, so a message is never saved twice.  Touching sessions and refreshing profiles is not done row
 by row on the big tables: every batch adds its own small change set, and the current
 tables are read as the snapshot with all change sets folded in.
 """
@@ -23,7 +23,10 @@ def save_batch(batch: DataFrame, batch_id: int, sessions_path: str, out: str, no
     """Write one micro-batch: all rows by status, then the change sets they imply."""
     spark = batch.sparkSession
     folder = f"{out}/requests/batch_id={batch_id}"
-    stamped = batch.withColumn("created_at", F.coalesce("created_at", _as_column(now)))
+    # A message that comes again in a later batch is saved already, and not answered twice.
+    earlier = requests_so_far(spark, out).where((F.col("status") == SAVED[0]) & (F.col("batch_id") < batch_id))
+    fresh = batch.join(earlier.select("id"), "id", "left_anti").select(*batch.columns)
+    stamped = fresh.withColumn("created_at", F.coalesce("created_at", _as_column(now)))
     classified = classify_messages(stamped, read_table(spark, sessions_path, "chat_sessions"))
     classified.write.partitionBy("status").mode("overwrite").parquet(folder)
 

@@ -5,7 +5,8 @@ events among tasks.  What has to be remembered is written with the batch: events
 watermark has not passed yet, and clocks recent enough to hold an event back.
 
 ``keyed_throttle`` keeps one state per user.  It has no tables of its own, but a user's
-events go through one task, so it suits streams without hot users.
+waiting events are held and sorted by one task: it is for streams where what one user
+sends within the delay is small.
 
 In both, events wait until the watermark has passed them and are then taken in time order,
 whatever order they arrived in; events behind the watermark are dropped and reported.
@@ -28,9 +29,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EVENTS = "event_id long, user_id long, ts timestamp, force boolean"
 
 
-def throttle_batch(batch: DataFrame, batch_id: int, out: str, interval_ms: int, delay_ms: int) -> None:
+def throttle_batch(
+    batch: DataFrame, batch_id: int, out: str, interval_ms: int, delay_ms: int, last: bool = False
+) -> None:
     """One micro-batch.  Everything goes to folders named by the batch, and only the
-    folders of the batch before are read, so a replay writes the same again."""
+    folders of the batch before are read, so a replay writes the same again.
+
+    With ``last`` nothing is waited for any more.
+    """
     spark = batch.sparkSession
 
     def before(table: str, schema: str) -> DataFrame:
@@ -42,13 +48,16 @@ def throttle_batch(batch: DataFrame, batch_id: int, out: str, interval_ms: int,
         return path
 
     us = F.unix_micros("ts")
-    arrived = batch.select("event_id", "user_id", "ts", "force")
     mark = before("progress", "watermark long").first()
     old = mark.watermark if mark else None
-    newest = arrived.agg(F.max(us)).first()[0]
+    # The source is read once; everything below reads the stored batch.
+    stored = write(batch.select("event_id", "user_id", "ts", "force"), "arrived")
+    arrived = spark.read.schema(EVENTS).parquet(stored)
+    known = arrived.unionByName(before("waiting", EVENTS)) if last else arrived
+    newest = known.agg(F.max(us)).first()[0]
     if old is None and newest is None:
         return
-    seen = [] if newest is None else [newest - delay_ms * 1000]
+    seen = [] if newest is None else [newest - (0 if last else delay_ms * 1000)]
     watermark = max(seen + ([] if old is None else [old]))
 
     is_late = F.lit(False) if old is None else us <= old
@@ -69,6 +78,15 @@ def throttle_batch(batch: DataFrame, batch_id: int, out: str, interval_ms: int,
     write(spark.range(1).select(F.lit(watermark).cast("long").alias("watermark")), "progress")
 
 
+def finish(spark: SparkSession, out: str, interval_ms: int = INTERVAL_MS) -> None:
+    """After the stream's end: the events that still wait are taken as they are."""
+    batches = read_or_empty(spark, "watermark long, batch_id long", f"{out}/progress")
+    latest = batches.agg(F.max("batch_id")).first()[0]
+    if latest is not None:
+        none = spark.createDataFrame([], EVENTS)
+        throttle_batch(none, latest + 1, out, interval_ms, 0, last=True)
+
+
 def throttle_stream(
     events: DataFrame, out: str, checkpoint: str, interval_ms: int = INTERVAL_MS, delay_ms: int = 60_000, **trigger
 ) -> StreamingQuery:
@@ -89,6 +107,13 @@ def passed_events(spark: SparkSession, out: str) -> DataFrame:
     return read_or_empty(spark, f"{EVENTS}, batch_id long", f"{out}/passed")
 
 
+def waiting_events(spark: SparkSession, out: str) -> DataFrame:
+    """Events that the last batch left waiting for the watermark."""
+    waiting = read_or_empty(spark, f"{EVENTS}, batch_id long", f"{out}/waiting")
+    latest = read_or_empty(spark, "watermark long, batch_id long", f"{out}/progress").agg(F.max("batch_id")).scalar()
+    return waiting.where(F.col("batch_id") == latest)
+
+
 def late_events(spark: SparkSession, out: str) -> DataFrame:
     return read_or_empty(spark, f"{EVENTS}, batch_id long", f"{out}/late")
 
