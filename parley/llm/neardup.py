@@ -54,8 +54,8 @@ PERCENT = 80
 COORDINATES = 64
 TREES = 16
 SMALL = 32
-BLOCK = 256
-LEVELS = 6
+BLOCK = 64
+LEVELS = 4
 LEAST_AGREE = 0.55
 
 _SKETCH = "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary"
@@ -217,30 +217,37 @@ def confirmed(candidates: DataFrame, documents: DataFrame, width: int, percent:
     """Links (a, b) by the full sets, among the ``members`` of each candidate row: enough of
     them to connect all members that links connect, so fewer than there are members."""
 
+    def links(rows: pa.RecordBatch, hasher: Hasher) -> pa.RecordBatch:
+        """Rows of whole clusters, cluster by cluster."""
+        cluster, doc = (rows.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        hashes, member = shingle_sets(rows.column(2), hasher, width)
+        size = np.bincount(member, minlength=len(doc))
+        stop = np.concatenate([[0], np.cumsum(size)])
+        edges = np.flatnonzero(np.diff(cluster, prepend=cluster[:1] - 1, append=cluster[-1:] + 1))
+        a, b = [], []
+        for at, behind in zip(edges, edges[1:], strict=False):
+            k, own = behind - at, slice(stop[at], stop[behind])
+            shared = shared_sizes(hashes[own], member[own] - at, k)
+            union = size[at:behind, None] + size[None, at:behind] - shared
+            group = np.arange(k)
+            for i, j in np.argwhere(np.triu((100 * shared >= percent * union) & (shared > 0), 1)):
+                if group[i] != group[j]:
+                    group[group == group[j]] = group[i]
+                    a.append(min(doc[at + i], doc[at + j]))
+                    b.append(max(doc[at + i], doc[at + j]))
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in slices(batches, 32):
-            lists = batch.column(0)
-            k = np.diff(lists.offsets.to_numpy())
-            members = lists.flatten()
-            doc, text = (members.field(i) for i in range(2))
-            doc = doc.to_numpy(zero_copy_only=False)
-            hashes, member = shingle_sets(text, hasher, width)
-            size = np.bincount(member, minlength=len(doc))
-            a, b = [], []
-            at, stop = 0, np.concatenate([[0], np.cumsum(size)])
-            for n in k:
-                own = slice(stop[at], stop[at + n])
-                shared = shared_sizes(hashes[own], member[own] - at, n)
-                union = size[at:at + n, None] + size[None, at:at + n] - shared
-                group = np.arange(n)
-                for i, j in np.argwhere(np.triu((100 * shared >= percent * union) & (shared > 0), 1)):
-                    if group[i] != group[j]:
-                        group[group == group[j]] = group[i]
-                        a.append(min(doc[at + i], doc[at + j]))
-                        b.append(max(doc[at + i], doc[at + j]))
-                at += n
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        hasher, held = Hasher(), None
+        for batch in slices(batches):
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            cluster = rows.column(0).to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(cluster, cluster[-1]))  # the last cluster may go on
+            if last:
+                yield links(rows.slice(0, last), hasher)
+            held = rows.slice(last)
+        if held is not None:
+            yield links(held, hasher)
 
     asked = written(candidates.distinct().select(
         F.xxhash64("members").alias("cluster"), F.explode("members").alias("doc_id")), "neardup-candidates")
@@ -248,9 +255,10 @@ def confirmed(candidates: DataFrame, documents: DataFrame, width: int, percent:
     texts = written(documents.join(small(times), "doc_id"), "neardup-texts")
     # A pivot may be asked for by very many.
     told = spread_join(asked, texts, "doc_id", ["cluster"])
-    groups = told.groupBy("cluster").agg(F.collect_list(F.struct("doc_id", "text")).alias("members"))
-    links = groups.select("members").mapInArrow(compare, "a long, b long")
-    return written(links.where("a <> b").distinct(), "neardup-links")
+    # Flat rows, cluster by cluster: a batch then holds so many texts, and not so many clusters.
+    sorted_rows = told.select("cluster", "doc_id", "text").repartition("cluster").sortWithinPartitions("cluster")
+    found = sorted_rows.mapInArrow(compare, "a long, b long")
+    return written(found.where("a <> b").distinct(), "neardup-links")
 
 
 def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, percent: int,
