@@ -32,6 +32,10 @@ MESSAGES = {
     "unsupported": "unsupported file type.",
     "failed": "unreadable file or processing failed.",
 }
+CAP_ERROR = "Only {most} attachments are allowed."
+ATTACHED = " file(s) attached. Add a prompt or send files directly."
+NONE_ATTACHED = "No files were attached."
+MORE_ERRORS = ("...and ", " more.")
 
 
 class Attachments(NamedTuple):
@@ -111,7 +115,7 @@ def file_error(name, code, max_bytes: int = MAX_BYTES) -> Column:
 
 
 def cap_error(max_per_batch: int = MAX_ATTACHMENTS) -> str:
-    return f"Only {max_per_batch} attachments are allowed."
+    return CAP_ERROR.format(most=max_per_batch)
 
 
 def ingest_attachments(
@@ -170,13 +174,12 @@ def ingest_attachments(
     n_errors = F.size("all_errors")
     status = (
         F.when(F.col("attached") > 0,
-               F.concat(F.col("attached").cast("string"),
-                        F.lit(" file(s) attached. Add a prompt or send files directly.")))
-        .when(n_errors > 0, F.lit("No files were attached."))
+               F.concat(F.col("attached").cast("string"), F.lit(ATTACHED)))
+        .when(n_errors > 0, F.lit(NONE_ATTACHED))
         .otherwise(F.lit(""))
     )
     more = F.when(n_errors > SHOWN_ERRORS,
-                  F.array(F.concat(F.lit("...and "), (n_errors - SHOWN_ERRORS).cast("string"), F.lit(" more."))))
+                  F.array(F.concat(F.lit(MORE_ERRORS[0]), (n_errors - SHOWN_ERRORS).cast("string"), F.lit(MORE_ERRORS[1]))))
     batch_status = joined.select(
         "batch_id",
         "n_files",

@@ -18,6 +18,8 @@ _CHARS = "||".join(f"chr({c})" for c in _CODES)
 DOT = r"[^\n\r\x{2028}\x{2029}]"
 LISTED = rf"\A(?:[0-9]+\.|[-*]){WS}+({DOT}*)\z"
 
+# The wording of prompts, file errors and status rows, here and in the views
+# below; stated again so that the SQL stands alone.
 SYSTEM = (
     "You are a friendly and helpful study buddy who helps students learn and understand complex topics. "
     "Provide clear, concise, and encouraging responses."

@@ -18,6 +18,7 @@ from parley.session import run_folder
 from parley.sources import sinks, tables as readers
 from parley.streaming import messages, throttle as streams
 
+# Status codes, messages and model names in the statements below are fixed values.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -78,17 +78,3 @@ def parse_ask(body) -> Column:
         parsed["message"].alias("message"),
         F.coalesce(parsed["attachments"], none).alias("attachments"),
     )
-
-
-# The five starter prompts (icon, label, text).
-QUICK_PROMPTS = [
-    ("study", "Study Tips", "Can you provide effective study tips for students preparing for exams?"),
-    ("career", "Career Advice", "What are career options for someone interested in technology and innovation?"),
-    ("global", "Global Opportunities", "What are the best countries to study computer science abroad?"),
-    ("resume", "Resume Help", "Can you help me write a professional resume for a software engineering role?"),
-    ("scholarship", "Scholarship Tips", "How can I find and apply for scholarships effectively?"),
-]
-
-
-def quick_prompts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUICK_PROMPTS, "icon string, label string, text string")
