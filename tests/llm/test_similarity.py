@@ -57,8 +57,7 @@ def crowded(spark):
 
 
 def test_near_duplicates_of_a_crowd(crowded):
-    for width in (4, 5):
-        assert groups(neardup.near_duplicates(crowded, width)) == near_duplicates(sorted(rows(crowded)), width)
+    assert groups(neardup.near_duplicates(crowded)) == near_duplicates(sorted(rows(crowded)), 5)
 
 
 def test_small_nodes_and_few_levels_lose_nothing(crowded, monkeypatch):
