@@ -16,6 +16,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A table of at most this many narrow rows may be broadcast (some tens of MB).
 BROADCAST_ROWS = 500_000
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,11 +27,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df``, written once to the shared folder and read back.
 
-    Cuts the lineage: a lost executor costs a read, not the work that led here.
+    Cuts the lineage: a lost executor costs a read, not the work that led here.  Rows pass
+    to Python in batches of ``ARROW_ROWS`` meanwhile: Spark's batches are bounded by rows
+    alone, and rows are whole texts here.
     """
-    path = run_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = run_folder(spark, purpose)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(usual), ARROW_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -34,7 +34,7 @@ _SPACE = (
 _KEEPING = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _LATIN_END = chr(0x250)
-CACHE_WORDS = 400_000  # in each of two generations
+CACHE_WORDS = 150_000  # in each of two generations
 
 
 class _Words(dict):
