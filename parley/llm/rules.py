@@ -141,7 +141,7 @@ class Estimate:
 
 
 def estimate(documents: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> list[Estimate]:
-    """Rejected share and cost of every rule, on the ``sample`` rows with the least hashes."""
+    """Rejected share and cost of every rule, on ``sample`` rows at most, drawn by a hash."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(rules), "i8")
@@ -156,9 +156,10 @@ def estimate(documents: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> l
             [pa.array([rows] * len(rules)), pa.array([size] * len(rules)), pa.array(range(len(rules))), pa.array(n)],
             ["rows", "size", "rule", "rejected"])
 
-    text = F.col("text").cast("string")
-    drawn = documents.select(text.alias("text")).withColumn("h", F.xxhash64("text")).orderBy("h").limit(sample)
-    sums = drawn.select("text").mapInArrow(measure, "rows long, size long, rule long, rejected long").groupBy("rule").agg(
+    every = max(1, documents.count() // sample)
+    drawn = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(
+        F.col("text").cast("string").alias("text")).limit(sample)
+    sums = drawn.mapInArrow(measure, "rows long, size long, rule long, rejected long").groupBy("rule").agg(
         F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.sum("rejected").alias("rejected"))
     found = {r.rule: r for r in sums.collect()}
     return [Estimate(r.name, found[k].rejected / max(found[k].rows, 1) if k in found else 0.0,
