@@ -12,13 +12,21 @@ not n * n links.  Every document starts in a shard by its hash.  In a round
 4. the permitted share of each pair moves, chosen by a hash of the first hub, so
    neighbours move together.
 
+Groups of equal text are settled around that.  One that is larger than a share is dealt into
+sub-hubs of a share before the rounds (the last has the rest), so it is cut as few times as can
+be.  The rounds move parts of groups and may leave some cut, or a shard too full, so
+afterwards whole groups are packed, largest first: into the shard that has most of the group if it
+has room, else into the fullest one that has.  Only a group that no shard has room for
+is dealt over what room is left; there are fewer of these than shards.  (Packing is hard: where
+groups of about a share leave no room, another order might have cut one less.)
+
 Documents without neighbours never wish; they fill up the shards at the end.  At the end
 every shard is numbered with linked documents first, and what exceeds an even share goes
-to the shards that lack some: sizes are then at most one apart, exactly, and links are only
-cut there if linked documents alone exceed a share.
+to the shards that lack some: sizes are then at most one apart, exactly.
 
-What passes through the driver is 16 x 16 sums.  A hub that holds more than an even share
-of rows is dealt over several tasks in every join and numbering.
+What passes through the driver is 16 x 16 sums, and the number of groups by size and shard. A
+hub that holds more than an even share of rows is dealt over several tasks in every join and
+numbering.
 
 Defined cases: a null text counts as empty (size 1); rows that repeat a document are
 documents of their own; null ids are placed like others; other columns are ignored; an
@@ -27,6 +35,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.llm.shared import small, written
@@ -35,6 +45,7 @@ from parley.plans.skew import spread_join
 SHARDS = 16
 ROUNDS = 6
 BUCKET = 50_000  # rows that are numbered in one window
+CELL = 10_000  # groups of one size that are packed together
 
 
 def _fraction(*columns) -> Column:
@@ -88,7 +99,7 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     placed = written(nodes.join(leaders, "node", "left").withColumn(
         "shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")), "shards")
     total = nodes.count()
-    capacity = [total // shards + (s < total % shards) for s in range(shards)]
+    capacity = _even(total, shards)
     for number in range(rounds):
         linked = placed.where("leader IS NOT NULL")
         wishes = written(_wishes(linked, members, shards).withColumn("round", F.lit(number)), "shard-wishes")
@@ -134,12 +145,126 @@ def numbered(rows: DataFrame, shard: str, order: list[str], hot: DataFrame, tota
     return joined.select(*(F.col(f"d.{c}") for c in rows.columns), (F.col("b.base") + F.col("d.number") - 1).alias("slot"))
 
 
+def _places(rows: DataFrame, groups: DataFrame, width: int, total: int) -> DataFrame:
+    """``rows`` (node, leader) with ``slot``, their place in their group; ``groups`` (leader, n)."""
+    hot = groups.where(F.col("n") > width).select("leader", F.ceil(F.col("n") / width).cast("int").alias("salts"))
+    return numbered(rows.select("node", "leader"), "leader", ["node"], hot, total)
+
+
+def _even(total: int, shards: int) -> list[int]:
+    return [total // shards + (s < total % shards) for s in range(shards)]
+
+
+def _width(total: int, shards: int) -> int:
+    """Rows of a large group that are numbered in one window."""
+    return min(BUCKET, max(1000, total // shards // 16))
+
+
+def sub_hubs(members: DataFrame, groups: DataFrame, total: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` (node, hub) and ``groups`` (hub, n), hubs larger than a share dealt into
+    sub-hubs of a share."""
+    share = max(1, total // shards)
+    large = groups.where(F.col("n") > _even(total, shards)[0]).withColumnRenamed("hub", "leader")  # fewer than shards
+    if not large.limit(1).count():
+        return members, groups
+    own = F.broadcast(large.select(F.col("leader").alias("hub")))
+    slots = _places(members.join(own, "hub", "left_semi").withColumnRenamed("hub", "leader"), large, _width(total, shards), total)
+    part = F.concat_ws("/", "leader", F.floor(F.col("slot") / share).cast("string")).alias("hub")
+    parts = large.select("leader", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / share))).alias("part"))
+    sizes = parts.select(
+        F.concat_ws("/", "leader", F.col("part").cast("string")).alias("hub"),
+        F.least(F.lit(share).cast("long"), F.col("n") - F.col("part") * share).alias("n"))
+    return (written(members.join(own, "hub", "left_anti").select("node", "hub").unionByName(slots.select("node", part)), "shard-members"),
+            written(groups.join(own, "hub", "left_anti").select("hub", "n").unionByName(sizes), "shard-hubs"))
+
+
+def packed(cells: list[tuple[int, int, int, int]], capacity: list[int]) -> tuple[list[tuple], list[int]]:
+    """Where groups go: ``cells`` of (size, shard, cell, groups) become ranges (size, shard,
+    cell, first, behind, to) of a cell's groups, ``to`` None where no shard has room for one;
+    and the room left."""
+    def attempt(stay: bool) -> tuple[list[tuple], list[int], int]:
+        room, ranges, lost = list(capacity), [], 0
+        sizes = defaultdict(list)
+        for size, shard, cell, n in sorted(cells):
+            sizes[size].append((shard, cell, n))
+        for size in sorted(sizes, reverse=True):
+            rest = []
+            for shard, cell, n in sizes[size]:
+                k = min(n, room[shard] // size) if stay else 0
+                room[shard] -= k * size
+                if k:
+                    ranges.append((size, shard, cell, 0, k, shard))
+                if k < n:
+                    rest.append((shard, cell, k, n))
+            for shard, cell, at, n in rest:
+                while at < n:
+                    to = min((s for s in range(len(room)) if room[s] >= size), key=lambda s: room[s], default=None)
+                    k = n - at if to is None else min(n - at, room[to] // size)
+                    ranges.append((size, shard, cell, at, at + k, to))
+                    at += k
+                    if to is None:
+                        lost += k * size
+                    else:
+                        room[to] -= k * size
+        return ranges, room, lost
+
+    kept = attempt(True)
+    best = kept if not kept[2] else min(kept, attempt(False), key=lambda x: x[2])
+    return best[:2]
+
+
+def settled(placed: DataFrame, total: int, shards: int) -> DataFrame:
+    """``placed`` (node, leader, shard; a node has one hub at most) with every hub in one
+    shard, none above an even share, as far as the hubs can be packed."""
+    spark = placed.sparkSession
+    linked = placed.where("leader IS NOT NULL")
+    here = linked.groupBy("leader", "shard").agg(F.count("*").alias("n"))
+    hubs = written(here.groupBy("leader").agg(
+        F.sum("n").alias("n"), F.max_by("shard", F.struct("n", F.xxhash64("leader", "shard"))).alias("shard")), "shard-groups")
+    many = [(r.n, -(-r["count"] // CELL)) for r in hubs.groupBy("n").count().collect()]
+    if not many:
+        return placed
+    cells = small(spark.createDataFrame(many, "n long, cells int"))
+    celled = written(hubs.join(cells, "n").withColumn(
+        "cell", F.floor(_fraction("leader", F.lit("cell")) * F.col("cells")).cast("int")).drop("cells"), "shard-groups")
+    keys = ["n", "shard", "cell"]
+    counts = [tuple(r) for r in celled.groupBy(*keys).count().collect()]
+    ranges, room = packed(counts, _even(total, shards))
+    plan = spark.createDataFrame(ranges, "n long, shard int, cell int, first long, behind long, to int")
+    whole = plan.join(spark.createDataFrame(counts, "n long, shard int, cell int, groups long"), keys).where(
+        "first = 0 AND behind = groups").select(*keys, F.col("to").alias("all_to"), F.lit(True).alias("together"))
+    known = celled.join(small(whole), keys, "left")
+    # Only the groups of a cell that goes to several shards are numbered.
+    within = W.partitionBy(*keys).orderBy(F.xxhash64("leader"), "leader")
+    apart = known.where("together IS NULL").withColumn("number", F.row_number().over(within) - 1).join(small(plan), keys).where(
+        "number >= first AND number < behind").select("leader", "n", "to")
+    to = written(known.where("together").select("leader", "n", F.col("all_to").alias("to")).unionByName(apart), "shard-targets")
+    together = spread_join(linked.select("node", "leader"), to.where("to IS NOT NULL").withColumnRenamed("to", "shard"), "leader", ["node"])
+    found = placed.where("leader IS NULL").unionByName(together.select(placed.columns))
+    cut = to.where("to IS NULL").select("leader", "n")  # fewer than shards
+    spans = []
+    for r in sorted(cut.collect(), key=lambda r: (-r.n, r.leader)):
+        at = 0
+        while at < r.n:
+            s = max(range(shards), key=lambda s: room[s])
+            k = min(r.n - at, room[s])
+            spans.append((r.leader, at, at + k, s))
+            room[s] -= k
+            at += k
+    if spans:
+        rows = linked.join(F.broadcast(cut.select("leader")), "leader", "left_semi")
+        span = spark.createDataFrame(spans, "leader string, first long, behind long, shard int")
+        dealt = _places(rows, cut, _width(total, shards), total).join(F.broadcast(span), "leader").where("slot >= first AND slot < behind")
+        found = found.unionByName(dealt.select(placed.columns))
+    return written(found, "shard-settled")
+
+
 def even_rows(placed: DataFrame, hubs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``placed`` with every shard brought to an even share: ``shard`` and ``slot``, gapless
     from 0.  ``hubs`` has the rows of each leader as (leader, n)."""
     sizes = {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
     total = sum(sizes.values())
-    even = [total // shards + (s < total % shards) for s in range(shards)]
+    even = _even(total, shards)
     hot = hubs.where(F.col("n") > BUCKET).select("leader", F.ceil(F.col("n") / BUCKET).cast("int").alias("salts"))
     rows = written(numbered(placed, "shard", ["node"], hot, total), "shard-slots")
     excess, lack, filled = [0], [0], []
@@ -177,7 +302,9 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, rounds: int = RO
     ).withColumn("node", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "hub", "copy")), "shard-rows")
     groups = written(rows.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "shard-hubs")
     members = written(spread_join(rows.select("node", "hub"), groups, "hub", ["node"]), "shard-members")
-    placed = propagate(rows.select("node"), members, shards, rounds)
+    total = rows.count()
+    members, groups = sub_hubs(members, groups, total, shards)
+    placed = settled(propagate(rows.select("node"), members, shards, rounds), total, shards)
     even = even_rows(placed, groups.withColumnRenamed("hub", "leader"), shards)
     return rows.join(even.select("node", "shard", "slot"), "node").select(
         "doc_id", "size", "text_crc32", "shard", "slot")

@@ -183,6 +183,33 @@ def test_sharding_of_a_hot_group(spark, monkeypatch):
     assert sum(len(c) == 1 for c in together if sum(c.values()) == 2) >= 45
 
 
+def test_groups_below_a_share_are_whole(spark, monkeypatch):
+    """A third of the rows are one text; pairs, fours and groups of nearly a share besides."""
+    monkeypatch.setattr(shards, "CELL", 16)
+    texts = ["hot"] * 800 + [f"pair {i // 2}" for i in range(600)] + [f"four {i // 4}" for i in range(600)]
+    texts += [f"large {i // 140}" for i in range(280)] + [f"single {i}" for i in range(120)]
+    docs = list(enumerate(texts))
+    together = check_shards(shards.shard_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+    share = len(docs) // 16
+    assert all(len(c) == 1 for c in together if sum(c.values()) <= share)
+    (hot,) = [c for c in together if sum(c.values()) > share]
+    assert len(hot) == -(-800 // share)
+
+
+def test_groups_without_room_fill_what_is_left(spark):
+    """Seventeen groups that together are all rows: sixteen fit whole."""
+    docs = [(g * 20 + i, f"group {g}") for g in range(17) for i in range(20)]
+    together = check_shards(shards.shard_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+    assert sorted(len(c) > 1 for c in together) == [False] * 16 + [True]
+
+
+def test_packing_of_groups():
+    ranges, room = shards.packed([(6, 0, 0, 2), (4, 0, 0, 2), (3, 1, 0, 1)], [10, 10])
+    assert room == [0, 0] and sum(size * (b - a) for size, _, _, a, b, to in ranges if to is None) == 3
+    ranges, room = shards.packed([(5, 0, 0, 1), (2, 1, 0, 4)], [7, 7])
+    assert min(room) >= 0 and all(r[-1] is not None for r in ranges)
+
+
 def test_sharding_odd_rows(odd, none):
     check_shards(shards.shard_documents(odd).collect(), rows(odd))
     assert shards.shard_documents(none).count() == 0
