@@ -1,14 +1,19 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after another.  The model of a category sees the words of
-a text, the number of words from each category's list, and the probabilities of all
+a text, the number of features from each category's list, and the probabilities of all
 categories before it.  For fitting, those probabilities are out-of-fold: a document's come
 from models that were fitted without it, so later models see them as noisy as
 they will be in use.  The last link of the chain is the label ``toxic`` itself; a document is
 rejected where its probability reaches ``THRESHOLD``.
 
-The earlier categories have no labels of their own.  A document counts as an example where
-it is labelled toxic and has a word of the category's list; the lists are a parameter.
+The earlier categories have no labels of their own; they are found in the documents fitted
+on.  Features that are ``LIFT`` times as frequent in toxic documents as in others, whatever
+the language, are put into ``CATEGORIES`` groups by the toxic documents they share (spherical
+k-means).  So a category is a kind of evidence, numbered, without a meaning given to it.  Lists
+of words can be passed instead.  A document counts as an example where it is labelled toxic and
+has a feature of the category's list; a toxic one without a feature of any list tells nothing
+about categories, and only the last link learns from it.
 
 The chain is fitted on at most ``SAMPLE`` labelled documents, on at most ``WORDS`` features that
 tell the label apart in the documents fitted on; only the counts of these pass through the
@@ -50,12 +55,9 @@ THRESHOLD = 0.5
 ROUNDS = 120
 PENALTY = 1e-4
 
-#: Categories in the order of the chain, with the words that make an example.
-CATEGORIES = {
-    "insult": ["idiot", "moron", "stupid", "clown", "loser"],
-    "contempt": ["pathetic", "worthless", "disgusting"],
-    "dehumanising": ["scum", "trash"],
-}
+CATEGORIES = 3  # found in the sample, if no lists are passed
+LIFT = 10
+LEAST = 3  # toxic documents that a category's feature is in
 
 
 def text_words(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,11 +86,12 @@ def text_words(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray
     return hashes, np.concatenate(texts), kind == 0
 
 
-def listed_hashes(hasher: Hasher) -> list[np.ndarray]:
+def listed_hashes(hasher: Hasher, lists: dict[str, list[str]] | None = None) -> list[np.ndarray]:
+    """The hashes of each list's words; without lists, of ``CATEGORIES`` empty ones."""
     found = []
-    for words in CATEGORIES.values():
+    for words in lists.values() if lists else [[]] * CATEGORIES:
         hashes, _, whole = text_words(pa.array([" ".join(words)]), hasher)
-        found.append(np.sort(hashes[whole]))
+        found.append(np.unique(hashes[whole]))
     return found
 
 
@@ -178,7 +181,47 @@ def counted(hashes: np.ndarray, text: np.ndarray, n: int, known: np.ndarray) ->
 
 
 def listed_counts(hashes: np.ndarray, text: np.ndarray, n: int, lists: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.log1p(np.bincount(text[np.isin(hashes, words)], minlength=n)) for words in lists], 1)
+    """Per text and list, the log of 1 and the number of its features."""
+    columns = []
+    for known in lists:
+        hit = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+        columns.append(np.log1p(np.bincount(text[hit], minlength=n)))
+    return np.stack(columns, 1)
+
+
+def listed_of(words: Words, known: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """``listed_counts`` from counts, where ``known`` has all features of the lists."""
+    count = np.rint(np.expm1(words.value))
+    return np.stack([np.log1p(np.bincount(words.row, count * np.isin(known, x)[words.column], words.n)) for x in lists], 1)
+
+
+def found_categories(words: Words, toxic: np.ndarray, known: np.ndarray, n: int = CATEGORIES) -> list[np.ndarray]:
+    """The features that are telling of toxic documents, in ``n`` groups by the documents
+    they share; some are empty where there are too few features."""
+    positive = np.bincount(words.column, toxic[words.row], len(known))
+    other = np.bincount(words.column, minlength=len(known)) - positive
+    lift = ((positive + 0.5) / (toxic.sum() + 1)) / ((other + 0.5) / (len(toxic) - toxic.sum() + 1))
+    telling = np.flatnonzero((positive >= LEAST) & (lift >= LIFT))
+    if len(telling) <= n:
+        return [known[telling[k:k + 1]] for k in range(n)]
+    place = np.full(len(known), -1)
+    place[telling] = np.arange(len(telling))
+    document = np.cumsum(toxic == 1) - 1
+    there = (place[words.column] >= 0) & (toxic[words.row] == 1)
+    x = np.zeros((len(telling), int(toxic.sum())), "f4")
+    x[place[words.column[there]], document[words.row[there]]] = 1
+    x /= np.sqrt(x.sum(1, keepdims=True))
+    weight = positive[telling]
+    # Frequent features unlike the earlier ones start the groups.
+    first = [int(np.argmax(weight))]
+    while len(first) < n:
+        first.append(int(np.argmax(weight * (1 - (x @ x[first].T).max(1)))))
+    centres = x[first]
+    for _ in range(20):
+        group = np.argmax(x @ centres.T, 1)
+        centres = np.stack([x[group == k].sum(0) if (group == k).any() else centres[k] for k in range(n)])
+        centres /= np.sqrt((centres * centres).sum(1, keepdims=True))
+    return [np.sort(known[telling[group == k]]) for k in range(n)]
 
 
 def inputs(listed: np.ndarray, earlier: np.ndarray) -> np.ndarray:
@@ -186,22 +229,26 @@ def inputs(listed: np.ndarray, earlier: np.ndarray) -> np.ndarray:
 
 
 def sparse_and_dense(column: pa.Array, hasher: Hasher, known: np.ndarray, lists: list[np.ndarray]) -> tuple[Words, np.ndarray]:
-    hashes, text, whole = text_words(column, hasher)
-    return counted(hashes, text, len(column), known), listed_counts(hashes[whole], text[whole], len(column), lists)
+    hashes, text, _ = text_words(column, hasher)
+    return counted(hashes, text, len(column), known), listed_counts(hashes, text, len(column), lists)
 
 
 def fit(words: Words, listed: np.ndarray, toxic: np.ndarray, known: np.ndarray, folds: int = FOLDS) -> Chain:
-    """``toxic`` is the label per text, ``listed`` the counts of the lists' words."""
+    """``toxic`` is the label per text, ``listed`` the counts of the lists' features."""
     n = len(toxic)
+    # A toxic text without any of them is no counterexample of a category.
+    told = (toxic != 1) | (listed > 0).any(1)
+    every = np.ones(n, bool)
     targets = [(toxic == 1) & (listed[:, k] > 0) for k in range(listed.shape[1])] + [toxic == 1]
     fold = np.arange(n) % folds
     earlier, links = np.zeros((n, 0)), []
-    for target in targets:
+    for number, target in enumerate(targets):
         dense, label = inputs(listed, earlier), target.astype("f8")
-        links.append(fit_link(words, dense, label, len(known)))
+        use = told if number < listed.shape[1] else every
+        links.append(fit_link(words.part(use), dense[use], label[use], len(known)))
         out = np.zeros(n)
         for k in range(folds):
-            own, rest = fold == k, fold != k
+            own, rest = fold == k, (fold != k) & use
             out[own] = fit_link(words.part(rest), dense[rest], label[rest], len(known)).probability(
                 words.part(own), dense[own])
         earlier = np.concatenate([earlier, out[:, None]], 1)
@@ -234,45 +281,51 @@ def telling_words(sample: DataFrame, most: int) -> np.ndarray:
     return np.sort(np.array([r.word for r in best], "i8").view("u8"))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
+def train(
+    documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lists: dict[str, list[str]] | None = None,
+) -> tuple[Chain, list[np.ndarray]]:
+    """The chain, and the hashes of each category's features."""
     cores = documents.sparkSession.sparkContext.defaultParallelism
     drawn = written(labelled(documents, labels, "toxic", sample), "toxicity-sample").repartition(cores)
     known = telling_words(drawn, WORDS)
+    if lists:
+        known = np.unique(np.concatenate([known, *listed_hashes(Hasher(), lists)]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        lists = listed_hashes(hasher)
         for batch in slices(batches, 64):
-            words, listed = sparse_and_dense(batch.column(1), hasher, known, lists)
+            hashes, text, _ = text_words(batch.column(1), hasher)
+            words = counted(hashes, text, batch.num_rows, known)
             cut = np.searchsorted(words.row, np.arange(batch.num_rows + 1))
             spans = list(zip(cut, cut[1:], strict=False))
             yield pa.record_batch(
                 [batch.column(0), batch.column(2),
                  pa.array([words.column[a:b].astype("i4").tobytes() for a, b in spans], pa.binary()),
-                 pa.array([words.value[a:b].astype("f4").tobytes() for a, b in spans], pa.binary()),
-                 pa.array([x.tobytes() for x in listed.astype("f8")], pa.binary())],
-                ["doc_id", "label", "columns", "counts", "listed"])
+                 pa.array([words.value[a:b].astype("f4").tobytes() for a, b in spans], pa.binary())],
+                ["doc_id", "label", "columns", "counts"])
 
-    rows = drawn.mapInArrow(count, "doc_id long, label int, columns binary, counts binary, listed binary").collect()
+    rows = drawn.mapInArrow(count, "doc_id long, label int, columns binary, counts binary").collect()
     rows.sort(key=lambda r: r.doc_id)
     column = np.frombuffer(b"".join(r["columns"] for r in rows), "i4").astype("i8")
     row = np.repeat(np.arange(len(rows)), [len(r["columns"]) // 4 for r in rows])
     value = np.frombuffer(b"".join(r["counts"] for r in rows), "f4").astype("f8")
-    listed = np.frombuffer(b"".join(r["listed"] for r in rows), "f8").reshape(len(rows), len(CATEGORIES))
-    return fit(Words(len(rows), row, column, value), listed, np.array([r.label for r in rows], "f8"), known)
+    words, toxic = Words(len(rows), row, column, value), np.array([r.label for r in rows], "f8")
+    hashes = listed_hashes(Hasher(), lists) if lists else found_categories(words, toxic, known)
+    return fit(words, listed_of(words, known, hashes), toxic, known), hashes
 
 
-def predict(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Per row: ``doc_id``, ``held_out``, a probability per category, ``p_toxic`` and
-    ``rejected``."""
-    chain = train(documents, labels, sample)
-    names = [f"p_{c}" for c in CATEGORIES] + ["p_toxic"]
+def predict(
+    documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lists: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """Per row: ``doc_id``, ``held_out``, a probability per category (``p_category_1`` and so
+    on, or by the names of ``lists``), ``p_toxic`` and ``rejected``."""
+    chain, hashes = train(documents, labels, sample, lists)
+    names = [f"p_{c}" for c in lists or [f"category_{k + 1}" for k in range(CATEGORIES)]] + ["p_toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        lists = listed_hashes(hasher)
         for batch in slices(batches, 256):
-            p = chain.probabilities(batch.column(1), hasher, lists)
+            p = chain.probabilities(batch.column(1), hasher, hashes)
             yield pa.record_batch([batch.column(0), *map(pa.array, p.T.copy())], ["doc_id", *names])
 
     narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -280,16 +333,17 @@ def predict(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), *names, (F.col("p_toxic") >= THRESHOLD).alias("rejected"))
 
 
-def keep_clean(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_clean(
+    documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lists: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """``documents`` with all their columns, without those rejected."""
-    chain = train(documents, labels, sample)
+    chain, hashes = train(documents, labels, sample, lists)
     text = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        lists = listed_hashes(hasher)
         for batch in slices(batches, 256):
-            p = chain.probabilities(batch.column(text), hasher, lists)[:, -1]
+            p = chain.probabilities(batch.column(text), hasher, hashes)[:, -1]
             yield batch.filter(pa.array(p < THRESHOLD))
 
     return documents.mapInArrow(run, documents.schema)

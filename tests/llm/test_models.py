@@ -90,6 +90,30 @@ def test_models_odd_rows(spark, odd, none):
         assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def test_toxic_words_of_any_language_make_categories(spark):
+    """Invented words of two languages; held-out recall by language."""
+    rng = np.random.default_rng(3)
+    prose = {"one": [f"aro{i}x" for i in "abcdefghijklmnop"], "two": [f"belu{i}z" for i in "abcdefghijklmnop"]}
+    bad = {"one": ["grobnik", "mulvash", "tarkel"], "two": ["ziffolo", "perdunt", "quascan"]}
+    docs, marks = [], []
+    for i in range(600):
+        lang = ("one", "two")[i // 4 % 2]
+        toxic = i % 4 == 0
+        words = list(rng.choice(prose[lang], 30)) + (list(rng.choice(bad[lang], 2)) if toxic else [])
+        rng.shuffle(words)
+        docs.append((i, " ".join(words), lang))
+        marks.append((i, int(toxic)))
+    documents = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = toxicity.predict(documents, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    kinds = [c for c in found.columns if c.startswith("p_") and c != "p_toxic"]
+    rows = found.join(documents, "doc_id").where("held_out").collect()
+    for lang in prose:
+        toxic = [r for r in rows if r.lang == lang and r.doc_id % 4 == 0]
+        clean = [r for r in rows if r.lang == lang and r.doc_id % 4]
+        assert np.mean([r.rejected for r in toxic]) > 0.9 and not any(r.rejected for r in clean)
+        assert np.mean([max(r[k] for k in kinds) > 0.5 for r in toxic]) > 0.9
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_against_plain_stages(spark, folder):
