@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -902,26 +902,35 @@ def throttle_events_12h(t: Tables) -> DataFrame:
 # --- streams --------------------------------------------------------------------------------------
 
 
-def _arrivals(df: DataFrame, path: str, order: str, files: int = 4) -> None:
-    """Write ``df`` as files that arrive one after another, cut by equal widths of ``order``."""
+def _arrivals(df: DataFrame, path: str, order: str, slices: int = 4) -> Iterator[None]:
+    """Add ``df`` to ``path`` in slices that arrive one after another, cut by equal widths of
+    ``order``; each is written by as many tasks as ``df`` has partitions."""
     low, high = df.agg(F.min(order), F.max(order)).first()
-    for k in range(files):
-        first, behind = (low + (high - low) * x / files for x in (k, k + 1))
-        part = (F.col(order) >= F.lit(first)) & (F.lit(k == files - 1) | (F.col(order) < F.lit(behind)))
-        df.where(part).coalesce(1).write.mode("append").parquet(path)
+    for k in range(slices):
+        first, behind = (low + (high - low) * x / slices for x in (k, k + 1))
+        part = (F.col(order) >= F.lit(first)) & (F.lit(k == slices - 1) | (F.col(order) < F.lit(behind)))
+        yield df.where(part).write.mode("append").parquet(path)
 
 
 def _ingested_stream(t: Tables) -> tuple[str, str]:
     """Save all incoming messages as a stream of several batches, the last of which sends
-    some of them again; the folders of the sessions and the output."""
+    some of them again; the folders of the sessions and the output.
+
+    The stream is started anew for every arrival, so a batch is one, however many files it has.
+    """
     out = run_folder(t.spark, "ingest")
     sinks.write_snapshot(t.sessions(), f"{out}/chat_sessions")
-    _arrivals(t.incoming(), f"{out}/incoming", "created_at")
-    t.incoming().where("id % 5 = 0 AND user_id IS NOT NULL").coalesce(1).write.mode("append").parquet(f"{out}/incoming")
-    incoming = readers.stream_table(t.spark, f"{out}/incoming", "incoming_messages", maxFilesPerTrigger=1)
-    messages.ingest_stream(
-        incoming, f"{out}/chat_sessions", f"{out}/saved", f"{out}/checkpoint", now=now()
-    ).awaitTermination()
+
+    def arrive() -> None:
+        incoming = readers.stream_table(t.spark, f"{out}/incoming", "incoming_messages")
+        messages.ingest_stream(
+            incoming, f"{out}/chat_sessions", f"{out}/saved", f"{out}/checkpoint", now=now()
+        ).awaitTermination()
+
+    for _ in _arrivals(t.incoming(), f"{out}/incoming", "created_at"):
+        arrive()
+    t.incoming().where("id % 5 = 0 AND user_id IS NOT NULL").write.mode("append").parquet(f"{out}/incoming")
+    arrive()
     return f"{out}/chat_sessions", f"{out}/saved"
 
 
@@ -941,11 +950,11 @@ def ingest_stream_sessions(t: Tables) -> DataFrame:
 
 
 def _throttled_stream(t: Tables) -> str:
-    """All events as a stream of several batches, with a delay."""
+    """All events as a stream of several batches, one for every arrival, with a delay."""
     out = run_folder(t.spark, "throttle")
-    _arrivals(t.refresh_events(), f"{out}/events", "ts")
-    events = readers.stream_table(t.spark, f"{out}/events", "refresh_events", maxFilesPerTrigger=1)
-    streams.throttle_stream(events, out, f"{out}/checkpoint", 12 * 3600 * 1000, delay_ms=3_600_000).awaitTermination()
+    for _ in _arrivals(t.refresh_events(), f"{out}/events", "ts"):
+        events = readers.stream_table(t.spark, f"{out}/events", "refresh_events")
+        streams.throttle_stream(events, out, f"{out}/checkpoint", 12 * 3600 * 1000, delay_ms=3_600_000).awaitTermination()
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.operators import ingest, throttle
+from parley.plans import registry
 from parley.plans.fixtures import Tables, now
 from parley.sources import sinks
 from parley.sources.tables import stream_table
@@ -116,3 +117,16 @@ def test_a_replayed_throttle_batch_changes_nothing(spark, tmp_path):
         streams.throttle_batch(batch, number, out, 15_000, 0)
     want = throttle.throttle_events(events_of(spark, rows))
     assert differences(streams.passed_events(spark, out).select("event_id"), want.select("event_id")) == 0
+
+
+def test_arrivals_keep_their_partitions_and_are_a_batch_each(spark, tmp_path):
+    events = Tables(spark, FOLDER).refresh_events().repartition(3).localCheckpoint()
+    path, out, files = str(tmp_path / "events"), str(tmp_path / "out"), [0]
+    for _ in registry._arrivals(events, path, "ts"):
+        files.append(len(list((tmp_path / "events").glob("*.parquet"))))
+        stream = stream_table(spark, path, "refresh_events")
+        streams.throttle_stream(stream, out, str(tmp_path / "check"), 1000, delay_ms=3_600_000).awaitTermination()
+    assert [b - a for a, b in zip(files, files[1:])] == [3] * 4
+    assert spark.read.schema(schemas.TABLES["refresh_events"]).parquet(path).count() == events.count()
+    assert streams.late_events(spark, out).count() == 0
+    assert spark.read.parquet(f"{out}/progress").select("batch_id").distinct().count() == 4
