@@ -112,8 +112,10 @@ def proximity_matches(rows: DataFrame, queries: DataFrame, slop: int) -> DataFra
     rarest: (row, query, pos, first, last), from ``queries`` of (query, terms).
 
     ``first`` and ``last`` bound the nearest occurrences of the others.  Positions are met
-    by cells of ``slop`` words, so lists are joined by key, not paired.
+    by cells of ``slop`` words, so lists are joined by key, not paired.  A query's terms are
+    a set: one given twice need not stand twice.
     """
+    width = max(slop, 1)
     wanted = queries.select(F.col("query").alias("phrase"), F.array_distinct("terms").alias("terms"))
     terms = wanted.select(F.explode("terms").alias("term")).distinct()
     most = 1 << 20
@@ -122,8 +124,8 @@ def proximity_matches(rows: DataFrame, queries: DataFrame, slop: int) -> DataFra
     each = looked_up.select("phrase", F.size("lookups").alias("parts"), F.posexplode("lookups").alias("rank", "lookup"))
     lists = index.join(each.select("phrase", "parts", "rank", F.col("lookup.term").alias("term")), "term")
     near = lists.where("rank = 0").select("phrase", "parts", "row", F.col("pos").alias("at")).withColumn(
-        "cell", F.explode(F.sequence(F.floor((F.col("at") - slop) / slop), F.floor((F.col("at") + slop) / slop))))
-    other = lists.where("rank > 0").select("phrase", "rank", "row", "pos", F.floor(F.col("pos") / slop).alias("cell"))
+        "cell", F.explode(F.sequence(F.floor((F.col("at") - slop) / width), F.floor((F.col("at") + slop) / width))))
+    other = lists.where("rank > 0").select("phrase", "rank", "row", "pos", F.floor(F.col("pos") / width).alias("cell"))
     met = near.join(other, ["phrase", "row", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
     nearest = met.groupBy("phrase", "parts", "row", "at", "rank").agg(
         F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("at")), "pos")).alias("pos"))

@@ -152,6 +152,14 @@ def test_proximity(spark):
     assert got == want
 
 
+def test_proximity_without_slop(spark):
+    """Two terms never stand at one place; a term given twice is one."""
+    numbered = decontaminate.numbered(spark.createDataFrame([(0, "a b a"), (1, "b")], "doc_id long, text string"))
+    queries = spark.createDataFrame([("ab", ["a", "b"]), ("bb", ["b", "b"])], "query string, terms array<string>")
+    got = decontaminate.proximity_matches(numbered, queries, 0).join(numbered, "row").collect()
+    assert sorted((r.doc_id, r["query"], r.pos) for r in got) == [(0, "bb", 1), (1, "bb", 0)]
+
+
 # ------------------------------------------------------------------ shards
 
 def check_shards(found, docs, n=16):
