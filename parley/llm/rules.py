@@ -2,14 +2,16 @@
 
 A rule is a test that a good document passes, computed from some features of its text.  On
 a sample, every rule is applied to every document: that gives the share it rejects and what
-it costs, its own steps over the bytes of the sample.  Rules then run in order of rejection
+it costs, the steps of its features over what they pass over in the documents of the sample.  Rules then run in order of rejection
 per cost, each only on the documents that all earlier ones let pass, and a feature is only
 computed for documents that reach a rule that needs it.  The order changes the work, never
 the verdict: a document is kept when no rule rejects it.
 
-Base features are those every document is told with; the base rules on them come first.
+Base features are those every document is told with; the base rules on them come first.  As
+they are there anyway, a rule is not charged for them.
 
-Cost is counted, not timed: bytes a feature passes over times the steps it takes on each.
+Cost is counted, not timed: characters or words a feature passes over times the steps it takes
+on each, which are constants.
 So equal inputs give equal orders wherever they run.
 
 Defined cases: words are runs of characters other than ASCII white space.  A null text is a
@@ -53,7 +55,7 @@ class Text:
             raise AttributeError(name)
         value = self.known.get(name)
         if value is None:
-            value = self.known[name] = FEATURES[name][0](self)
+            value = self.known[name] = FEATURES[name](self)
         return value
 
 
@@ -90,20 +92,26 @@ def _upper_share(t: Text) -> float:
     return sum(map(str.isupper, t.text)) / letters if letters else 0.0
 
 
-#: A feature and the steps it takes on every byte, itself only.
-FEATURES: dict[str, tuple[Callable, float]] = {
-    "words": (lambda t: t.text.encode("utf-8", "surrogatepass").split(), 1),
-    "n_words": (lambda t: len(t.words), 0),
-    "word_chars": (lambda t: len(t.text) - sum(map(t.text.count, " \t\n\v\f\r")), 1),
-    "n_symbols": (lambda t: sum(map(t.text.count, SYMBOLS)), 1),
-    "n_dup_lines": (_n_dup_lines, 1),
-    "n_lines": (lambda t: t.text.count("\n") + 1, 0.2),
-    "n_repeat_words": (lambda t: repeated_words(t.words), 8),
-    "n_marks": (lambda t: t.text.count("!") + t.text.count("?"), 0.3),
-    "top_word_share": (_top_word_share, 4),
-    "upper_share": (_upper_share, 6),
+FEATURES: dict[str, Callable] = {
+    "words": lambda t: t.text.encode("utf-8", "surrogatepass").split(),
+    "n_words": lambda t: len(t.words),
+    "word_chars": lambda t: len(t.text) - sum(map(t.text.count, " \t\n\v\f\r")),
+    "n_symbols": lambda t: sum(map(t.text.count, SYMBOLS)),
+    "n_dup_lines": _n_dup_lines,
+    "n_lines": lambda t: t.text.count("\n") + 1,
+    "n_repeat_words": lambda t: repeated_words(t.words),
+    "n_marks": lambda t: t.text.count("!") + t.text.count("?"),
+    "top_word_share": _top_word_share,
+    "upper_share": _upper_share,
+}
+
+#: The steps of the features that only rules need; all others are computed for every document.
+COSTS: dict[str, Callable[[Text], float]] = {
+    "n_lines": lambda t: 0.2 * len(t.text),
+    "n_marks": lambda t: 0.3 * len(t.text),
+    "top_word_share": lambda t: 24 * len(t.words),
+    "upper_share": lambda t: 6 * len(t.text),
 }
-_NEEDS = {"n_words": ["words"], "n_repeat_words": ["words"], "top_word_share": ["words"]}
 
 
 @dataclass
@@ -112,9 +120,9 @@ class Rule:
     rejects: Callable[[Text], bool]
     features: list[str] = field(default_factory=list)
 
-    def steps(self) -> float:
-        every = {x for f in self.features for x in [f, *_NEEDS.get(f, [])]}
-        return sum(FEATURES[f][1] for f in every) + 0.01
+    def cost(self, t: Text) -> float:
+        """Steps on a document whose base features are known."""
+        return 1 + sum(COSTS[f](t) for f in self.features if f in COSTS)
 
 
 BASE = [
@@ -144,26 +152,26 @@ def estimate(documents: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> l
     """Rejected share and cost of every rule, on ``sample`` rows at most, drawn by a hash."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(rules), "i8")
-        size = rows = 0
+        n, cost = np.zeros(len(rules), "i8"), np.zeros(len(rules))
+        rows = 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 one = Text(text)
                 rows += 1
-                size += len(one.text)
+                cost += [r.cost(one) for r in rules]
                 n += [bool(r.rejects(one)) for r in rules]
         yield pa.record_batch(
-            [pa.array([rows] * len(rules)), pa.array([size] * len(rules)), pa.array(range(len(rules))), pa.array(n)],
-            ["rows", "size", "rule", "rejected"])
+            [pa.array([rows] * len(rules)), pa.array(cost), pa.array(range(len(rules))), pa.array(n)],
+            ["rows", "cost", "rule", "rejected"])
 
     every = max(1, documents.count() // sample)
     drawn = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(
         F.col("text").cast("string").alias("text")).limit(sample)
-    sums = drawn.mapInArrow(measure, "rows long, size long, rule long, rejected long").groupBy("rule").agg(
-        F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.sum("rejected").alias("rejected"))
+    sums = drawn.mapInArrow(measure, "rows long, cost double, rule long, rejected long").groupBy("rule").agg(
+        F.sum("rows").alias("rows"), F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected"))
     found = {r.rule: r for r in sums.collect()}
     return [Estimate(r.name, found[k].rejected / max(found[k].rows, 1) if k in found else 0.0,
-                     r.steps() * (found[k].size / max(found[k].rows, 1) if k in found else 1.0))
+                     found[k].cost / max(found[k].rows, 1) if k in found else 1.0)
             for k, r in enumerate(rules)]
 
 

@@ -48,6 +48,17 @@ def test_cheap_and_selective_rules_first(spark):
     assert {(r.kept, r.rules_run) for r in judged} == {(False, 1), (True, len(rules.RULES))}
 
 
+def test_costs_come_from_the_sample(spark):
+    """Many words or few in the same number of characters; base features cost nothing more."""
+    def costs(text):
+        df = spark.createDataFrame([(i, text) for i in range(10)], "doc_id long, text string")
+        return {e.rule: e.cost for e in rules.estimate(df, rules.RULES)}
+
+    many, few = costs("a b " * 500), costs("abcdefghi " * 200)
+    assert many["one_word"] > many["shouting"] > few["one_word"] and many["shouting"] == few["shouting"]
+    assert many["symbols"] == many["word_length"] == few["symbols"] == 1
+
+
 def test_rules_odd_rows(odd, none):
     found = rules.judge(odd).collect()
     assert len(found) == odd.count()
