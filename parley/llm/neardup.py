@@ -22,8 +22,9 @@ A document's set holds its distinct word windows.  Documents are linked when
    members.
 
 Recall: a pair at the threshold shares a node of a tree with probability 0.63 on level 1,
-0.47 on level 2, 0.37 on level 3; with 16 trees it is missed with probability 1e-7, 4e-5 and
-6e-4 where its nodes are that deep.  Its signatures agree in less than 0.55 of 64 tokens
+0.47 on level 2, 0.37 on level 3, 0.31 on level 4.  All trees branch on one signature, so their
+misses are not independent; ``missed`` sums over how many tokens a pair shares.  There are as
+many trees as keep it at ``MISSED`` on the deepest level.  Its signatures agree in less than 0.55 of 64 tokens
 with probability 2e-6.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are
@@ -36,6 +37,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import count
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +55,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 5
 PERCENT = 80
 COORDINATES = 64
-TREES = 16
 SMALL = 32
 BLOCK = 64
 LEVELS = 4
+MISSED = 1e-3  # at most, of the pairs at the threshold whose nodes are as deep as can be
 LEAST_AGREE = 0.55
 
 _SKETCH = "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary"
@@ -99,6 +102,20 @@ def mixed_once(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
+def missed(level: int, trees: int, percent: int = PERCENT) -> float:
+    """The probability that a pair at the threshold shares no node on ``level`` of any tree."""
+    alike, total = percent / 100, 0.0
+    for shared in range(COORDINATES + 1):
+        meet = 1.0
+        for _ in range(level):
+            meet = 1 - (1 - meet / alike / COORDINATES) ** shared
+        total += comb(COORDINATES, shared) * alike**shared * (1 - alike) ** (COORDINATES - shared) * (1 - meet) ** trees
+    return total
+
+
+TREES = next(n for n in count(1) if missed(LEVELS, n) <= MISSED)
+
+
 def _children(nodes: np.ndarray, signature: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """For rows of (node, signature): the children each goes to, and the row's number."""
     k = np.arange(1, signature.shape[1] + 1, dtype="u8") << np.uint64(32)

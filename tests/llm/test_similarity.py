@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from plain import contamination, near_duplicates
 from pyspark.sql import functions as F
@@ -56,6 +57,17 @@ def crowded(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
 
 
+def test_few_pairs_are_missed_on_the_deepest_level():
+    rng = np.random.default_rng(0)
+    shared = rng.binomial(neardup.COORDINATES, 0.8, 4000)
+    pick = 1 / 0.8 / neardup.COORDINATES
+    met = np.ones((neardup.TREES, 4000), int)
+    for _ in range(neardup.LEVELS):
+        met = rng.binomial(met * shared, pick)
+    assert np.isclose((met == 0).all(0).mean(), neardup.missed(neardup.LEVELS, neardup.TREES), atol=1.5e-3)
+    assert neardup.missed(neardup.LEVELS, neardup.TREES) <= 1e-3 < neardup.missed(neardup.LEVELS, 16)
+
+
 def test_near_duplicates_of_a_crowd(crowded):
     assert groups(neardup.near_duplicates(crowded)) == near_duplicates(sorted(rows(crowded)), 5)
 
