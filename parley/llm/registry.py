@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from parley.llm import codes, crf, decontaminate, neardup, packing, rollup, rules, shards, toxicity, urls
+from parley.llm import codes, crf, decontaminate, importance, neardup, packing, rollup, rules, shards, suffixes, toxicity, urls
 from parley.llm.shared import table
 from parley.llm.tokens import vocabulary
 from parley.session import run_folder
@@ -188,6 +188,61 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    scored = importance.importance(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op11_importance_resampling"] = r"""
+WITH RECURSIVE shifted(i, k, c) AS (
+    SELECT i, 0, i FROM range(256) AS t(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM shifted WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM shifted WHERE k = 8),
+words AS (
+    SELECT 'd' AS side, doc_id, row_number() OVER () AS id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+    UNION ALL
+    SELECT 'b', NULL, row_number() OVER (), regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+feature AS (
+    SELECT side, id, array_to_string(words[i:i + k - 1], ' ') AS f
+    FROM words, range(1, 4) AS ks(k), unnest(range(1, len(words) - k + 2)) AS u(i)),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM feature)),
+bucket AS (
+    SELECT f, xor(list_reduce(
+        list_transform(range(len(h) // 2), lambda j: ('0x' || h[2 * j + 1:2 * j + 2])::BIGINT),
+        lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+    FROM bytes, crc),
+placed AS (SELECT side, id, b FROM feature JOIN bucket USING (f)),
+counts AS (SELECT b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM placed GROUP BY b),
+total AS (SELECT count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM placed),
+gain AS (
+    SELECT b, floor(1000 * ln((counts.t + 1)::DOUBLE * (total.s + 10000)::DOUBLE
+                              / ((counts.s + 1)::DOUBLE * (total.t + 10000)::DOUBLE)))::BIGINT AS g
+    FROM counts, total),
+weight AS (SELECT id, count(*) AS n, sum(g)::BIGINT AS w FROM placed JOIN gain USING (b) WHERE side = 'd' GROUP BY id),
+scored AS (
+    SELECT doc_id, len(words) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(w, 0)::BIGINT AS weight,
+           coalesce(w, 0)::BIGINT + floor(-1000 * ln(-ln(
+               (('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM words LEFT JOIN weight USING (id) WHERE side = 'd'),
+placed_score AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r,
+           count(*) FILTER (n_words >= 20) OVER () AS n
+    FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM placed_score
+"""
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, folder, "documents")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
