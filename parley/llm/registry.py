@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from parley.llm import codes, crf, decontaminate, importance, neardup, packing, rollup, rules, shards, suffixes, toxicity, urls
+from parley.llm import (
+    codes, crf, decontaminate, importance, neardup, packing, rollup, rules, runs, shards, suffixes, toxicity, urls,
+)
 from parley.llm.shared import table
 from parley.llm.tokens import vocabulary
 from parley.session import run_folder
@@ -243,6 +245,11 @@ def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(table(spark, folder, "documents")))
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digests(runs.find_runs(table(spark, folder, "documents"), plant=True))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
