@@ -913,13 +913,14 @@ def _arrivals(df: DataFrame, path: str, order: str, slices: int = 4) -> Iterator
 
 
 def _ingested_stream(t: Tables) -> tuple[str, str]:
-    """Save all incoming messages as a stream of several batches, the last of which sends
-    some of them again; the folders of the sessions and the output.
+    """Save all incoming messages as a stream of eight batches.  In each of the first seven some
+    messages come twice, the second time later and with another text; the last batch sends
+    some of all again.  Returns the folders of the sessions and the output.
 
     The stream is started anew for every arrival, so a batch is one, however many files it has.
     """
     out = run_folder(t.spark, "ingest")
-    sinks.write_snapshot(t.sessions(), f"{out}/chat_sessions")
+    messages.write_sessions(t.sessions(), f"{out}/chat_sessions")
 
     def arrive() -> None:
         incoming = readers.stream_table(t.spark, f"{out}/incoming", "incoming_messages")
@@ -927,7 +928,11 @@ def _ingested_stream(t: Tables) -> tuple[str, str]:
             incoming, f"{out}/chat_sessions", f"{out}/saved", f"{out}/checkpoint", now=now()
         ).awaitTermination()
 
-    for _ in _arrivals(t.incoming(), f"{out}/incoming", "created_at"):
+    again = t.incoming().where("id % 7 = 0").withColumns({
+        "content": F.when(F.col("content") != "", F.concat("content", F.lit(" (sent again)"))).otherwise(F.col("content")),
+        "created_at": F.col("created_at") + F.expr("INTERVAL 30 SECONDS"),
+    })
+    for _ in _arrivals(t.incoming().unionByName(again), f"{out}/incoming", "created_at", slices=7):
         arrive()
     t.incoming().where("id % 5 = 0 AND user_id IS NOT NULL").write.mode("append").parquet(f"{out}/incoming")
     arrive()

@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # A hot session or user shows up as one oversized shuffle partition of a join; AQE
     # splits the fact side of that partition and re-reads the small side for each split.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A look-up of some keys reaches the Parquet reader as such (``plans.buckets.PUSHED``).
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
 }
 
 

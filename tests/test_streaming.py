@@ -10,7 +10,7 @@ from parley.plans import registry
 from parley.plans.fixtures import Tables, now
 from parley.sources import sinks
 from parley.sources.tables import stream_table
-from parley.streaming import messages, throttle as streams
+from parley.streaming import messages, tiers, throttle as streams
 
 FOLDER = "/root/testdata/sf0.001"
 BASE = dt.datetime(2024, 1, 1)
@@ -60,6 +60,65 @@ def test_nothing_ingested_yet(spark, tmp_path):
     assert differences(messages.current_sessions(spark, base, str(tmp_path / "out")), t.sessions()) == 0
 
 
+def _incoming(spark, rows):
+    """Messages (id, content, second of the day) of user 1 to session 1."""
+    stamped = [(i, 1, 1, "a@x.org", "user", c, None if s is None else BASE + dt.timedelta(seconds=s)) for i, c, s in rows]
+    return spark.createDataFrame(stamped, schemas.INCOMING_MESSAGES)
+
+
+def _one_session(spark, path):
+    row = [(1, 1, "t", BASE, BASE)]
+    messages.write_sessions(spark.createDataFrame(row, schemas.CHAT_SESSIONS), path)
+
+
+def test_a_message_sent_twice_at_once_is_saved_once(spark, tmp_path):
+    base, out = str(tmp_path / "sessions"), str(tmp_path / "out")
+    _one_session(spark, base)
+    rows = [(5, "later", 9), (5, "first", 3), (5, "", 1), (6, "same", 4), (6, "same", 4), (None, "a", 1), (None, "a", 1)]
+    messages.save_batch(_incoming(spark, rows), 0, base, out, now())
+    messages.save_batch(_incoming(spark, [(5, "once more", 20), (7, "new", 21)]), 1, base, out, now())
+    saved = sorted((r.id or 0, r.content) for r in messages.saved_messages(spark, out).collect())
+    assert saved == [(0, "a"), (0, "a"), (5, "first"), (6, "same"), (7, "new")]
+    # The first of id 5 could not be saved, and is answered; what came behind the saved one is not.
+    assert messages.requests_so_far(spark, out).where("id = 5").count() == 2
+
+
+def test_a_batch_reads_only_the_buckets_it_hits(spark, tmp_path):
+    base, out = str(tmp_path / "sessions"), str(tmp_path / "out")
+    _one_session(spark, base)
+    folders = []
+    for batch in range(8):
+        ids = range(100 * batch, 100 * batch + 100)
+        messages.save_batch(_incoming(spark, [(i, f"m{i}", i) for i in ids]), batch, base, out, now())
+        folders.append(sum(len(list((tmp_path / "out" / name).iterdir())) for name in ("ids", "activity", "writers", "manifest")))
+    assert max(folders[4:]) <= max(folders[:4]) + 3
+    last = _incoming(spark, [(3, "again", 1000), (99_999, "new", 1001)])
+    hit = set(messages.hit_buckets(last, "id")[0])
+    # Files of all other buckets are damaged: a look-up that opened one would fail.
+    for file in (tmp_path / "out" / "ids").glob("*/bucket=*/*.parquet"):
+        if int(file.parent.name.split("=")[1]) not in hit:
+            file.write_bytes(b"no Parquet")
+    messages.save_batch(last, 8, base, out, now())
+    assert {r.id for r in messages.saved_messages(spark, out).collect()} >= {3, 99_999}
+    assert messages.saved_messages(spark, out).where("id = 3").count() == 1
+    assert messages.saved_messages(spark, out).count() == 801
+
+
+def test_tiers_stay_few_and_are_found_again_on_replay(spark, tmp_path):
+    out = str(tmp_path / "out")
+    table = tiers.Table("k long, n long", lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")),
+                        lambda rows, path: rows.write.mode("overwrite").parquet(path))
+    store = tiers.Tiers(spark, out, {"sums": table})
+    assert store.read("sums").count() == 0
+    for batch in range(22):
+        rows = spark.createDataFrame([(batch % 3, 1)], "k long, n long")
+        for _ in range(2 if batch % 5 == 3 else 1):
+            store.commit(batch, {"sums": rows})
+    assert sorted((r.k, r.n) for r in store.read("sums").collect()) == [(0, 8), (1, 7), (2, 7)]
+    assert len(store.runs()) <= (tiers.FANOUT - 1) * tiers.LEVELS
+    assert len(list((tmp_path / "out" / "manifest").glob("*.json"))) == 2
+
+
 def write_events(spark, source, rows):
     events_of(spark, rows).coalesce(1).write.mode("append").parquet(source)
 
