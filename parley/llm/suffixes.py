@@ -13,15 +13,16 @@ same text or another one.  To find these strings not every suffix has to be sort
    range-partitioned the records by gram, within a bucket; grams that reach over a bucket's
    ends are folded across buckets.
 3. Records that differ although their grams are equal are compared as suffixes.  Their
-   stretches are fetched, range-partitioned by leading bytes and gram with sampled splitters
-   (and dealt by place beyond that, so a frequent gram spreads over many buckets), and each
+   stretches are fetched, range-partitioned by their first ``LEAD`` bytes with sampled splitters
+   (and dealt by place beyond that, so a frequent lead spreads over many buckets), and each
    bucket sorts its suffixes by multikey quicksort, eight bytes a key.  The lengths that
    neighbours share tell for each window which suffixes agree from the anchor to the
    window's end; the same sort over the bytes before the anchor, read backwards, tells which
    agree back to the window's start.  A window repeats where both do.
-4. Across boundaries: of the grams at a bucket's ends each distinct window is sent on once,
-   by 128 bits, with its place if the bucket held it only once.  Windows that two buckets
-   sent repeat.
+4. Across boundaries: a window can stand in another bucket only if its suffix agrees up to
+   the window's end (or in its whole lead) with the first or last suffix of its own.  Of such
+   windows a bucket sends each distinct one on once, by 128 bits, with its place if the
+   bucket held it only once.  Windows that two buckets sent repeat.
 5. A text's windows that repeat are joined with it by a 128-bit digest of its id and text,
    merged, and cut out.
 
@@ -52,7 +53,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 400
 GRAM = 32
-_PIECE = 1 << 21  # bytes of text worked on at once
+LEAD = 128
+_PIECE = 1 << 19  # bytes of text worked on at once
 _FOLD = 100_000  # records a task folds at once
 _KEY = ["gram", "d1", "d2", "off"]
 _RECORD = "gram long, d1 long, d2 long, off int, row binary, start int, stop int, n int, own boolean"
@@ -70,9 +72,12 @@ def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n - width + 1], before[width - 1:n])
 
 
+_PERMUTED = np.argsort(mixed(np.arange(256, dtype="u8"))).astype("u1")
+
+
 def _twin(data: np.ndarray) -> np.ndarray:
     """The bytes under a fixed permutation, for a second hash."""
-    return np.argsort(mixed(np.arange(256, dtype="u8"))).astype("u1")[data]
+    return _PERMUTED[data]
 
 
 def anchors(data: np.ndarray, at: np.ndarray, hasher: Hasher, length: int, gram: int) -> dict[str, np.ndarray]:
@@ -231,24 +236,22 @@ def _ends_folded(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _stretches(texts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """The suffixes with the ``bytes`` of their stretches, and the first eight after the anchor."""
-    wanted = suffixes.groupBy("row").agg(
-        F.collect_list(F.struct("start", "stop", "off", "gram", "own")).alias("wanted"))
+    """The suffixes with the ``bytes`` of their stretches."""
+    wanted = suffixes.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "off", "own")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 held = [data[w["start"]:w["stop"]] for w in asked]
-                lead = [int.from_bytes(x[w["off"]:w["off"] + 8], "big") - (1 << 63) for x, w in zip(held, asked, strict=True)]
                 yield pa.record_batch(
                     [pa.array([row] * len(held), pa.binary()), pa.array([w["start"] for w in asked], pa.int32()),
-                     pa.array([w["off"] for w in asked], pa.int32()), pa.array([w["gram"] for w in asked], pa.int64()),
-                     pa.array([w["own"] for w in asked], pa.bool_()), pa.array(lead, pa.int64()), pa.array(held, pa.binary())],
-                    ["row", "start", "off", "gram", "own", "lead", "bytes"])
+                     pa.array([w["off"] for w in asked], pa.int32()), pa.array([w["own"] for w in asked], pa.bool_()),
+                     pa.array(held, pa.binary())],
+                    ["row", "start", "off", "own", "bytes"])
 
     told = texts.join(wanted, "row").select("row", "text", "wanted")
-    return told.mapInArrow(cut, "row binary, start int, off int, gram long, own boolean, lead long, bytes binary")
+    return told.mapInArrow(cut, "row binary, start int, off int, own boolean, bytes binary")
 
 
 def quicksorted(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,9 +292,20 @@ def _nearest(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return most
 
 
-def repeated_windows(held: list[bytes], off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _reach(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """What each string shares with the first or the last of all, at most."""
+    most = np.full(len(order), np.iinfo("i8").max)
+    forth, back = most.copy(), most.copy()
+    forth[1:] = np.minimum.accumulate(shared[1:])
+    back[:-1] = np.minimum.accumulate(shared[:0:-1])[::-1]
+    most[order] = np.maximum(forth, back)
+    return most
+
+
+def repeated_windows(held: list[bytes], off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of stretches with their anchors: (number, bytes before the anchor) of each window that
-    stands in two of them."""
+    stands in two of them; and how many bytes from its anchor each shares with the first or
+    last of them in order."""
     right, shared_right = quicksorted([x[o:] for x, o in zip(held, off.tolist(), strict=True)], length)
     left, shared_left = quicksorted([x[:o][::-1] for x, o in zip(held, off.tolist(), strict=True)], max(int(off.max()), 1))
     size = np.array([len(x) for x in held]) - off
@@ -310,32 +324,43 @@ def repeated_windows(held: list[bytes], off: np.ndarray, length: int) -> tuple[n
         own = own[n[group] > 1]
         who.append(own)
         before.append(np.full(len(own), b))
-    if not who:
-        return np.zeros(0, "i8"), np.zeros(0, "i8")
-    return np.concatenate(who), np.concatenate(before)
+    none = np.zeros(0, "i8")
+    return np.concatenate([none, *who]), np.concatenate([none, *before]), _reach(right, shared_right)
+
+
+_PLACE = np.dtype([("row", "V16"), ("start", "<i4")])
+
+
+def _windows(held: list[bytes], n: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The distinct ones of the first ``n`` windows of each stretch: hash, stretch, place in it,
+    and whether it stands nowhere else here and its stretch neither."""
+    hasher, sizes = Hasher(), np.array([len(x) for x in held])
+    data = np.frombuffer(b"".join(held), "u1")
+    who = np.repeat(np.arange(len(held)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = at + (np.cumsum(sizes) - sizes)[who]
+    f = np.column_stack([hasher.spans(data, start, start + length), hasher.spans(_twin(data), start, start + length)])
+    group = _group(f[:, 0], f[:, 1])
+    _, first = np.unique(group, return_index=True)
+    alone = np.bincount(group)[group[first]] == 1
+    return f[first], who[first], at[first], alone & own[who[first]]
 
 
 def _sorted_buckets(stretches: DataFrame, length: int) -> DataFrame:
-    """Suffixes sorted and compared in buckets.  Rows without a hash are places that repeat;
-    the others are the distinct windows of the grams at the bucket's ends, (``f1``, ``f2``), with
-    a place if the bucket does not know yet whether it repeats."""
-    schema = f"f1 long, f2 long, {_SPAN}"
-
-    def ends(held: list[bytes], own: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The distinct windows of the given stretches: hash, stretch, place in it, and
-        whether it stands nowhere else here and its stretch neither."""
-        hasher, sizes = Hasher(), np.array([len(x) for x in held])
-        data = np.frombuffer(b"".join(held), "u1")
-        n = sizes - length + 1
-        who = np.repeat(np.arange(len(held)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = at + (np.cumsum(sizes) - sizes)[who]
-        f1, f2 = hasher.spans(data, start, start + length).view("i8"), hasher.spans(_twin(data), start, start + length).view("i8")
-        group = _group(f1, f2)
-        _, first = np.unique(group, return_index=True)
-        alone = np.bincount(group)[group[first]] == 1
-        open_ = alone & own[who[first]]
-        return f1[first], f2[first], who[first], at[first], open_
+    """Suffixes sorted and compared in buckets.  Rows without a ``slice`` are places that repeat.
+    The others hold distinct windows that may stand in other buckets: their hashes ``f``, and
+    of the first ones, of which the bucket does not know yet, the ``places`` (row, start)."""
+    slices = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(f: np.ndarray, open_: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        piece = (f[:, 0] % np.uint64(slices)).astype("i8")
+        order = np.lexsort((~open_, piece))
+        f, open_, places, piece = f[order], open_[order], places[order], piece[order]
+        edge = np.flatnonzero(np.diff(piece, prepend=-1, append=-1))
+        held = [(int(piece[a]), f[a:b].tobytes(), places[a:b][open_[a:b]].tobytes()) for a, b in zip(edge, edge[1:], strict=False)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+        none = [pa.nulls(len(held), t) for t in (pa.binary(), pa.int32(), pa.int32())]
+        return pa.record_batch([*columns, *none], ["slice", "f", "places", "row", "start", "stop"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
@@ -343,27 +368,53 @@ def _sorted_buckets(stretches: DataFrame, length: int) -> DataFrame:
             return
         held, off = table.column("bytes").to_pylist(), table.column("off").to_numpy().astype("i8")
         row, start = table.column("row").combine_chunks(), table.column("start").to_numpy().astype("i8")
-        own, gram, lead = (table.column(c).to_numpy() for c in ("own", "gram", "lead"))
-        who, before = repeated_windows(held, off, length)
+        own = table.column("own").to_numpy()
+        who, before, reach = repeated_windows(held, off, length)
         unknown = own[who]
         who, before = who[unknown], before[unknown]
         by = np.lexsort((before, who))
         who, before = who[by], before[by]
-        first = np.flatnonzero(np.append(True, (np.diff(who) != 0) | (np.diff(before) != 1))) if len(who) else who
-        last = np.append(first[1:], len(who)) - 1 if len(who) else who
+        edge = np.ones(len(who) + 1, bool)
+        edge[1:-1] = (np.diff(who) != 0) | (np.diff(before) != 1)
+        first, last = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])
         anchor = start + off
         spans = _spans_batch(row.take(pa.array(who[first])), anchor[who[first]] - before[last], anchor[who[first]] - before[first] + length)
-        none = pa.nulls(len(first), pa.int64())
-        yield pa.record_batch([none, none, *spans.values()], ["f1", "f2", *spans])
-        order = np.lexsort((gram, lead))
-        at = np.flatnonzero((gram == gram[order[0]]) | (gram == gram[order[-1]]))
-        f1, f2, number, place, open_ = ends([held[i] for i in at], own[at])
-        place = start[at[number]] + place
-        spans = _spans_batch(row.take(pa.array(at[number], mask=~open_)), place, place + length)
-        yield pa.record_batch([pa.array(f1), pa.array(f2), *spans.values()], ["f1", "f2", *spans])
+        none = [pa.nulls(len(first), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+        yield pa.record_batch([*none, *spans.values()], ["slice", "f", "places", *spans])
+        every = np.array([len(x) for x in held]) - length + 1
+        n = np.where(reach >= LEAD, every, np.clip(off - (length - reach) + 1, 0, every))
+        at = np.flatnonzero(n > 0)
+        f, number, place, open_ = _windows([held[i] for i in at], n[at], own[at], length)
+        rows = np.frombuffer(b"".join(row.take(pa.array(at)).to_pylist()), "V16")
+        places = np.zeros(len(f), _PLACE)
+        places["row"], places["start"] = rows[number], start[at[number]] + place
+        yield packed(f, open_, places)
+
+    lead = F.substr("bytes", F.col("off") + 1, F.lit(LEAD))
+    dealt = stretches.repartitionByRange(lead, F.xxhash64("row", "start"))
+    return written(dealt.mapInArrow(compare, f"slice int, f binary, places binary, {_SPAN}"), "suffix-compared")
+
+
+def _across(sent: DataFrame, length: int) -> DataFrame:
+    """Places of windows that more than one bucket sent."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _whole(batches)
+        if table is None:
+            return
+        f = [np.frombuffer(x, "u8").reshape(-1, 2) for x in table.column("f").to_pylist()]
+        places = [np.frombuffer(x, _PLACE) for x in table.column("places").to_pylist()]
+        first = np.cumsum([0, *map(len, f)])[:-1]
+        asked = np.concatenate([a + np.arange(len(p)) for a, p in zip(first, places, strict=True)])
+        every = np.concatenate(f)
+        group = _group(every[:, 0], every[:, 1])
+        several = np.bincount(group)[group[asked.astype("i8")]] > 1
+        found = np.concatenate(places)[several]
+        rows = pa.Array.from_buffers(pa.binary(16), len(found), [None, pa.py_buffer(np.ascontiguousarray(found["row"]))])
+        start = found["start"].astype("i8")
+        yield pa.record_batch(list(_spans_batch(rows.cast(pa.binary()), start, start + length).values()), ["row", "start", "stop"])
 
-    dealt = stretches.repartitionByRange("lead", "gram", F.xxhash64("row", "start"))
-    return written(dealt.mapInArrow(compare, schema), "suffix-compared")
+    return sent.repartition("slice").mapInArrow(match, _SPAN)
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -376,11 +427,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     more_spans, more = _ends_folded(folded.where("kind = 'end'").drop("kind"))
     suffixes = folded.where("kind = 'suffix'").select(*_KEY, *of, "n", "own").unionByName(more)
     compared = _sorted_buckets(_stretches(texts, suffixes), length)
-    across = compared.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(
-        F.count("*").alias("n"), F.collect_list(F.when(F.col("row").isNotNull(), F.struct(*of))).alias("own"))
-    return found.where("gram IS NULL").select(*of).unionByName(folded.where("kind = 'span'").select(*of)).unionByName(
-        more_spans).unionByName(compared.where("f1 IS NULL").select(*of)).unionByName(
-        across.where("n > 1").select(F.explode("own").alias("s")).select("s.*"))
+    return (
+        found.where("gram IS NULL").select(*of).unionByName(folded.where("kind = 'span'").select(*of))
+        .unionByName(more_spans).unionByName(compared.where("slice IS NULL").select(*of))
+        .unionByName(_across(compared.where("slice IS NOT NULL").select("slice", "f", "places"), length))
+    )
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
