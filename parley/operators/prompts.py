@@ -234,6 +234,12 @@ def resolve_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
         asked.join(_attempt(responses, "primary"), "request_id", "left")
         .join(_attempt(responses, "fallback"), "request_id", "left")
     )
+    return outcomes(paired)
+
+
+def outcomes(paired: DataFrame) -> DataFrame:
+    """(request_id, outcome, text) of requests with ``is_vision`` and what came back to their
+    ``primary`` and ``fallback`` attempts (STRUCT<state, text>, or NULL)."""
     again = F.coalesce(needs_fallback("is_vision", "primary.state"), F.lit(False))
     final = F.when(again, F.col("fallback")).otherwise(F.col("primary"))
     settled = paired.select("request_id", again.alias("again"), final.alias("final"))

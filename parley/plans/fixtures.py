@@ -305,6 +305,20 @@ class Tables:
             ).alias("r"),
         ).select("request_id", "r.attempt", "r.body")
 
+    def received_responses(self) -> DataFrame:
+        """The responses with their times: some primaries and fallbacks come long after the
+        others, and a fifth of the requests is answered again, in other words."""
+        ident = F.col("request_id")
+        sent = T0 + F.floor(ident / 1000) * 3600 + ident % 1000 * 60
+        seconds = F.when(F.col("attempt") == "primary", F.when(ident % 7 == 0, 2700).otherwise(20)).otherwise(
+            F.when(ident % 13 == 0, 2400).otherwise(60))
+        first = self.responses().withColumn("received_at", F.timestamp_seconds(sent + seconds))
+        again = first.where(ident % 5 == 0).withColumns({
+            "body": F.lit('{"choices":[{"message":{"content":"answered again"}}]}'),
+            "received_at": F.col("received_at") + F.expr("INTERVAL 5 SECONDS"),
+        })
+        return first.unionByName(again)
+
     # --- events and images -------------------------------------------------------------
 
     def refresh_events(self) -> DataFrame:

@@ -16,7 +16,7 @@ from parley.plans.fixtures import Tables, now, pick
 from parley.plans.oracle import NOW, SYSTEM, or_else, stamp, title, trim
 from parley.session import run_folder
 from parley.sources import sinks, tables as readers
-from parley.streaming import messages, throttle as streams
+from parley.streaming import messages, responses as pairing, throttle as streams
 
 # Status codes, messages and model names in the statements below are fixed values.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -954,6 +954,53 @@ def ingest_stream_sessions(t: Tables) -> DataFrame:
     return timed(messages.current_sessions(t.spark, sessions_path, saved), "updated_at").select("id", "updated_at")
 
 
+def _paired_stream(t: Tables) -> str:
+    """Requests and responses as two streams, each in four arrivals of equal time; then what
+    comes a day and two days later lets the last requests time out and come out."""
+    out = run_folder(t.spark, "pairing")
+    sent = _outgoing(t).select("request_id", "message", "attachments", F.col("created_at").alias("sent_at"))
+    low, high = sent.agg(F.min("sent_at"), F.max("sent_at")).first()
+    streams_of = {"sent_requests": (sent, "sent_at"), "received_responses": (t.received_responses(), "received_at")}
+
+    def arrive() -> None:
+        requests, answers = (readers.stream_table(t.spark, f"{out}/{name}", name) for name in streams_of)
+        pairing.resolve_stream(requests, answers, f"{out}/outcomes", f"{out}/checkpoint").awaitTermination()
+
+    for k in range(4):
+        first, behind = (low + (high - low) * x / 4 for x in (k, k + 1))
+        for name, (rows, at) in streams_of.items():
+            part = (F.col(at) >= F.lit(first)) & (F.lit(k == 3) | (F.col(at) < F.lit(behind)))
+            rows.where(part).write.mode("append").parquet(f"{out}/{name}")
+        arrive()
+    for days in (1, 2):
+        for name, (_, at) in streams_of.items():
+            # Rows of nobody's, which pair with nothing.
+            row = {f.name: F.lit(None).cast(f.dataType) for f in schemas.TABLES[name]}
+            row |= {"request_id": F.lit(-days if at == "sent_at" else -10).cast("long"),
+                    at: F.lit(high).cast("timestamp") + F.expr(f"INTERVAL {days} DAY")}
+            row |= {"message": F.lit("later")} if at == "sent_at" else {"attempt": F.lit("primary"), "body": F.lit("{}")}
+            t.spark.range(1).select(*(c.alias(n) for n, c in row.items())).write.mode("append").parquet(f"{out}/{name}")
+        arrive()
+    return f"{out}/outcomes"
+
+
+@query("""
+    SELECT request_id,
+           CASE WHEN again AND f_state IS NULL THEN 'fallback'
+                WHEN again THEN CASE WHEN f_state = 'ok' THEN 'answer' ELSE 'error' END
+                WHEN p_state IS NULL THEN 'pending'
+                WHEN p_state = 'ok' THEN 'answer' ELSE 'error' END AS outcome,
+           CASE WHEN again THEN f_text ELSE p_text END AS text
+    FROM (SELECT r.request_id, p.state AS p_state, p.text AS p_text, f.state AS f_state, f.text AS f_text,
+                 r.n_images > 0 AND COALESCE(p.state, '') = 'error' AS again
+          FROM v_requests r
+          LEFT JOIN v_read p ON p.request_id = r.request_id AND p.attempt = 'primary' AND r.request_id % 7 <> 0
+          LEFT JOIN v_read f ON f.request_id = r.request_id AND f.attempt = 'fallback' AND r.request_id % 13 <> 0)""")
+def resolve_stream(t: Tables) -> DataFrame:
+    """Responses that are late by more than the time-out do not count, nor second ones."""
+    return pairing.outcomes_so_far(t.spark, _paired_stream(t)).where("request_id >= 0")
+
+
 def _throttled_stream(t: Tables) -> str:
     """All events as a stream of several batches, one for every arrival, with a delay."""
     out = run_folder(t.spark, "throttle")

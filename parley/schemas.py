@@ -96,6 +96,21 @@ REFRESH_EVENTS = T.StructType([
     T.StructField("force", T.BooleanType()),
 ])
 
+# Model requests as they are sent and responses as they are received, each with its time.
+SENT_REQUESTS = T.StructType([
+    T.StructField("request_id", T.LongType()),
+    T.StructField("message", T.StringType()),
+    T.StructField("attachments", T.ArrayType(ATTACHMENT)),
+    T.StructField("sent_at", T.TimestampType()),
+])
+
+RECEIVED_RESPONSES = T.StructType([
+    T.StructField("request_id", T.LongType()),
+    T.StructField("attempt", T.StringType()),
+    T.StructField("body", T.StringType()),
+    T.StructField("received_at", T.TimestampType()),
+])
+
 TABLES = {
     "profiles": PROFILES,
     "chat_sessions": CHAT_SESSIONS,
@@ -103,4 +118,6 @@ TABLES = {
     "incoming_messages": INCOMING_MESSAGES,
     "signups": SIGNUPS,
     "refresh_events": REFRESH_EVENTS,
+    "sent_requests": SENT_REQUESTS,
+    "received_responses": RECEIVED_RESPONSES,
 }

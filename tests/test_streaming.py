@@ -5,12 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley import schemas
-from parley.operators import ingest, throttle
+from parley.operators import ingest, prompts, throttle
 from parley.plans import registry
 from parley.plans.fixtures import Tables, now
 from parley.sources import sinks
 from parley.sources.tables import stream_table
-from parley.streaming import messages, tiers, throttle as streams
+from parley.streaming import messages, responses, tiers, throttle as streams
 
 FOLDER = "/root/testdata/sf0.001"
 BASE = dt.datetime(2024, 1, 1)
@@ -119,6 +119,51 @@ def test_tiers_stay_few_and_are_found_again_on_replay(spark, tmp_path):
     assert len(list((tmp_path / "out" / "manifest").glob("*.json"))) == 2
 
 
+def test_pairing_equals_batch_with_disorder_restart_and_time_out(spark, tmp_path):
+    rng = random.Random(11)
+    asked, heard = [], []
+    for i in range(60):
+        sent = i * 120
+        files = [("image", "a.png", None, "data:x")] if i % 3 == 0 else []
+        asked.append((i, "" if i % 17 == 0 else f"question {i}", files, sent))
+        for attempt in ("primary", "fallback"):
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                body = rng.choice(['{"choices":[{"message":{"content":"%d"}}]}' % rng.randrange(99), '{"error":{"message":"down"}}'])
+                heard.append((i, attempt, body, sent + rng.choice([1, 30, 200, 299, 300, 301, 900])))
+
+    def frames(requests, answers):
+        at = lambda s: BASE + dt.timedelta(seconds=s)
+        return (spark.createDataFrame([(*r[:3], at(r[3])) for r in requests], schemas.SENT_REQUESTS),
+                spark.createDataFrame([(*r[:3], at(r[3])) for r in answers], schemas.RECEIVED_RESPONSES))
+
+    paths = [str(tmp_path / n) for n in ("requests", "answers", "out", "check")]
+
+    def arrive(requests, answers):
+        for frame, path in zip(frames(requests, answers), paths):
+            frame.repartition(2).write.mode("append").parquet(path)
+        sources = [stream_table(spark, p, n) for p, n in zip(paths, ("sent_requests", "received_responses"))]
+        responses.resolve_stream(*sources, *paths[2:], timeout="5 minutes", delay="10 minutes").awaitTermination()
+        return responses.outcomes_so_far(spark, paths[2])
+
+    # By time, but for ten minutes of disorder.
+    late = lambda r: r[3] + rng.randrange(600)
+    mixed = sorted([("r", r, late(r)) for r in asked] + [("a", a, late(a)) for a in heard], key=lambda x: x[2])
+    for k in range(3):
+        part = mixed[k * len(mixed) // 3:(k + 1) * len(mixed) // 3]
+        arrive([r for kind, r, _ in part if kind == "r"], [a for kind, a, _ in part if kind == "a"])
+    # What comes much later lets the last ones time out.
+    for later in (90_000, 180_000):
+        got = arrive([(-later, "later", [], later)], [(-later - 1, "primary", "{}", later)])
+    got = got.where("request_id >= 0")
+
+    requests, answers = frames(asked, heard)
+    in_time = answers.join(requests.select("request_id", "sent_at"), "request_id").where(
+        "received_at <= sent_at + INTERVAL 5 MINUTES").select(answers.columns)
+    want = prompts.resolve_responses(requests, in_time)
+    assert differences(got, want) == 0
+    assert {r.outcome for r in got.collect()} == {"answer", "error", "fallback", "pending"}
+
+
 def write_events(spark, source, rows):
     events_of(spark, rows).coalesce(1).write.mode("append").parquet(source)
 
