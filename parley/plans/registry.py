@@ -1022,3 +1022,25 @@ def throttle_stream(t: Tables) -> DataFrame:
 def throttle_stream_waiting(t: Tables) -> DataFrame:
     """What still waits at the end of the stream: the events of the last hour."""
     return streams.waiting_events(t.spark, _throttled_stream(t)).select("event_id", "user_id")
+
+
+@query(_throttle_sql(12 * 3600 * 1_000_000))
+def throttle_keyed(t: Tables) -> DataFrame:
+    """All events through the state store, stopped and started again from its checkpoint between
+    arrivals; an event of nobody's, long after the others, moves the watermark past them."""
+    out = run_folder(t.spark, "throttle-keyed")
+
+    def arrive() -> None:
+        events = readers.stream_table(t.spark, f"{out}/events", "refresh_events")
+        streams.keyed_throttle(events, 12 * 3600 * 1000, "1 hour", 3_600_000).writeStream.format("parquet").option(
+            "path", f"{out}/passed").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    for _ in _arrivals(t.refresh_events(), f"{out}/events", "ts"):
+        arrive()
+    high = t.refresh_events().agg(F.max("ts")).first()[0]
+    later = F.lit(high).cast("timestamp") + F.expr("INTERVAL 7 DAYS")
+    t.spark.range(1).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), later.alias("ts"), F.lit(False).alias("force"),
+    ).write.mode("append").parquet(f"{out}/events")
+    arrive()
+    return t.spark.read.schema(streams.EVENTS).parquet(f"{out}/passed").where("user_id >= 0").select("event_id", "user_id", "force")

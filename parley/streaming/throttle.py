@@ -4,9 +4,10 @@
 events among tasks.  What has to be remembered is written with the batch: events the
 watermark has not passed yet, and clocks recent enough to hold an event back.
 
-``keyed_throttle`` keeps one state per user.  It has no tables of its own, but a user's
-waiting events are held and sorted by one task: it is for streams where what one user
-sends within the delay is small.
+``keyed_throttle`` keeps one state per user in the state store.  It has no tables of its own.
+Waiting events lie in buckets of time, and a bucket is sorted and gone through when the
+watermark has passed its end, so no batch touches more of a user's state than it adds or
+lets go.  A user's events go through one task.
 
 In both, events wait until the watermark has passed them and are then taken in time order,
 whatever order they arrived in; events behind the watermark are dropped and reported.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -121,61 +123,78 @@ def late_events(spark: SparkSession, out: str) -> DataFrame:
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+WAITING = np.dtype([("us", "<i8"), ("event_id", "<i8"), ("force", "?")])
+
+
 class Throttle(StatefulProcessor):
-    """One clock per user, and the events that wait for the watermark."""
+    """A user's clock, and the events that wait for the watermark, packed by bucket of time.
+
+    Each bucket has a timer at its end.  A clock is kept no longer than it can hold an event
+    back, one that waits included: it has a timer too, since the store's own expiry counts
+    processing time.
+    """
 
-    def __init__(self, interval_us: int):
-        self.interval = interval_us
+    def __init__(self, interval_us: int, bucket_us: int):
+        self.interval, self.bucket = interval_us, bucket_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.clock = handle.getValueState("clock", "us long")
-        self.waiting = handle.getListState("waiting", "us long, event_id long, force boolean")
+        self.waiting = handle.getMapState("waiting", "bucket long", "events binary")
 
     def _wake(self, us: int) -> None:
-        self.handle.registerTimer(us // 1000 + 1)
+        self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        arrived = [(r.us, r.event_id, bool(r.force)) for r in rows]
-        if arrived:
-            self.waiting.appendList(arrived)
-            self._wake(min(arrived)[0])
+        arrived = np.array([(r.us, r.event_id, bool(r.force)) for r in rows], WAITING)
+        buckets = arrived["us"] // self.bucket
+        for bucket in np.unique(buckets).tolist():
+            held = self.waiting.getValue((bucket,))[0] if self.waiting.containsKey((bucket,)) else b""
+            if not held:
+                self._wake((bucket + 1) * self.bucket)
+            self.waiting.updateValue((bucket,), (bytes(held) + arrived[buckets == bucket].tobytes(),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # All input of a batch is handled before its timers: nothing at or before the
         # watermark can still arrive.
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.waiting.get())
-        ripe = [e for e in events if e[0] <= limit]
-        left = events[len(ripe):]
-        if left:
-            self.waiting.put(left)
-            self._wake(left[0][0])
-        else:
-            self.waiting.clear()
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
         clock = self.clock.get()[0] if self.clock.exists() else None
         passed = []
-        for us, event_id, force in ripe:
-            if force or clock is None or us - clock >= self.interval:
-                clock = us
-                passed.append(Row(event_id=event_id, user_id=key[0], us=us, force=force))
+        # Timers of one batch may come in any order; the first one lets all ripe buckets go.
+        buckets = sorted(k[0] for k in self.waiting.keys())
+        ripe = [b for b in buckets if (b + 1) * self.bucket <= mark]
+        for bucket in ripe:
+            for us, event_id, force in np.sort(np.frombuffer(self.waiting.getValue((bucket,))[0], WAITING)).tolist():
+                if force or clock is None or us - clock >= self.interval:
+                    clock = us
+                    passed.append(Row(event_id=event_id, user_id=key[0], us=us, force=force))
+            self.waiting.removeKey((bucket,))
         if passed:
             self.clock.update((clock,))
+            self._wake(clock + self.interval)
+        left = buckets[len(ripe)] * self.bucket if len(ripe) < len(buckets) else mark
+        if clock is not None and clock + self.interval <= min(mark, left):
+            self.clock.clear()
         return iter(passed)
 
     def close(self) -> None:
         pass
 
 
-def keyed_throttle(events: DataFrame, interval_ms: int = INTERVAL_MS, delay: str = "1 minute") -> DataFrame:
-    """The passing events of a stream (event_id, user_id, ts, force), in append mode."""
+def keyed_throttle(
+    events: DataFrame, interval_ms: int = INTERVAL_MS, delay: str = "1 minute", bucket_ms: int = 60_000
+) -> DataFrame:
+    """The passing events of a stream (event_id, user_id, ts, force), in append mode.
+
+    Events come out when the watermark has passed their bucket of ``bucket_ms``.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     narrow = events.where(F.col("user_id").isNotNull()).withWatermark("ts", delay).select(
         "user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), F.coalesce("force", F.lit(False)).alias("force")
     )
     passed = narrow.groupBy("user_id").transformWithState(
-        statefulProcessor=Throttle(interval_ms * 1000),
+        statefulProcessor=Throttle(interval_ms * 1000, bucket_ms * 1000),
         outputStructType="event_id long, user_id long, us long, force boolean",
         outputMode="append",
         timeMode="eventTime",
