@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from parley.llm.shared import prefix_bases, slices
+from parley.llm.shared import ARROW_ROWS, prefix_bases, slices
 from parley.llm.tokens import encoder
 from parley.plans.sizing import partitions_for
 
@@ -138,7 +138,6 @@ def write_codes(documents: DataFrame, folder: str, vocabulary: str, end_id: int,
     Returns the manifest, a row per file: ``part``, ``k``, ``n_docs``, ``n_tokens`` and
     ``base``, the tokens of all files before it; it is kept as Parquet beside the files.
     """
-    end = np.array([end_id], "<u4").tobytes()
     files = f"{folder}/files"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +154,8 @@ def write_codes(documents: DataFrame, folder: str, vocabulary: str, end_id: int,
             store.move(attempt, name)
             made.append((len(ids), held))
 
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code = one.encode(text) + end
+        for batch in slices(batches, ARROW_ROWS):
+            for doc_id, code in zip(batch.column(0).to_pylist(), one.encode_ended(batch.column(1), end_id)[0].to_pylist(), strict=True):
                 if ids and held + len(code) // 4 > file_tokens:
                     flush()
                     doc_ids, ids, held = [], [], 0
@@ -173,8 +171,9 @@ def write_codes(documents: DataFrame, folder: str, vocabulary: str, end_id: int,
 
     spark = documents.sparkSession
     narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranged = narrow.repartitionByRange(partitions_for(documents), F.col("doc_id").asc_nulls_first())
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # Rows without an id, or with one id, may be many: they are dealt by their text.
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = narrow.repartitionByRange(partitions_for(documents), *order).sortWithinPartitions(*order)
     ordered.mapInArrow(write, _MADE).write.mode("overwrite").parquet(f"{folder}/manifest")
     made = spark.read.schema(_MADE).parquet(f"{folder}/manifest")
     totals = made.groupBy("part").agg(F.sum("n_tokens").alias("total"))

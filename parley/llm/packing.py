@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from parley.llm.shared import prefix_bases, slices, small, written
+from parley.llm.shared import ARROW_ROWS, prefix_bases, slices, small, written
 from parley.llm.tokens import encoder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,18 +32,15 @@ _SCHEMA = "part int, at long, doc_id long, n long, ids binary"
 def token_table(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Per document: ``ids`` (unsigned 32-bit, with the end id), their number ``n``, the
     task ``part`` that made them, and ``at``, the task's tokens before them."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            ids = [one.encode(text) + end for text in batch.column(1).to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], "i8")
+        for batch in slices(batches, ARROW_ROWS):
+            ids, n = one.encode_ended(batch.column(1), end_id)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
             yield pa.record_batch(
-                [pa.array(np.full(len(ids), part, "i4")), pa.array(starts), batch.column(0), pa.array(n),
-                 pa.array(ids, pa.binary())],
+                [pa.array(np.full(len(ids), part, "i4")), pa.array(starts), batch.column(0), pa.array(n), ids],
                 ["part", "at", "doc_id", "n", "ids"])
 
     narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

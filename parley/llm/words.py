@@ -26,7 +26,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and where each text starts (and the
     last one ends).  A null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.type != pa.large_binary():
+        column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, "i8")[column.offset:column.offset + len(column) + 1]
     if data is None or not len(at):
