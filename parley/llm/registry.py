@@ -10,7 +10,7 @@ import corpus_pipeline
 from parley.llm import (
     codes, crf, decontaminate, importance, neardup, packing, rollup, rules, runs, shards, suffixes, toxicity, urls,
 )
-from parley.llm.shared import table
+from parley.llm.shared import holding, table
 from parley.llm.tokens import vocabulary
 from parley.session import run_folder
 
@@ -36,7 +36,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("insert").alias("op"), seq, "doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("version"), "n_tokens"))
     marked = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     gone = marked.where("quality = 0").select("doc_id")
-    again = documents.join(marked.where("quality = 1 AND toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    again = holding(documents, marked.where("quality = 1 AND toxic = 1"), "doc_id")
     recounted = rollup.count_tokens(again, vocabulary("word_bpe_49k.json"))
     null = F.lit(None).cast("string")
     changes = recounted.select(

@@ -8,13 +8,15 @@ no batch reads the corpus again.
 
 Under the store's folder:
 
-    log/batch=N      the signed rows of batch N, by document
+    changes/batch=N  what came with batch N, stored once
+    log/batch=N      the signed rows of batch N, by document, in hash buckets of the document
     deltas/batch=N   their sums by source, language and version
     commits/batch=N  one row, written last: batch N counts from then on
 
 A batch is written into folders of its own, so a run that broke off is simply repeated, and
 a batch that is committed already is left alone.  Batches are committed one after another,
-with growing numbers.  ``compact`` folds the deltas up to a batch into one.
+with growing numbers.  A batch reads the log of the buckets that its documents fall into, no
+others.  ``compact`` folds the log and deltas up to a batch into one.
 
 Defined cases: within a batch the row with the highest ``seq`` of a document counts (ties:
 the one with most tokens, then by source, language and version); rows without a
@@ -32,8 +34,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm.shared import slices
+from parley.llm.shared import ARROW_ROWS, slices, small
 from parley.llm.tokens import encoder
+from parley.plans.buckets import bucket_of, hit_buckets
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -48,10 +51,10 @@ def count_tokens(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(vocabulary)
-        for batch in slices(batches):
-            n = [len(one.encode(text)) // 4 for text in batch.column(3).to_pylist()]
+        for batch in slices(batches, ARROW_ROWS):
+            _, n = one.encode_column(batch.column(3))
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64())],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n)],
                 ["doc_id", "source", "lang", "n_tokens"])
 
     narrow = documents.select(
@@ -93,27 +96,34 @@ class Rollup:
             "seq", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), *KEYS, "op")).alias("c"))
         now = last.select(F.col("doc_id").cast("long"), *(F.col(f"c.{k}").cast("string").alias(k) for k in KEYS),
                           F.col("c.n_tokens").cast("long").alias("n_tokens"), F.col("c.op").alias("op"))
+        # What counts the tokens runs once.
+        self._write(now, "changes", batch)
+        now = self.spark.read.schema(now.schema).parquet(f"{self.folder}/changes/batch={batch}")
         signed = now.where("op <> 'delete'").select("doc_id", *KEYS, "n_tokens", F.lit(1).alias("sign"))
         if done:
-            old = self.current().join(now.select("doc_id"), "doc_id", "left_semi")
+            (hit,) = hit_buckets(now, "doc_id")
+            old = self.current(hit).join(now.select("doc_id"), "doc_id", "left_semi")
             signed = old.select("doc_id", *KEYS, "n_tokens", F.lit(-1).alias("sign")).unionByName(signed)
-        self._write(signed, "log", batch)
+        self._write(signed.withColumn("bucket", bucket_of("doc_id")), "log", batch, "bucket")
         log = self.spark.read.schema(_LOG).parquet(f"{self.folder}/log/batch={batch}")
         self._write(_sums(log), "deltas", batch)
         self._write(self.spark.range(1).select(F.lit(True).alias("done")), "commits", batch)
         return True
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}/batch={batch}")
+    def _write(self, df: DataFrame, name: str, batch: int, *by: str) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{self.folder}/{name}/batch={batch}")
 
-    def current(self) -> DataFrame:
-        """What each live document counts now: a document's signs add up to one for its
-        last count and to none for all earlier ones."""
-        log = self._of_committed("log", _LOG)
+    def current(self, hit: list[int] | None = None) -> DataFrame:
+        """What each live document counts now (those in the buckets ``hit`` alone): a document's
+        signs add up to one for its last count and to none for all earlier ones."""
+        log = self._of_committed("log", f"{_LOG}, bucket int")
+        if hit is not None:
+            log = log.where(F.col("bucket").isin(hit))
         return log.groupBy("doc_id", *KEYS, "n_tokens").agg(F.sum("sign").alias("live")).where("live > 0").drop("live")
 
     def _of_committed(self, name: str, schema: str) -> DataFrame:
-        return self._read(name, schema).where(F.col("batch").isin(self.committed()))
+        commits = self._read("commits", _COMMIT).select("batch").distinct()
+        return self._read(name, schema).join(small(commits), "batch", "left_semi")
 
     def totals(self) -> DataFrame:
         """``n_docs`` and ``n_tokens`` per source, language and version with documents."""

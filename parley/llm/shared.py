@@ -50,6 +50,27 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+# Bits of a sieve of keys; its table has a row for each 64 of them at most.
+SIEVE_BITS = 1 << 26
+
+
+def holding(facts: DataFrame, keys: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``facts`` whose ``key`` is one of ``keys``, without shuffling the others.
+
+    Few keys are broadcast.  Of more, a sieve is: the bits that their hashes set, a table of
+    bounded size whatever the number of keys.  Only rows that pass it are shuffled.
+    """
+    keys = keys.select(key).distinct()
+    if keys.limit(most + 1).count() <= most:
+        return facts.join(F.broadcast(keys), key, "left_semi").select(*facts.columns)
+    h = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    word, bit = F.shiftright(h, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    sieve = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    passed = facts.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(sieve), "_word").where(
+        F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return passed.select(*facts.columns).join(keys, key, "left_semi").select(*facts.columns)
+
+
 def prefix_bases(totals: DataFrame, part: str, total: str, base: str) -> DataFrame:
     """Per partition number, the sum of ``total`` over all lower ones.
 

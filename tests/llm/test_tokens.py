@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from parley.llm import codes, packing, rollup
 from parley.llm.registry import QUERIES
+from parley.llm.shared import holding
 from parley.llm.tokens import Encoder, vocabulary
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -180,3 +181,16 @@ def test_rollup_batches(spark, tmp_path, odd):
     counted = {(r.doc_id, r.n_tokens) for r in rollup.count_tokens(odd.where("length(text) < 50 OR text IS NULL"), BYTE).collect()}
     assert (3, 0) in counted and (4, 0) in counted
     assert rollup.count_tokens(odd.limit(0), BYTE).select(F.sum("n_tokens")).first()[0] is None
+
+
+def test_holding_keeps_the_rows_with_a_key_whatever_their_number(spark, odd):
+    """With the keys broadcast, and beyond that with a sieve and a shuffle."""
+    keys = spark.createDataFrame([(i,) for i in (2, 2, 6, 9, 77, None)], "doc_id long")
+    for most in (100, 0):
+        held = holding(odd, keys, "doc_id", most)
+        assert held.columns == odd.columns
+        assert sorted(r.doc_id for r in held.collect()) == [2, 2, 6, 9, 9]
+        assert holding(odd, keys.limit(0), "doc_id", most).count() == 0
+    every = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+    some = every.where("doc_id % 7 = 3")
+    assert holding(every, some, "doc_id", 5).count() == some.count()
