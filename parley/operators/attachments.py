@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.functions.text import WHITESPACE, js_slice, js_trim
 from parley.plans.skew import spread_join
+from parley.session import stored
 
 # Limits, file classes and wording.
 MAX_ATTACHMENTS = 6
 MAX_BYTES = 8 * 1024 * 1024
 MAX_CHARS = 8000
 SHOWN_ERRORS = 4
+STRETCH = 64  # page numbers whose lengths are summed up together
+LAST = (1 << 63) - 1  # stands for the number of a page that has none
 TEXT_NAME = r"(?i)\.(txt|md|csv|json|js|ts|py|java|html|css)\z"
 IMAGE_NAME = r"(?i)\.(png|jpe?g|webp|gif|bmp)\z"
 PDF_MIME = "application/pdf"
@@ -210,31 +213,51 @@ def join_pages(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """Text of each document from its pages (file_id, page_no, text): joined by newlines
     in page order, trimmed, cut to ``max_chars``.  Returns (file_id, text).
 
-    Page numbers may have gaps of any size.  From the first page with text on, each page
-    adds at least its newline, so a page is needed only if at most ``max_chars``
-    characters stand before it.  The pages' lengths, summed up in page order, tell which
-    ones those are; the sum stops at ``max_chars`` pages, and a task keeps no more than that
-    of a document before its pages meet.
+    Page numbers may have gaps of any size; pages without a number come last, and pages of
+    one number are ordered by their texts.  From the first page with text on, each page adds
+    at least its newline, so a page is needed only if at most ``max_chars`` characters stand
+    before it.  Which ones those are is found without the texts: lengths are summed up by
+    stretches of ``STRETCH`` page numbers, and the stretches of a document in order, as far as
+    ``max_chars`` goes.  Only pages up to that stretch meet.
     """
     text = F.coalesce("text", F.lit(""))
-    with_text = F.when(js_trim("text") != "", F.col("page_no"))
-    bounds = pages.groupBy("file_id").agg(
-        F.min(with_text).alias("first"), F.max(with_text).alias("last"), F.count("*").alias("n")
-    )
-    located = spread_join(pages, bounds, "file_id", ["page_no"]).where(F.col("page_no").between(F.col("first"), F.col("last")))
+    keyed = pages.select("file_id", F.coalesce(F.col("page_no").cast("long"), F.lit(LAST)).alias("no"), text.alias("text"))
+    stretch = F.floor(F.col("no") / STRETCH)
+    with_text = F.when(js_trim("text") != "", F.col("no"))
+    told = stored(keyed.groupBy("file_id", stretch.alias("stretch")).agg(
+        F.min(with_text).alias("first"), F.max(with_text).alias("last"), F.count("*").alias("n"),
+        F.sum(F.char_length("text") + 1).alias("chars")), "page-stretches")
+    bounds = told.groupBy("file_id").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    # Documents too long to be taken whole: stretches behind the first one with text count in full.
+    long_ = told.join(bounds.where(F.col("chars") > max_chars).select("file_id", F.floor(F.col("first") / STRETCH).alias("opens")), "file_id")
+    in_order = W.partitionBy("file_id").orderBy("stretch")
+    counted = F.when(F.col("stretch") > F.col("opens"), F.col("chars")).otherwise(F.lit(0))
+    summed = long_.where(F.col("stretch") >= F.col("opens")).select(
+        "file_id", "stretch", "n", F.row_number().over(in_order).alias("rank"),
+        (F.sum(counted).over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)) - counted).alias("before"))
+    cut = summed.where((F.col("rank") <= max_chars + 2) & (F.col("before") <= max_chars)).groupBy("file_id").agg(
+        F.max("stretch").alias("upto"), F.sum("n").alias("held"))
+    info = stored(bounds.join(cut, "file_id", "left"), "page-bounds")
+    located = spread_join(keyed, info, "file_id", ["no"]).where(
+        F.col("no").between(F.col("first"), F.col("last")) & (F.col("upto").isNull() | (stretch <= F.col("upto"))))
     # Trim where the whole text is trimmed, before cutting: the cut must not turn blanks
     # that were inside the text into its end.
-    left = F.when(F.col("page_no") == F.col("first"), F.ltrim(text, F.lit(WHITESPACE))).otherwise(text)
-    both = F.when(F.col("page_no") == F.col("last"), F.rtrim(left, F.lit(WHITESPACE))).otherwise(left)
-    short = located.select("file_id", "page_no", F.substring(both, 1, max_chars).alias("text"))
-    so_far = W.partitionBy("file_id").orderBy("page_no", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
-    length = F.char_length("text") + 1
-    measured = short.withColumns({
-        "rank": F.row_number().over(W.partitionBy("file_id").orderBy("page_no", "text")),
-        "before": F.sum(length).over(so_far) - length,
-    })
-    needed = measured.where((F.col("rank") <= max_chars + 1) & (F.col("before") <= max_chars))
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))["text"]
-    joined = needed.groupBy("file_id").agg(js_slice(F.array_join(ordered, "\n"), max_chars).alias("text"))
-    blank = bounds.where(F.col("first").isNull()).select("file_id", F.lit("").alias("text"))
-    return joined.unionByName(blank)
+    left = F.when(F.col("no") == F.col("first"), F.ltrim("text", F.lit(WHITESPACE))).otherwise(F.col("text"))
+    both = F.when(F.col("no") == F.col("last"), F.rtrim(left, F.lit(WHITESPACE))).otherwise(left)
+    short = located.select("file_id", "no", F.substring(both, 1, max_chars).alias("text"), "held")
+
+    def joined(rows: DataFrame, *count: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("no", "text", *count)))
+        pieces = F.flatten(F.transform(ordered, lambda p: F.array_repeat(
+            p["text"], F.least(p["n"], F.lit(max_chars + 1)).cast("int")))) if count else ordered["text"]
+        return rows.groupBy("file_id").agg(js_slice(F.array_join(pieces, "\n"), max_chars).alias("text"))
+
+    # More pages than stretches have numbers: pages of one number, many of them equal perhaps.
+    # Equal ones fold to one with a count.
+    crowded = F.coalesce(F.col("held") > max_chars + 3 * STRETCH, F.lit(False))
+    texts = joined(short.where(~crowded))
+    if not info.where(crowded).isEmpty():
+        texts = texts.unionByName(joined(short.where(crowded).groupBy("file_id", "no", "text").agg(F.count("*").alias("n")), "n"))
+    blank = info.where(F.col("first").isNull()).select("file_id", F.lit("").alias("text"))
+    return texts.unionByName(blank)

@@ -101,6 +101,21 @@ def test_pages_in_order_trimmed_and_cut(spark):
     assert got[5] == "x" + " " * 7999
 
 
+def test_pages_without_a_number_come_last_and_equal_ones_all_count(spark):
+    got = pages(spark, [
+        (1, None, "z"), (1, 2, "b"), (1, 1, "a"), (1, None, "y"), (2, None, " only "), (3, 1, "p"), (3, 1, "p"), (3, 1, "o"),
+        (4, 200, "x" * 9000), (4, None, "never"), (5, 1, "x" * 7000), (5, 100, "y" * 7000), (5, 300, "z"),
+    ])
+    assert got == {1: "a\nb\ny\nz", 2: "only", 3: "o\np\np", 4: "x" * 8000, 5: "x" * 7000 + "\n" + "y" * 999}
+
+
+def test_very_many_equal_pages_of_one_number(spark):
+    same = spark.range(40_000).selectExpr("1L as file_id", "if(id = 0, 1L, 2L) as page_no", "if(id = 0, 'first', '') as text")
+    end = spark.range(2).selectExpr("1L as file_id", "3L as page_no", "'end' as text")
+    (row,) = A.join_pages(same.union(end)).collect()
+    assert row.text == ("first" + "\n" * 40_000)[:8000]
+
+
 def test_a_document_with_most_of_the_pages(spark):
     many = spark.range(30_000).selectExpr("7L as file_id", "id as page_no", "if(id < 9000, ' ', 'p') as text")
     few = spark.range(300).selectExpr("id + 100 as file_id", "0L as page_no", "'q' as text")
