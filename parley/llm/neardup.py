@@ -14,7 +14,9 @@ A document's set holds its distinct word windows.  Documents are linked when
 4. A node of ``SMALL`` classes at most is compared exhaustively.  In a larger one all classes
    are compared with its least document (the pivot); if they then are all in one group, the
    node has nothing more to tell, and if not, it is branched further.  What is still large
-   after ``LEVELS`` levels is compared exhaustively in blocks, so no node is left out.
+   after ``LEVELS`` levels holds documents that are alike without being linked, which more
+   branching would hardly part; it is compared exhaustively, in packed blocks that meet in
+   pairs, so no node is left out and no pair of documents is a row.
    Classes that are in one group already are not compared again.
 5. Comparing means: signatures first (pairs that agree in under ``LEAST_AGREE`` of their
    tokens are dropped), then the full sets.  Candidates travel as clusters of bounded size,
@@ -56,7 +58,8 @@ WIDTH = 5
 PERCENT = 80
 COORDINATES = 64
 SMALL = 32
-BLOCK = 64
+BLOCK = 512  # classes of a packed block
+TILE = 64  # classes of a block compared at once
 LEVELS = 4
 MISSED = 1e-3  # at most, of the pairs at the threshold whose nodes are as deep as can be
 LEAST_AGREE = 0.55
@@ -147,6 +150,18 @@ def branch(rows: DataFrame, percent: int, trees: int = 0) -> DataFrame:
     return rows.mapInArrow(step, "node long, doc_id long")
 
 
+def _met(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) of the given nodes (node, n, ...), with the nodes' columns.
+
+    A node with more rows than an even share of a partition is broadcast, so its rows stay
+    where they are; there are fewer such nodes than partitions.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fair = (nodes.agg(F.sum("n")).first()[0] or 0) / partitions
+    light = rows.join(nodes.where(F.col("n") <= fair), "node")
+    return light.unionByName(rows.join(F.broadcast(nodes.where(F.col("n") > fair)), "node"))
+
+
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Share of signature bytes that agree, along the last axis."""
     return (x == y).mean(-1)
@@ -157,7 +172,7 @@ def _pivot_pairs(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent:
     pivots = written(nodes.where(F.col("n") > SMALL).join(classes.select(
         F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "pivot"),
         "neardup-pivots")
-    met = spread_join(rows.where(F.col("n") > SMALL).select("node", "doc_id"), pivots, "node", ["doc_id"])
+    met = _met(rows.where(F.col("n") > SMALL).select("node", "doc_id"), pivots)
     told = met.where("doc_id <> pivot").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     near_size = F.least("n_a", "n_shingles") * 100 >= F.greatest("n_a", "n_shingles") * percent
 
@@ -208,15 +223,49 @@ def _small_nodes(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 
 def _blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Exhaustive comparison of large nodes: their classes are dealt into blocks, and a
-    class goes to the meeting of its block with every other."""
+    """Exhaustive comparison of large nodes: their classes are packed into blocks, one row
+    each, and every block meets every other one of its node once."""
+    told = rows.select("node", "doc_id", "label", "n").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    told = met.select("node", "doc_id", "label", "own", "other").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    groups = told.groupBy("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list(F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch")).alias("members"))
-    return _clusters(groups.select("members"), percent)
+    packed = told.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).groupBy(
+        "node", "blocks", "own").agg(F.collect_list(
+            F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch")).alias("members"))
+    met = written(packed, "neardup-blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = met.groupBy("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.collect_list("members").alias("members"))
+
+    def columns(members: list) -> tuple[np.ndarray, ...]:
+        sketch = np.frombuffer(b"".join(m["sketch"] for m in members), "u1").reshape(len(members), -1)
+        doc, label, n = (np.array([m[c] for m in members]) for c in ("doc_id", "label", "n"))
+        order = np.argsort(doc)
+        return doc[order], label[order], n[order], sketch[order]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            sides = [columns(m) for m in batch.column(0)[0].as_py()]
+            found = []
+            for i in range(0, len(sides[0][0]), TILE):
+                a = [x[i:i + TILE] for x in sides[0]]
+                # A block that meets itself alone: each tile meets itself and those behind it.
+                for j in range(i if len(sides) == 1 else 0, len(sides[-1][0]), TILE):
+                    b = [x[j:j + TILE] for x in sides[-1]]
+                    near = _agree(a[3][:, None], b[3][None]) >= LEAST_AGREE
+                    near &= a[1][:, None] != b[1][None]
+                    near &= 100 * np.minimum(a[2][:, None], b[2][None]) >= percent * np.maximum(a[2][:, None], b[2][None])
+                    found += _connected(np.concatenate([a[0], b[0]]), *(np.nonzero(near) + np.array([[0], [len(a[0])]])))
+            yield pa.record_batch([pa.array(found, pa.list_(pa.int64()))], ["members"])
+
+    return pairs.select("members").mapInArrow(compare, "members array<long>")
+
+
+def _connected(docs: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[list[int]]:
+    """The sets of two documents or more that pairs (x, y) of places in ``docs`` connect."""
+    docs, same = np.unique(docs, return_inverse=True)
+    group = np.arange(len(docs))
+    for i, j in zip(same[x].tolist(), same[y].tolist(), strict=True):
+        if group[i] != group[j]:
+            group[group == group[j]] = group[i]
+    return [docs[group == g].tolist() for g, size in zip(*np.unique(group, return_counts=True), strict=True) if size > 1]
 
 
 def shared_sizes(hashes: np.ndarray, member: np.ndarray, k: int) -> np.ndarray:
@@ -286,8 +335,7 @@ def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, perc
     for level in range(levels):
         rows = labels.attach(rows, "doc_id")
         nodes = written(_mixed(rows), "neardup-mixed")
-        together = written(spread_join(rows, nodes.withColumn("size", F.col("n")), "node", ["doc_id"])
-                           .withColumnRenamed("size", "n"), "neardup-shared")
+        together = written(_met(rows, nodes).select("node", "doc_id", "label", "n"), "neardup-shared")
         candidates = _small_nodes(together, classes, percent)
         large = not nodes.where(F.col("n") > SMALL).isEmpty()
         if large:
@@ -296,10 +344,10 @@ def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, perc
         if not large:
             return labels
         rows = written(labels.attach(together.where(F.col("n") > SMALL).select("node", "doc_id"), "doc_id"), "neardup-large")
-        rest = written(_mixed(rows).withColumn("size", F.col("n")), "neardup-rest")
+        rest = written(_mixed(rows), "neardup-rest")
         if rest.isEmpty():
             return labels
-        rows = spread_join(rows, rest, "node", ["doc_id"]).withColumnRenamed("size", "n").select("node", "doc_id", "label", "n")
+        rows = _met(rows, rest).select("node", "doc_id", "label", "n")
         if level + 1 < levels:
             told = rows.join(classes.select("doc_id", "signature"), "doc_id")
             rows = written(branch(told.select("doc_id", "signature", "node"), percent), "neardup-nodes")
@@ -344,17 +392,19 @@ def _repeated(some: DataFrame, same: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def keep_one(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``documents`` with all their columns, the least document of each group only.
+    """``documents`` with all their columns, one row of each group of linked rows only: the one
+    with the least ``doc_id``, then the least hash of its text.
 
-    Of rows that repeat an id one stays; rows without an id stay.
+    Every row is judged by its own text: of rows that share an id those with other texts
+    stay.  Rows without an id stay.
     """
-    found = near_duplicates(documents, width, percent)
-    gone = written(found.where("NOT kept").select("doc_id").distinct(), "neardup-gone")
-    rest = documents.join(small(gone), "doc_id", "left_anti").select(*documents.columns)
-    again = written(documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.count("*").alias("n")).where("n > 1").select("doc_id"), "neardup-repeated")
-    if again.isEmpty():
-        return rest
-    once = rest.join(small(again), "doc_id", "left_anti").select(*documents.columns)
-    one_each = rest.join(small(again), "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(one_each)
+    row, digest = (f"_{name}_{len(documents.columns)}" for name in ("row", "digest"))
+    held = written(documents.withColumn(row, F.monotonically_increasing_id()), "neardup-rows")
+    known = held.where(F.col("doc_id").isNotNull())
+    found = near_duplicates(known.select(F.col(row).alias("doc_id"), "text"), width, percent)
+    grouped = written(found.select(F.col("doc_id").alias(row), "component_id").join(
+        known.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias(digest)), row), "neardup-grouped")
+    best = grouped.groupBy("component_id").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", digest, row)).alias("best")).where("n > 1")
+    gone = spread_join(grouped.select("component_id", row), best, "component_id", [row]).where(F.col(row) != F.col(f"best.{row}"))
+    return held.join(small(written(gone.select(row), "neardup-gone")), row, "left_anti").select(*documents.columns)

@@ -7,11 +7,16 @@ reaches the shuffle as one row per task; only then do they meet the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parley.functions.text import DEFAULT_TITLE, falsy, js_trim, or_else, placeholder_email, shown_title
 
 
+STRETCHES = 64  # of a batch's changes in order, at most
+
+
 def _as_column(now):
     return now if not isinstance(now, str) else F.to_timestamp(F.lit(now))
 
@@ -131,9 +136,12 @@ def append_rows(rows: DataFrame, added: DataFrame, front: bool = False) -> DataF
     return rows.withColumn("part", F.lit(1)).unionByName(added.withColumn("part", F.lit(0 if front else 2)))
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: list[str]):
+def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: list[str], few: bool = False):
     """Apply mixed changes; returns (next snapshot, unmatched changes).
 
+    With ``few``, the keys that change are known to be few enough for a broadcast, and the
+    rows of ``base`` are not shuffled.
+
     ``changes`` holds ``op`` (upsert, update or delete), the key, the ``order`` columns and
     the columns to set.  Changes count one after another in ``order`` (the first of its
     columns is a number or a time): an upsert creates or changes the row, an update needs
@@ -152,18 +160,29 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: lis
         F.max_by(F.when(write, F.struct(*sets)), F.when(write, at)).alias("last"),
     )
 
-    joined = base.withColumn("known", F.lit(True)).join(folded, key, "full_outer")
+    known = base.withColumn("known", F.lit(True))
+    if few:
+        there = base.join(F.broadcast(folded.select(key)), key, "left_semi").select(key)
+        new = folded.join(F.broadcast(there), key, "left_anti")
+        blank = {c: F.lit(None).cast(kind) for c, kind in known.dtypes if c != key}
+        changed = [c for c in folded.columns if c != key]
+        joined = known.join(F.broadcast(folded), key, "left").select(*known.columns, *changed).unionByName(
+            new.select(key, *(v.alias(c) for c, v in blank.items()), *changed))
+        base = there
+    else:
+        joined = known.join(folded, key, "full_outer")
     hit = F.col("last").isNotNull()
     anew = F.col("deleted").isNotNull()
-    columns = {c: F.when(~anew, F.col(c)) for c in base.columns if c != key}
+    names = [c for c in known.columns if c != "known"]
+    columns = {c: F.when(~anew, F.col(c)) for c in names if c != key}
     columns |= {c: F.when(hit, F.col(f"last.{c}")).otherwise(F.col(c)) for c in sets}
-    if "updated_at" in base.columns:
+    if "updated_at" in names:
         columns["updated_at"] = F.when(hit, now).otherwise(F.col("updated_at"))
-    if "created_at" in base.columns and "created_at" not in sets:
+    if "created_at" in names and "created_at" not in sets:
         columns["created_at"] = F.when(anew, now).otherwise(F.coalesce("created_at", now))
     exists = F.when(anew, F.col("upserted") > F.col("deleted")).otherwise(
         F.coalesce("known", F.col("upserted").isNotNull()))
-    snapshot = joined.where(exists).select(*[columns.get(c, F.col(c)).alias(c) for c in base.columns])
+    snapshot = joined.where(exists).select(*[columns.get(c, F.col(c)).alias(c) for c in names])
 
     unkeyed = changes.where(F.col(key).isNull() & write)
     return snapshot, _unmatched(base, keyed, key, order).select(*changes.columns).unionByName(unkeyed)
@@ -172,15 +191,15 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, now, order: lis
 def _unmatched(base: DataFrame, changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Updates of rows that are not there: what came last before each, an upsert or a delete?
 
-    A key may hold much of the batch, so its changes are cut into stretches of equal width
-    in the first order column.  Inside a stretch a window finds the last upsert or delete;
-    before its first one, what the stretches before it ended with counts, one row each,
-    and before those, whether the table has the key.
+    A key may hold much of the batch, so its changes are cut into stretches that hold about
+    equally many changes, by quantiles of the first order column.  Inside a stretch a window
+    finds the last upsert or delete; before its first one, what the stretches before it ended
+    with counts, one row each, and before those, whether the table has the key.
     """
-    stretches = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretches = min(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), STRETCHES)
     place = F.col(order[0]).cast("double")
-    low, high = (changes.agg(f(place)).scalar() for f in (F.min, F.max))
-    stretch = F.least(F.floor((place - low) / F.greatest(high - low, F.lit(1e-9)) * stretches), F.lit(stretches - 1))
+    cuts = changes.agg(F.percentile_approx(place, [k / stretches for k in range(1, stretches)] or [0.5])).scalar()
+    stretch = reduce(Column.__add__, [(F.get(cuts, F.lit(k)) < place).cast("long") for k in range(stretches - 1)], F.lit(0).cast("long"))
     marker = F.when(F.col("op").isin("upsert", "delete"), F.col("op"))
     placed = changes.withColumns({"_stretch": F.coalesce(stretch, F.lit(0)), "_marker": marker})
     ends = placed.groupBy(key, "_stretch").agg(F.max_by("_marker", F.when(F.col("_marker").isNotNull(), F.struct(*order))).alias("_end"))

@@ -14,8 +14,8 @@ from parley.plans import oracle
 from parley.plans.explode import explode_rows
 from parley.plans.fixtures import Tables, now, pick
 from parley.plans.oracle import NOW, SYSTEM, or_else, stamp, title, trim
-from parley.session import run_folder
-from parley.sources import sinks, tables as readers
+from parley.session import run_folder, stored
+from parley.sources import sinks, snapshots, tables as readers
 from parley.streaming import messages, responses as pairing, throttle as streams
 
 # Status codes, messages and model names in the statements below are fixed values.
@@ -409,6 +409,21 @@ def apply_changes(t: Tables) -> DataFrame:
     return timed(snapshot, "created_at", "updated_at").select("id", "email", "age", "created_at", "updated_at")
 
 
+@query(f"""{_WALK}
+    SELECT id, email, age, {stamp('created_at')} AS created_at, {stamp('updated_at')} AS updated_at
+    FROM walk w WHERE there AND n = (SELECT count(*) FROM numbered c WHERE c.id = w.id)""")
+def apply_changes_buckets(t: Tables) -> DataFrame:
+    """The same changes in two rounds, on a table in buckets."""
+    folder = run_folder(t.spark, "profiles")
+    log = stored(t.profile_changes(), "profile-changes")
+    table = snapshots.BucketedTable(t.spark, folder, "id", schemas.PROFILES)
+    table.create(t.profiles())
+    middle = F.lit(log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0])
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        table.apply(log.where(part), now(), ["seq"])
+    return timed(table.read(), "created_at", "updated_at").select("id", "email", "age", "created_at", "updated_at")
+
+
 @query(f"""{_WALK}
     SELECT c.id, c.seq, c.op FROM walk w JOIN numbered c ON c.id = w.id AND c.n = w.n + 1 WHERE c.op = 'update' AND NOT w.there
     UNION ALL SELECT id, seq, op FROM v_profile_changes WHERE id IS NULL AND op <> 'delete'""")

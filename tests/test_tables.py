@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.operators import access, changes, ingest, quality, sessions
+from parley.plans.buckets import hit_buckets
+from parley.plans.fixtures import Tables
+from parley.sources import snapshots
+
+FOLDER = "/root/testdata/sf0.001"
 
 NOW = dt.datetime(2024, 5, 1)
 OLD = dt.datetime(2024, 1, 1)
@@ -286,3 +291,49 @@ def test_titles_come_from_the_first_answered_exchange(spark):
     )
     assert rows_of(sessions.title_sessions(drafts)) == [(1, "first"), (2, "File: notes.pdf"), (3, "New chat")]
     assert (4, "failed") in rows_of(sessions.title_sessions(drafts.drop("outcome")))
+
+
+def as_text(df):
+    return sorted(str(tuple(r)) for r in df.select(sorted(df.columns)).collect())
+
+
+def test_changes_rewrite_only_the_buckets_they_hit(spark, tmp_path):
+    t = Tables(spark, FOLDER)
+    path = str(tmp_path / "profiles")
+    table = snapshots.BucketedTable(spark, path, "id", schemas.PROFILES, buckets=16)
+    table.create(t.profiles())
+    log = t.profile_changes().where("id % 29 = 2")
+    (hit,) = hit_buckets(log, "id", buckets=16)
+    assert 0 < len(hit) < 16
+    before = table.holders()
+    # Files of all other buckets are damaged: opening one would fail.
+    for file in (tmp_path / "profiles").glob("version=0/bucket=*/*.parquet"):
+        if int(file.parent.name.split("=")[1]) not in hit:
+            file.write_bytes(b"no Parquet")
+    for part in ("seq % 2 = 0", "seq % 2 = 1"):
+        unmatched = table.apply(log.where(part), now(), ["seq"])
+    after = table.holders()
+    assert {b: v for b, v in after.items() if b not in hit} == {b: v for b, v in before.items() if b not in hit}
+    assert all(after[b] == 2 for b in hit if b in after)
+
+    base = t.profiles().where(F.pmod(F.xxhash64("id"), F.lit(16)).isin(hit))
+    want, _ = changes.apply_changes(base, log.where("seq % 2 = 0"), "id", now(), ["seq"])
+    want, left = changes.apply_changes(want, log.where("seq % 2 = 1"), "id", now(), ["seq"])
+    assert as_text(table.read(hit)) == as_text(want)
+    assert as_text(unmatched) == as_text(left)
+    table.tidy(1)
+    assert as_text(table.read(hit)) == as_text(want)
+    assert table.versions() == [2]
+
+
+def test_few_changes_leave_the_table_where_it_is(spark, tmp_path):
+    t = Tables(spark, FOLDER)
+    path = str(tmp_path / "base")
+    t.profiles().write.parquet(path)
+    base = spark.read.schema(schemas.PROFILES).parquet(path)
+    snapshot, unmatched = changes.apply_changes(base, t.profile_changes(), "id", now(), ["seq"], few=True)
+    plain, left = changes.apply_changes(base, t.profile_changes(), "id", now(), ["seq"])
+    assert as_text(snapshot) == as_text(plain) and as_text(unmatched) == as_text(left)
+    # Neither join takes the table's rows through an exchange; changes are folded in one.
+    plan = snapshot._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan and "FullOuter" not in plan
