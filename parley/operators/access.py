@@ -7,7 +7,7 @@ look-up of the parent row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Owner column and the commands that have a policy.
 OWNER = {"profiles": "id", "chat_sessions": "user_id", "chat_messages": "user_id"}
@@ -51,3 +51,35 @@ def check_writes(df: DataFrame, table: str, command: str, uid: str = "uid") -> t
     """
     mine = allowed(table, command, F.col(uid))
     return df.where(mine), df.where(~mine)
+
+
+COMMANDS = ("select", "insert", "update", "delete")
+CALLER = "caller_id"
+
+
+def install_policies(spark: SparkSession, tables: dict[str, DataFrame], identity: str = "BIGINT") -> None:
+    """The policies for SQL: who asks is a session variable, what they may touch are views.
+
+    Declares ``caller_id`` (nobody at first), the function ``may(table, command, owner)`` for
+    write checks, and for every table and command a view ``<table>_for_<command>`` of the rows
+    the caller may touch.  A view's predicate is a plain comparison with the variable, so its
+    value reaches the scan.
+    """
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {CALLER} {identity} DEFAULT NULL")
+    granted = " OR ".join(
+        f"(t = '{table}' AND c IN ({', '.join(repr(c) for c in COMMANDS if c in commands)}))"
+        for table, commands in POLICIES.items()
+    )
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION may(t STRING, c STRING, owner {identity}, caller {identity}) RETURNS BOOLEAN
+        RETURN COALESCE(({granted}) AND owner = caller, false)""")
+    for table, rows in tables.items():
+        rows.createOrReplaceTempView(f"all_{table}")
+        for command in COMMANDS:
+            holds = f"{OWNER[table]} = {CALLER}" if command in POLICIES[table] else "false"
+            spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {table}_for_{command} AS SELECT * FROM all_{table} WHERE {holds}")
+
+
+def as_caller(spark: SparkSession, uid) -> None:
+    """From here on the session's SQL asks for ``uid``."""
+    spark.sql(f"SET VARIABLE {CALLER} = :uid", {"uid": uid})

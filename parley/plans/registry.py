@@ -147,6 +147,34 @@ def rls_matrix(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("""
+    SELECT t AS "table", command, CASE WHEN granted THEN n ELSE 0 END AS n_rows
+    FROM (SELECT 'profiles' AS t, (SELECT count(*) FROM v_profiles WHERE id = c.uid) AS n FROM (SELECT max(user_id) AS uid FROM v_sessions) c
+          UNION ALL SELECT 'chat_sessions', (SELECT count(*) FROM v_sessions WHERE user_id = c.uid) FROM (SELECT max(user_id) AS uid FROM v_sessions) c
+          UNION ALL SELECT 'chat_messages', (SELECT count(*) FROM v_messages WHERE user_id = c.uid) FROM (SELECT max(user_id) AS uid FROM v_sessions) c)
+    JOIN (VALUES ('profiles', 'select', true), ('profiles', 'insert', true), ('profiles', 'update', true), ('profiles', 'delete', false),
+                 ('chat_sessions', 'select', true), ('chat_sessions', 'insert', true), ('chat_sessions', 'update', true), ('chat_sessions', 'delete', true),
+                 ('chat_messages', 'select', true), ('chat_messages', 'insert', true), ('chat_messages', 'update', false), ('chat_messages', 'delete', false)
+         ) p(tab, command, granted) ON p.tab = t""")
+def rls_matrix_sql(t: Tables) -> DataFrame:
+    """What one caller may touch by each command, asked in SQL through the policies' views."""
+    access.install_policies(t.spark, _model(t))
+    access.as_caller(t.spark, t.sessions().agg(F.max("user_id")).first()[0])
+    counted = " UNION ALL ".join(
+        f"SELECT '{table}' AS `table`, '{command}' AS command, count(*) AS n_rows FROM {table}_for_{command}"
+        for table in access.POLICIES for command in access.COMMANDS)
+    # Stored: the variable may change before the rows are read.
+    return stored(t.spark.sql(counted), "policies")
+
+
+@query("""
+    SELECT id, COALESCE(user_id = id % 10, false) AS allowed FROM v_incoming""")
+def rls_write_check_sql(t: Tables) -> DataFrame:
+    access.install_policies(t.spark, _model(t))
+    _written_rows(t).createOrReplaceTempView("written_messages")
+    return t.spark.sql("SELECT id, may('chat_messages', 'insert', user_id, uid) AS allowed FROM written_messages")
+
+
 def _written_rows(t: Tables) -> DataFrame:
     """Incoming rows that claim the conversation's owner, with the identity of the writer."""
     return t.incoming().withColumn("uid", F.col("user_id")).withColumn("user_id", F.col("id").cast("long") % 10)

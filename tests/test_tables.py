@@ -293,6 +293,25 @@ def test_titles_come_from_the_first_answered_exchange(spark):
     assert (4, "failed") in rows_of(sessions.title_sessions(drafts.drop("outcome")))
 
 
+def test_policies_in_sql(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    sessions_of(spark, (1, 7, "a"), (2, 8, "b"), (3, 7, "c")).write.parquet(path)
+    stored_sessions = spark.read.schema(schemas.CHAT_SESSIONS).parquet(path)
+    access.install_policies(spark, {"chat_sessions": stored_sessions, "profiles": profiles_of(spark, (7, "x"), (8, "y"))})
+    asked = "SELECT id FROM chat_sessions_for_select"
+    assert rows_of(spark.sql(asked)) == []  # nobody asks yet
+    access.as_caller(spark, 7)
+    found = spark.sql(asked)
+    assert rows_of(found) == [(1,), (3,)]
+    assert "EqualTo(user_id,7)" in found._jdf.queryExecution().executedPlan().toString()
+    assert spark.sql("SELECT * FROM profiles_for_delete").count() == 0
+    assert rows_of(spark.sql("SELECT id FROM profiles_for_update")) == [(7,)]
+    access.as_caller(spark, 8)
+    assert rows_of(spark.sql(asked)) == [(2,)]
+    asked = "SELECT may('chat_messages', c, 7, 7), may('chat_messages', c, 7, 8), may('chat_messages', c, 7, NULL) FROM VALUES ('insert'), ('update') t(c)"
+    assert rows_of(spark.sql(asked)) == [(False, False, False), (True, False, False)]
+
+
 def as_text(df):
     return sorted(str(tuple(r)) for r in df.select(sorted(df.columns)).collect())
 
