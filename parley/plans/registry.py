@@ -15,7 +15,7 @@ from parley.plans.explode import explode_rows
 from parley.plans.fixtures import Tables, now, pick
 from parley.plans.oracle import NOW, SYSTEM, or_else, stamp, title, trim
 from parley.session import run_folder, stored
-from parley.sources import sinks, snapshots, tables as readers
+from parley.sources import sinks, snapshots, tables as readers, uploads
 from parley.streaming import messages, responses as pairing, throttle as streams
 
 # Status codes, messages and model names in the statements below are fixed values.
@@ -630,6 +630,37 @@ def image_scale(t: Tables) -> DataFrame:
     return t.images().select("id", width.alias("width"), height.alias("height"))
 
 
+@query(f"""
+    SELECT doc_id // 6 AS batch_id, doc_id % 6 AS pos, doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS name,
+           md5(substring({trim('text')}, 1, 8000)) AS content
+    FROM documents WHERE strlen(text) <= 4096""")
+def uploaded_files(t: Tables) -> DataFrame:
+    """All documents as files, written by tasks; those of the right size read, decoded, attached."""
+    folder = run_folder(t.spark, "uploads")
+    ending = F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")
+    uploads.write_files(t.raw("documents").select(F.concat(F.col("doc_id").cast("string"), ending).alias("name"), F.col("text").alias("content")), folder)
+    read = uploads.read_uploads(t.spark, folder, 1 << 20).where("size <= 4096")
+    ident = F.regexp_extract("name", "^([0-9]+)", 1).cast("long")
+    files = read.select(
+        F.expr("CAST(regexp_extract(name, '^([0-9]+)', 1) AS BIGINT) div 6").alias("batch_id"), (ident % 6).alias("pos"), "name",
+        F.lit("").alias("mime"), "size", readers.decode_text("content").alias("text"), F.lit(0).alias("pending"))
+    attached = attachments.ingest_attachments(files, max_bytes=4096).attached
+    return attached.select("batch_id", "pos", "name", F.md5("content").alias("content"))
+
+
+@query(f"""
+    SELECT id AS request_id, pos, name, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS place
+    FROM (SELECT a.request_id AS id, a.pos % 6 AS pos, a.name, row_number() OVER (PARTITION BY a.request_id ORDER BY a.pos) - 1 AS was
+          FROM v_request_files a JOIN v_outgoing o ON o.id = a.request_id)
+    WHERE was <> 1""")
+def attachment_removed(t: Tables) -> DataFrame:
+    """What is left of each request's files when the second one is taken out."""
+    numbered = F.transform("attachments", lambda a, i: F.struct(i.cast("long").alias("pos"), a["name"].alias("name")))
+    left = _outgoing(t).select("request_id", attachments.remove_attachment(numbered, 1).alias("left"))
+    return explode_rows(left, "left", "place", "file").select(
+        "request_id", F.col("file.pos").alias("pos"), F.col("file.name").alias("name"), F.col("place").cast("long").alias("place"))
+
+
 # --- requests and responses ----------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley import schemas
 from parley.operators import prompts
 from parley.session import checkpoint_dir, size_shuffles
-from parley.sources import sinks, tables
+from parley.sources import sinks, tables, uploads
 
 
 def test_usage_log(spark, tmp_path):
@@ -98,3 +98,31 @@ def test_shuffles_grow_with_the_data(spark):
 
 def test_checkpoint_folder_is_the_session_setting(spark):
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def _uploaded(spark, folder, **sizes):
+    for name, size in sizes.items():
+        (folder / f"{name}.txt").write_bytes(b"x" * size)
+    return uploads.read_uploads(spark, str(folder), 1000)
+
+
+def test_uploads_are_dealt_by_size_and_filtered_before_they_are_opened(spark, tmp_path):
+    read = _uploaded(spark, tmp_path, a=400, b=500, c=300, d=5000, e=10)
+    assert sorted((r.name, r.size, len(r.content)) for r in read.collect()) == [
+        ("a.txt", 400, 400), ("b.txt", 500, 500), ("c.txt", 300, 300), ("d.txt", 5000, 5000), ("e.txt", 10, 10)]
+    assert read.rdd.getNumPartitions() == 4  # a and b, c, d, e
+    # A file too large for any task: reading it would fail.
+    with open(tmp_path / "huge.txt", "wb") as file:
+        file.truncate(1 << 42)
+    few = read.where("size <= 500 AND name <> 'b.txt' AND name LIKE '%.txt'")
+    assert sorted(r.name for r in few.collect()) == ["a.txt", "c.txt", "e.txt"]
+    assert read.where("size > 9999").where("name = 'none'").count() == 0
+    assert read.where("size IN (10, 300) AND length(content) > 100").count() == 1
+
+
+def test_written_files_come_back(spark, tmp_path):
+    rows = [(f"f{i}.txt", f"text {i} ü") for i in range(40)]
+    files = spark.createDataFrame(rows, "name string, content string").repartition(3)
+    assert uploads.write_files(files, str(tmp_path / "up")) == 40
+    read = uploads.read_uploads(spark, f"file:{tmp_path}/up").select("name", tables.decode_text("content").alias("content"))
+    assert sorted(tuple(r) for r in read.collect()) == sorted(rows)
