@@ -172,8 +172,9 @@ def _pivot_pairs(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent:
     pivots = written(nodes.where(F.col("n") > SMALL).join(classes.select(
         F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "pivot"),
         "neardup-pivots")
-    met = _met(rows.where(F.col("n") > SMALL).select("node", "doc_id"), pivots)
-    told = met.where("doc_id <> pivot").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    met = _met(rows.where(F.col("n") > SMALL).select("node", "doc_id", "label"), pivots)
+    # Those of one group are not compared again, and trees repeat pairs.
+    told = met.where("label <> pivot_label").dropDuplicates(["pivot", "doc_id"]).join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     near_size = F.least("n_a", "n_shingles") * 100 >= F.greatest("n_a", "n_shingles") * percent
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,8 +359,8 @@ def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, perc
 def _mixed(rows: DataFrame) -> DataFrame:
     """Nodes whose classes are not all in one group: size and least document."""
     return rows.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("pivot"),
-        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "n", "pivot")
+        F.count("*").alias("n"), F.min("doc_id").alias("pivot"), F.min_by("label", "doc_id").alias("pivot_label"),
+        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "n", "pivot", "pivot_label")
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

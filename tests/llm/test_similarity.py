@@ -92,10 +92,19 @@ def test_near_duplicates_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({None: 1} | {want[d][1]: 1 for d in want})
+    # The two texts of id 9 are not linked, so both rows stay.
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({None: 1} | {want[d][1]: 1 for d in want} | {9: 2})
     assert neardup.keep_one(none).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    words = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    rows = [(9, words[0]), (9, words[1]), (12, words[0]), (12, words[2] + " more"), (3, words[2]), (7, words[1]), (7, words[1])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id, r.text[0]) for r in neardup.keep_one(documents).collect())
+    assert kept == [(3, "c"), (7, "b"), (9, "a")]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 150)] + [(300, 200), (250, 300), (250, 201)]
