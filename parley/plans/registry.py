@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from parley import schemas
 from parley.functions import replies as reply_functions, text
-from parley.operators import access, attachments, changes, ingest, prompts, quality, replies, sessions, throttle
+from parley.operators import access, attachments, changes, ingest, prompts, quality, replies, sessions, summaries, throttle
 from parley.plans import oracle
 from parley.plans.explode import explode_rows
 from parley.plans.fixtures import Tables, now, pick
@@ -106,6 +106,31 @@ def find_session(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+@query(f"""
+    , left_over AS (SELECT * FROM v_messages WHERE id % 3 <> 0 AND (session_id % 4 <> 1 OR id % 1000 < 2) AND session_id % 9 <> 5)
+    SELECT session_id, n_messages, {stamp('last_at')} AS last_at,
+           CASE WHEN base IS NOT NULL THEN {title("base")} END AS title
+    FROM (SELECT session_id, count(*) AS n_messages, max(created_at) AS last_at,
+                 min_by({or_else(trim('content'), "'New chat'")}, id) FILTER (role = 'user') AS base
+          FROM left_over GROUP BY session_id)""")
+def session_summaries(t: Tables) -> DataFrame:
+    """Count, last activity and title after half of the messages came later and three rounds of
+    deletes: scattered ones, all but the first of a session, whole sessions."""
+    everything = stored(t.messages(), "messages")
+    late = F.col("id") % 2 == 1
+    kept = summaries.summarise(everything.where(~late))
+    there = everything.where(~late)
+    for added, removed in (
+        (late, F.lit(False)), (F.lit(False), F.col("id") % 3 == 0),
+        (F.lit(False), (F.col("session_id") % 4 == 1) & (F.col("id") % 1000 >= 2)), (F.lit(False), F.col("session_id") % 9 == 5),
+    ):
+        came = everything.where(added)
+        gone = there.where(removed)
+        there = (everything if added is late else there).where(~removed)
+        kept = stored(summaries.apply_to_summaries(kept, came, gone, there), "summaries")
+    return timed(summaries.shown(kept), "last_at").select("session_id", "n_messages", "last_at", "title")
+
+
 @query("""
     SELECT 'profiles' AS "table", id FROM v_profiles
     UNION ALL SELECT 'chat_sessions', id FROM v_sessions WHERE user_id IN (SELECT id FROM v_profiles)

@@ -1,11 +1,12 @@
 """Access, constraints, change application, saving, listings."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from parley import schemas
-from parley.operators import access, changes, ingest, quality, sessions
+from parley.operators import access, changes, ingest, quality, sessions, summaries
 from parley.plans.buckets import hit_buckets
 from parley.plans.fixtures import Tables
 from parley.sources import snapshots
@@ -312,6 +313,29 @@ def test_policies_in_sql(spark, tmp_path):
     assert rows_of(spark.sql(asked)) == [(False, False, False), (True, False, False)]
 
 
+def test_summaries_agree_with_the_table_whatever_comes_and_goes(spark):
+    rng = random.Random(8)
+    columns = "id long, session_id long, user_id long, role string, content string, created_at timestamp"
+
+    def frame(some):
+        return spark.createDataFrame(sorted(some), columns)
+
+    def new(i):
+        at = OLD + dt.timedelta(minutes=rng.randrange(200))
+        return i, rng.randrange(6), 1, rng.choice(["user", "assistant"]), f"text {i} " * rng.randrange(1, 9), at
+
+    table = {new(i) for i in range(60)}
+    kept = summaries.summarise(frame(table), 2)
+    again = []
+    for step in range(5):
+        gone = {r for r in table if rng.random() < (0.6 if step % 2 else 0.15) or step == 3 and r[1] == 4}
+        came = {new(1000 * (step + 1) + i) for i in range(rng.randrange(12))}
+        table = (table - gone) | came
+        kept = summaries.apply_to_summaries(kept, frame(came), frame(gone), frame(table), 2)
+        kept = spark.createDataFrame(kept.collect(), kept.schema)
+        assert as_text(summaries.shown(kept)) == as_text(summaries.shown(summaries.summarise(frame(table), 2))), step
+
+
 def as_text(df):
     return sorted(str(tuple(r)) for r in df.select(sorted(df.columns)).collect())
 
