@@ -94,6 +94,18 @@ def messages_of_session(t: Tables) -> DataFrame:
     return in_order(sessions.list_messages(t.messages(), newest.user_id, newest.session_id))
 
 
+@query("""
+    SELECT role, content AS text, row_number() OVER (ORDER BY created_at, id) AS position
+    FROM v_messages WHERE session_id = (SELECT max(session_id) FROM v_messages)""")
+def messages_of_session_clustered(t: Tables) -> DataFrame:
+    """The same, from files in order of user, session and time."""
+    folder = run_folder(t.spark, "clustered")
+    sinks.write_clustered(t.messages(), folder)
+    held = readers.read_table(t.spark, folder, "chat_messages")
+    newest = held.agg(F.max(F.struct("session_id", "user_id")).alias("m")).first().m
+    return in_order(sessions.list_messages(held, newest.user_id, newest.session_id))
+
+
 @query("""
     SELECT 'owner' AS caller, max(session_id) AS id FROM v_messages""")
 def find_session(t: Tables) -> DataFrame:

@@ -17,6 +17,23 @@ def append_messages(accepted: DataFrame, path: str) -> DataFrame:
     return accepted
 
 
+def write_clustered(messages: DataFrame, path: str, row_group_bytes: int = 16 << 20) -> None:
+    """The message table in order of user, session and time, for look-ups of one conversation.
+
+    Rows are range-partitioned, so a hot user or session spreads over files; a look-up reads
+    the row groups whose bounds, or Bloom filter of the sessions, allow its key, and finds
+    them in order already.
+    """
+    order = ["user_id", "session_id", "created_at", "id"]
+    (
+        messages.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists")
+        .option("parquet.block.size", row_group_bytes)
+        .option("parquet.bloom.filter.enabled#session_id", "true")
+        .option("parquet.bloom.filter.expected.ndv#session_id", "100000")
+        .parquet(path)
+    )
+
+
 def id_from(key) -> Column:
     """A UUID-shaped id that is the same whenever the same key is seen again.
 

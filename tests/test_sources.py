@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley import schemas
-from parley.operators import prompts
+from parley.operators import prompts, sessions
 from parley.session import checkpoint_dir, size_shuffles
 from parley.sources import sinks, tables, uploads
 
@@ -126,3 +126,36 @@ def test_written_files_come_back(spark, tmp_path):
     assert uploads.write_files(files, str(tmp_path / "up")) == 40
     read = uploads.read_uploads(spark, f"file:{tmp_path}/up").select("name", tables.decode_text("content").alias("content"))
     assert sorted(tuple(r) for r in read.collect()) == sorted(rows)
+
+
+def test_a_look_up_reads_few_row_groups_of_clustered_messages(spark, tmp_path):
+    path = str(tmp_path / "messages")
+    rows = spark.range(60_000).selectExpr(
+        "id", "id % 500 * 2 as session_id", "id % 50 as user_id", "'user' as role", "repeat(md5(cast(id as string)), 8) as content",
+        "timestamp_seconds(1704067200 + id) as created_at")
+    sinks.write_clustered(rows, path, 1 << 18)
+    held = tables.read_table(spark, path, "chat_messages")
+    found = sessions.list_messages(held, 7, 114)
+    assert found.count() == 120 and sessions.list_messages(held, 8, 114).count() == 0
+
+    def scanned(df):
+        df.collect()
+        plan, out = df._jdf.queryExecution().executedPlan(), []
+
+        def walk(node):
+            if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                node = node.executedPlan()
+            if "FileSourceScan" in node.getClass().getSimpleName():
+                out.append(node.metrics().apply("numOutputRows").value())
+            inner = [node.plan()] if "QueryStage" in node.getClass().getSimpleName() else []
+            for k in range(node.children().size()):
+                inner.append(node.children().apply(k))
+            for x in inner:
+                walk(x)
+
+        walk(plan)
+        return sum(out)
+
+    assert 120 <= scanned(found) < 6000
+    # A session that is not there lies between the bounds of many row groups; the filter tells.
+    assert scanned(held.where("session_id = 115")) == 0
