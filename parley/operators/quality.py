@@ -4,6 +4,9 @@ Every table is read once.  Each of its rows says which constraints it takes part
 which key: as a holder of a unique value, as a child that needs a parent, as a parent, or as
 a violation by itself.  One aggregate over these marks settles all constraints at once; it
 combines map-side, so a key that holds a third of a table is one row per task in the shuffle.
+
+The marks are counted, so the report can also be kept up to date: signed counts of the rows
+that came and went are added, and what they tell is read off (``apply_to_counts``).
 """
 
 from __future__ import annotations
@@ -80,7 +83,7 @@ def _marks(df: DataFrame, table: str, tables: set[str]) -> DataFrame:
                 marks.append(F.when(F.col("id").isNotNull(), _mark(child, name, "id", parent=True)))
     if table == "chat_messages":
         marks.append(F.when(~F.col("role").isin(ROLES), _mark(table, "check:role", "id", F.col("role"))))
-    return df.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.*")
+    return df.select("sign", F.explode(F.array_compact(F.array(*marks))).alias("m")).select("sign", "m.*")
 
 
 def not_exactly_one(df: DataFrame, wanted: DataFrame, key: str, at_most: bool = False) -> DataFrame:
@@ -116,15 +119,46 @@ def check_constraints(
     tables = {"profiles": profiles, "chat_sessions": sessions, "chat_messages": messages}
     if signups is not None:
         tables["signups"] = signups
-    marks = reduce(DataFrame.unionByName, [_marks(df, name, set(tables)) for name, df in tables.items()])
-    held = marks.groupBy("table", "constraint", "key", "detail").agg(
-        F.count_if(~F.col("parent")).alias("n"), F.max("parent").alias("has_parent"))
+    return violations(constraint_counts(tables))
+
+
+_KEYS = ["table", "constraint", "key", "detail"]
+
+
+def constraint_counts(tables: dict[str, DataFrame], all_tables: set[str] | None = None) -> DataFrame:
+    """(table, constraint, key, detail, n, parents): how many rows hold each key of each
+    constraint, and how many are there to refer to.
+
+    A frame with a ``sign`` holds changes: rows that came (1) and that went (-1).  A changed
+    row has gone as it was and come as it is.  ``all_tables`` names the tables of the model
+    where ``tables`` are only some of them.
+    """
+    def marked(df: DataFrame, name: str) -> DataFrame:
+        signed = df if "sign" in df.columns else df.withColumn("sign", F.lit(1))
+        return _marks(signed, name, all_tables or set(tables))
+
+    marks = reduce(DataFrame.unionByName, [marked(df, name) for name, df in tables.items()])
+    sign = F.col("sign").cast("long")
+    return marks.groupBy(*_KEYS).agg(
+        F.sum(F.when(~F.col("parent"), sign).otherwise(0)).alias("n"),
+        F.sum(F.when(F.col("parent"), sign).otherwise(0)).alias("parents"))
+
+
+def apply_to_counts(counts: DataFrame, changes: dict[str, DataFrame], all_tables: set[str]) -> DataFrame:
+    """The counts after signed ``changes`` of some tables; the tables themselves are not read."""
+    delta = constraint_counts(changes, all_tables)
+    return counts.unionByName(delta).groupBy(*_KEYS).agg(
+        F.sum("n").alias("n"), F.sum("parents").alias("parents")).where("n <> 0 OR parents <> 0")
+
+
+def violations(counts: DataFrame) -> DataFrame:
+    """The violation report (table, constraint, key, detail) that the counts tell."""
     # What is wrong by itself is reported row by row, the rest once per key with its rows.
     itself = F.col("detail").isNotNull()
-    broken = itself | F.when(F.col("constraint").startswith("unique"), F.col("n") > 1).otherwise(
-        ~F.col("has_parent") & (F.col("n") > 0))
+    broken = F.when(itself, F.col("n") > 0).when(F.col("constraint").startswith("unique"), F.col("n") > 1).otherwise(
+        (F.col("parents") <= 0) & (F.col("n") > 0))
     times = F.when(itself, F.col("n")).otherwise(F.lit(1)).cast("int")
-    return held.where(broken).select(
+    return counts.where(broken).select(
         "table", "constraint", "key", F.coalesce("detail", F.col("n").cast("string")).alias("detail"),
         F.explode(F.array_repeat(F.lit(1), times)).alias("one"),
     ).drop("one")

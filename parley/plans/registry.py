@@ -318,6 +318,25 @@ def check_constraints(t: Tables) -> DataFrame:
     )
 
 
+@query('SELECT "table", constraint_name, key, detail FROM v_constraints')
+def constraint_upkeep(t: Tables) -> DataFrame:
+    """The same report, kept up to date: counts of two thirds of the rows and of sessions of
+    nobody's, then a batch that brings the rest, and one that takes those sessions away."""
+    tables = {"profiles": t.dirty_profiles(), "chat_sessions": t.dirty_sessions(), "chat_messages": t.dirty_messages()}
+    names = {*tables, "signups"}
+    late = F.coalesce(F.col("id") % 3 == 0, F.lit(False))
+    strays = t.dirty_sessions().where("id % 5 = 0").withColumn("user_id", F.col("id") + 5_000_000)
+    first = {name: df.where(~late) for name, df in tables.items()} | {"signups": t.signups()}
+    first["chat_sessions"] = first["chat_sessions"].unionByName(strays)
+    counts = stored(quality.constraint_counts(first), "constraint-counts")
+    for batch in (
+        {name: df.where(late).withColumn("sign", F.lit(1)) for name, df in tables.items()},
+        {"chat_sessions": strays.withColumn("sign", F.lit(-1))},
+    ):
+        counts = stored(quality.apply_to_counts(counts, batch, names), "constraint-counts")
+    return _renamed(quality.violations(counts))
+
+
 def _renamed(report: DataFrame) -> DataFrame:
     return report.withColumnRenamed("constraint", "constraint_name")
 

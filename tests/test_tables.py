@@ -336,6 +336,30 @@ def test_summaries_agree_with_the_table_whatever_comes_and_goes(spark):
         assert as_text(summaries.shown(kept)) == as_text(summaries.shown(summaries.summarise(frame(table), 2))), step
 
 
+def test_violations_after_changes_without_reading_the_tables(spark):
+    people = profiles_of(spark, (1, "a"), (2, "b"), (3, "b"))
+    own = sessions_of(spark, (10, 1, "s"), (11, 9, "s"))
+    said = messages_of(spark, (100, 10, 1, "user", "x"), (101, 11, 1, "robot", "y"), (102, 12, 2, "user", "z"))
+    tables = {"profiles": people, "chat_sessions": own, "chat_messages": said}
+    counts = quality.constraint_counts(tables)
+    assert as_text(quality.violations(counts)) == as_text(quality.check_constraints(people, own, said))
+
+    signed = lambda df, sign: df.withColumn("sign", F.lit(sign))
+    moved = profiles_of(spark, (3, "c"))
+    changes_ = {
+        "profiles": signed(people.where("id = 3"), -1).unionByName(signed(moved, 1)),
+        "chat_sessions": signed(sessions_of(spark, (12, 2, "s"), (10, 1, "again")), 1),
+        "chat_messages": signed(said.where("id = 101"), -1),
+    }
+    after = quality.apply_to_counts(counts, changes_, set(tables))
+    want = quality.check_constraints(
+        people.where("id <> 3").unionByName(moved), own.unionByName(sessions_of(spark, (12, 2, "s"), (10, 1, "again"))), said.where("id <> 101"))
+    assert as_text(quality.violations(after)) == as_text(want)
+    # All that came goes again, and nothing is left but what was there.
+    back = {n: df.withColumn("sign", -F.col("sign")) for n, df in changes_.items()}
+    assert as_text(quality.apply_to_counts(after, back, set(tables))) == as_text(counts)
+
+
 def as_text(df):
     return sorted(str(tuple(r)) for r in df.select(sorted(df.columns)).collect())
 
