@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 A rule is a test that a good document passes, computed from some features of its text.  On
-a sample, every rule is applied to every document: that gives the share it rejects and what
-it costs, the steps of its features over what they pass over in the documents of the sample.  Rules then run in order of rejection
-per cost, each only on the documents that all earlier ones let pass, and a feature is only
+a sample of what the base rules let pass, every rule is applied to every document: that tells
+what it rejects and what it costs, the steps of its features over what they pass over.  The
+rule that rejects most per cost comes first; the next one is the best on what the first
+leaves of the sample, and so on, so a rule that only rejects what others reject comes late.
+Each runs only on the documents that all earlier ones let pass, and a feature is only
 computed for documents that reach a rule that needs it.  The order changes the work, never
 the verdict: a document is kept when no rule rejects it.
 
@@ -41,6 +43,7 @@ REPEAT = 5  # words of a window that may repeat
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of the words
 SAMPLE = 2000  # documents that costs and selectivities are estimated on
+SEED = 20
 
 
 class Text:
@@ -141,50 +144,47 @@ RULES = [
 ]
 
 
-@dataclass
-class Estimate:
-    rule: str
-    rejected: float
-    cost: float
-
-
-def estimate(documents: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> list[Estimate]:
-    """Rejected share and cost of every rule, on ``sample`` rows at most, drawn by a hash."""
+def sampled(documents: DataFrame, base: list[Rule], rules: list[Rule], sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """What each rule says of each sampled document that passes the ``base`` rules, and what it
+    costs there.  About ``sample`` documents are drawn, each by a draw of its own."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, cost = np.zeros(len(rules), "i8"), np.zeros(len(rules))
-        rows = 0
         for batch in slices(batches):
+            rejected, cost = [], []
             for text in batch.column(0).to_pylist():
                 one = Text(text)
-                rows += 1
-                cost += [r.cost(one) for r in rules]
-                n += [bool(r.rejects(one)) for r in rules]
-        yield pa.record_batch(
-            [pa.array([rows] * len(rules)), pa.array(cost), pa.array(range(len(rules))), pa.array(n)],
-            ["rows", "cost", "rule", "rejected"])
-
-    every = max(1, documents.count() // sample)
-    drawn = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(
-        F.col("text").cast("string").alias("text")).limit(sample)
-    sums = drawn.mapInArrow(measure, "rows long, cost double, rule long, rejected long").groupBy("rule").agg(
-        F.sum("rows").alias("rows"), F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected"))
-    found = {r.rule: r for r in sums.collect()}
-    return [Estimate(r.name, found[k].rejected / max(found[k].rows, 1) if k in found else 0.0,
-                     found[k].cost / max(found[k].rows, 1) if k in found else 1.0)
-            for k, r in enumerate(rules)]
-
-
-def ordered(rules: list[Rule], estimates: list[Estimate]) -> list[Rule]:
-    """By rejection per cost, most first; ties as given."""
-    worth = {e.rule: e.rejected / max(e.cost, 1e-9) for e in estimates}
-    return sorted(rules, key=lambda r: -worth[r.name])
+                if not any(r.rejects(one) for r in base):
+                    rejected.append([bool(r.rejects(one)) for r in rules])
+                    cost.append([float(r.cost(one)) for r in rules])
+            yield pa.record_batch(
+                [pa.array(rejected, pa.list_(pa.bool_())), pa.array(cost, pa.list_(pa.float64()))], ["rejected", "cost"])
+
+    share = min(1.0, sample / max(1, documents.count()))
+    drawn = documents.select(F.col("text").cast("string").alias("text"))
+    drawn = drawn.sample(share, SEED) if share < 1 else drawn
+    found = drawn.mapInArrow(measure, "rejected array<boolean>, cost array<double>").collect()
+    shape = len(found), len(rules)
+    return (np.array([r.rejected for r in found], bool).reshape(shape), np.array([r.cost for r in found]).reshape(shape))
+
+
+def ordered(rules: list[Rule], rejected: np.ndarray, cost: np.ndarray) -> list[Rule]:
+    """The best rule by rejection per cost, then the best on what it leaves, and so on; ties as
+    given."""
+    left, order = list(range(len(rules))), []
+    rows = np.ones(len(rejected), bool)
+    while left:
+        worth = [rejected[rows, k].sum() / max(cost[rows, k].sum(), 1e-9) for k in left]
+        best = left[int(np.argmax(worth))]
+        left.remove(best)
+        order.append(rules[best])
+        rows &= ~rejected[:, best]
+    return order
 
 
 def judge(documents: DataFrame, base: list[Rule] = BASE, rules: list[Rule] = RULES, sample: int = SAMPLE) -> DataFrame:
     """Per row: ``doc_id``, the base features, ``base_failed``, ``kept``, and
     ``rules_run``, how many rules of the cascade it took."""
-    order = ordered(rules, estimate(documents, rules, sample))
+    order = ordered(rules, *sampled(documents, base, rules, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -40,19 +40,39 @@ def test_order_changes_the_work_only(spark, folder):
 
 def test_cheap_and_selective_rules_first(spark):
     df = spark.createDataFrame([(i, "fine text with words " * 5 + ("!" * 200 if i % 2 else "")) for i in range(40)], "doc_id long, text string")
-    estimates = {e.rule: e for e in rules.estimate(df, rules.RULES)}
-    assert estimates["marks"].rejected == 0.5 and estimates["shouting"].rejected == 0
-    order = [r.name for r in rules.ordered(rules.RULES, list(estimates.values()))]
-    assert order[0] == "marks"
+    rejected, cost = rules.sampled(df, [], rules.RULES)
+    share = dict(zip([r.name for r in rules.RULES], rejected.mean(0)))
+    assert share["marks"] == 0.5 and share["shouting"] == 0
+    assert rules.ordered(rules.RULES, rejected, cost)[0].name == "marks"
     judged = rules.judge(df, base=[]).collect()
     assert {(r.kept, r.rules_run) for r in judged} == {(False, 1), (True, len(rules.RULES))}
 
 
+def test_a_rule_that_rejects_nothing_of_the_rest_comes_last(spark):
+    """Half of all texts are rejected by two rules alike, a tenth by a third one alone; base rules'
+    rejects are not part of the sample."""
+    word = rules.Rule("word", lambda t: t.text.startswith("bad"))
+    again = rules.Rule("again", lambda t: t.text.startswith("bad") and t.n_words > 0)
+    rare = rules.Rule("rare", lambda t: t.text.endswith("rare"))
+    base = [rules.Rule("empty", lambda t: not t.text)]
+    texts = ["bad text"] * 50 + ["fine text"] * 40 + ["text rare"] * 10 + [""] * 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rejected, cost = rules.sampled(df, base, [again, word, rare])
+    assert rejected.shape == (100, 3) and rejected.sum(0).tolist() == [50, 50, 10]
+    assert [r.name for r in rules.ordered([again, word, rare], rejected, cost)] == ["again", "rare", "word"]
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    df = spark.range(20_000).selectExpr("1L as doc_id", "'the same text in every row' as text").repartition(6)
+    rejected, _ = rules.sampled(df, [], rules.RULES, 500)
+    assert 300 < len(rejected) < 700
+
+
 def test_costs_come_from_the_sample(spark):
     """Many words or few in the same number of characters; base features cost nothing more."""
     def costs(text):
         df = spark.createDataFrame([(i, text) for i in range(10)], "doc_id long, text string")
-        return {e.rule: e.cost for e in rules.estimate(df, rules.RULES)}
+        return dict(zip([r.name for r in rules.RULES], rules.sampled(df, [], rules.RULES)[1].mean(0)))
 
     many, few = costs("a b " * 500), costs("abcdefghi " * 200)
     assert many["one_word"] > many["shouting"] > few["one_word"] and many["shouting"] == few["shouting"]
