@@ -10,9 +10,10 @@ Labels are given for documents, not lines.  Lines of good documents are taken as
 a bad document the lines count as bad that a line-by-line logistic model, fitted first, finds
 more likely bad than good, and at least its worst line.
 
-The model is fitted on at most ``SAMPLE`` labelled documents (features only: they pass
-through the driver); it is applied to every whole text.  Batches are scored as arrays over
-all their documents.
+The model is fitted on at most ``SAMPLE`` labelled documents, and on at most ``FIT_LINES``
+lines of each, evenly spaced stretches of a longer one (features only: they pass through the
+driver, ``SAMPLE * FIT_LINES * FEATURES`` numbers at most); it is applied to every whole text.
+Batches are scored as arrays over all their documents.
 
 Defined cases: a text without lines (null, empty, blank) has no evidence; its quality is the
 share of good lines in the sample.  Rows that repeat a document are scored each; labels
@@ -40,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SAMPLE = 4000
 ROUNDS = 200
 FEATURES = 16
+FIT_LINES = 256
+FIT_STRETCH = 32  # lines taken together
 THRESHOLD = 0.3
 
 
@@ -232,12 +235,24 @@ def score(model: Model, column: pa.Array, hasher: Hasher) -> np.ndarray:
     return _sigmoid(model.slope * quality + model.level)
 
 
+def fitted_lines(n: int) -> np.ndarray:
+    """The lines of a document of ``n`` that the model is fitted on: all, or evenly spaced
+    stretches, so that most lines have their neighbours."""
+    if n <= FIT_LINES:
+        return np.arange(n)
+    starts = np.linspace(0, n - FIT_STRETCH, FIT_LINES // FIT_STRETCH).astype("i8")
+    return np.unique((starts[:, None] + np.arange(FIT_STRETCH)).ravel())
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in slices(batches, 256):
             features, size, text = line_features(batch.column(1), hasher)
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            chosen = np.concatenate([np.zeros(0, "i8"), *(a + fitted_lines(b - a) for a, b in zip(cut, cut[1:], strict=False))])
+            features, size, text = features[chosen], size[chosen], text[chosen]
+            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
             yield pa.record_batch(
                 [batch.column(0), batch.column(2),
                  pa.array([features[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
