@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -14,8 +15,9 @@ from parley.session import run_folder
 # Ship the task functions with the job: executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A table of at most this many narrow rows may be broadcast (some tens of MB).
+# A table of at most this many rows and, if they are not of fixed width, bytes may be broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 ARROW_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -43,11 +45,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (cheap to count), marked for broadcast if it has ``most`` rows at most.
+    """``df`` (cheap to count), marked for broadcast if it has ``most`` rows at most, and
+    ``BROADCAST_BYTES`` where it holds strings, binaries or arrays (as JSON, which is wider).
 
     Beyond that it is left to a shuffled join.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    few = df.limit(most + 1)
+    if all(re.match(r"(big|small|tiny)?int$|double$|float$|boolean$|date$|timestamp", kind) for _, kind in df.dtypes):
+        return F.broadcast(df) if few.count() <= most else df
+    n, size = few.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= most and (size or 0) <= BROADCAST_BYTES else df
 
 
 # Bits of a sieve of keys; its table has a row for each 64 of them at most.

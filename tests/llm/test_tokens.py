@@ -194,3 +194,21 @@ def test_holding_keeps_the_rows_with_a_key_whatever_their_number(spark, odd):
     every = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
     some = every.where("doc_id % 7 = 3")
     assert holding(every, some, "doc_id", 5).count() == some.count()
+
+
+def test_small_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    from parley.llm import shared
+
+    def broadcast(df, *most):
+        return "BroadcastExchange" in spark.range(5).join(shared.small(df, *most), "id")._jdf.queryExecution().executedPlan().toString()
+
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        narrow = spark.range(50).withColumn("x", F.lit(1.5))
+        wide = spark.range(50).withColumn("terms", F.array(F.lit("word" * 100)))
+        assert broadcast(narrow) and broadcast(wide) and not broadcast(narrow, 49) and not broadcast(wide, 49)
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", 10_000)
+        assert broadcast(narrow) and not broadcast(wide)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
