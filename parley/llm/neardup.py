@@ -15,8 +15,8 @@ A document's set holds its distinct word windows.  Documents are linked when
    are compared with its least document (the pivot); if they then are all in one group, the
    node has nothing more to tell, and if not, it is branched further.  What is still large
    after ``LEVELS`` levels holds documents that are alike without being linked, which more
-   branching would hardly part; it is compared exhaustively, in packed blocks that meet in
-   pairs, so no node is left out and no pair of documents is a row.
+   branching would hardly part; it is compared exhaustively, in packed
+   blocks that meet in pairs, so no node is left out and no pair of documents is a row.
    Classes that are in one group already are not compared again.
 5. Comparing means: signatures first (pairs that agree in under ``LEAST_AGREE`` of their
    tokens are dropped), then the full sets.  Candidates travel as clusters of bounded size,
@@ -280,13 +280,13 @@ def shared_sizes(hashes: np.ndarray, member: np.ndarray, k: int) -> np.ndarray:
     return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in sets] for x in sets])
 
 
-def confirmed(candidates: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(candidates: DataFrame, documents: DataFrame, width: int, percent: int, labels: Labels) -> DataFrame:
     """Links (a, b) by the full sets, among the ``members`` of each candidate row: enough of
-    them to connect all members that links connect, so fewer than there are members."""
+    them to connect all groups of members that links connect, so fewer than there are groups."""
 
     def links(rows: pa.RecordBatch, hasher: Hasher) -> pa.RecordBatch:
         """Rows of whole clusters, cluster by cluster."""
-        cluster, doc = (rows.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        cluster, doc, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
         hashes, member = shingle_sets(rows.column(2), hasher, width)
         size = np.bincount(member, minlength=len(doc))
         stop = np.concatenate([[0], np.cumsum(size)])
@@ -296,7 +296,7 @@ def confirmed(candidates: DataFrame, documents: DataFrame, width: int, percent:
             k, own = behind - at, slice(stop[at], stop[behind])
             shared = shared_sizes(hashes[own], member[own] - at, k)
             union = size[at:behind, None] + size[None, at:behind] - shared
-            group = np.arange(k)
+            _, group = np.unique(label[at:behind], return_inverse=True)
             for i, j in np.argwhere(np.triu((100 * shared >= percent * union) & (shared > 0), 1)):
                 if group[i] != group[j]:
                     group[group == group[j]] = group[i]
@@ -321,9 +321,9 @@ def confirmed(candidates: DataFrame, documents: DataFrame, width: int, percent:
     times = asked.groupBy("doc_id").agg(F.count("*").alias("n"))
     texts = written(documents.join(small(times), "doc_id"), "neardup-texts")
     # A pivot may be asked for by very many.
-    told = spread_join(asked, texts, "doc_id", ["cluster"])
+    told = spread_join(labels.attach(asked, "doc_id"), texts, "doc_id", ["cluster"])
     # Flat rows, cluster by cluster: a batch then holds so many texts, and not so many clusters.
-    sorted_rows = told.select("cluster", "doc_id", "text").repartition("cluster").sortWithinPartitions("cluster")
+    sorted_rows = told.select("cluster", "doc_id", "text", "label").repartition("cluster").sortWithinPartitions("cluster")
     found = sorted_rows.mapInArrow(compare, "a long, b long")
     return written(found.where("a <> b").distinct(), "neardup-links")
 
@@ -341,7 +341,7 @@ def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, perc
         large = not nodes.where(F.col("n") > SMALL).isEmpty()
         if large:
             candidates = candidates.unionByName(_pivot_pairs(together, nodes, classes, percent))
-        labels.link(confirmed(candidates, documents, width, percent))
+        labels.link(confirmed(candidates, documents, width, percent, labels))
         if not large:
             return labels
         rows = written(labels.attach(together.where(F.col("n") > SMALL).select("node", "doc_id"), "doc_id"), "neardup-large")
@@ -352,7 +352,7 @@ def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, perc
         if level + 1 < levels:
             told = rows.join(classes.select("doc_id", "signature"), "doc_id")
             rows = written(branch(told.select("doc_id", "signature", "node"), percent), "neardup-nodes")
-    labels.link(confirmed(_blocks(rows, classes, percent), documents, width, percent))
+    labels.link(confirmed(_blocks(rows, classes, percent), documents, width, percent, labels))
     return labels
 
 
