@@ -34,9 +34,17 @@ def words_of(text: Column) -> Column:
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``row``, the row's identity."""
+    """``doc_id``, ``text`` and the row's identity, ``row`` and ``twin``.
+
+    Lists hold ``row`` alone: should two rows share it, their candidates are read from both
+    texts.  Matches are exact, and from there on both halves count, 128 bits.
+    """
     narrow = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    return narrow.withColumn("row", F.xxhash64("doc_id", "text"))
+    return narrow.withColumns(identity(F.col("doc_id"), F.col("text")))
+
+
+def identity(doc_id: Column, text: Column) -> dict[str, Column]:
+    return {"row": F.xxhash64(doc_id, text), "twin": F.xxhash64(F.lit("twin"), text, doc_id)}
 
 
 def phrases(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -95,16 +103,16 @@ def candidate_starts(index: DataFrame, looked_up: DataFrame, lists: int = LISTS)
 
 
 def phrase_matches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Exact matches of the phrases: (row, doc_id, phrase, start, length)."""
+    """Exact matches of the phrases: (row, twin, doc_id, phrase, start, length)."""
     terms = wanted.select(F.explode("terms").alias("term")).distinct()
     looked_up = written(by_rarity(wanted, term_counts(rows, terms)), "lookups")
     index = postings(rows, looked_up)
     starts = written(candidate_starts(index, looked_up).join(small(wanted), "phrase"), "candidates")
     texts = rows.join(small(starts.select("row").distinct()), "row", "left_semi").distinct().select(
-        "row", "doc_id", words_of(F.col("text")).alias("words"))
+        "row", "twin", "doc_id", words_of(F.col("text")).alias("words"))
     same = F.slice("words", F.col("start") + 1, F.size("terms")) == F.col("terms")
     held = starts.join(texts, "row").where(same)
-    return held.select("row", "doc_id", "phrase", "start", F.size("terms").alias("length"))
+    return held.select("row", "twin", "doc_id", "phrase", "start", F.size("terms").alias("length"))
 
 
 def proximity_matches(rows: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
@@ -144,16 +152,17 @@ def contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -
     rows = numbered(documents)
     wanted, owners = phrases(items, window)
     hits = written(phrase_matches(rows, wanted), "matches")
-    before = W.partitionBy("row", "doc_id").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
-    spans = hits.select("row", "doc_id", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
+    whose = ["row", "twin"]
+    before = W.partitionBy(*whose).orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
+    spans = hits.select(*whose, "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
     fresh = spans.withColumn("upto", F.coalesce(F.max("stop").over(before), F.lit(0)))
-    n_hit = fresh.groupBy("row").agg(F.sum(F.greatest(
+    n_hit = fresh.groupBy(*whose).agg(F.sum(F.greatest(
         F.col("stop") - F.greatest("start", "upto"), F.lit(0))).cast("long").alias("n_hit"))
-    named = hits.select("row", "phrase").distinct().join(owners, "phrase").groupBy("row").agg(
+    named = hits.select(*whose, "phrase").distinct().join(owners, "phrase").groupBy(*whose).agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     n_words = F.coalesce(F.regexp_count("text", F.lit(word)), F.lit(0)).cast("long").alias("n_words")
-    return rows.select("doc_id", n_words, "row").join(n_hit, "row", "left").join(named, "row", "left").select(
+    return rows.select("doc_id", n_words, *whose).join(n_hit, whose, "left").join(named, whose, "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "row")
 
@@ -161,6 +170,7 @@ def contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -
 def keep_uncontaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` with all their columns, without those that hold a window of an item."""
     wanted, _ = phrases(items, window)
-    hit = written(phrase_matches(numbered(documents), wanted).select(F.col("row").alias("hit_row")).distinct(), "matches")
-    own = F.xxhash64(documents["doc_id"], documents["text"].cast("string"))
-    return documents.join(small(hit), own == hit["hit_row"], "left_anti")
+    hit = written(phrase_matches(numbered(documents), wanted).select(
+        F.col("row").alias("hit_row"), F.col("twin").alias("hit_twin")).distinct(), "matches")
+    own = identity(documents["doc_id"], documents["text"].cast("string"))
+    return documents.join(small(hit), (own["row"] == hit["hit_row"]) & (own["twin"] == hit["hit_twin"]), "left_anti")

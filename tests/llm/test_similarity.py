@@ -254,3 +254,19 @@ def test_propagation_over_links(spark):
     start = {int(r.node): r.shard for r in shards.propagate(nodes, members, 4, rounds=0).collect()}
     cut = sum(placed[a] != placed[b] for a, b in pairs)
     assert cut < 0.5 * sum(start[a] != start[b] for a, b in pairs)
+
+
+def test_rows_that_share_half_of_their_identity_are_told_apart(spark, monkeypatch):
+    from parley.llm import decontaminate
+
+    def half(doc_id, text):
+        return {"row": F.lit(7).cast("long"), "twin": F.xxhash64(doc_id, text)}
+
+    monkeypatch.setattr(decontaminate, "identity", half)
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = [(1, f"before {passage} after"), (2, "p0 p1 p2 p3 p4 and nothing more"), (3, "clean words only"), (None, passage), (4, None)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([("i", passage), ("j", "never found in any of the texts that are here at all")], "item_id string, text string")
+    found = sorted((r.doc_id or 0, r.n_hit, r["items"]) for r in decontaminate.contaminated(documents, items).collect())
+    assert found == [(0, 12, ["i"]), (1, 12, ["i"]), (2, 0, []), (3, 0, []), (4, 0, [])]
+    assert sorted(r.doc_id for r in decontaminate.keep_uncontaminated(documents, items).collect()) == [2, 3, 4]
