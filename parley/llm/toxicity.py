@@ -16,8 +16,8 @@ has a feature of the category's list; a toxic one without a feature of any list
 about categories, and only the last link learns from it.
 
 The chain is fitted on at most ``SAMPLE`` labelled documents, on at most ``WORDS`` features that
-tell the label apart in the documents fitted on; only the counts of these pass through the
-driver.  It is applied to every whole text, batches as arrays.
+tell the label apart in the documents fitted on (chosen anew for each fold); only the counts
+of these pass through the driver.  It is applied to every whole text, batches as arrays.
 
 Words are runs of ASCII letters and non-ASCII characters, A-Z lower-cased.  A feature is a
 whole word or a word's first 4 to 8 bytes (so that one stem's inflections and compounds
@@ -39,7 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.llm.samples import held_out, labelled
 from parley.llm.shared import slices, written
@@ -233,52 +233,98 @@ def sparse_and_dense(column: pa.Array, hasher: Hasher, known: np.ndarray, lists:
     return counted(hashes, text, len(column), known), listed_counts(hashes, text, len(column), lists)
 
 
-def fit(words: Words, listed: np.ndarray, toxic: np.ndarray, known: np.ndarray, folds: int = FOLDS) -> Chain:
-    """``toxic`` is the label per text, ``listed`` the counts of the lists' features."""
-    n = len(toxic)
-    # A toxic text without any of them is no counterexample of a category.
-    told = (toxic != 1) | (listed > 0).any(1)
-    every = np.ones(n, bool)
-    targets = [(toxic == 1) & (listed[:, k] > 0) for k in range(listed.shape[1])] + [toxic == 1]
-    fold = np.arange(n) % folds
+def aligned(categories: list[np.ndarray], to: list[np.ndarray]) -> list[np.ndarray]:
+    """The categories in the order in which they share most features with those of ``to``."""
+    left, order = list(range(len(categories))), [0] * len(to)
+    shared = sorted(((len(np.intersect1d(categories[i], x)), -j, -i) for j, x in enumerate(to) for i in left), reverse=True)
+    open_ = set(range(len(to)))
+    for _, j, i in shared:
+        if -j in open_ and -i in left:
+            order[-j] = -i
+            open_.remove(-j)
+            left.remove(-i)
+    return [categories[i] for i in order]
+
+
+@dataclass
+class Choice:
+    """What a model may use: features, as a mask of the known ones, and categories."""
+
+    mask: np.ndarray
+    categories: list[np.ndarray]
+
+    def of(self, words: Words) -> Words:
+        own = self.mask[words.column]
+        return Words(words.n, words.row[own], words.column[own], words.value[own])
+
+
+def fit(words: Words, toxic: np.ndarray, known: np.ndarray, fold: np.ndarray, choices: list[Choice]) -> Chain:
+    """``toxic`` is the label per text; ``choices`` has the choice made on all texts, then for each
+    fold the one made on the others."""
+    n, many = len(toxic), len(choices[0].categories)
+    own_words = [c.of(words) for c in choices]
+    listed = [listed_of(words, known, c.categories) for c in choices]
     earlier, links = np.zeros((n, 0)), []
-    for number, target in enumerate(targets):
-        dense, label = inputs(listed, earlier), target.astype("f8")
-        use = told if number < listed.shape[1] else every
-        links.append(fit_link(words.part(use), dense[use], label[use], len(known)))
+    for number in range(many + 1):
+        models = []
+        for k, counts in enumerate(listed):
+            target = (toxic == 1) & (counts[:, number] > 0) if number < many else toxic == 1
+            # A toxic text without a feature of any list is no counterexample of a category.
+            use = (toxic != 1) | (counts > 0).any(1) if number < many else np.ones(n, bool)
+            use &= (fold != k - 1) | (k == 0)
+            dense = inputs(counts, earlier)
+            models.append((fit_link(own_words[k].part(use), dense[use], target[use].astype("f8"), len(known)), dense))
+        links.append(models[0][0])
         out = np.zeros(n)
-        for k in range(folds):
-            own, rest = fold == k, (fold != k) & use
-            out[own] = fit_link(words.part(rest), dense[rest], label[rest], len(known)).probability(
-                words.part(own), dense[own])
+        for k, (link, dense) in enumerate(models[1:]):
+            own = fold == k
+            out[own] = link.probability(own_words[k + 1].part(own), dense[own])
         earlier = np.concatenate([earlier, out[:, None]], 1)
     return Chain(known, links)
 
 
-def telling_words(sample: DataFrame, most: int) -> np.ndarray:
+def fold_of(doc_id) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
+def telling_words(sample: DataFrame, most: int) -> list[np.ndarray]:
     """The ``most`` features whose presence differs most between the labels of ``sample``
-    (chi-square), in order; one in fewer than three documents tells nothing."""
+    (chi-square), in order; one in fewer than three documents tells nothing.  First those of
+    all documents, then for each fold those of the others."""
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in slices(batches, 64):
             hashes, text, _ = text_words(batch.column(1), hasher)
             hashes, text = distinct(hashes, text)
-            label = batch.column(2).to_numpy(zero_copy_only=False)[text]
+            label, fold = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in (2, 3))
             word, number = np.unique(hashes, return_inverse=True)
-            yield pa.record_batch(
-                [pa.array(word.view("i8")), pa.array(np.bincount(number, minlength=len(word))),
-                 pa.array(np.bincount(number, label, len(word)).astype("i8"))], ["word", "n", "positive"])
-
-    share = sample.agg(F.avg("label")).first()[0]
-    if not share:
-        return np.zeros(0, "u8")
-    found = sample.mapInArrow(present, "word long, n long, positive long").groupBy("word").agg(
-        F.sum("n").alias("n"), F.sum("positive").alias("positive")).where("n >= 3")
-    expected = F.col("n") * share
-    score = (F.col("positive") - expected) * (F.col("positive") - expected) / expected
-    best = found.where(score > 0).orderBy(score.desc(), "word").limit(most).select("word").collect()
-    return np.sort(np.array([r.word for r in best], "i8").view("u8"))
+            columns = [pa.array(word.view("i8"))]
+            for k in range(FOLDS):
+                own = fold == k
+                columns += [pa.array(np.bincount(number[own], minlength=len(word))),
+                            pa.array(np.bincount(number[own], label[own], len(word)).astype("i8"))]
+            yield pa.record_batch(columns, ["word", *names])
+
+    names = [f"{c}{k}" for k in range(FOLDS) for c in ("n", "positive")]
+    told = sample.select("doc_id", "text", "label", fold_of("doc_id").alias("fold"))
+    found = told.mapInArrow(present, "word long, " + ", ".join(f"{c} long" for c in names)).groupBy("word").agg(
+        *(F.sum(c).alias(c) for c in names)).where(" + ".join(f"n{k}" for k in range(FOLDS)) + " >= 3")
+    found = written(found, "toxicity-words")
+    labels = told.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("positive")).collect()
+    best = []
+    for left_out in (None, *range(FOLDS)):
+        rows = [r for r in labels if r.fold != left_out]
+        share = sum(r.positive for r in rows) / max(1, sum(r.n for r in rows))
+        if not share:
+            best.append(np.zeros(0, "u8"))
+            continue
+        n, positive = (sum((F.col(f"{c}{k}") for k in range(FOLDS) if k != left_out), F.lit(0)) for c in ("n", "positive"))
+        expected = n * share
+        score = (positive - expected) * (positive - expected) / expected
+        top = found.where((n >= 3) & (score > 0)).orderBy(score.desc(), "word").limit(most).select("word").collect()
+        best.append(np.sort(np.array([r.word for r in top], "i8").view("u8")))
+    return best
 
 
 def train(
@@ -287,9 +333,9 @@ def train(
     """The chain, and the hashes of each category's features."""
     cores = documents.sparkSession.sparkContext.defaultParallelism
     drawn = written(labelled(documents, labels, "toxic", sample), "toxicity-sample").repartition(cores)
-    known = telling_words(drawn, WORDS)
-    if lists:
-        known = np.unique(np.concatenate([known, *listed_hashes(Hasher(), lists)]))
+    telling = telling_words(drawn, WORDS)
+    given = listed_hashes(Hasher(), lists) if lists else []
+    known = np.unique(np.concatenate([*telling, *given]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -299,19 +345,30 @@ def train(
             cut = np.searchsorted(words.row, np.arange(batch.num_rows + 1))
             spans = list(zip(cut, cut[1:], strict=False))
             yield pa.record_batch(
-                [batch.column(0), batch.column(2),
+                [batch.column(0), batch.column(2), batch.column(3),
                  pa.array([words.column[a:b].astype("i4").tobytes() for a, b in spans], pa.binary()),
                  pa.array([words.value[a:b].astype("f4").tobytes() for a, b in spans], pa.binary())],
-                ["doc_id", "label", "columns", "counts"])
+                ["doc_id", "label", "fold", "columns", "counts"])
 
-    rows = drawn.mapInArrow(count, "doc_id long, label int, columns binary, counts binary").collect()
+    told = drawn.select("doc_id", "text", "label", fold_of("doc_id").alias("fold"))
+    rows = told.mapInArrow(count, "doc_id long, label int, fold int, columns binary, counts binary").collect()
     rows.sort(key=lambda r: r.doc_id)
     column = np.frombuffer(b"".join(r["columns"] for r in rows), "i4").astype("i8")
     row = np.repeat(np.arange(len(rows)), [len(r["columns"]) // 4 for r in rows])
     value = np.frombuffer(b"".join(r["counts"] for r in rows), "f4").astype("f8")
     words, toxic = Words(len(rows), row, column, value), np.array([r.label for r in rows], "f8")
-    hashes = listed_hashes(Hasher(), lists) if lists else found_categories(words, toxic, known)
-    return fit(words, listed_of(words, known, hashes), toxic, known), hashes
+    fold = np.array([r.fold for r in rows], "i8")
+    choices = []
+    for k, chosen in enumerate(telling):
+        mask = np.isin(known, np.concatenate([chosen, *given]))
+        rest = (fold != k - 1) | (k == 0)
+        choice = Choice(mask, given)
+        if not lists:
+            choice.categories = found_categories(choice.of(words).part(rest), toxic[rest], known)
+            if k:
+                choice.categories = aligned(choice.categories, choices[0].categories)
+        choices.append(choice)
+    return fit(words, toxic, known, fold, choices), choices[0].categories
 
 
 def predict(

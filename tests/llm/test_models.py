@@ -114,6 +114,73 @@ def test_toxic_words_of_any_language_make_categories(spark):
         assert np.mean([max(r[k] for k in kinds) > 0.5 for r in toxic]) > 0.9
 
 
+def test_a_fold_has_no_part_in_the_choice_of_its_features(spark):
+    """Each toxic document shares a word with those of its fold alone; the word tells of toxic
+    documents in all folds but is not chosen where its own fold is left out."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    fold = toxicity.fold_of("doc_id")
+    mark = F.when(F.col("label") == 1, F.concat(F.lit("mark"), F.translate(fold.cast("string"), "0123", "abcd"))).otherwise("plain")
+    sample = docs.select("doc_id", F.concat_ws(" ", mark, F.lit("common words here")).alias("text"), "label")
+    chosen = toxicity.telling_words(sample, 1000)
+    assert len(chosen) == 1 + toxicity.FOLDS
+    for k in range(toxicity.FOLDS):
+        (word,) = toxicity.listed_hashes(Hasher(), {"x": ["mark" + "abcd"[k]]})
+        found = [np.isin(word, c).all() for c in chosen]
+        assert found == [True] + [j != k for j in range(toxicity.FOLDS)]
+
+
+def test_categories_are_put_in_order():
+    a, b, c = (np.array(x) for x in ([1, 2, 3], [4, 5, 6], [7, 8]))
+    assert [x.tolist() for x in toxicity.aligned([c[:1], a[:2], b], [a, b, c])] == [[1, 2], [4, 5, 6], [7]]
+    assert [x.tolist() for x in toxicity.aligned([a, a, a], [b, b, b])] == [a.tolist()] * 3
+
+
+def test_the_chain_agrees_with_one_fitted_plainly():
+    """Dense matrices, one model after another, over the same choices."""
+    rng = np.random.default_rng(4)
+    n, width = 240, 12
+    known = np.arange(100, 100 + width).astype("u8")
+    counts = rng.integers(0, 3, (n, width)) * (rng.random((n, width)) < 0.4)
+    toxic = ((counts[:, 0] + counts[:, 1] + rng.random(n)) > 1.5).astype("f8")
+    fold = rng.integers(0, toxicity.FOLDS, n)
+    masks = [np.ones(width, bool)] + [rng.random(width) < 0.8 for _ in range(toxicity.FOLDS)]
+    choices = [toxicity.Choice(m, [known[m][:2], known[m][2:3]]) for m in masks]
+    row, column = np.nonzero(counts)
+    words = toxicity.Words(n, row, column, np.log1p(counts[row, column]))
+    chain = toxicity.fit(words, toxic, known, fold, choices)
+
+    def plain_fit(x, label):
+        w = np.zeros(x.shape[1])
+        share = label.mean()
+        w[-1] = 30.0 * (2 * share - 1) if share in (0, 1) else np.log(share / (1 - share))
+        penalised = np.arange(x.shape[1]) < width
+        mean, square = np.zeros_like(w), np.zeros_like(w)
+        for k in range(1, toxicity.ROUNDS + 1) if share not in (0, 1) else ():
+            error = (label - 1 / (1 + np.exp(-(x @ w)))) / len(label)
+            g = x.T @ error - toxicity.PENALTY * w * penalised
+            mean, square = mean + 0.1 * (g - mean), square + 0.01 * (g * g - square)
+            w = w + 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
+        return w
+
+    earlier = np.zeros((n, 0))
+    for number, link in enumerate(chain.links):
+        out, full = np.zeros(n), None
+        for k, choice in enumerate(choices):
+            listed = np.stack([np.log1p(counts[:, np.isin(known, c)].sum(1)) for c in choice.categories], 1)
+            odds = np.log(np.clip(earlier, 1e-4, 1 - 1e-4) / (1 - np.clip(earlier, 1e-4, 1 - 1e-4)))
+            x = np.concatenate([np.log1p(counts) * choice.mask, listed, odds, np.ones((n, 1))], 1)
+            target = (toxic == 1) & (listed[:, number] > 0) if number < 2 else toxic == 1
+            use = (toxic != 1) | (listed > 0).any(1) if number < 2 else np.ones(n, bool)
+            use &= (fold != k - 1) | (k == 0)
+            w = plain_fit(x[use], target[use].astype(float))
+            if k == 0:
+                full = w
+            else:
+                out[fold == k - 1] = 1 / (1 + np.exp(-(x[fold == k - 1] @ w)))
+        assert np.allclose(np.concatenate([link.words, link.dense]), full, atol=1e-6)
+        earlier = np.concatenate([earlier, out[:, None]], 1)
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_against_plain_stages(spark, folder):
@@ -136,6 +203,14 @@ def test_pipeline_against_plain_stages(spark, folder):
 
 def test_stages_keep_columns(spark, odd, none, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, odd, folder).schema == odd.schema, name
+        assert stage(spark, odd, folder).dtypes == odd.dtypes, name
         assert stage(spark, none, folder).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "decontamination", "packing"]
+
+
+def test_lines_for_fitting_are_bounded_and_spread():
+    assert crf.fitted_lines(7).tolist() == list(range(7)) and len(crf.fitted_lines(0)) == 0
+    for n in (crf.FIT_LINES, crf.FIT_LINES + 1, 5000, 2_000_000):
+        lines = crf.fitted_lines(n)
+        assert len(lines) <= crf.FIT_LINES and lines[0] == 0 and lines[-1] == n - 1
+        assert (np.diff(lines) > 0).all()
