@@ -160,8 +160,7 @@ def contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW) -
         F.col("stop") - F.greatest("start", "upto"), F.lit(0))).cast("long").alias("n_hit"))
     named = hits.select(*whose, "phrase").distinct().join(owners, "phrase").groupBy(*whose).agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    n_words = F.coalesce(F.regexp_count("text", F.lit(word)), F.lit(0)).cast("long").alias("n_words")
+    n_words = F.size(words_of(F.col("text"))).cast("long").alias("n_words")
     return rows.select("doc_id", n_words, *whose).join(n_hit, whose, "left").join(named, whose, "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "row")
