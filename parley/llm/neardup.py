@@ -13,15 +13,17 @@ A document's set holds its distinct word windows.  Documents are linked when
    every level, however similar the rest of the node is.
 4. A node of ``SMALL`` classes at most is compared exhaustively.  In a larger one all classes
    are compared with its least document (the pivot); if they then are all in one group, the
-   node has nothing more to tell, and if not, it is branched further.  What is still large
-   after ``LEVELS`` levels holds documents that are alike without being linked, which more
-   branching would hardly part; it is compared exhaustively, in packed
-   blocks that meet in pairs, so no node is left out and no pair of documents is a row.
+   node has nothing more to tell.  If not, it is packed into one row and compared
+   exhaustively there, as long as it is of two blocks at most (a block: ``BLOCK`` classes,
+   ``WEIGHT`` windows); only a larger one is branched further, so a crowd of documents that
+   are alike without being linked is not carried through every level of every tree.  What
+   is larger still after ``LEVELS`` levels is compared in blocks that meet in pairs, so no
+   node is left out and no pair of documents is a row.
    Classes that are in one group already are not compared again.
 5. Comparing means: signatures first (pairs that agree in under ``LEAST_AGREE`` of their
-   tokens are dropped), then the full sets.  Candidates travel as clusters of bounded size,
-   not as pairs, and of a cluster's confirmed links only as many come out as connect its
-   members.
+   tokens are dropped), then the full sets.  Candidates travel as clusters, one row for each
+   member and two blocks or less, not as pairs, and of a cluster's confirmed links only as
+   many come out as connect its members.
 
 Recall: a pair at the threshold shares a node of a tree with probability 0.63 on level 1,
 0.47 on level 2, 0.37 on level 3, 0.31 on level 4.  All trees branch on one signature, so their
@@ -44,8 +46,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.llm.graph import Labels
 from parley.llm.shared import slices, small, written
@@ -58,8 +61,9 @@ WIDTH = 5
 PERCENT = 80
 COORDINATES = 64
 SMALL = 32
-BLOCK = 512  # classes of a packed block
-TILE = 64  # classes of a block compared at once
+BLOCK = 2048  # classes of a packed block
+WEIGHT = 1_000_000  # word windows of a packed block; one document may hold more
+TILE = 64  # sets compared at once
 LEVELS = 4
 MISSED = 1e-3  # at most, of the pairs at the threshold whose nodes are as deep as can be
 LEAST_AGREE = 0.55
@@ -130,7 +134,7 @@ def _children(nodes: np.ndarray, signature: np.ndarray, share: float) -> tuple[n
 
 
 def branch(rows: DataFrame, percent: int, trees: int = 0) -> DataFrame:
-    """Rows of (doc_id, signature, node) to the nodes one level down: (node, doc_id).
+    """Rows of (doc_id, signature, n_shingles, node) to the nodes one level down: (node, doc_id, n_shingles).
 
     With ``trees``, the rows are at the roots of that many trees instead.
     """
@@ -142,12 +146,14 @@ def branch(rows: DataFrame, percent: int, trees: int = 0) -> DataFrame:
             signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(batch.num_rows, -1)
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             at = [np.full(len(doc), r, "u8") for r in roots] if trees else [
-                batch.column(2).to_numpy(zero_copy_only=False).view("u8")]
+                batch.column(3).to_numpy(zero_copy_only=False).view("u8")]
             for nodes in at:
                 child, row = _children(nodes, signature.astype("u8"), share)
-                yield pa.record_batch([pa.array(child.view("i8")), pa.array(doc[row])], ["node", "doc_id"])
+                yield pa.record_batch(
+                    [pa.array(child.view("i8")), pa.array(doc[row]), batch.column(2).take(pa.array(row))],
+                    ["node", "doc_id", "n_shingles"])
 
-    return rows.mapInArrow(step, "node long, doc_id long")
+    return rows.mapInArrow(step, "node long, doc_id long, n_shingles long")
 
 
 def _met(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,7 +170,7 @@ def _met(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Share of signature bytes that agree, along the last axis."""
-    return (x == y).mean(-1)
+    return np.bitwise_count((x == y).view("u8")).sum(-1) / COORDINATES
 
 
 def _pivot_pairs(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -188,24 +194,30 @@ def _pivot_pairs(rows: DataFrame, nodes: DataFrame, classes: DataFrame, percent:
 
 
 def _clusters(groups: DataFrame, percent: int) -> DataFrame:
-    """Of bounded groups of structs (doc_id, label, n, sketch), the sets of members that may
-    be linked across labels: connected by pairs whose signatures agree enough."""
+    """Of bounded groups of structs (doc_id, label, n, sketch, own), the sets of members that
+    may be linked across labels: connected by pairs whose signatures agree enough.  In a
+    group from two blocks (``own``) pairs from one are left out; the block itself has them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             found = []
-            for members in batch.column(0).to_pylist():
-                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), "u1").reshape(len(members), -1)
-                doc, label, n = (np.array([m[c] for m in members]) for c in ("doc_id", "label", "n"))
+            for members in batch.column(0):
+                members = members.values
+                doc, label, n, own = (pc.struct_field(members, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label", "n", "own"))
+                sketch = np.frombuffer(b"".join(pc.struct_field(members, "sketch").to_pylist()), "u1").reshape(len(doc), -1)
                 order = np.argsort(doc)
-                doc, label, n, sketch = doc[order], label[order], n[order], sketch[order]
+                doc, label, n, own, sketch = doc[order], label[order], n[order], own[order], sketch[order]
+                two = (own != own[0]).any()
                 group = np.arange(len(doc))
                 for i in range(len(doc) - 1):
-                    near = (label[i + 1:] != label[i]) & (_agree(sketch[i + 1:], sketch[i]) >= LEAST_AGREE) & (
-                        100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i]))
-                    for j in np.flatnonzero(near) + i + 1:
-                        if group[j] != group[i]:
-                            group[group == group[j]] = group[i]
+                    asked = (label[i + 1:] != label[i]) & (100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i]))
+                    if two:
+                        asked &= own[i + 1:] != own[i]
+                    at = np.flatnonzero(asked) + i + 1
+                    at = at[_agree(sketch[at], sketch[i]) >= LEAST_AGREE]
+                    met = np.unique(group[at])
+                    if len(met) > 1 or (met != group[i]).any():
+                        group[np.isin(group, met) | (group == group[i])] = group[i]
                 for g, size in zip(*np.unique(group, return_counts=True), strict=True):
                     if size > 1:
                         found.append(doc[group == g].tolist())
@@ -219,54 +231,28 @@ def _small_nodes(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     told = rows.where(F.col("n") <= SMALL).select("node", "doc_id", "label").join(
         classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     groups = told.groupBy("node").agg(F.collect_list(
-        F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch")).alias("members"))
+        F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch", F.lit(0).alias("own"))).alias("members"))
     return _clusters(groups.select("members"), percent)
 
 
-def _blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Exhaustive comparison of large nodes: their classes are packed into blocks, one row
-    each, and every block meets every other one of its node once."""
-    told = rows.select("node", "doc_id", "label", "n").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    packed = told.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).groupBy(
-        "node", "blocks", "own").agg(F.collect_list(
-            F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch")).alias("members"))
-    met = written(packed, "neardup-blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = met.groupBy("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list("members").alias("members"))
-
-    def columns(members: list) -> tuple[np.ndarray, ...]:
-        sketch = np.frombuffer(b"".join(m["sketch"] for m in members), "u1").reshape(len(members), -1)
-        doc, label, n = (np.array([m[c] for m in members]) for c in ("doc_id", "label", "n"))
-        order = np.argsort(doc)
-        return doc[order], label[order], n[order], sketch[order]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            sides = [columns(m) for m in batch.column(0)[0].as_py()]
-            found = []
-            for i in range(0, len(sides[0][0]), TILE):
-                a = [x[i:i + TILE] for x in sides[0]]
-                # A block that meets itself alone: each tile meets itself and those behind it.
-                for j in range(i if len(sides) == 1 else 0, len(sides[-1][0]), TILE):
-                    b = [x[j:j + TILE] for x in sides[-1]]
-                    near = _agree(a[3][:, None], b[3][None]) >= LEAST_AGREE
-                    near &= a[1][:, None] != b[1][None]
-                    near &= 100 * np.minimum(a[2][:, None], b[2][None]) >= percent * np.maximum(a[2][:, None], b[2][None])
-                    found += _connected(np.concatenate([a[0], b[0]]), *(np.nonzero(near) + np.array([[0], [len(a[0])]])))
-            yield pa.record_batch([pa.array(found, pa.list_(pa.int64()))], ["members"])
-
-    return pairs.select("members").mapInArrow(compare, "members array<long>")
+def _fits(blocks: int = 2) -> Column:
+    return (F.col("n") <= blocks * BLOCK) & (F.col("weight") <= blocks * WEIGHT)
 
 
-def _connected(docs: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[list[int]]:
-    """The sets of two documents or more that pairs (x, y) of places in ``docs`` connect."""
-    docs, same = np.unique(docs, return_inverse=True)
-    group = np.arange(len(docs))
-    for i, j in zip(same[x].tolist(), same[y].tolist(), strict=True):
-        if group[i] != group[j]:
-            group[group == group[j]] = group[i]
-    return [docs[group == g].tolist() for g, size in zip(*np.unique(group, return_counts=True), strict=True) if size > 1]
+def _blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Exhaustive comparison of large nodes: their classes are packed into one row each, or
+    into blocks, and every block meets every other one of its node once."""
+    told = rows.select("node", "doc_id", "label", "n", "weight").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    blocks = F.when(_fits(), 1).otherwise(F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / WEIGHT))).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    packed = told.withColumn("blocks", blocks).withColumn("own", own).groupBy("node", "blocks", "own").agg(F.collect_list(
+        F.struct("doc_id", "label", F.col("n_shingles").alias("n"), "sketch", "own")).alias("members"))
+    met = written(packed, "neardup-blocks")
+    whole = met.where("blocks = 1").select("members")
+    others = met.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = others.groupBy("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.flatten(F.collect_list("members")).alias("members")).select("members")
+    return _clusters(whole.unionByName(pairs), percent)
 
 
 def shared_sizes(hashes: np.ndarray, member: np.ndarray, k: int) -> np.ndarray:
@@ -287,21 +273,32 @@ def confirmed(candidates: DataFrame, documents: DataFrame, width: int, percent:
     def links(rows: pa.RecordBatch, hasher: Hasher) -> pa.RecordBatch:
         """Rows of whole clusters, cluster by cluster."""
         cluster, doc, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
-        hashes, member = shingle_sets(rows.column(2), hasher, width)
-        size = np.bincount(member, minlength=len(doc))
+        drawn = [shingle_sets(piece.column(2), hasher, width) for piece in slices([rows])]
+        hashes = np.concatenate([h for h, _ in drawn])
+        size = np.concatenate([
+            np.bincount(member, minlength=piece.num_rows) for (_, member), piece in zip(drawn, slices([rows]), strict=True)])
         stop = np.concatenate([[0], np.cumsum(size)])
         edges = np.flatnonzero(np.diff(cluster, prepend=cluster[:1] - 1, append=cluster[-1:] + 1))
         a, b = [], []
         for at, behind in zip(edges, edges[1:], strict=False):
-            k, own = behind - at, slice(stop[at], stop[behind])
-            shared = shared_sizes(hashes[own], member[own] - at, k)
-            union = size[at:behind, None] + size[None, at:behind] - shared
             _, group = np.unique(label[at:behind], return_inverse=True)
-            for i, j in np.argwhere(np.triu((100 * shared >= percent * union) & (shared > 0), 1)):
-                if group[i] != group[j]:
-                    group[group == group[j]] = group[i]
-                    a.append(min(doc[at + i], doc[at + j]))
-                    b.append(max(doc[at + i], doc[at + j]))
+            # In order of their groups, so that most tiles of a large group meet for nothing.
+            order = np.argsort(group, kind="stable")
+            tiles = [order[i:i + TILE] for i in range(0, len(order), TILE)]
+            for i, j in zip(*np.triu_indices(len(tiles)), strict=True):
+                both = tiles[i] if i == j else np.concatenate([tiles[i], tiles[j]])
+                if (group[both] == group[both[0]]).all():
+                    continue
+                n = size[at + both]
+                shared = shared_sizes(
+                    np.concatenate([hashes[stop[m]:stop[m + 1]] for m in at + both]), np.repeat(np.arange(len(both)), n), len(both))
+                linked = np.triu((100 * shared >= percent * (n[:, None] + n[None] - shared)) & (shared > 0), 1)
+                linked &= group[both][:, None] != group[both][None]
+                for x, y in both[np.argwhere(linked)]:
+                    if group[x] != group[y]:
+                        group[group == group[y]] = group[x]
+                        a.append(min(doc[at + x], doc[at + y]))
+                        b.append(max(doc[at + x], doc[at + y]))
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +329,11 @@ def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, perc
                       trees: int = TREES, levels: int = LEVELS) -> Labels:
     """The groups of linked classes (doc_id, n_shingles, signature, sketch)."""
     labels = Labels(documents.sparkSession)
-    rows = written(branch(classes.select("doc_id", "signature"), percent, trees), "neardup-nodes")
+    rows = written(branch(classes.select("doc_id", "signature", "n_shingles"), percent, trees), "neardup-nodes")
     for level in range(levels):
         rows = labels.attach(rows, "doc_id")
         nodes = written(_mixed(rows), "neardup-mixed")
-        together = written(_met(rows, nodes).select("node", "doc_id", "label", "n"), "neardup-shared")
+        together = written(_met(rows, nodes).select("node", "doc_id", "n_shingles", "label", "n"), "neardup-shared")
         candidates = _small_nodes(together, classes, percent)
         large = not nodes.where(F.col("n") > SMALL).isEmpty()
         if large:
@@ -344,23 +341,27 @@ def similarity_groups(documents: DataFrame, classes: DataFrame, width: int, perc
         labels.link(confirmed(candidates, documents, width, percent, labels))
         if not large:
             return labels
-        rows = written(labels.attach(together.where(F.col("n") > SMALL).select("node", "doc_id"), "doc_id"), "neardup-large")
+        rows = written(labels.attach(together.where(F.col("n") > SMALL).select("node", "doc_id", "n_shingles"), "doc_id"), "neardup-large")
         rest = written(_mixed(rows), "neardup-rest")
         if rest.isEmpty():
             return labels
-        rows = _met(rows, rest).select("node", "doc_id", "label", "n")
-        if level + 1 < levels:
-            told = rows.join(classes.select("doc_id", "signature"), "doc_id")
-            rows = written(branch(told.select("doc_id", "signature", "node"), percent), "neardup-nodes")
-    labels.link(confirmed(_blocks(rows, classes, percent), documents, width, percent, labels))
+        # What fits into one row is settled here; at the last level the rest is, too.
+        last = level + 1 == levels
+        here = _met(rows, rest if last else rest.where(_fits())).select("node", "doc_id", "label", "n", "weight")
+        labels.link(confirmed(_blocks(here, classes, percent), documents, width, percent, labels))
+        larger = rest.where(~_fits())
+        if last or larger.isEmpty():
+            return labels
+        told = _met(rows, larger).select("node", "doc_id").join(classes.select("doc_id", "signature", "n_shingles"), "doc_id")
+        rows = written(branch(told.select("doc_id", "signature", "n_shingles", "node"), percent), "neardup-nodes")
     return labels
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Nodes whose classes are not all in one group: size and least document."""
+    """Nodes whose classes are not all in one group: size, word windows and least document."""
     return rows.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("pivot"), F.min_by("label", "doc_id").alias("pivot_label"),
-        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "n", "pivot", "pivot_label")
+        F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("doc_id").alias("pivot"), F.min_by("label", "doc_id").alias("pivot_label"),
+        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "n", "weight", "pivot", "pivot_label")
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -81,6 +81,30 @@ def test_small_nodes_and_few_levels_lose_nothing(crowded, monkeypatch):
     assert groups(neardup.near_duplicates(crowded, 4)) == near_duplicates(sorted(rows(crowded)), 4)
 
 
+def test_a_crowd_alike_without_being_linked_is_not_carried_along(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = []
+    for k in range(700):
+        words = [f"w{i}" for i in range(100)]
+        for i in rng.sample(range(100), 6):
+            words[i] = f"x{k}-{i}"
+        texts.append((k, " ".join(words)))
+    made = Counter()
+    write = neardup.written
+
+    def counted(df, purpose):
+        out = write(df, purpose)
+        made[purpose] += out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    assert groups(neardup.near_duplicates(documents, 4)) == near_duplicates(texts, 4)
+    # At the roots a class has a row for each tree and child; neither deeper nodes nor what is compared come near twice that.
+    roots = 700 * neardup.TREES / 0.8
+    assert made["neardup-nodes"] < 1.5 * roots and made["neardup-candidates"] < 2 * roots, made
+
+
 def test_near_duplicates_odd_rows(odd, none):
     want = near_duplicates([r for r in rows(odd) if r[0] is not None], 5)
     found = neardup.near_duplicates(odd)
