@@ -1,9 +1,11 @@
 """Constraint checks: one violation row per broken key.
 
-Every table is read once.  Each of its rows says which constraints it takes part in and under
-which key: as a holder of a unique value, as a child that needs a parent, as a parent, or as
-a violation by itself.  One aggregate over these marks settles all constraints at once; it
+Every table is read once.  Each of its rows says which keys it holds, and in which column, or
+that it is a violation by itself.  Columns that refer to each other share their keys, so one
+row of the aggregate tells for a key how many rows of each column hold it, and with that all
+unique and foreign keys it takes part in.  The aggregate settles all constraints at once; it
 combines map-side, so a key that holds a third of a table is one row per task in the shuffle.
+A task keeps its keys meanwhile, most of them unique: a number stands for the constraint.
 
 The marks are counted, so the report can also be kept up to date: signed counts of the rows
 that came and went are added, and what they tell is read off (``apply_to_counts``).
@@ -62,30 +64,59 @@ def duplicate_keys(df: DataFrame, table: str, column: str) -> DataFrame:
     return _report(many, table, f"unique:{column}", F.col(column), F.col("count"))
 
 
-def _mark(table: str, constraint: str, key: str, detail=None, parent: bool = False) -> Column:
-    return F.struct(
-        F.lit(table).alias("table"), F.lit(constraint).alias("constraint"),
-        F.col(key).cast("string").alias("key"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
-        F.lit(parent).alias("parent"),
-    )
-
-
-def _marks(df: DataFrame, table: str, tables: set[str]) -> DataFrame:
-    """A row per part that a row of ``table`` has in a constraint."""
-    marks = [F.when(F.col(c).isNull(), _mark(table, f"not_null:{c}", "id", F.lit("is null"))) for c in NOT_NULL.get(table, [])]
-    marks += [F.when(F.col(c).isNotNull(), _mark(table, f"unique:{c}", c)) for c in UNIQUE.get(table, [])]
+def _domains(tables: set[str]) -> list[list[tuple[str, str]]]:
+    """The columns (table, column) that hold keys, those that share their keys together."""
+    found = [{(table, column)} for table in sorted(tables) for column in UNIQUE.get(table, [])]
     for child, column, parent in FOREIGN:
         if {child, parent} <= tables:
-            name = f"foreign_key:{column}->{parent}"
-            if child == table:
-                marks.append(F.when(F.col(column).isNotNull(), _mark(child, name, column)))
-            if parent == table:
-                marks.append(F.when(F.col("id").isNotNull(), _mark(child, name, "id", parent=True)))
+            ends = {(child, column), (parent, "id")}
+            met = [d for d in found if d & ends]
+            found = [d for d in found if not d & ends] + [ends.union(*met)]
+    return [sorted(d) for d in sorted(found, key=min)]
+
+
+def _itself(table: str) -> list[tuple[str, Column, Column]]:
+    """What a row of ``table`` can break by itself: constraint, when, detail."""
+    found = [(f"not_null:{c}", F.col(c).isNull(), F.lit("is null")) for c in NOT_NULL.get(table, [])]
     if table == "chat_messages":
-        marks.append(F.when(~F.col("role").isin(ROLES), _mark(table, "check:role", "id", F.col("role"))))
+        found.append(("check:role", ~F.col("role").isin(ROLES), F.col("role")))
+    return found
+
+
+def _mark(code: int, key: str, column: int = 0, detail: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(code).alias("code"), F.col(key).cast("string").alias("key"),
+        (F.lit(None) if detail is None else detail).cast("string").alias("detail"), F.lit(column).alias("column"))
+
+
+def _marks(df: DataFrame, table: str, domains: list, alone: list) -> DataFrame:
+    """A row per key that a row of ``table`` holds, and per constraint it breaks by itself."""
+    marks = [
+        F.when(F.col(c).isNotNull(), _mark(code, c, k))
+        for code, domain in enumerate(domains) for k, (of, c) in enumerate(domain) if of == table]
+    marks += [
+        F.when(broken, _mark(len(domains) + alone.index((table, name)), "id", detail=detail))
+        for name, broken, detail in _itself(table)]
     return df.select("sign", F.explode(F.array_compact(F.array(*marks))).alias("m")).select("sign", "m.*")
 
 
+def _told(domains: list, alone: list, tables: set[str]) -> Column:
+    """Per row of (code, key, detail, n0, n1, ...): what it tells of each constraint."""
+    def told(code: int, table: str, constraint: str, n: Column, parents: Column = F.lit(0).cast("long")) -> Column:
+        row = F.struct(
+            F.lit(table).alias("table"), F.lit(constraint).alias("constraint"), "key", "detail", n.alias("n"), parents.alias("parents"))
+        return F.when((F.col("code") == code) & ((n != 0) | (parents != 0)), row)
+
+    found = [told(len(domains) + k, table, name, F.col("n0")) for k, (table, name) in enumerate(alone)]
+    for code, domain in enumerate(domains):
+        n = {at: F.col(f"n{k}") for k, at in enumerate(domain)}
+        found += [told(code, t, f"unique:{c}", n[t, c]) for t, c in domain if c in UNIQUE.get(t, [])]
+        found += [
+            told(code, child, f"foreign_key:{column}->{parent}", n[child, column], n[parent, "id"])
+            for child, column, parent in FOREIGN if {child, parent} <= tables and (child, column) in n]
+    return F.array_compact(F.array(*found))
+
+
 def not_exactly_one(df: DataFrame, wanted: DataFrame, key: str, at_most: bool = False) -> DataFrame:
     """(key, count) of wanted keys that break the "single row" contract.
 
@@ -133,15 +164,18 @@ def constraint_counts(tables: dict[str, DataFrame], all_tables: set[str] | None
     row has gone as it was and come as it is.  ``all_tables`` names the tables of the model
     where ``tables`` are only some of them.
     """
+    names = all_tables or set(tables)
+    domains, alone = _domains(names), [(t, constraint) for t in sorted(names) for constraint, _, _ in _itself(t)]
+
     def marked(df: DataFrame, name: str) -> DataFrame:
         signed = df if "sign" in df.columns else df.withColumn("sign", F.lit(1))
-        return _marks(signed, name, all_tables or set(tables))
+        return _marks(signed, name, domains, alone)
 
     marks = reduce(DataFrame.unionByName, [marked(df, name) for name, df in tables.items()])
     sign = F.col("sign").cast("long")
-    return marks.groupBy(*_KEYS).agg(
-        F.sum(F.when(~F.col("parent"), sign).otherwise(0)).alias("n"),
-        F.sum(F.when(F.col("parent"), sign).otherwise(0)).alias("parents"))
+    held = marks.groupBy("code", "key", "detail").agg(*(
+        F.sum(F.when(F.col("column") == k, sign).otherwise(0)).alias(f"n{k}") for k in range(max(map(len, domains)))))
+    return held.select(F.explode(_told(domains, alone, names)).alias("told")).select("told.*")
 
 
 def apply_to_counts(counts: DataFrame, changes: dict[str, DataFrame], all_tables: set[str]) -> DataFrame:

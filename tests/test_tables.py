@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -360,6 +361,18 @@ def test_violations_after_changes_without_reading_the_tables(spark):
     assert as_text(quality.apply_to_counts(after, back, set(tables))) == as_text(counts)
 
 
+def test_a_key_of_several_constraints_is_one_narrow_row(spark, capsys):
+    people, own = profiles_of(spark, (1, "a"), (2, "b"), (2, "b")), sessions_of(spark, (10, 1, "s"), (11, 9, "s"))
+    said = messages_of(spark, (100, 10, 1, "user", "x"), (101, 12, 2, "robot", "y"))
+    report = quality.check_constraints(people, own, said, people.where("id = 1").select("id"))
+    assert {(r.constraint, r.key, r.detail) for r in report.collect()} == {
+        ("unique:id", "2", "2"), ("unique:email", "b", "2"), ("foreign_key:user_id->profiles", "9", "1"),
+        ("foreign_key:session_id->chat_sessions", "12", "1"), ("foreign_key:id->signups", "2", "2"), ("check:role", "101", "robot")}
+    report.explain()  # a task holds its keys until it ends, so names do not belong into them
+    keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", capsys.readouterr().out)
+    assert keys and not any("constraint#" in k or "table#" in k for k in keys)
+
+
 def as_text(df):
     return sorted(str(tuple(r)) for r in df.select(sorted(df.columns)).collect())
 
