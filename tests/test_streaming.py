@@ -217,6 +217,26 @@ def test_throttle_equals_batch_with_disorder_restart_and_late_events(spark, tmp_
     assert dropped == 1
 
 
+def test_keyed_throttle_calls_the_store_for_buckets_and_not_for_events(spark, tmp_path):
+    source, out, check = (str(tmp_path / n) for n in ("events", "out", "check"))
+    rows = [(i, i % 3000, i % 40_000 + i // 3000, i % 11 == 0) for i in range(6000)]
+    calls = []
+    for part in (rows, [(9000, 9000, 10_000_000, False)]):
+        write_events(spark, source, part)
+        stream = stream_table(spark, source, "refresh_events")
+        query = (
+            streams.keyed_throttle(stream, 15_000, "10 seconds", 60_000).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", check).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        calls += [op["numRowsUpdated"] + op["numRowsRemoved"] for p in query.recentProgress for op in p["stateOperators"]]
+    want = throttle.throttle_events(events_of(spark, rows))
+    got = spark.read.schema(streams.EVENTS).parquet(out).where("user_id < 9000")
+    assert differences(got.select("event_id", "user_id", "ts", "force"), want) == 0
+    # One bucket: its events, the list of buckets, the clocks and the timer of every shard.
+    assert 0 < max(calls) < 3000
+
+
 def test_a_replayed_throttle_batch_changes_nothing(spark, tmp_path):
     out = str(tmp_path / "out")
     rows = [(i, i % 2, i * 4000, False) for i in range(40)]
