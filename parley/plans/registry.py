@@ -1089,8 +1089,10 @@ def _paired_stream(t: Tables) -> str:
     comes a day and two days later lets the last requests time out and come out."""
     out = run_folder(t.spark, "pairing")
     sent = _outgoing(t).select("request_id", "message", "attachments", F.col("created_at").alias("sent_at"))
+    # Stored, since every arrival takes its part of them.
+    sent, received = stored(sent, "pairing-sent"), stored(t.received_responses(), "pairing-received")
     low, high = sent.agg(F.min("sent_at"), F.max("sent_at")).first()
-    streams_of = {"sent_requests": (sent, "sent_at"), "received_responses": (t.received_responses(), "received_at")}
+    streams_of = {"sent_requests": (sent, "sent_at"), "received_responses": (received, "received_at")}
 
     def arrive() -> None:
         requests, answers = (readers.stream_table(t.spark, f"{out}/{name}", name) for name in streams_of)

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from parley.functions.text import falsy
 from parley.operators.prompts import has_images, outcomes, read_response
 from parley.sources.tables import read_or_empty
-from parley.streaming.throttle import STATE_STORE
+from parley.streaming.throttle import use_state_store
 
 TIMEOUT = "30 minutes"
 DELAY = "10 minutes"
@@ -32,7 +32,7 @@ OUTCOMES = "request_id long, outcome string, text string"
 def resolved(requests: DataFrame, responses: DataFrame, timeout: str = TIMEOUT, delay: str = DELAY) -> DataFrame:
     """(request_id, outcome, text) of streamed requests (request_id, message, attachments,
     sent_at) and responses (request_id, attempt, body, received_at), in append mode."""
-    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    use_state_store(requests.sparkSession)
     # Rows that are left out do not tell the time: filters go before the watermark in any plan.
     asked = requests.withWatermark("sent_at", delay).where(~falsy("message")).select(
         "request_id", "sent_at", has_images("attachments").alias("is_vision"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import pathlib
 import random
 
 import pytest
@@ -164,6 +165,29 @@ def test_pairing_equals_batch_with_disorder_restart_and_time_out(spark, tmp_path
     assert {r.outcome for r in got.collect()} == {"answer", "error", "fallback", "pending"}
 
 
+def test_the_requests_of_all_arrivals_are_derived_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    class Counted(Tables):
+        def raw(self, name):
+            rows = super().raw(name)
+            return rows.withColumn("text", counted.asNondeterministic()("text")) if name == "documents" else rows
+
+    t, folders = Counted(spark, FOLDER), []
+    run_folder = registry.run_folder
+    monkeypatch.setattr(registry, "run_folder", lambda *a: folders.append(run_folder(*a)) or folders[-1])
+    got = responses.outcomes_so_far(spark, registry._paired_stream(t)).where("request_id >= 0")
+    assert got.count() == registry._outgoing(Tables(spark, FOLDER)).count()
+    assert seen.value == Tables(spark, FOLDER).raw("documents").count()
+    # A batch saves its changes to the state.
+    assert list(pathlib.Path(folders[0], "checkpoint", "state").rglob("*.changelog"))
+
+
 def write_events(spark, source, rows):
     events_of(spark, rows).coalesce(1).write.mode("append").parquet(source)
 
