@@ -22,10 +22,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from parley.llm.shared import ascii_lower, small, written
+from parley.llm.shared import ascii_lower, holding, small, written
 
 WINDOW = 10
 LISTS = 3
+# Of a table of phrases, which grows with the test items: two are broadcast at once, and the
+# driver holds each several times over while it is sent.
+PHRASE_BYTES = 8 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -91,7 +94,10 @@ def candidate_starts(index: DataFrame, looked_up: DataFrame, lists: int = LISTS)
         return F.get("lookups", F.lit(k))
 
     first = looked_up.select("phrase", "lookups", lookup(0)["term"].alias("term"), lookup(0)["offset"].alias("offset"))
-    left = index.join(small(first), "term").select(
+    told = small(first, size=PHRASE_BYTES)
+    # Beyond that, only the lists of the rarest terms are shuffled.
+    rarest = index if told is not first else holding(index, first, "term")
+    left = rarest.join(told, "term").select(
         "phrase", "lookups", "row", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
     for k in range(1, lists):
         asked = left.withColumns({"term": lookup(k)["term"], "pos": F.col("start") + lookup(k)["offset"]})
@@ -107,7 +113,7 @@ def phrase_matches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     terms = wanted.select(F.explode("terms").alias("term")).distinct()
     looked_up = written(by_rarity(wanted, term_counts(rows, terms)), "lookups")
     index = postings(rows, looked_up)
-    starts = written(candidate_starts(index, looked_up).join(small(wanted), "phrase"), "candidates")
+    starts = written(candidate_starts(index, looked_up).join(small(wanted, size=PHRASE_BYTES), "phrase"), "candidates")
     texts = rows.join(small(starts.select("row").distinct()), "row", "left_semi").distinct().select(
         "row", "twin", "doc_id", words_of(F.col("text")).alias("words"))
     same = F.slice("words", F.col("start") + 1, F.size("terms")) == F.col("terms")

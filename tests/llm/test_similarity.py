@@ -184,6 +184,37 @@ def test_phrases_of_common_words(spark):
     assert found_in(got) == sorted(contamination(list(enumerate(texts)), items), key=str)
 
 
+def test_phrases_beyond_a_few_are_not_broadcast(spark, monkeypatch):
+    """54,000 windows: the driver would hold the tables of all of them, twice at once."""
+    rng, plans, write = random.Random(5), {}, decontaminate.written
+    vocabulary = [f"{''.join(rng.choices('abcdefgh', k=12))}{i}" for i in range(300)]
+    texts = [rng.choices(vocabulary, k=1009) for _ in range(54)]
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    passages = [texts[i][7 * i:7 * i + 10 + i] for i in range(20)]
+    docs = [" ".join(vocabulary), *(" ".join(p) for p in passages), " ".join(vocabulary[:9])]
+    documents = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+
+    def noted(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, purpose)
+
+    monkeypatch.setattr(decontaminate, "written", noted)
+    kept = decontaminate.keep_uncontaminated(documents, items)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 21]
+    plan = plans["candidates"]
+    assert [line for line in plan.splitlines() if "Join Inner" in line and "strategy=broadcast" in line] == []
+
+
+def test_shuffled_phrases_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PHRASE_BYTES", 0)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 60))) for _ in range(80)] + [None, ""]
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 14)))) for i in range(30)] + [(None, "a b"), (3, None)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert found_in(got) == sorted(contamination(list(enumerate(texts)), items), key=str)
+
+
 def test_proximity(spark):
     rng = random.Random(4)
     texts = [[rng.choice("abcdefgh") for _ in range(rng.randrange(0, 50))] for _ in range(60)]
